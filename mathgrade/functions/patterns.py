@@ -87,7 +87,19 @@ VERIFICATION_TRUE = "Verification Result: True"
 MATH_SOLUTION = r"Math Solution: (.*)"
 
 # --- fixed values: T21 annotated calculation -------------------------------
-ANNOTATED_CALC = r"<<[^>]*=[^>]*>>"
+ANNOTATED_CALC = r"<<[^<>]*=([^<>]*)>>"
+
+# --- fixed values: T18/T19 step words, T22/T23 error markers ---------------
+STEP_WORDS = [r"step\s+\d+", "first", "second", "third", "fourth", "fifth", "next", "finally", "lastly"]
+STEP_ALTERNATION = r"(step\s+\d+|first|second|third|fourth|fifth|next|finally|lastly)"
+THINK_PHRASE = "let's think step by step"
+FINAL_PHRASE = r"the (final |)answer is"
+ANSWER_IS_WORD = r"(?i)\banswer is\b"
+
+# --- fixed values: ChatML markers (D2, D4, D5) ------------------------------
+IM_START = "<|im_start|>"
+IM_END = "<|im_end|>"
+ASSISTANT_TAG = "<|im_start|>assistant"
 
 # --- fixed values: candidate verdicts (T24) --------------------------------
 REASON_ACCEPTED = "accepted"

@@ -73,3 +73,35 @@ def pass_at_k_sql(n: str, c: str, k) -> str:
     kk = f"least({k}, {n})"
     return (f"CASE WHEN {c} = 0 THEN 0.0 ELSE 1 - list_product(list_transform(range({n} - {c} + 1, {n} + 1), "
             f"lambda i: 1 - {kk} / i)) END")
+
+
+def first_pattern_sql(t: str, pats: list[str], strip_commas: bool = True) -> str:
+    outs = []
+    for p in pats:
+        g = grp(t, p, 1)
+        if strip_commas:
+            g = f"replace({g}, ',', '')"
+        outs.append(dbl(g))
+    return "coalesce(" + ", ".join(outs) + ")"
+
+
+def last_hit_sql(t: str, pats: list[str]) -> str:
+    return "coalesce(" + ", ".join(dbl(f"regexp_extract_all({t}, {q(p)}, 1)[-1]") for p in pats) + ")"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def hybrid_sql(t: str) -> str:
+    tt = strip_sql(f"replace({t}, ',', '')")
+    tail = f"string_split({tt}, '.')[-1]"
+    return (f"coalesce({dbl(grp(tt, P.HYBRID_BOXED, 1))}, {last_hit_sql(tt, P.HYBRID_LIST)}, "
+            f"{dbl(f'regexp_extract_all({tail}, {q(P.HYBRID_TAIL)}, 1)[-1]')})")
+
+
+def boxed_int_sql(t: str) -> str:
+    return "coalesce(" + ", ".join(f"TRY_CAST({grp(t, p, 1)} AS BIGINT)" for p in P.BOXED_INT_LIST[:3]) + ")"
+
+
+EMB_LOGP = "list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE)))"
