@@ -68,7 +68,12 @@ def piece_ids(pieces, vocab_size: int = 50000) -> Column:
     """Stable ids for pieces: 1 and 2 for the ChatML markers, hash otherwise."""
     return F.transform(_col(pieces), lambda p: F.when(p == P.IM_START, F.lit(1))
                        .when(p == P.IM_END, F.lit(2))
-                       .otherwise((F.pmod(F.xxhash64(p), F.lit(vocab_size - 3)) + 3).cast("int")))
+                       .otherwise((F.pmod(hash32(p), F.lit(vocab_size - 3)) + 3).cast("int")))
+
+
+def hash32(c) -> Column:
+    """First 32 bits of md5 as a non-negative integer: stable across engines."""
+    return F.conv(F.substring(F.md5(_col(c).cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
 def pad_truncate(ids, max_length: int, pad_id: int = PAD_ID) -> Column:
@@ -143,5 +148,5 @@ def prefix_token_count(text, tag: str = P.ASSISTANT_TAG) -> Column:
 def split_label(key, frac: float = 0.05, seed: int = 42, buckets: int = 10000) -> Column:
     """D7 / P15: 'validation' for a stable hash share ``frac`` of keys, else
     'train'; independent of partitioning and plan, unlike randomSplit."""
-    h = F.pmod(F.xxhash64(_col(key), F.lit(seed)), F.lit(buckets))
+    h = F.pmod(hash32(F.concat_ws("|", F.lit(str(seed)), _col(key).cast("string"))), F.lit(buckets))
     return F.when(h < F.lit(int(frac * buckets)), F.lit("validation")).otherwise(F.lit("train"))
