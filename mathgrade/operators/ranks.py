@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _n_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -28,9 +30,13 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, name: str,
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     w_expr = F.lit(1).cast("bigint") if weight is None else weight
+    # The partition id is materialised once: the two branches below (local
+    # running sums, per-partition totals) must see the same range bounds,
+    # and a recomputed range shuffle would sample different bounds.
+    ensure_checkpoint_dir(df.sparkSession)
     r = (df.repartitionByRange(_n_parts(df), *[F.col(k) for k in keys], *order_cols)
          .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_w", w_expr))
+         .withColumn("_w", w_expr)).checkpoint(eager=True)
     w_local = Window.partitionBy(*keys, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     tot = r.groupBy(*keys, "_pid").agg(F.sum("_w").alias("_tot"))
     r = r.withColumn("_loc", F.sum("_w").over(w_local))

@@ -152,7 +152,9 @@ def collect_samples(df: DataFrame, keys: Sequence[str], order: str, cols: Sequen
     """Regroup sample rows into ordered per-question lists. Bounded per
     group by the number of samples requested per question."""
     agg = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("_s"))
-    return agg.select(*keys, *[F.transform("_s", lambda s, c=c: s[c]).alias(c) for c in cols])
+    def field(name):
+        return lambda s: s[name]
+    return agg.select(*keys, *[F.transform("_s", field(c)).alias(c) for c in cols])
 
 
 def replicate_k(df: DataFrame, k: int, name: str = "sample_number") -> DataFrame:

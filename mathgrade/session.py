@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder."""
     d = checkpoint_dir(spark)
+    if d is not None and spark.sparkContext.getCheckpointDir():
+        return d
     if d is None:
         d = tempfile.mkdtemp(prefix="mathgrade-ckpt-", dir=os.environ.get("MATHGRADE_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
