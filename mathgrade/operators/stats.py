@@ -194,8 +194,9 @@ def alpha_sweep(df: DataFrame, logp_sum: str, n_tokens: str, label: str,
     triples with counts; each triple is expanded over the alpha grid; average
     ranks per alpha come from the distributed running sum (partitioned by
     alpha AND score range, so no alpha lands in one task). With a binary
-    label, rho = (mean rank of positives - (N+1)/2) * sqrt(N1 N0) /
-    (N * sd_pop(ranks)), sd_pop from the rank moments."""
+    label, rho is the point-biserial correlation of the ranks:
+    (mean rank of positives - (N+1)/2) * sqrt(N1 / N0) / sd_pop(ranks),
+    sd_pop from the rank moments."""
     alphas = list(alphas or alpha_grid())
     trip = df.filter(F.col(logp_sum).isNotNull() & F.col(n_tokens).isNotNull() & F.col(label).isNotNull()) \
         .groupBy(logp_sum, n_tokens).agg(F.count(F.lit(1)).alias("cnt"),
@@ -216,7 +217,7 @@ def alpha_sweep(df: DataFrame, logp_sum: str, n_tokens: str, label: str,
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n0 = n - n1
     var_r = F.col("sum_r2") / n - F.pow(F.col("sum_r") / n, 2)
-    rho = F.try_divide((F.col("sum_r_pos") / n1 - (n + 1) / 2) * F.sqrt(n1 * n0), n * F.sqrt(var_r))
+    rho = F.try_divide((F.col("sum_r_pos") / n1 - (n + 1) / 2) * F.sqrt(n1 / n0), F.sqrt(var_r))
     return agg.select("alpha_idx", "alpha", "n", F.when((n1 > 0) & (n0 > 0) & (var_r > 0), rho).alias("spearman"))
 
 
@@ -245,17 +246,25 @@ def accuracy_coverage(df: DataFrame, score: str, correct: str, n_thresholds: int
     j = #thresholds < score, so the work is one aggregate plus T rows."""
     d = df.filter(F.col(score).isNotNull())
     st = d.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(n_thresholds - 1)
-    j = F.when(w > 0, F.least(F.ceil((F.col(score) - F.col("_lo")) / w), F.lit(n_thresholds))).otherwise(F.lit(0))
+    T1 = n_thresholds - 1
+
+    def thr(i):
+        return F.col("_lo") + i * (F.col("_hi") - F.col("_lo")) / F.lit(T1)
+    x = F.col(score)
+    j0 = F.when(F.col("_hi") > F.col("_lo"),
+                F.ceil((x - F.col("_lo")) * F.lit(T1) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
+    j0 = F.least(F.greatest(j0, F.lit(0)), F.lit(n_thresholds))
+    # exact fix-up against the same threshold expression: j = #{i: t_i < score}
+    j1 = F.when((j0 > 0) & (thr(j0 - 1) >= x), j0 - 1).otherwise(j0)
+    j = F.when((j1 < n_thresholds) & (thr(j1) < x), j1 + 1).otherwise(j1)
     b = d.crossJoin(F.broadcast(st)).withColumn("_j", j.cast("int")) \
         .groupBy("_j").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col(correct).cast("int")).alias("pos"))
     grid = d.sparkSession.range(n_thresholds).select(F.col("id").cast("int").alias("idx"))
     g = grid.crossJoin(F.broadcast(st))
-    # rows above threshold i are those with bucket j > i
+    # rows above threshold i are those with bucket j > i; b has at most T + 1 rows
     jb = g.join(F.broadcast(b), F.col("_j") > F.col("idx"), "left").groupBy("idx", "_lo", "_hi", "_n").agg(
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("covered"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"))
-    thr = F.col("_lo") + F.col("idx") * (F.col("_hi") - F.col("_lo")) / F.lit(n_thresholds - 1)
-    return jb.select("idx", thr.alias("threshold"), (F.col("covered") / F.col("_n")).alias("coverage"),
+    return jb.select("idx", thr(F.col("idx")).alias("threshold"), (F.col("covered") / F.col("_n")).alias("coverage"),
                      F.try_divide(F.col("pos").cast("double"), F.col("covered")).alias("accuracy"))
 
 
