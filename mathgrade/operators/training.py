@@ -9,8 +9,9 @@ iterator rather than per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,10 +91,8 @@ def pad_truncate(ids, max_length: int, pad_id: int = PAD_ID) -> Column:
 def pandas_tokenizer(make_tokenizer: Callable[[], Callable[[str], list[int]]]):
     """Wrap a caller's tokenizer factory as an Arrow-batched UDF returning
     array<int>; the tokenizer is built once per batch iterator."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def tok(it):
+    def tok(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = make_tokenizer()
         for s in it:
             yield s.map(lambda x: None if x is None else list(fn(x)))

@@ -54,3 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="mathgrade-ckpt-", dir=os.environ.get("MATHGRADE_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory for intermediate
+    tables (never a machine-local temp folder on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/mathgrade-io/{name}-{uuid.uuid4().hex}"
