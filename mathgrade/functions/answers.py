@@ -6,8 +6,11 @@ Three combinators cover the reference's rules:
 * ``first_pattern`` - patterns tried in order, the first that parses wins (A4, A6);
 * ``last_hit`` - for each pattern in order, the last match of it wins (A5).
 
-Every function takes and returns Columns, so an extraction stays inside
-whole-stage codegen; nothing here calls Python per row.
+Every function takes and returns Columns built from JVM expressions; nothing
+here calls Python per row. A long text is scanned once per pattern: values
+reused several times are bound once with ``once`` (a one-element
+``transform``), and six-way / tag-or-hash read their groups from the short
+leftmost match instead of re-scanning the text for every group.
 """
 
 from __future__ import annotations
@@ -29,10 +32,17 @@ def _group(text: Column, pattern: str, idx: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, idx), F.lit(""))
 
 
+def once(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` a single time and apply ``fn`` to it: the value is
+    bound to a lambda variable, so references inside ``fn`` never re-run the
+    (regex) expression, whatever common-subexpression elimination does."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def to_double(s: Column) -> Column:
     """Parse a number the way Python's float() does on regex output:
     validate first (Spark would accept '5d' or 'NaN'), then cast."""
-    return F.when(s.rlike(NUMERIC_RX), s.try_cast("double"))
+    return once(s, lambda x: F.when(x.rlike(NUMERIC_RX), x.try_cast("double")))
 
 
 def _strip_commas(text: Column) -> Column:
@@ -68,13 +78,21 @@ def last_hit(text, pattern_list: list[str]) -> Column:
 # Profiles
 # --------------------------------------------------------------------------
 
+def _on_leftmost_match(t: Column, pattern: str, fn) -> Column:
+    """Scan the (long) text once for the leftmost match of an alternation,
+    then read groups from the short matched string only. The alternatives of
+    the patterns used here begin with distinct literals, so re-matching the
+    matched string selects the same alternative and groups."""
+    return once(F.regexp_extract(t, pattern, 0), fn)
+
+
 def tag_or_hash(text, strip_commas: bool = True) -> Column:
     """A1: number in an answer tag, else after four hashes; earliest match.
     NULL when absent (the reference raises)."""
     t = _col(text)
     if strip_commas:
         t = _strip_commas(t)
-    return to_double(earliest(t, P.TAG_OR_HASH, [1, 2]))
+    return _on_leftmost_match(t, P.TAG_OR_HASH, lambda m: to_double(earliest(m, P.TAG_OR_HASH, [1, 2])))
 
 
 def six_way(text, fraction: str = "value", missing_as_zero: bool = False,
@@ -88,19 +106,23 @@ def six_way(text, fraction: str = "value", missing_as_zero: bool = False,
     t = _col(text)
     if strip_commas:
         t = _strip_commas(t)
-    num, den = _group(t, P.SIX_WAY, 5), _group(t, P.SIX_WAY, 6)
-    if fraction == "numerator":
-        frac = to_double(num)
-    else:
-        frac = F.try_divide(to_double(num), to_double(den))
-    val = F.coalesce(
-        to_double(_group(t, P.SIX_WAY, 1)),
-        to_double(_group(t, P.SIX_WAY, 2)),
-        to_double(_group(t, P.SIX_WAY, 3)),
-        to_double(_group(t, P.SIX_WAY, 4)),
-        frac,
-        to_double(_group(t, P.SIX_WAY, 7)),
-    )
+
+    def from_match(m):
+        num, den = _group(m, P.SIX_WAY, 5), _group(m, P.SIX_WAY, 6)
+        if fraction == "numerator":
+            frac = to_double(num)
+        else:
+            frac = F.try_divide(to_double(num), to_double(den))
+        return F.coalesce(
+            to_double(_group(m, P.SIX_WAY, 1)),
+            to_double(_group(m, P.SIX_WAY, 2)),
+            to_double(_group(m, P.SIX_WAY, 3)),
+            to_double(_group(m, P.SIX_WAY, 4)),
+            frac,
+            to_double(_group(m, P.SIX_WAY, 7)),
+        )
+
+    val = _on_leftmost_match(t, P.SIX_WAY, from_match)
     if missing_as_zero:
         val = F.coalesce(val, F.lit(0.0))
     return val

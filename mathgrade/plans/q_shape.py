@@ -364,8 +364,8 @@ J10_SQL = """WITH v AS (
 common AS (SELECT original_id FROM v WHERE difficulty = 'easy' INTERSECT SELECT original_id FROM v WHERE difficulty = 'medium'
            INTERSECT SELECT original_id FROM v WHERE difficulty = 'hard' INTERSECT SELECT o_orderkey FROM orders),
 pick AS (SELECT original_id, difficulty,
-    arg_min(question, struct_pack(h := md5(concat_ws('|', '42', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))), n := l_linenumber, p := l_partkey)) AS question,
-    arg_min(answer, struct_pack(h := md5(concat_ws('|', '42', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))), n := l_linenumber, p := l_partkey)) AS answer
+    arg_min(question, struct_pack(h := md5(concat_ws('|', '42', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))), n := l_linenumber, p := l_partkey, a := answer)) AS question,
+    arg_min(answer, struct_pack(h := md5(concat_ws('|', '42', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))), n := l_linenumber, p := l_partkey, a := answer)) AS answer
   FROM v WHERE original_id IN (SELECT original_id FROM common) GROUP BY original_id, difficulty),
 base AS (SELECT o_orderkey AS original_id, 'base' AS difficulty, 'Order ' || CAST(o_orderkey AS VARCHAR) || ' total?' AS question,
     'Add up.' || chr(10) || '#### ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS answer
@@ -388,7 +388,7 @@ def j10_matched_evaluation_set(spark, sf_dir):
                               ["original_id", "difficulty"],
                               F.struct(F.md5(F.concat_ws("|", F.lit("42"), F.col("l_linenumber").cast("string"),
                                                          F.col("l_partkey").cast("string"))),
-                                       F.col("l_linenumber"), F.col("l_partkey")))
+                                       F.col("l_linenumber"), F.col("l_partkey"), F.col("answer")))
     base = SH.semi(o, common.select(F.col("original_id").alias("o_orderkey")), "o_orderkey").select(
         F.col("o_orderkey").alias("original_id"), F.lit("base").alias("difficulty"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" total?")).alias("question"),
