@@ -48,3 +48,13 @@ def length_reward_factory():
     def fn(text):
         return float(len(text) % 97) / 97.0
     return fn
+
+
+def refusing_solver_factory():
+    """Like the solver, but fails every call whose batch holds a prompt
+    containing 'bad' (exercises retries and per-row errors)."""
+    def fn(prompts, n):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("model refused")
+        return [[f"The answer is {len(p)}" for _ in range(n)] for p in prompts]
+    return fn
