@@ -35,25 +35,31 @@ def pass_at_k_expr(n, c, k) -> Column:
 
 
 def per_question(graded: DataFrame, keys: Sequence[str] = ("question_id",),
-                 correct: str = "correct") -> DataFrame:
-    """n samples and c correct per question (one hash aggregate)."""
+                 correct: str = "correct", carry: Sequence[str] = ()) -> DataFrame:
+    """n samples and c correct per question (one hash aggregate).
+    ``carry`` columns depend on the key (e.g. level) and ride along as an
+    aggregate, so the group-by needs only the join's key distribution and
+    no extra shuffle."""
     return graded.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(correct).cast("int")).cast("bigint").alias("c"),
+        *[F.max(c).alias(c) for c in carry],
     )
 
 
 def pass_at_k(graded: DataFrame, ks: Sequence[int] = (1,), keys: Sequence[str] = ("question_id",),
-              correct: str = "correct") -> DataFrame:
+              correct: str = "correct", carry: Sequence[str] = ()) -> DataFrame:
     """M1 per question: columns n, c, pass_at_{k} for each k."""
-    pq = per_question(graded, keys, correct)
-    return pq.select(*keys, "n", "c", *[pass_at_k_expr("n", "c", k).alias(f"pass_at_{k}") for k in ks])
+    pq = per_question(graded, keys, correct, carry)
+    return pq.select(*keys, *carry, "n", "c", *[pass_at_k_expr("n", "c", k).alias(f"pass_at_{k}") for k in ks])
 
 
-def pass_any(graded: DataFrame, keys: Sequence[str] = ("question_id",), correct: str = "correct") -> DataFrame:
+def pass_any(graded: DataFrame, keys: Sequence[str] = ("question_id",), correct: str = "correct",
+             carry: Sequence[str] = ()) -> DataFrame:
     """M2/M3: passed (any correct), pass_at_k as 1.0/0.0, correct_count,
     attempts and pass_percentage = correct_count / attempts * 100."""
     return graded.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in carry],
         F.max(F.col(correct).cast("int")).cast("boolean").alias("passed"),
         F.max(F.col(correct).cast("double")).alias("pass_at_k"),
         F.sum(F.col(correct).cast("int")).cast("bigint").alias("correct_count"),

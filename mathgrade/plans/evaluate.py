@@ -29,7 +29,7 @@ def pass_at_k_by_level(samples: DataFrame, ks=(1, 5)) -> DataFrame:
     """Flagship: samples -> six-way extraction -> relative grading ->
     unbiased pass@k per question -> mean per level."""
     graded = grade_samples(samples)
-    pq = metrics.pass_at_k(graded, ks=ks, keys=("question_id", "level"))
+    pq = metrics.pass_at_k(graded, ks=ks, keys=("question_id",), carry=("level",))
     return pq.groupBy("level").agg(
         F.count(F.lit(1)).alias("n_questions"),
         F.sum("n").alias("n_samples"),

@@ -245,7 +245,7 @@ FROM x GROUP BY level, n_augmented"""
 @register("m25_expected_pass_with_n", EXPECTED_SQL)
 def m25_expected_pass_with_n(spark, sf_dir):
     """Expected pass@1 with n answers per level (closed form)."""
-    pq = M.per_question(ev.grade_samples(dt.samples(spark, sf_dir)), keys=("question_id", "level"))
+    pq = M.per_question(ev.grade_samples(dt.samples(spark, sf_dir)), keys=("question_id",), carry=("level",))
     out = M.expected_pass_with_n(pq, [1, 2, 3, 5], group=("level",))
     return rounded(out.withColumn("n_augmented", F.col("n_augmented").cast("int")))
 

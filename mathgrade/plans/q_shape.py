@@ -29,7 +29,7 @@ pq AS (SELECT question_id, level, count(*) AS attempts, CAST(sum(CAST(correct AS
 
 
 def _pq(spark, sf_dir):
-    return M.pass_any(_graded(spark, sf_dir), keys=("question_id", "level")).select(
+    return M.pass_any(_graded(spark, sf_dir), keys=("question_id",), carry=("level",)).select(
         "question_id", "level", "attempts", "correct_count", "passed")
 
 
