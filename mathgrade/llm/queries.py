@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import mixing, near_dup, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,92 @@ FROM documents d JOIN comp c USING (doc_id) LEFT JOIN n USING (doc_id)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_dup.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL_LEDGER = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
+  FROM t),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM b WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT b.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         len(ls) AS n_lines, n_upper, n_letters
+  FROM b LEFT JOIN rep USING (doc_id)),
+f AS (
+  SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
+       + 4 * (100 * n_symbols > 30 * n_words)::BIGINT + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
+       + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
+       + 64 * (100 * n_upper > 50 * n_letters)::BIGINT AS fail_bits
+  FROM m)
+"""
+
+
+@register("op2_quality_rules", SQL_LEDGER + """
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, 'v2' AS policy FROM f
+""")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of all documents under the current policy."""
+    led = quality_rules.ledger(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_rules.apply_policy(led, quality_rules.POLICIES[quality_rules.CURRENT])
+
+
+@register("quality_rule_ablation", SQL_LEDGER + """
+, p(policy, mask, bits) AS (VALUES ('base', 3, [0, 1]), ('v1', 15, [0, 1, 2, 3]), ('v2', 127, [0, 1, 2, 3, 4, 5, 6])),
+r AS (SELECT policy, mask, unnest(bits) AS i FROM p)
+SELECT policy, ['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'upper_case'][i + 1] AS rule,
+       sum((fail_bits & (1 << i) <> 0)::BIGINT) AS n_failed, sum((fail_bits & mask = 1 << i)::BIGINT) AS n_only_this, count(*) AS n_docs
+FROM f, r GROUP BY policy, i
+""")
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone."""
+    return quality_rules.ablation(quality_rules.ledger(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@register("op10_source_mix", r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS turn FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+         (sum(source_size) OVER ())::BIGINT AS budget FROM s),
+o AS (
+  SELECT *, (3 * source_size) AS cap,
+         budget - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
+  FROM w WHERE source_size > 0),
+c AS (SELECT *, cap * rest_weight <= weight * rest AS capped FROM o),
+u AS (SELECT max(rest) AS rest, max(rest_weight) AS rest_weight FROM c WHERE NOT capped),
+g AS (
+  SELECT c.source, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * u.rest)::DOUBLE / u.rest_weight::DOUBLE END AS target
+  FROM c, u),
+q AS (
+  SELECT d.*, s.source_size, coalesce(g.target, 0) AS target,
+         (sum(size) OVER (PARTITION BY d.source ORDER BY turn, size))::BIGINT AS queued
+  FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+e AS (
+  SELECT doc_id, source, turn, size, (queued + k * source_size)::DOUBLE / target AS finish
+  FROM q, (VALUES (0), (1), (2)) v(k) WHERE size > 0 AND target > 0),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, turn, size) AS run FROM e),
+t AS (
+  SELECT doc_id, source, size, count(*) AS copies FROM r WHERE run <= (SELECT sum(size) FROM d) GROUP BY ALL)
+SELECT q.doc_id, q.source, q.size, q.source_size, q.target, q.size * coalesce(t.copies, 0) AS taken
+FROM q LEFT JOIN t ON t.doc_id IS NOT DISTINCT FROM q.doc_id AND t.source IS NOT DISTINCT FROM q.source AND t.size = q.size
+""")
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from each document by the mix of all sources."""
+    return mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text")) \
+        .select("doc_id", "source", "size", "source_size", "target", "taken")
