@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .wordbytes import mix64, pieces, span_hashes, window_hashes, word_spans
 
 WINDOW = 8
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stutter"]
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -40,10 +40,11 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "100 * n_symbols > 30 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "upper_case": "100 * n_upper > 50 * n_letters",
+    "stutter": "100 * n_stutter > 30 * n_words",
 }
 
 
@@ -63,7 +64,7 @@ BASE = Policy("base", ("few_words", "repeated_windows"))
 POLICIES = {p.version: p for p in (
     BASE,
     Policy("v1", (*BASE.rules, "symbols", "repeated_lines")),
-    Policy("v2", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words", "upper_case")),
+    Policy("v2", (*BASE.rules, "symbols", "repeated_lines", "short_words", "long_words", "upper_case", "stutter")),
 )}
 CURRENT = "v2"
 
@@ -125,10 +126,14 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         words = span_hashes(data, starts, ends)
         sep = (data == 32) | ((data >= 9) & (data <= 13))
         lines, dups = _lines(data, off, starts)
+        again = np.zeros(len(words), bool)
+        again[1:] = words[1:] == words[:-1]
+        again[first[:-1][first[:-1] < len(words)]] = False
         found = {"n_words": np.diff(first), "word_chars": _per_text(~sep & ((data & 0xC0) != 0x80), off),
                  "n_symbols": _per_text(_SYMBOL[data], off), "n_dup_lines": dups,
                  "n_repeat_words": _repeats(words, first), "n_lines": lines,
-                 "n_upper": _per_text(_UPPER[data], off), "n_letters": _per_text(_LETTER[data], off)}
+                 "n_upper": _per_text(_UPPER[data], off), "n_letters": _per_text(_LETTER[data], off),
+                 "n_stutter": _per_text(again, first)}
         for m in MEASURES:
             parts[m].append(found[m])
     return {m: np.concatenate(v) for m, v in parts.items()}

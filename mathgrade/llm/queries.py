@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, quality_rules
+from . import byte_bpe, mixing, near_dup, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,19 +65,20 @@ rep AS (
 m AS (
   SELECT b.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-         len(ls) AS n_lines, n_upper, n_letters
+         len(ls) AS n_lines, n_upper, n_letters,
+         len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutter
   FROM b LEFT JOIN rep USING (doc_id)),
 f AS (
   SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
-       + 4 * (100 * n_symbols > 30 * n_words)::BIGINT + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
+       + 4 * (100 * n_symbols > 30 * n_words)::BIGINT + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
        + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
-       + 64 * (100 * n_upper > 50 * n_letters)::BIGINT AS fail_bits
+       + 64 * (100 * n_upper > 50 * n_letters)::BIGINT + 128 * (100 * n_stutter > 30 * n_words)::BIGINT AS fail_bits
   FROM m)
 """
 
 
 @register("op2_quality_rules", SQL_LEDGER + """
-SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, 'v2' AS policy FROM f
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 255 = 0 AS kept, 'v2' AS policy FROM f
 """)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents under the current policy."""
@@ -86,9 +87,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("quality_rule_ablation", SQL_LEDGER + """
-, p(policy, mask, bits) AS (VALUES ('base', 3, [0, 1]), ('v1', 15, [0, 1, 2, 3]), ('v2', 127, [0, 1, 2, 3, 4, 5, 6])),
+, p(policy, mask, bits) AS (VALUES ('base', 3, [0, 1]), ('v1', 15, [0, 1, 2, 3]), ('v2', 255, [0, 1, 2, 3, 4, 5, 6, 7])),
 r AS (SELECT policy, mask, unnest(bits) AS i FROM p)
-SELECT policy, ['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'upper_case'][i + 1] AS rule,
+SELECT policy, ['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'upper_case',
+        'stutter'][i + 1] AS rule,
        sum((fail_bits & (1 << i) <> 0)::BIGINT) AS n_failed, sum((fail_bits & mask = 1 << i)::BIGINT) AS n_only_this, count(*) AS n_docs
 FROM f, r GROUP BY policy, i
 """)
@@ -134,3 +136,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document by the mix of all sources."""
     return mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text")) \
         .select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@register("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding digests of all documents."""
+    return byte_bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
