@@ -52,6 +52,8 @@ SURE = 52
 FAMILY_SETS = 4_000
 FAMILY_SHINGLES = 6_000_000
 BLOCK = 1_000
+#: Bits of the map of family members, and of one row of it.
+FILTER_BITS, MAP_BITS = 1 << 25, 1 << 15
 NUM, DEN = 75, 100
 
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -385,6 +387,20 @@ def _link_large(members: DataFrame, block: int) -> DataFrame:
     return connected_components(links.union(inner.select(F.col("id").alias("u"), F.col("component").alias("v"))))
 
 
+def _maybe_in(docs: DataFrame, family: DataFrame) -> DataFrame:
+    """``docs`` without most of those that are in no family, so that their texts aren't shuffled.
+
+    A bit map of ``FILTER_BITS`` hashed ids (at most 4 MB, however many ids there are) is broadcast. Too many ids
+    only fill the map and let more texts pass; the join that follows decides."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = family.select(place.alias("p")).groupBy((F.col("p") / MAP_BITS).cast("long").alias("_map")) \
+        .agg(F.bitmap_construct_agg(F.col("p") % MAP_BITS).alias("_bits"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    met = docs.withColumn("_p", place % MAP_BITS).withColumn("_map", (place / MAP_BITS).cast("long")).join(F.broadcast(bits), "_map")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NODE, family_sets: int = FAMILY_SETS,
                     family_shingles: int = FAMILY_SHINGLES, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_key) for every row of ``docs``."""
@@ -400,7 +416,7 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
     weight = family.join(sets.select("id", "n_shingles"), "id").groupBy("family") \
         .agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     large = weight.filter((F.col("n") > family_sets) | (F.col("w") > family_shingles)).select("family")
-    members = docs.join(family.withColumnRenamed("id", "doc_id"), "doc_id") \
+    members = _maybe_in(docs, family).join(family.withColumnRenamed("id", "doc_id"), "doc_id") \
         .select("family", F.col("doc_id").alias("id"), "text")
     members = members.mapInArrow(_sets_of, "family long, id long, shingles binary")
     exact: DataFrame
