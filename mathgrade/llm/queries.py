@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, near_dup, quality_rules
+from . import byte_bpe, language_id, mixing, near_dup, quality_model, quality_rules
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding digests of all documents."""
     return byte_bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from the documents that aren't held out."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+@register("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels that aren't held out."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.score(docs, quality_model.train(docs, load(spark, sf_dir, "labels")))
