@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, mixing, near_dup, quality_model, quality_rules
+from . import byte_bpe, html_text, language_id, mixing, near_dup, quality_model, quality_rules, warc
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,31 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labels that aren't held out."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_model.score(docs, quality_model.train(docs, load(spark, sf_dir, "labels")))
+
+
+@register("op3_warc", r"""
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS latest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN latest <> page_id THEN latest END AS refers_to
+FROM m
+""")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back and indexed."""
+    return warc.archive(load(spark, sf_dir, "pages").select("page_id", "url", "html")) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("warc_capture_index")
+def warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of all pages in global order of URL key and time."""
+    return warc.archive(load(spark, sf_dir, "pages").select("page_id", "url", "html")) \
+        .select("position", "url_key", "date", "page_id", "record_type")
+
+
+@register("op7_html_main_text")
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
