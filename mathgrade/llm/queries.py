@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, language_id, mixing, near_dup, quality_model, quality_rules, warc
+from . import byte_bpe, html_text, language_id, mixing, near_dup, quality_model, quality_rules, vector_graph, warc
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,9 @@ def warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register("op6_vector_graph")
+def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return vector_graph.nearest(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
