@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language_id, mixing, near_dup, quality_model, quality_rules, vector_graph, warc
+from . import byte_bpe, html_text, language_id, mixing, near_dup, quality_model, quality_rules, tool_calls, vector_graph, warc
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +191,56 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     return vector_graph.nearest(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+SQL_TOOL_CALLS = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, role, text, coalesce(to_json(text)::VARCHAR, 'null') AS js,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+         ['search', 'lookup', 'note', 'search', 'lookup', 'note', 'translate'][(conv_id + turn) % 7 + 1] AS name FROM conversations),
+calls AS (
+  SELECT *, 'call_' || conv_id || '_' || turn AS call_id,
+         CASE name WHEN 'search' THEN '{"exact":' || (conv_id % 2 = 0) || ',"limit":' || n || ',"query":' || js || '}'
+                   WHEN 'lookup' THEN '{"offset":' || turn || ',"query":' || js || '}'
+                   WHEN 'note' THEN '{"body":' || js || ',"pinned":' || (conv_id % 2 = 0) || '}'
+                   ELSE '{"text":' || js || '}' END AS args,
+         CASE WHEN (conv_id + turn) % 17 = 0 THEN turn + 2
+              WHEN (conv_id + turn - 2) % 17 <> 0 AND turn % 8 >= 2 THEN turn - 2 END AS needs
+  FROM c WHERE role = 'assistant'),
+known AS (SELECT a.*, b.turn AS needs_turn FROM calls a LEFT JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.turn),
+ahead AS (SELECT DISTINCT conv_id FROM known WHERE needs_turn >= turn),
+lev AS (
+  SELECT conv_id, turn, 0 AS level FROM known WHERE needs_turn IS NULL
+  UNION ALL SELECT k.conv_id, k.turn, l.level + 1 FROM known k JOIN lev l ON k.conv_id = l.conv_id AND k.needs_turn = l.turn),
+level AS (
+  SELECT k.conv_id, k.turn, CASE WHEN k.conv_id NOT IN (SELECT conv_id FROM ahead) THEN 0 ELSE coalesce(max(l.level), -1) END AS level
+  FROM known k LEFT JOIN lev l ON l.conv_id = k.conv_id AND l.turn = k.turn GROUP BY k.conv_id, k.turn),
+results AS (
+  SELECT u.*, k.turn AS call_turn, k.call_id FROM c u JOIN calls k ON u.conv_id = k.conv_id AND u.turn = k.turn + 1 WHERE u.role = 'user')
+SELECT k.conv_id, k.turn, 'call' AS kind, k.call_id, k.name,
+       CASE WHEN l.level < 0 THEN 'cycle' WHEN r.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status, l.level, k.turn AS call_turn, 0 AS part,
+       array_to_string(list_filter([
+         CASE WHEN k.name = 'search' AND k.n < 1 THEN 'limit: minimum 1' END,
+         CASE WHEN k.name = 'search' AND k.n > 100 THEN 'limit: maximum 100' END,
+         CASE WHEN k.name = 'search' AND length(k.text) < 1 THEN 'query: minLength 1' END,
+         CASE WHEN k.name = 'note' AND length(k.text) > 1000 THEN 'body: maxLength 1000' END,
+         CASE WHEN k.name = 'translate' THEN 'translate: unknown tool' END,
+         CASE WHEN k.needs IS NOT NULL AND k.needs_turn IS NULL THEN 'depends_on: unknown call_' || k.conv_id || '_' || k.needs END],
+         lambda e: e IS NOT NULL), '; ') AS errors,
+       '{"content":' || k.js || ',"role":"assistant","tool_calls":[{"arguments":' || k.args || ',"id":"' || k.call_id || '","name":"' || k.name || '"}]}' AS json
+FROM known k JOIN level l USING (conv_id, turn) LEFT JOIN results r ON r.conv_id = k.conv_id AND r.call_turn = k.turn
+UNION ALL
+SELECT r.conv_id, r.turn, 'result', r.call_id, NULL, 'ok', l.level, r.call_turn, 1, '',
+       '{"content":' || r.js || ',"role":"tool","tool_call_id":"' || r.call_id || '"}'
+FROM results r JOIN level l ON l.conv_id = r.conv_id AND l.turn = r.call_turn
+UNION ALL
+SELECT c.conv_id, c.turn, 'message', NULL, NULL, 'plain', 0, c.turn, 0, '', '{"content":' || js || ',"role":"' || role || '"}'
+FROM c WHERE role <> 'assistant' AND NOT EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.turn = c.turn)
+"""
+
+
+@register("op5_tool_call_chat", SQL_TOOL_CALLS)
+def op5_tool_call_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered, validated and serialised messages of all conversations."""
+    linked = tool_calls.link(tool_calls.calls_of(load(spark, sf_dir, "conversations")))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
