@@ -97,7 +97,7 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], bucket_rows: int) -> DataF
                                   (F.col("offset") + F.col("_in")).alias("queued")), "mix-queued")
 
     # 2. the entry at which the budget is spent, in the order of finish time, shuffle hash and size
-    finish = lambda e: (F.col("queued") + F.lit(e) * F.col("source_size")) / F.col("target")
+    finish = lambda e: F.try_divide(F.col("queued") + F.lit(e) * F.col("source_size"), F.col("target"))
     epochs = F.array(*[finish(e) for e in range(MAX_EPOCHS)])
     entries = queued.filter("size > 0 and target > 0").select("turn", "size", F.explode(epochs).alias("finish"))
     # finish times are even up to 1; the cut lies near 1, so entries far beyond need no place of their own
@@ -128,7 +128,9 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bucket_rows: int =
     chosen = mix(docs, weights, bucket_rows).filter("copies > 0")
     chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")) \
         .agg(F.max("copies").alias("_copies"))
-    met = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
-                    & (word_count(docs["text"]) == F.col("_size")))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")) \
-        .select(*docs.columns)
+    rows = docs.select(docs["doc_id"].alias("_doc"), docs["source"].cast("string").alias("_from"), word_count(docs["text"]).alias("_words"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    met = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source"))
+                    & (F.col("_words") == F.col("_size")))
+    met = met.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return met.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

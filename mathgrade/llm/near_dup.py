@@ -442,5 +442,5 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents of a component that are not its first."""
     marked = near_duplicates(docs, **parameters).filter("kept").select("doc_id").distinct()
     marked = marked.withColumnRenamed("doc_id", "_kept_id")
-    kept = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked["_kept_id"]), "left_semi")
     return kept.select(*docs.columns)
