@@ -1,20 +1,8 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from mathgrade.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=4)
-    yield s
-
-
 @pytest.fixture(scope="session")
 def sf():
     return SF
