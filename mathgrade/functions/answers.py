@@ -136,13 +136,14 @@ def ordered_list(text) -> Column:
 def hybrid(text) -> Column:
     """A5: strip commas; boxed; else last hit of six patterns; else the last
     number in the text after the final '.'."""
-    t = F.regexp_replace(_strip_commas(_col(text)), r"^\s+|\s+$", "")
-    tail = F.substring_index(t, ".", -1)
-    return F.coalesce(
-        to_double(_group(t, P.HYBRID_BOXED, 1)),
-        last_hit(t, P.HYBRID_LIST),
-        to_double(F.try_element_at(F.regexp_extract_all(tail, F.lit(P.HYBRID_TAIL), F.lit(1)), F.lit(-1))),
-    )
+    def from_clean(t):
+        tail = F.substring_index(t, ".", -1)
+        return F.coalesce(
+            to_double(_group(t, P.HYBRID_BOXED, 1)),
+            last_hit(t, P.HYBRID_LIST),
+            to_double(F.try_element_at(F.regexp_extract_all(tail, F.lit(P.HYBRID_TAIL), F.lit(1)), F.lit(-1))),
+        )
+    return once(F.regexp_replace(_strip_commas(_col(text)), r"^\s+|\s+$", ""), from_clean)
 
 
 def boxed_int(text) -> Column:
@@ -184,10 +185,26 @@ def last_line_number(text, as_float_text: bool = True) -> Column:
     good = F.filter(toks, lambda x: x.rlike(r"^(\d+\.?\d*|\.\d+)$"))
     tok = F.try_element_at(good, F.lit(-1))
     if as_float_text:
-        tok = tok.try_cast("double").cast("string")
+        tok = once(tok.try_cast("double"), float_text)
     return F.coalesce(tok, F.lit(""))
 
 
+def float_text(x: Column) -> Column:
+    """A non-negative double as Python prints it: positional with at least one decimal from 1e-4 to below 1e16
+    (the engine already switches to exponents at 1e7 and 1e-3), else a two-digit exponent."""
+    shown = x.cast("string")
+    mantissa, exponent = F.substring_index(shown, "E", 1), F.substring_index(shown, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    large = F.concat(F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")), F.lit("."),
+                     F.when(F.length(digits) > exponent + 1, F.substring(digits, exponent + 2, F.lit(400))).otherwise("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    power = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.lit(400)))).otherwise(""),
+                     F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    return F.when(~shown.contains("E"), shown).when((x >= 1e7) & (x < 1e16), large).when((x >= 1e-4) & (x < 1e-3), small).otherwise(power)
+
+
 def hash_rest_int(text) -> Column:
     """The rest of the line after '#### ' as an integer."""
     g = F.regexp_replace(_group(_col(text), P.HASH_REST_OF_LINE, 1), r"^\s+|\s+$", "")

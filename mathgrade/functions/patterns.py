@@ -91,7 +91,7 @@ ANNOTATED_CALC = r"<<[^<>]*=([^<>]*)>>"
 
 # --- fixed values: T18/T19 step words, T22/T23 error markers ---------------
 STEP_WORDS = [r"step\s+\d+", "first", "second", "third", "fourth", "fifth", "next", "finally", "lastly"]
-STEP_ALTERNATION = r"(step\s+\d+|first|second|third|fourth|fifth|next|finally|lastly)"
+STEP_ALTERNATION = "(" + "|".join(STEP_WORDS) + ")"
 THINK_PHRASE = "let's think step by step"
 FINAL_PHRASE = r"the (final |)answer is"
 ANSWER_IS_WORD = r"(?i)\banswer is\b"
@@ -107,3 +107,7 @@ REASON_INCORRECT = "incorrect_code"
 REASON_LOW_NOVELTY = "too_low_novelty"
 REASON_LOW_DIFFICULTY = "too_low_difficulty"
 REASON_FEW_STEPS = "too_few_steps"
+
+# --- wording of this library: pairwise judge (T11) ---------------------------
+JUDGE_TEMPLATE = ("Compare two answers to one question. Judge correctness first, then clarity.\nQuestion: {question}\n"
+                  "Answer A: {answer_a}\nAnswer B: {answer_b}\nEnd with [[A]] or [[B]].")

@@ -56,6 +56,13 @@ def extract_blocks(text) -> Column:
     return F.struct(code.alias("code"), task.alias("task"), sol.alias("solution"), ok.alias("format_ok"))
 
 
+def code_block(text) -> Column:
+    """The program of a reply: the code tag's content without its fence, else the last python fence."""
+    t = _col(text)
+    inner = F.regexp_extract(t, P.CODE_BLOCK, 1)
+    return F.when(_matches(t, P.CODE_BLOCK), F.coalesce(strip(_last_fence(inner)), strip(inner))).otherwise(strip(_last_fence(t)))
+
+
 def extract_blocks_lenient(text) -> Column:
     """Missing block -> ''; strips only blanks and newlines."""
     t = _col(text)
@@ -99,27 +106,27 @@ def extract_json_reply(text, scratch_key: str = "scratchpad", public_key: str =
 
 
 def dedup_answer_tags(text) -> Column:
-    """T5: inside each solution block keep only the first answer tag.
-    Expressed natively: split on solution blocks, and in each block keep the
-    text up to the end of the first answer tag plus the rest with tags removed."""
+    """T5: inside each solution block (from its opening tag to the next closing
+    tag) keep only the first complete answer tag. Blocks do not nest: after a
+    closing tag the next opening tag starts a block, so an unclosed opening tag
+    before a closed one belongs to that block's text."""
     t = _col(text)
-    # Work on blocks: split keeps the text outside blocks unchanged.
-    parts = F.split(t, r"(?=<solution>)")
+    # A closing tag ends a piece; in each piece the block starts at the first opening tag.
+    pieces = F.split(t, r"(?<=</solution>)")
 
-    def fix(part):
-        is_block = part.startswith("<solution>") & (F.locate("</solution>", part) > 0)
-        end = F.locate("</solution>", part) + F.lit(len("</solution>")) - 1
-        block = F.substring(part, F.lit(1), end)
-        rest = F.substring(part, end + 1, F.lit(1 << 30))
-        first_end = F.locate("</answer>", block)
-        has = (F.locate("<answer>", block) > 0) & (first_end > F.locate("<answer>", block))
-        head = F.substring(block, F.lit(1), first_end + F.lit(len("</answer>")) - 1)
-        tail = F.substring(block, first_end + F.lit(len("</answer>")), F.lit(1 << 30))
-        tail_clean = F.regexp_replace(tail, P.ANSWER_TAG, "")
-        new_block = F.when(has, F.concat(head, tail_clean)).otherwise(block)
-        return F.when(is_block, F.concat(new_block, rest)).otherwise(part)
+    def fix(piece):
+        start = F.locate("<solution>", piece)
+        before = F.substring(piece, F.lit(1), start - 1)
+        block = F.substring(piece, start, F.lit(1 << 30))
+        # the first complete answer tag; a closing tag before it is ordinary text
+        opening = F.locate("<answer>", block)
+        rest = F.substring(block, opening, F.lit(1 << 30))
+        end = opening + F.locate("</answer>", rest) + len("</answer>") - 2
+        has = (opening > 0) & (F.locate("</answer>", rest) > 0)
+        cleaned = F.concat(before, F.substring(block, F.lit(1), end), F.regexp_replace(F.substring(block, end + 1, F.lit(1 << 30)), P.ANSWER_TAG, ""))
+        return F.when((start > 0) & piece.endswith("</solution>") & has, cleaned).otherwise(piece)
 
-    return F.array_join(F.transform(parts, fix), "")
+    return F.array_join(F.transform(pieces, fix), "")
 
 
 def repair_code_tag(text) -> Column:
@@ -131,8 +138,8 @@ def repair_code_tag(text) -> Column:
 
 
 def hash_to_boxed(text) -> Column:
-    """Rewrite '#### n' as '\\boxed{n}'."""
-    return F.regexp_replace(_col(text), r"####\s*([0-9\.,\-]+)", r"\\boxed{$1}")
+    """Rewrite '#### n' as '\\boxed{n}', n being digits."""
+    return F.regexp_replace(_col(text), P.HASH_DIGITS, r"\\boxed{$1}")
 
 
 def harder_question_answer(text) -> Column:
@@ -157,6 +164,11 @@ def judge_verdict(text) -> Column:
     return _group(_col(text), r"\[\[([AB])\]\]")
 
 
+def judge_prompt(question, answer_a, answer_b, template: str = P.JUDGE_TEMPLATE) -> Column:
+    """The pairwise judge's prompt, by literal replacement."""
+    return render_prompt(template, question=question, answer_a=answer_a, answer_b=answer_b)
+
+
 def strip_prompt(completion, prompt) -> Column:
     """Drop the prompt when the completion starts with it, then strip."""
     c, p = _col(completion), _col(prompt)
@@ -207,18 +219,22 @@ def newline_count(text) -> Column:
 
 def step_count_v1(text) -> Column:
     """Sum of hits of each step word (lower-cased), else newlines + 1."""
-    t = F.lower(_col(text))
-    hits = None
-    for p in P.STEP_WORDS:
-        h = F.regexp_count(t, F.lit(p))
-        hits = h if hits is None else hits + h
-    return F.when(hits > 0, hits).otherwise(newline_count(text) + 1)
+    from .answers import once
+
+    def hits(t):
+        out = None
+        for p in P.STEP_WORDS:
+            h = F.regexp_count(t, F.lit(p))
+            out = h if out is None else out + h
+        return out
+    return once(once(F.lower(_col(text)), hits), lambda h: F.when(h > 0, h).otherwise(newline_count(text) + 1))
 
 
 def step_count_v2(text) -> Column:
     """Hits of the single alternation, else newlines + 1."""
+    from .answers import once
     hits = F.regexp_count(F.lower(_col(text)), F.lit(P.STEP_ALTERNATION))
-    return F.when(hits > 0, hits).otherwise(newline_count(text) + 1)
+    return once(hits, lambda h: F.when(h > 0, h).otherwise(newline_count(text) + 1))
 
 
 def mean_steps(answers, version: int = 1) -> Column:

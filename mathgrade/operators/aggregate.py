@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranks
+from .skew import salted_join
 
 
 def _col(c) -> Column:
@@ -45,10 +46,15 @@ def counts_side_by_side(df: DataFrame, row_key: str, col_key: str, values: Seque
     return df.groupBy(row_key).pivot(col_key, list(values)).count().na.fill(0)
 
 
-def incorrect_rate(df: DataFrame, keys: Sequence[str], flags: str) -> DataFrame:
-    """1 - mean over rows of (share of true in the flag list; empty -> 0)."""
-    a = F.col(flags)
-    share = F.coalesce(F.try_divide(F.size(F.filter(a, lambda x: x)), F.size(a)), F.lit(0.0))
+def incorrect_rate(df: DataFrame, keys: Sequence[str], flags: str | None = None, n: str = "n", c: str = "c") -> DataFrame:
+    """1 - mean over rows of the share of true, from a flag list or from
+    counts (``c`` of ``n``); nothing at all -> 0."""
+    if flags is not None:
+        a = F.col(flags)
+        share = F.try_divide(F.size(F.filter(a, lambda x: x)), F.size(a))
+    else:
+        share = F.try_divide(F.col(c).cast("double"), F.col(n))
+    share = F.coalesce(share, F.lit(0.0))
     return df.groupBy(*keys).agg((1 - F.avg(share)).alias("incorrect_rate"))
 
 
@@ -58,11 +64,12 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def crosstab_shares(df: DataFrame, row_key: str, col_key: str, values: Sequence) -> DataFrame:
-    """Row x category counts plus row-normalised shares."""
+    """Row x category counts plus row-normalised shares (NULL for a row
+    with none of the categories)."""
     pv = df.groupBy(row_key).pivot(col_key, list(values)).count().na.fill(0)
     total = sum((F.col(str(v)) for v in values), F.lit(0))
     return pv.select(row_key, *[F.col(str(v)) for v in values],
-                     *[(F.col(str(v)) / total).alias(f"share_{v}") for v in values])
+                     *[F.try_divide(F.col(str(v)).cast("double"), total).alias(f"share_{v}") for v in values])
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
@@ -90,24 +97,20 @@ def group_summary(df: DataFrame, key: str, metric: str) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles, max per numeric column,
-    in one aggregate (long form: one row per column)."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"),
-                             F.sum(F.when(x.isNull(), 1).otherwise(0)).alias("nulls"),
-                             F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                             F.percentile(x, F.lit(0.25)).alias("p25"), F.percentile(x, F.lit(0.5)).alias("p50"),
-                             F.percentile(x, F.lit(0.75)).alias("p75"), F.max(x).alias("max")).alias(c))
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("s")).select("s.*")
+    """Count, nulls, mean, std, min, quartiles, max per numeric column
+    (long form: one row per column)."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "x")
+    one = x.groupBy("column").agg(F.count("x").alias("count"), F.sum(F.when(F.col("x").isNull(), 1).otherwise(0)).alias("nulls"),
+                                  F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = ranks.quantiles(x, "x", [0.25, 0.5, 0.75], ["column"]).select("column", F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
+    return one.join(q, "column", "left").select("column", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def accuracy_and_median(df: DataFrame, correct: str, metric: str) -> DataFrame:
     """Overall accuracy and exact median of a metric."""
-    return df.agg(F.avg(F.col(correct).cast("double")).alias("accuracy"),
-                  F.median(metric).alias(f"median_{metric}"))
+    median = ranks.quantiles(df, metric, [0.5]).select(F.col("q_0").alias(f"median_{metric}"))
+    one = df.agg(F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    return one.join(F.broadcast(median), how="left")  # one row each
 
 
 def counts_two_ways(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
@@ -121,11 +124,10 @@ def running_index(df: DataFrame, key: str, order: Sequence, name: str = "augment
 
 
 def attach_group_size(df: DataFrame, key: str, name: str = "n_augmented") -> DataFrame:
-    """Rows per key on every row: an aggregate joined back on the key
-    (the aggregate is partial map-side; a hot key is one build row, and AQE
-    splits the skewed probe partition)."""
+    """Rows per key on every row: an aggregate (partial map-side) joined
+    back with salt, so a hot key is spread over tasks."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, key, "inner")
+    return salted_join(df, sizes, [key])
 
 
 def drop_consecutive_repeats(df: DataFrame, key: str, order: Sequence, col: str) -> DataFrame:
@@ -163,7 +165,6 @@ def order_by_abs(df: DataFrame, col: str) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
-    """Min, quartiles, median and max per group (exact percentiles)."""
-    q = F.percentile(F.col(metric), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(["min", "q1", "median", "q3", "max"])])
+    """Min, quartiles, median and max per group (exact, from value counts)."""
+    q = ranks.quantiles(df, metric, [0.0, 0.25, 0.5, 0.75, 1.0], keys)
+    return q.select(*keys, *[F.col(f"q_{i}").alias(n) for i, n in enumerate(["min", "q1", "median", "q3", "max"])])

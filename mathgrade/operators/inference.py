@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,61 +23,75 @@ from pyspark.sql import types as T
 from ..functions import answers as A
 from ..functions import grading as G
 from ..functions import text as TX
+from ..session import ensure_checkpoint_dir
 from . import aggregate as AG
 
 # A model function takes a list of prompts and n, and returns n completions per prompt.
 GenerateFn = Callable[[list[str], int], list[list[str]]]
 
 
-def _retry(call, max_tries: int, backoff_base: float, seed: str):
-    """Up to ``max_tries`` attempts, waiting base * 2^(i-1) * U(0.8, 1.2);
-    returns (value, error, attempts). Jitter is seeded per row."""
+def _retry(call, max_tries: int, backoff_base: float, seed: str, before: int = 0):
+    """Attempts number ``before + 1`` to ``max_tries``, waiting base * 2^(i-1) * U(0.8, 1.2) between them;
+    returns (value, error, attempts so far). Jitter is seeded per row."""
     rng = random.Random(seed)
-    err = None
-    for attempt in range(1, max_tries + 1):
+    err, attempt = None, before
+    for attempt in range(before + 1, max_tries + 1):
         try:
             return call(), None, attempt
         except Exception as ex:  # noqa: BLE001 - a row-level failure is data
             err = f"{type(ex).__name__}: {ex}"
             if attempt < max_tries and backoff_base > 0:
                 time.sleep(backoff_base * 2 ** (attempt - 1) * rng.uniform(0.8, 1.2))
-    return None, err, max_tries
+    return None, err, attempt
+
+
+MISSING_COMPLETION = "missing completion"
+MISSING_PROMPT = "missing prompt"
 
 
 def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Callable[[], GenerateFn],
-             max_tries: int = 3, backoff_base: float = 0.0, batch_size: int = 32) -> DataFrame:
-    """N completions per row -> rows (id, sample_number, completion,
-    error, attempts). The prompt batch is retried as a unit; if it still fails,
-    each row is retried alone so one bad prompt only fails itself."""
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("sample_number", T.IntegerType()),
+             max_tries: int = 3, backoff_base: float = 0.0, batch_size: int = 32, keep: Sequence[str] = ()) -> DataFrame:
+    """Exactly n rows per input row: (id, kept columns, sample_number, completion, error, attempts).
+
+    A batch of prompts is one call and the first attempt of its rows; if it fails, each row is tried alone for the
+    attempts that are left, so one bad prompt only fails itself and no prompt is sent more than ``max_tries``
+    times. Replies that are missing or failed are rows with an error. A null prompt is not sent. ``keep`` columns
+    travel with the row (no join back, so the model is not asked again for them)."""
+    carried = [id_col, *[c for c in keep if c != id_col]]
+    schema = T.StructType([*[df.schema[c] for c in carried], T.StructField("sample_number", T.IntegerType()),
                            T.StructField("completion", T.StringType()), T.StructField("error", T.StringType()),
                            T.StructField("attempts", T.IntegerType())])
 
-    def part(it):
+    def replies(one, err, tries):
+        got = [None if c is None else str(c) for c in list(one or [])[:n]]
+        got += [None] * (n - len(got))
+        return [(j, c, None if c is not None else err or MISSING_COMPLETION, tries) for j, c in enumerate(got)]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = fn_factory()
-        for pdf in it:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size]
-                ids, prompts = chunk[id_col].tolist(), chunk[prompt_col].fillna("").tolist()
-                seed = hashlib.md5(repr(ids).encode()).hexdigest()
-                outs, err, tries = _retry(lambda: fn(prompts, n), max_tries, backoff_base, seed)
-                rows = []
+        for batch in batches:
+            ids, prompts = batch.column(id_col).to_pylist(), batch.column("_prompt").to_pylist()
+            for start in range(0, batch.num_rows, batch_size):
+                rows = list(range(start, min(start + batch_size, batch.num_rows)))
+                sent = [i for i in rows if prompts[i] is not None]
+                seed = hashlib.md5(repr([ids[i] for i in rows]).encode()).hexdigest()
+                outs, err, tries = _retry(lambda sent=sent: fn([prompts[i] for i in sent], n), 1, 0.0, seed) if sent else ([], None, 0)
+                found = {i: replies(None, MISSING_PROMPT, 0) for i in rows if prompts[i] is None}
                 if outs is not None:
-                    for i, comps in zip(ids, outs):
-                        for j, c in enumerate(list(comps)[:n]):
-                            rows.append((i, j, c, None, tries))
+                    outs = list(outs) + [[]] * (len(sent) - len(outs))
+                    found |= {i: replies(o, None, tries) for i, o in zip(sent, outs, strict=False)}
                 else:
-                    for i, p in zip(ids, prompts):
-                        one, e1, t1 = _retry(lambda p=p: fn([p], n)[0], max_tries, backoff_base, f"{seed}{i}")
-                        if one is None:
-                            rows.append((i, 0, None, e1, t1))
-                        else:
-                            rows.extend((i, j, c, None, t1) for j, c in enumerate(list(one)[:n]))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[id_col, "sample_number", "completion", "error", "attempts"])
+                    for i in sent:
+                        one, e1, t1 = _retry(lambda i=i: fn([prompts[i]], n)[0], max_tries, backoff_base, f"{seed}{ids[i]}", before=1)
+                        found[i] = replies(one, e1 or (err if max_tries == 1 else None), t1)
+                out = [(i, *r) for i in rows for r in found[i]]
+                at = pa.array([o[0] for o in out], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(at) for c in carried], pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()),
+                     pa.array([o[3] for o in out], pa.string()), pa.array([o[4] for o in out], pa.int32())],
+                    [*carried, "sample_number", "completion", "error", "attempts"])
 
-    return df.select(id_col, prompt_col).mapInPandas(part, schema)
+    return df.select(*carried, F.col(prompt_col).cast("string").alias("_prompt")).mapInArrow(part, schema)
 
 
 def score_tokens(df: DataFrame, id_col: str, prompt_col: str, answer_col: str,
@@ -102,39 +117,43 @@ def score_tokens(df: DataFrame, id_col: str, prompt_col: str, answer_col: str,
     return df.select(id_col, prompt_col, answer_col).mapInPandas(part, schema)
 
 
-def run_programs(df: DataFrame, id_col: str, code_col: str,
-                 runner_factory: Callable[[], Callable[[str, float], str]], timeout: float = 5.0) -> DataFrame:
+def run_programs(df: DataFrame, code_col: str, runner_factory: Callable[[], Callable[[str, float], str]],
+                 timeout: float = 5.0) -> DataFrame:
     """U5 (execution part): the caller's runner executes each program with a
-    mandatory timeout (Q13) and returns its output; failures -> NULL output."""
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("program_output", T.StringType()),
-                           T.StructField("run_error", T.StringType())])
+    mandatory timeout (Q13) and returns its output; failures -> NULL output.
+    All columns travel with the row; rows without code are not run."""
+    schema = T.StructType([*df.schema.fields, T.StructField("program_output", T.StringType()), T.StructField("run_error", T.StringType())])
 
-    def part(it):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = runner_factory()
-        for pdf in it:
-            rows = []
-            for i, code in zip(pdf[id_col], pdf[code_col]):
+        for batch in batches:
+            outs, errs = [], []
+            for code in batch.column(code_col).to_pylist():
                 try:
-                    rows.append((i, None if code is None else run(code, timeout), None))
+                    outs.append(run(code, timeout) if code else None)
+                    errs.append(None)
                 except Exception as ex:  # noqa: BLE001
-                    rows.append((i, None, f"{type(ex).__name__}: {ex}"))
-            yield pd.DataFrame(rows, columns=[id_col, "program_output", "run_error"])
+                    outs.append(None)
+                    errs.append(f"{type(ex).__name__}: {ex}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(outs, pa.string()), pa.array(errs, pa.string())],
+                                             [*batch.schema.names, "program_output", "run_error"])
 
-    return df.select(id_col, code_col).mapInPandas(part, schema)
+    return df.mapInArrow(part, schema)
 
 
-def check_program(df: DataFrame, id_col: str, code_col: str, solution_col: str,
-                  runner_factory, timeout: float = 5.0, signed: bool = True) -> DataFrame:
-    """Run the program, take the first number of its output (A15) and
-    compare with the solution's tagged answer (A1) after rounding to 3 places
-    (M9). Runs only on rows that have code (filter before the Python step)."""
-    has_code = df.filter(F.col(code_col).isNotNull() & (F.col(code_col) != ""))
-    out = run_programs(has_code, id_col, code_col, runner_factory, timeout)
-    j = df.join(out, id_col, "left")
-    value = A.program_number(F.col("program_output"), signed=signed)
+def grade_output(df: DataFrame, output_col: str, solution_col: str, signed: bool = True) -> DataFrame:
+    """U5 on captured outputs (a column, e.g. of a joined table): the first
+    number of the output (A15) against the solution's tagged answer (A1),
+    rounded to 3 places (M9)."""
+    value = A.program_number(F.col(output_col), signed=signed)
     expected = A.tag_or_hash(F.col(solution_col))
-    return j.withColumn("is_correct", G.rounded(value, expected, 3))
+    return df.withColumn("is_correct", G.rounded(value, expected, 3))
+
+
+def check_program(df: DataFrame, code_col: str, solution_col: str, runner_factory, timeout: float = 5.0,
+                  signed: bool = True) -> DataFrame:
+    """Run the program of each row that has one, then grade its output."""
+    return grade_output(run_programs(df, code_col, runner_factory, timeout), "program_output", solution_col, signed)
 
 
 def rerank(df: DataFrame, keys: Sequence[str], text_col: str, reward_factory) -> DataFrame:
@@ -151,25 +170,47 @@ def rerank(df: DataFrame, keys: Sequence[str], text_col: str, reward_factory) ->
     return AG.ranked_list(scored, list(keys), "reward", text_col)
 
 
-def judge(df: DataFrame, id_col: str, prompt_col: str, fn_factory) -> DataFrame:
+def judge(df: DataFrame, id_col: str, prompt_col: str, fn_factory, keep: Sequence[str] = ()) -> DataFrame:
     """One verifier reply per row, then the verdict flag (T9) and the
-    [[A]]/[[B]] marker (T11)."""
-    g = generate(df, id_col, prompt_col, 1, fn_factory)
-    return g.select(id_col, "completion", TX.verification_passed("completion").alias("verified"),
+    [[A]]/[[B]] marker (T11). ``keep`` columns stay, so the verified and
+    rejected views (J9) are filters on the result."""
+    g = generate(df, id_col, prompt_col, 1, fn_factory, keep=keep)
+    return g.select(id_col, *[c for c in keep if c != id_col], "completion", TX.verification_passed("completion").alias("verified"),
                     TX.judge_verdict("completion").alias("verdict"))
 
 
 def repair_format(df: DataFrame, id_col: str, text_col: str, repair_prompt: Callable[[Column], Column],
                   fn_factory, rounds: int = 3) -> DataFrame:
     """U4: up to ``rounds`` checks; rows whose blocks do not parse are sent
-    back with a repair prompt, the rest pass through; bounded rounds."""
-    cur = df.withColumn("_ok", TX.extract_blocks(text_col)["format_ok"])
-    done = cur.filter("_ok")
-    todo = cur.filter(~F.col("_ok"))
+    back with a repair prompt, the rest pass through. A failed call keeps the
+    text as it was. Each round is checkpointed, so no call is made twice."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ok = TX.extract_blocks(text_col)["format_ok"]
+    cur = df.withColumn("format_ok", ok)
     for _ in range(rounds - 1):
-        fixed = generate(todo.withColumn("_p", repair_prompt(F.col(text_col))), id_col, "_p", 1, fn_factory)
-        todo = todo.drop(text_col).join(fixed.select(id_col, F.col("completion").alias(text_col)), id_col) \
-            .withColumn("_ok", TX.extract_blocks(text_col)["format_ok"])
-        done = done.unionByName(todo.filter("_ok"))
-        todo = todo.filter(~F.col("_ok"))
-    return done.unionByName(todo).withColumnRenamed("_ok", "format_ok")
+        todo = cur.filter(~F.col("format_ok")).withColumn("_p", repair_prompt(F.col(text_col)))
+        fixed = generate(todo, id_col, "_p", 1, fn_factory, keep=df.columns)
+        fixed = fixed.withColumn(text_col, F.coalesce("completion", text_col)).select(*df.columns).withColumn("format_ok", ok)
+        cur = cur.filter("format_ok").unionByName(fixed).checkpoint(eager=True)
+    return cur
+
+
+def text_to_program(df: DataFrame, id_col: str, prompt_col: str, solution_col: str, fn_factory, runner_factory,
+                    attempts: int = 3) -> DataFrame:
+    """Ask for a program up to ``attempts`` times, until one's output
+    equals the solution's answer. One row per input row: its columns, code (of
+    the first program that agrees, else of the last attempt), program_output,
+    is_correct and attempts. Each attempt asks only rows not solved yet and is
+    checkpointed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    names = ["code", "program_output", "is_correct", "attempts"]
+    todo, done = df, None
+    for attempt in range(1, attempts + 1):
+        gen = generate(todo, id_col, prompt_col, 1, fn_factory, keep=df.columns).drop("attempts")
+        gen = gen.withColumn("code", TX.code_block("completion"))
+        out = check_program(gen, "code", solution_col, runner_factory).withColumn("attempts", F.lit(attempt)) \
+            .select(*df.columns, *names).checkpoint(eager=True)
+        ready = out if attempt == attempts else out.filter("is_correct")
+        done = ready if done is None else done.unionByName(ready)
+        todo = out.filter("not is_correct").select(*df.columns)
+    return done

@@ -1,11 +1,12 @@
-"""Distributed positions and ranks (hard part H1).
+"""Distributed positions, ranks and exact quantiles (hard part H1).
 
 A window without ``partitionBy`` (or partitioned by a hot key) runs in one
-task. Instead the rows are range-partitioned on (group, order); every Spark
-partition computes a local running sum, a small table of per-(group,
-partition) totals gives each partition's offset, and a join adds it back.
-The totals table has at most (#groups + #partitions) rows and its window per
-group has at most #partitions rows, so no task ever sees a whole hot group.
+task. Instead rows fall into buckets of the order (group, order columns): the
+bucket edges are taken once from a bounded sample and become literals, so any
+recomputation of a task finds the same bucket. Every (group, bucket) computes
+a local running sum, a small table of per-(group, bucket) totals gives its
+offset, and a join adds it back. The totals have at most (#groups + #buckets)
+rows, and a hot group is spread over as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -15,51 +16,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+#: Rows sampled for the bucket edges, whatever the size of the input.
+SAMPLE_ROWS = 2_000
 
 
-def _n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _n_buckets(df: DataFrame) -> int:
+    return min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, name: str,
+def _bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> Column:
+    """Bucket number of a row: a binary search over literal edges."""
+    types = [df.schema[c].dataType for c in cols]
+    rows = df.select(*cols).orderBy(F.rand(7)).limit(SAMPLE_ROWS).orderBy(*cols).collect()
+    picks = sorted({len(rows) * i // buckets for i in range(1, buckets)}) if rows else []
+    edges = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(rows[i], types, cols, strict=True)]) for i in picks]
+    key = F.struct(*[F.col(c) for c in cols])
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < edges[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+    return search(0, len(edges))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                 weight: Column | None = None, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``weight`` (default 1) within ``keys`` in ``order``.
-    With weight 1 and ``inclusive`` this is row_number(); ``order`` should be
-    unique within a group for a deterministic result."""
-    keys = list(keys)
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    w_expr = F.lit(1).cast("bigint") if weight is None else weight
-    # The partition id is materialised once: the two branches below (local
-    # running sums, per-partition totals) must see the same range bounds,
-    # and a recomputed range shuffle would sample different bounds.
-    ensure_checkpoint_dir(df.sparkSession)
-    r = (df.repartitionByRange(_n_parts(df), *[F.col(k) for k in keys], *order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_w", w_expr)).checkpoint(eager=True)
-    w_local = Window.partitionBy(*keys, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    tot = r.groupBy(*keys, "_pid").agg(F.sum("_w").alias("_tot"))
-    r = r.withColumn("_loc", F.sum("_w").over(w_local))
-    w_off = (Window.partitionBy(*keys) if keys else Window).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w_off), F.lit(0))).drop("_tot")
-    tot = tot.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p2"), "_off")
-    cond = [r["_pid"] == tot["_p2"]] + [r[k].eqNullSafe(tot[f"_k_{i}"]) for i, k in enumerate(keys)]
-    out = r.join(tot, cond, "inner")
-    val = F.col("_off") + F.col("_loc")
+    """Running sum of ``weight`` (default 1) within ``keys`` in ascending
+    ``order`` (column names). With weight 1 and ``inclusive`` this is
+    row_number(); ``order`` should be unique within a group for a
+    deterministic result."""
+    keys, order = list(keys), list(order)
+    w = F.lit(1).cast("bigint") if weight is None else weight
+    r = df.withColumn("_b", _bucket(df, [*keys, *order], _n_buckets(df))).withColumn("_w", w)
+    totals = r.groupBy(*keys, "_b").agg(F.sum("_w").alias("_tot"))
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).drop("_tot")
+    totals = totals.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_b").alias("_b2"), "_off")
+    local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_loc", F.sum("_w").over(local))
+    on = [F.col("_b") == F.col("_b2"), *[F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]]
+    value = F.col("_off") + F.col("_loc")
     if not inclusive:
-        val = val - F.col("_w")
-    return out.withColumn(name, val).drop("_pid", "_w", "_loc", "_off", "_p2",
-                                          *[f"_k_{i}" for i in range(len(keys))])
+        value = value - F.col("_w")
+    return r.join(totals, on).withColumn(name, value) \
+        .drop("_b", "_b2", "_w", "_loc", "_off", *[f"_k_{i}" for i in range(len(keys))])
 
 
-def global_index(df: DataFrame, order: Sequence, name: str, start: int = 0) -> DataFrame:
+def global_index(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
     """Position of each row in ``order`` (unique), starting at ``start``."""
     out = running_sum(df, [], order, "_rn")
     return out.withColumn(name, F.col("_rn") - 1 + F.lit(start)).drop("_rn")
 
 
-def index_within_group(df: DataFrame, keys: Sequence[str], order: Sequence, name: str) -> DataFrame:
+def index_within_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """0-based position within each group."""
     out = running_sum(df, keys, order, "_rn")
     return out.withColumn(name, F.col("_rn") - 1).drop("_rn")
@@ -73,3 +83,28 @@ def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), count: s
     vc = df.groupBy(*group, value).agg(cnt.cast("bigint").alias("cnt"))
     cum = running_sum(vc, list(group), [value], "_cum", weight=F.col("cnt"))
     return cum.withColumn("avg_rank", F.col("_cum") - (F.col("cnt") - 1) / 2.0).drop("_cum")
+
+
+def quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group: keys, n, q_0, q_1, ...
+
+    Rows become counts per distinct value; the two ranks around each quantile are picked from their running sum by
+    conditional minima. No group's values are held in one buffer. Nulls are left out."""
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(counts, keys, ["_v"], "_cum", weight=F.col("_c"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    if keys:
+        on = [F.col(k).eqNullSafe(F.col(f"_n_{i}")) for i, k in enumerate(keys)]
+        cum = cum.join(sizes.select(*[F.col(k).alias(f"_n_{i}") for i, k in enumerate(keys)], "n"), on)
+    else:
+        cum = cum.crossJoin(F.broadcast(sizes))  # one row
+    aggs = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("n") - 1)
+        aggs += [F.min(F.when(F.col("_cum") > F.floor(at), F.col("_v"))).alias(f"_lo_{i}"),
+                 F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_v"))).alias(f"_hi_{i}")]
+    out = cum.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    return out.select(*keys, "n", *[(F.col(f"_lo_{i}") + (F.lit(float(q)) * (F.col("n") - 1) - F.floor(F.lit(float(q)) * (F.col("n") - 1)))
+                                     * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))).alias(f"q_{i}") for i, q in enumerate(qs)])

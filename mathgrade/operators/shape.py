@@ -48,9 +48,12 @@ def ensure_columns(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def default_column(df: DataFrame, name: str, default: Column) -> DataFrame:
-    """Keep ``name`` if present, else fill it with ``default``."""
-    return df if name in df.columns else df.withColumn(name, default)
+def default_column(df: DataFrame, name: str, default: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Keep ``name`` if present, else fill it with ``default``, or with the
+    row number by ``order`` (unique) when no default is given."""
+    if name in df.columns:
+        return df
+    return ranks.global_index(df, order, name) if default is None else df.withColumn(name, default)
 
 
 def add_row_id(df: DataFrame, order: Sequence[str], name: str = "original_id", start: int = 0) -> DataFrame:
@@ -65,7 +68,7 @@ def filter_in(df: DataFrame, col: str, values) -> DataFrame:
     """``isin`` for a literal list, ``left_semi`` join for a DataFrame of keys."""
     if isinstance(values, DataFrame):
         key = values.columns[0]
-        return df.join(values.select(F.col(key).alias(col)).distinct(), col, "left_semi")
+        return df.join(values.select(F.col(key).alias(col)), col, "left_semi")
     return df.filter(F.col(col).isin(list(values)))
 
 
@@ -77,7 +80,7 @@ def threshold_filter(df: DataFrame, col: str, threshold: float) -> DataFrame:
 def quantile_filter(df: DataFrame, col: str, q: float = 0.95) -> DataFrame:
     """Rows above the linearly interpolated quantile. The quantile is a
     one-row aggregate, broadcast to the scan (bounded: one row)."""
-    cut = df.agg(F.percentile(F.col(col), F.lit(q)).alias("_cut"))
+    cut = ranks.quantiles(df, col, [q]).select(F.col("q_0").alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).filter(F.col(col) > F.col("_cut")).drop("_cut")
 
 
@@ -168,6 +171,12 @@ def as_levels(parts: Mapping[int, DataFrame], name: str = "level") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def level_curves(levels: DataFrame, curves: DataFrame, level: str = "level") -> DataFrame:
+    """One-row-per-level curves (e.g. a reference model's pass rate) joined to levelled data; levels without a
+    curve keep NULLs."""
+    return levels.join(curves, level, "left")
+
+
 def keep_if_correct(flag, augmented, original) -> Column:
     """Augmented value when judged correct, else the original."""
     return F.when(F.coalesce(_col(flag), F.lit(False)), _col(augmented)).otherwise(_col(original))
@@ -213,9 +222,9 @@ def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def anti(df: DataFrame, done: DataFrame, on: str, as_string: bool = True) -> DataFrame:
     """Drop rows whose id is already done; ids compared as strings."""
     if as_string:
-        d = done.select(F.col(on).cast("string").alias("_k")).distinct()
+        d = done.select(F.col(on).cast("string").alias("_k"))
         return df.join(d, F.col(on).cast("string") == F.col("_k"), "left_anti")
-    return df.join(done.select(on).distinct(), on, "left_anti")
+    return df.join(done.select(on), on, "left_anti")
 
 
 def verdict_split(df: DataFrame, verdict: Column, name: str = "correctly_augmented"):

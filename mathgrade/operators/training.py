@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
-from ..functions.answers import last_line_number
+from ..functions.answers import last_line_number, once
 from ..functions.text import messages, strip
 
 MASK = -100
 PAD_ID = 0
+#: Tokens of a training example; longer ones are truncated, as the trainer's input has a fixed width.
+MAX_LENGTH = 1024
 
 
 def _col(c) -> Column:
@@ -77,9 +79,11 @@ def hash32(c) -> Column:
     return F.conv(F.substring(F.md5(_col(c).cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
-def pad_truncate(ids, max_length: int, pad_id: int = PAD_ID) -> Column:
+def pad_truncate(ids, max_length: int | None = MAX_LENGTH, pad_id: int = PAD_ID) -> Column:
     """D3: truncate to max_length and right-pad; returns struct(input_ids,
-    attention_mask)."""
+    attention_mask). Without a length nothing is cut or padded."""
+    if max_length is None:
+        return F.struct(_col(ids).alias("input_ids"), F.transform(_col(ids), lambda _: F.lit(1)).alias("attention_mask"))
     a = F.slice(_col(ids), 1, max_length)
     n = F.size(a)
     pad = F.array_repeat(F.lit(pad_id), F.lit(max_length) - n)
@@ -105,12 +109,15 @@ def pandas_tokenizer(make_tokenizer: Callable[[], Callable[[str], list[int]]]):
 # --------------------------------------------------------------------------
 
 def _mask_before(ids: Column, attention: Column | None, cut: Column, compat: bool) -> Column:
-    def lab(x, i):
-        masked = i < cut
-        if attention is not None and not compat:
-            masked = masked | (F.element_at(attention, i + 1) == 0)
-        return F.when(masked, F.lit(MASK)).otherwise(x)
-    return F.transform(ids, lab)
+    """The cut is evaluated once per row, not per position."""
+    def labels(limit):
+        def lab(x, i):
+            masked = i < limit
+            if attention is not None and not compat:
+                masked = masked | (F.element_at(attention, i + 1) == 0)
+            return F.when(masked, F.lit(MASK)).otherwise(x)
+        return F.transform(ids, lab)
+    return once(cut, labels)
 
 
 def mask_third_marker(ids, attention=None, marker_id: int = 1, compat: bool = False) -> Column:

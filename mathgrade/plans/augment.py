@@ -1,5 +1,5 @@
 """End-to-end plans built from the operators: evaluate with k attempts
-and the level-by-level augmentation chain (U9/U6/U12)."""
+and the level-by-level augmentation chain (U9)."""
 
 from __future__ import annotations
 
@@ -16,15 +16,18 @@ from ..session import ensure_checkpoint_dir
 
 
 def evaluate(df: DataFrame, id_col: str, prompt_col: str, expected_col: str, k: int, solver_factory,
-             levels=None) -> DataFrame:
+             levels=None, metadata=()) -> DataFrame:
     """Filter levels -> k completions -> six-way extraction -> relative
-    grading -> per-question pass / counts (M2/M3) with the group size (G16)."""
+    grading -> per-question pass / counts (M2/M3); ``metadata`` columns (J12)
+    are carried along.
+
+    Exactly k attempts count per question: failed and missing replies are wrong attempts."""
     if levels is not None:
         df = df.filter(F.col("level").isin(list(levels)))
-    gen = INF.generate(df, id_col, prompt_col, k, solver_factory)
-    g = gen.join(df.select(id_col, expected_col), id_col)
-    g = g.withColumn("pred", A.six_way("completion")).withColumn("correct", G.relative("pred", expected_col))
-    return M.pass_any(g, keys=(id_col,))
+    carry = [c for c in metadata if c != id_col]
+    gen = INF.generate(df, id_col, prompt_col, k, solver_factory, keep=[expected_col, *carry])
+    g = gen.withColumn("pred", A.six_way("completion")).withColumn("correct", G.relative("pred", expected_col))
+    return M.pass_any(g, keys=(id_col,), carry=tuple(carry))
 
 
 def augment_chain(spark: SparkSession, sources: DataFrame, id_col: str, text_col: str, levels: int,
@@ -35,25 +38,23 @@ def augment_chain(spark: SparkSession, sources: DataFrame, id_col: str, text_col
     the program checked (U5), novelty by failure of a solver (M12, run only
     for correct candidates), verdict (T24) and the best accepted candidate per
     source (G18) feeds the next level. A source with no accepted candidate
-    stops. Each level is checkpointed to the shared checkpoint folder, so
-    lineage stays short and a lost executor never replays model calls of
-    earlier levels. Returns (best per source and level, all candidates)."""
+    stops. Model calls are checkpointed to the shared checkpoint folder right
+    away, so each is made once per level, what was checked is what is kept, and
+    a lost executor never replays calls of earlier levels. Returns (best per source and level, all candidates)."""
     ensure_checkpoint_dir(spark)
     cur = sources.select(F.col(id_col).alias("source_idx"), F.col(text_col).alias("current"))
     best_all, all_all = [], []
     for level in range(1, levels + 1):
-        gen = INF.generate(cur, "source_idx", "current", samples, augmenter_factory)
+        gen = INF.generate(cur, "source_idx", "current", samples, augmenter_factory).checkpoint(eager=True)
         c = gen.withColumn("cand_no", F.col("sample_number")).withColumn("level", F.lit(level))
         blocks = TX.extract_blocks(TX.dedup_answer_tags(F.col("completion")))
         c = c.withColumn("b", blocks).select("source_idx", "level", "cand_no", "completion", "b.*")
         c = c.withColumn("cand_id", F.concat_ws(":", F.col("source_idx").cast("string"), F.lit(str(level)),
                                                 F.col("cand_no").cast("string")))
-        checked = INF.check_program(c, "cand_id", "code", "solution", runner_factory)
-        ok = checked.filter("is_correct")
-        solver_in = ok.select("cand_id", F.col("task").alias("prompt"))
-        answers = INF.generate(solver_in, "cand_id", "prompt", novelty_samples, solver_factory)
-        exp = ok.select("cand_id", A.tag_or_hash("solution").alias("expected"))
-        graded = answers.join(exp, "cand_id").withColumn("correct", G.any_number("completion", "expected"))
+        checked = INF.check_program(c, "code", "solution", runner_factory).checkpoint(eager=True)
+        ok = checked.filter("is_correct").select("cand_id", F.col("task").alias("prompt"), A.tag_or_hash("solution").alias("expected"))
+        answers = INF.generate(ok, "cand_id", "prompt", novelty_samples, solver_factory, keep=["expected"])
+        graded = answers.withColumn("correct", G.any_number("completion", "expected"))
         nov = M.novelty_by_failure(graded, novelty_samples, keys=("cand_id",))
         scored = checked.join(nov, "cand_id", "left")
         scored = scored.withColumn("reason", TX.candidate_reason("is_correct", "novelty", min_novelty=min_novelty))

@@ -65,23 +65,27 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_samples(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Sampled completions; ``extra`` columns of the line travel along."""
     li = table(spark, sf_dir, "lineitem")
     v = sample_value(F.col("l_quantity"))
     return li.select(
         F.col("l_orderkey").alias("question_id"),
         F.col("l_linenumber").alias("sample_number"),
         completion_text(F.col("l_linenumber"), v, F.col("l_discount")).alias("completion"),
+        *extra,
     )
 
 
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, level, expected_answer."""
+    return questions(spark, sf_dir).select("question_id", "level", "expected_answer")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form sample table: question_id, sample_number, level,
-    expected_answer, completion. Equi-join on the question key; both sides
-    are hash-partitioned on it, and later per-question aggregates reuse that
-    partitioning."""
-    q = questions(spark, sf_dir).select("question_id", "level", "expected_answer")
-    return raw_samples(spark, sf_dir).join(q, "question_id")
+    """Long-form sample table with texts: question_id, sample_number, level,
+    expected_answer, completion."""
+    return raw_samples(spark, sf_dir).join(references(spark, sf_dir), "question_id")
 
 
 def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,28 @@ def grade_samples(samples: DataFrame, profile: str = "six_way", text: str = "com
     return out.withColumn("correct", ok)
 
 
-def pass_at_k_by_level(samples: DataFrame, ks=(1, 5)) -> DataFrame:
-    """Flagship: samples -> six-way extraction -> relative grading ->
-    unbiased pass@k per question -> mean per level."""
-    graded = grade_samples(samples)
-    pq = metrics.pass_at_k(graded, ks=ks, keys=("question_id",), carry=("level",))
+def extracted(samples: DataFrame, profile: str = "six_way", text: str = "completion") -> DataFrame:
+    """Replace the text by its extracted number ``pred``: done before any join, so texts are never shuffled."""
+    return samples.withColumn("pred", answers.extract_answer(F.col(text), profile)).drop(text)
+
+
+def answer_counts(samples: DataFrame, profile: str = "six_way", text: str = "completion", key: str = "question_id") -> DataFrame:
+    """One row per (question, extracted answer): ``cnt`` samples, the first sample's number. Aggregated map-side, so
+    a question with a third of all samples shrinks to its distinct answers before the shuffle."""
+    return extracted(samples, profile, text).groupBy(key, "pred") \
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("sample_number").alias("sample_number"))
+
+
+def grade_counts(counts: DataFrame, questions: DataFrame, key: str = "question_id", expected: str = "expected_answer") -> DataFrame:
+    """Answer counts joined to their questions and graded."""
+    return counts.join(questions, key).withColumn("correct", grading.relative("pred", expected))
+
+
+def pass_at_k_by_level(samples: DataFrame, questions: DataFrame, ks=(1, 5)) -> DataFrame:
+    """Flagship: samples -> six-way extraction -> counts per answer -> relative
+    grading -> unbiased pass@k per question -> mean per level."""
+    graded = grade_counts(answer_counts(samples), questions)
+    pq = metrics.pass_at_k(graded, ks=ks, keys=("question_id",), carry=("level",), weight="cnt")
     return pq.groupBy("level").agg(
         F.count(F.lit(1)).alias("n_questions"),
         F.sum("n").alias("n_samples"),

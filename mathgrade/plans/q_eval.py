@@ -27,7 +27,12 @@ FROM pq GROUP BY level"""
 
 @register("m01_pass_at_k_by_level", FLAGSHIP_SQL)
 def m01_pass_at_k_by_level(spark, sf_dir):
-    return rounded(ev.pass_at_k_by_level(dt.samples(spark, sf_dir), ks=(1, 5)))
+    return rounded(ev.pass_at_k_by_level(dt.raw_samples(spark, sf_dir), dt.references(spark, sf_dir), ks=(1, 5)))
+
+
+def _counts(spark, sf_dir):
+    """Graded answer counts: one row per (question, extracted answer)."""
+    return ev.grade_counts(ev.answer_counts(dt.raw_samples(spark, sf_dir)), dt.references(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------
@@ -159,7 +164,7 @@ FROM graded GROUP BY question_id"""
 @register("m02_pass_any", PASS_ANY_SQL)
 def m02_pass_any(spark, sf_dir):
     """M2/M3 per question."""
-    return rounded(M.pass_any(ev.grade_samples(dt.samples(spark, sf_dir))))
+    return rounded(M.pass_any(_counts(spark, sf_dir), weight="cnt"))
 
 
 PQ_SQL = f"""WITH {GRADED}
@@ -173,7 +178,7 @@ FROM graded GROUP BY question_id"""
 @register("m01b_pass_at_k_per_question", PQ_SQL)
 def m01b_pass_at_k_per_question(spark, sf_dir):
     """M1 per question for k = 1, 3, 10 (k > n uses k' = n)."""
-    return rounded(M.pass_at_k(ev.grade_samples(dt.samples(spark, sf_dir)), ks=(1, 3, 10)))
+    return rounded(M.pass_at_k(_counts(spark, sf_dir), ks=(1, 3, 10), weight="cnt"))
 
 
 DIVERSITY_SQL = f"""{_pred_sql()},
@@ -186,7 +191,7 @@ FROM g GROUP BY question_id"""
 @register("m04_correct_fraction_diversity", DIVERSITY_SQL)
 def m04_correct_fraction_diversity(spark, sf_dir):
     """Mean correctness and distinct extracted answers per question."""
-    return rounded(M.correct_fraction_and_diversity(ev.grade_samples(dt.samples(spark, sf_dir)), "pred"))
+    return rounded(M.correct_fraction_and_diversity(_counts(spark, sf_dir), "pred", weight="cnt"))
 
 
 SELECT_SQL = f"""{_pred_sql()},
@@ -194,14 +199,14 @@ g AS (SELECT *, {S.relative_sql('pred', 'expected_answer')} AS correct FROM p)
 SELECT question_id,
   coalesce(min(sample_number) FILTER (WHERE correct), min(sample_number)) AS chosen_sample,
   min(sample_number) FILTER (WHERE correct) IS NOT NULL AS is_correct_present,
-  round(arg_min(pred, sample_number) FILTER (WHERE correct), 6) AS correct_answer
+  round(arg_min(pred, struct_pack(s := sample_number, p := pred)) FILTER (WHERE correct), 6) AS correct_answer
 FROM g GROUP BY question_id"""
 
 
 @register("m11_select_sample", SELECT_SQL)
 def m11_select_sample(spark, sf_dir):
     """First correct sample else the first; the correct answer."""
-    return rounded(M.select_sample(ev.grade_samples(dt.samples(spark, sf_dir)), answer="pred"))
+    return rounded(M.select_sample(_counts(spark, sf_dir), answer="pred"))
 
 
 NOVELTY_SQL = f"""WITH {GRADED}
@@ -212,7 +217,7 @@ FROM graded GROUP BY question_id"""
 @register("m12_novelty_by_failure", NOVELTY_SQL)
 def m12_novelty_by_failure(spark, sf_dir):
     """1 - correct / 8 with the denominator fixed at the sample size."""
-    return rounded(M.novelty_by_failure(ev.grade_samples(dt.samples(spark, sf_dir)), sample_size=8))
+    return rounded(M.novelty_by_failure(_counts(spark, sf_dir), sample_size=8, weight="cnt"))
 
 
 VOTING_SQL = f"""{_pred_sql()},
@@ -228,8 +233,7 @@ FROM c JOIN t USING (question_id) GROUP BY question_id, t.k, t.total"""
 def m21_voting_entropy(spark, sf_dir):
     """Entropy of the extracted answers per question (NULL answer
     counts as its own value)."""
-    g = ev.grade_samples(dt.samples(spark, sf_dir)).select("question_id", F.col("pred").cast("string").alias("answer"))
-    return rounded(M.voting_entropy(g))
+    return rounded(M.voting_entropy_of_counts(ev.answer_counts(dt.raw_samples(spark, sf_dir))))
 
 
 EXPECTED_SQL = f"""WITH {GRADED},
@@ -245,7 +249,7 @@ FROM x GROUP BY level, n_augmented"""
 @register("m25_expected_pass_with_n", EXPECTED_SQL)
 def m25_expected_pass_with_n(spark, sf_dir):
     """Expected pass@1 with n answers per level (closed form)."""
-    pq = M.per_question(ev.grade_samples(dt.samples(spark, sf_dir)), keys=("question_id",), carry=("level",))
+    pq = M.per_question(_counts(spark, sf_dir), carry=("level",), weight="cnt")
     out = M.expected_pass_with_n(pq, [1, 2, 3, 5], group=("level",))
     return rounded(out.withColumn("n_augmented", F.col("n_augmented").cast("int")))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import grading as G
 from ..functions import text as TX
 from ..operators import aggregate as AG
 from ..operators import metrics as M
@@ -18,8 +19,11 @@ from .registry import register, rounded
 GRADED_Q = f"WITH {S.GRADED}"
 
 
-def _graded(spark, sf_dir):
-    return ev.grade_samples(dt.samples(spark, sf_dir))
+def _graded(spark, sf_dir, *keep):
+    """Graded samples; the number is extracted below the join and the text dropped unless it is kept."""
+    raw = dt.raw_samples(spark, sf_dir).withColumn("pred", A.six_way("completion")).withColumn("n_chars", F.length("completion"))
+    return raw.select("question_id", "sample_number", "pred", *keep).join(dt.references(spark, sf_dir), "question_id") \
+        .withColumn("correct", G.relative("pred", "expected_answer"))
 
 
 def _pq_sql():
@@ -29,7 +33,8 @@ pq AS (SELECT question_id, level, count(*) AS attempts, CAST(sum(CAST(correct AS
 
 
 def _pq(spark, sf_dir):
-    return M.pass_any(_graded(spark, sf_dir), keys=("question_id",), carry=("level",)).select(
+    counts = ev.grade_counts(ev.answer_counts(dt.raw_samples(spark, sf_dir)), dt.references(spark, sf_dir))
+    return M.pass_any(counts, carry=("level",), weight="cnt").select(
         "question_id", "level", "attempts", "correct_count", "passed")
 
 
@@ -191,7 +196,7 @@ FROM graded GROUP BY question_id"""
 
 
 def _eval_rows(spark, sf_dir):
-    g = _graded(spark, sf_dir).withColumn("pred", F.round("pred", 6))
+    g = _graded(spark, sf_dir, "completion").withColumn("pred", F.round("pred", 6))
     return SH.collect_samples(g.withColumn("_o", F.struct("sample_number", "completion")), ["question_id"], "_o",
                               ["pred", "correct"]).withColumnsRenamed({"pred": "predictions", "correct": "correct_predictions"})
 
@@ -245,7 +250,7 @@ FROM graded"""
 @register("p23_keep_if_correct", P23_SQL)
 def p23_keep_if_correct(spark, sf_dir):
     """The augmented text when judged correct, else the original."""
-    g = _graded(spark, sf_dir)
+    g = _graded(spark, sf_dir, "completion")
     orig = F.concat(F.lit("reference: "), F.col("expected_answer").cast("string"))
     return g.select("question_id", "sample_number", "completion", SH.keep_if_correct("correct", "completion", orig).alias("kept"))
 
@@ -282,18 +287,30 @@ def j02_left_join(spark, sf_dir):
 
 J03_SQL = f"""{_pq_sql()},
 a AS (SELECT level, count(*) AS n_all FROM pq GROUP BY level),
-b AS (SELECT level, count(*) AS n_passed FROM pq WHERE passed AND level <> 5 GROUP BY level)
-SELECT coalesce(a.level, b.level) AS level, CAST(coalesce(n_all, 0) AS INTEGER) AS n_all, CAST(coalesce(n_passed, 0) AS INTEGER) AS n_passed
-FROM a FULL OUTER JOIN b USING (level)"""
+b AS (SELECT level, count(*) AS n_passed FROM pq WHERE passed GROUP BY level),
+p AS (SELECT coalesce(a.level, b.level) AS level, CAST(coalesce(n_all, 0) AS INTEGER) AS n_all, CAST(coalesce(n_passed, 0) AS INTEGER) AS n_passed
+FROM a FULL OUTER JOIN b USING (level)),
+s AS (SELECT s_nationkey AS k, CAST(count(*) AS INTEGER) AS n_all FROM supplier WHERE s_acctbal < 0 GROUP BY 1),
+c AS (SELECT c_nationkey AS k, CAST(count(*) AS INTEGER) AS n_passed FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+SELECT 'level' AS part, CAST(level AS BIGINT) AS key, n_all, n_passed FROM p
+UNION ALL
+SELECT 'nation', CAST(coalesce(s.k, c.k) AS BIGINT), coalesce(n_all, 0), coalesce(n_passed, 0) FROM s FULL OUTER JOIN c ON s.k = c.k"""
 
 
 @register("j03_outer_align", J03_SQL)
 def j03_outer_align(spark, sf_dir):
-    """Two grouped counts aligned on level, missing -> 0."""
+    """Two grouped counts aligned on their key, missing -> 0: all and
+    passed questions by level, and two counts by nation that lack different
+    nations."""
     pq = _pq(spark, sf_dir)
     a = pq.groupBy("level").agg(F.count(F.lit(1)).alias("n_all"))
-    b = pq.filter(F.col("passed") & (F.col("level") != 5)).groupBy("level").agg(F.count(F.lit(1)).alias("n_passed"))
-    return SH.outer_align(a, b, "level", "n_all", "n_passed")
+    b = pq.filter("passed").groupBy("level").agg(F.count(F.lit(1)).alias("n_passed"))
+    s = dt.table(spark, sf_dir, "supplier").filter("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("key")).agg(F.count(F.lit(1)).alias("n_all"))
+    c = dt.table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("key")).agg(F.count(F.lit(1)).alias("n_passed"))
+    parts = {"level": SH.outer_align(a, b, "level", "n_all", "n_passed").withColumnRenamed("level", "key"),
+             "nation": SH.outer_align(s, c, "key", "n_all", "n_passed")}
+    return SH.union_all([SH.tag(d.withColumn("key", F.col("key").cast("bigint")), part=p) for p, d in parts.items()]) \
+        .select("part", "key", "n_all", "n_passed")
 
 
 J06_SQL = """SELECT p_partkey AS id FROM part INTERSECT SELECT s_suppkey FROM supplier INTERSECT SELECT c_custkey FROM customer"""
@@ -454,9 +471,8 @@ FROM rows GROUP BY level"""
 @register("g05_incorrect_rate", G05_SQL)
 def g05_incorrect_rate(spark, sf_dir):
     """1 - mean share of correct flags per row, by level."""
-    g = _graded(spark, sf_dir)
-    rows = g.groupBy("question_id", "level").agg(F.collect_list("correct").alias("flags"))
-    return rounded(AG.incorrect_rate(rows, ["level"], "flags"))
+    pq = _pq(spark, sf_dir)
+    return rounded(AG.incorrect_rate(pq, ["level"], n="attempts", c="correct_count"))
 
 
 G06_SQL = """SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
@@ -468,33 +484,33 @@ def g06_value_counts(spark, sf_dir):
     return AG.value_counts(dt.table(spark, sf_dir, "events"), "event_type")
 
 
-G07_SQL = """WITH c AS (SELECT CAST(date_part('day', ts) AS INTEGER) AS day,
-    count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error,
-    count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY 1)
-SELECT day, click, error, purchase, round(click / (click + error + purchase), 6) AS share_click,
-  round(error / (click + error + purchase), 6) AS share_error, round(purchase / (click + error + purchase), 6) AS share_purchase
-FROM c"""
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+_N_TYPES = ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES)
+_SHARES = ", ".join(f"round({t} / ({' + '.join(EVENT_TYPES)}), 6) AS share_{t}" for t in EVENT_TYPES)
+G07_SQL = f"""WITH c AS (SELECT CAST(date_part('day', ts) AS INTEGER) AS day, {_N_TYPES} FROM events GROUP BY 1)
+SELECT day, {', '.join(EVENT_TYPES)}, {_SHARES} FROM c"""
 
 
 @register("g07_crosstab_shares", G07_SQL)
 def g07_crosstab_shares(spark, sf_dir):
     """Round x reason counts and row shares (day x event type here)."""
     e = dt.table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))
-    e = e.filter(F.col("event_type").isin("click", "error", "purchase"))
-    return rounded(AG.crosstab_shares(e, "day", "event_type", ["click", "error", "purchase"]))
+    return rounded(AG.crosstab_shares(e, "day", "event_type", EVENT_TYPES))
 
 
 G10_SQL = """SELECT o_orderstatus AS dataset, count(*) AS rows, count(DISTINCT o_orderpriority) AS levels,
-  format('{:.2f}', avg(CAST(o_totalprice > 150000 AS INTEGER))) AS mean_pass, 'N/A' AS mean_novelty
+  format('{:.2f}', avg(CAST(o_totalprice > 150000 AS INTEGER))) AS mean_pass,
+  coalesce(format('{:.3f}', avg(CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 8) / 8 END)), 'N/A') AS mean_novelty
 FROM orders GROUP BY o_orderstatus"""
 
 
 @register("g10_dataset_summary", G10_SQL)
 def g10_dataset_summary(spark, sf_dir):
-    """Rows, distinct levels, formatted mean pass, 'N/A' novelty."""
+    """Rows, distinct levels, formatted mean pass, mean novelty or 'N/A'."""
     o = dt.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("level"),
-        (F.col("o_totalprice") > 150000).cast("int").alias("pass_at_k"), F.lit(None).cast("double").alias("novelty"))
+        (F.col("o_totalprice") > 150000).cast("int").alias("pass_at_k"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 8 / 8).alias("novelty"))
     return AG.dataset_summary(o)
 
 
@@ -546,8 +562,8 @@ UNION ALL SELECT NULL, level, error_type, count(*) FROM e GROUP BY level, error_
 @register("g14_error_counts_two_ways", G14_SQL)
 def g14_error_counts_two_ways(spark, sf_dir):
     """Error-type counts by dataset and by level in one grouping-sets pass."""
-    g = _graded(spark, sf_dir).filter(~F.col("correct"))
-    et = F.when(F.col("pred").isNull(), "No answer").when(F.length("completion") < 30, "Incomplete").otherwise("Other")
+    g = _graded(spark, sf_dir, "n_chars").filter(~F.col("correct"))
+    et = F.when(F.col("pred").isNull(), "No answer").when(F.col("n_chars") < 30, "Incomplete").otherwise("Other")
     e = g.select(F.col("level").cast("string").alias("level"),
                  F.when(F.col("question_id") % 2 == 0, "even").otherwise("odd").alias("dataset"), et.alias("error_type"))
     return AG.counts_two_ways(e, "dataset", "level", "error_type")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import grading as G
 from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import training as D
@@ -86,7 +87,7 @@ def t05_dedup_answer_tags(spark, sf_dir):
 
 
 T07_SQL = f"""WITH {S.QUESTIONS}
-SELECT question_id, regexp_replace(answer, '####\\s*([0-9\\.,\\-]+)', '\\\\boxed{{\\1}}', 'g') AS answer_boxed
+SELECT question_id, regexp_replace(answer, '####\\s*(\\d+)', '\\\\boxed{{\\1}}', 'g') AS answer_boxed
 FROM questions"""
 
 
@@ -199,8 +200,7 @@ FROM documents"""
 def t15_text_features(spark, sf_dir):
     """T15-T19, T21-T23 over whole documents."""
     d = dt.table(spark, sf_dir, "documents")
-    wc = F.size(F.filter(F.split("text", WS), lambda x: x != ""))
-    return d.select("doc_id", wc.cast("bigint").alias("word_count"),
+    return d.select("doc_id", TX.word_count("text").cast("bigint").alias("word_count"),
                     TX.operator_count("text").cast("bigint").alias("operator_count"),
                     TX.char_length("text").cast("bigint").alias("char_length"),
                     TX.step_count_v1("text").cast("bigint").alias("step_count_v1"),
@@ -209,39 +209,42 @@ def t15_text_features(spark, sf_dir):
                     TX.error_category_v1("text").alias("error_v1"), TX.error_category_v2("text").alias("error_v2"))
 
 
-T20_SQL = f"""SELECT conv_id, round(avg({_steps_sql('text')}), 6) AS mean_steps_v1
-FROM conversations WHERE role = 'assistant' GROUP BY conv_id"""
+def _mean_steps_sql(single):
+    return f"list_avg(list_transform(string_split(text, chr(10)), lambda x: {_steps_sql('x', single)}))"
+
+
+T20_SQL = f"""SELECT doc_id, round({_mean_steps_sql(False)}, 6) AS mean_steps_v1, round({_mean_steps_sql(True)}, 6) AS mean_steps_v2
+FROM documents"""
 
 
 @register("t20_mean_steps", T20_SQL)
 def t20_mean_steps(spark, sf_dir):
-    """Mean step count over each conversation's answers (list form)."""
-    c = dt.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    g = c.groupBy("conv_id").agg(F.collect_list("text").alias("answers"))
-    return rounded(g.select("conv_id", TX.mean_steps("answers", 1).alias("mean_steps_v1")))
+    """Mean step count over a list of answers (the lines of each
+    document), both versions."""
+    d = dt.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("answers"))
+    return rounded(d.select("doc_id", TX.mean_steps("answers", 1).alias("mean_steps_v1"), TX.mean_steps("answers", 2).alias("mean_steps_v2")))
 
 
-T24_SQL = f"""WITH {S.GRADED}
+T24_SQL = f"""WITH {S.QUESTIONS}, {S.RAW_SAMPLES.replace('AS completion', 'AS completion, l_tax, l_discount')},
+p AS (SELECT question_id, sample_number, l_tax, l_discount, {S.six_way_sql('completion')} AS pred FROM raw_samples),
+g AS (SELECT *, {S.relative_sql('pred', 'expected_answer')} AS correct FROM p JOIN questions USING (question_id))
 SELECT question_id, sample_number,
   CASE WHEN (l_tax * 100) < 3 THEN 'too_few_steps'
        WHEN NOT correct THEN 'incorrect_code'
        WHEN abs(l_discount * 10) < 0.3 THEN 'too_low_novelty'
        WHEN abs(l_tax * 10) < 0.2 THEN 'too_low_difficulty'
        ELSE 'accepted' END AS reason
-FROM graded JOIN lineitem ON l_orderkey = question_id AND l_linenumber = sample_number"""
+FROM g"""
 
 
 @register("t24_candidate_reason", T24_SQL)
 def t24_candidate_reason(spark, sf_dir):
     """Verdict chain with step, novelty and difficulty thresholds."""
     from . import evaluate as ev
-    g = ev.grade_samples(dt.samples(spark, sf_dir))
-    li = dt.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"),
-                                                    F.col("l_linenumber").alias("sample_number"), "l_tax", "l_discount")
-    j = g.join(li, ["question_id", "sample_number"])
-    reason = TX.candidate_reason("correct", F.col("l_discount") * 10, F.col("l_tax") * 10, 0.3, 0.2,
+    g = ev.extracted(dt.raw_samples(spark, sf_dir, "l_tax", "l_discount")).join(dt.references(spark, sf_dir), "question_id")
+    reason = TX.candidate_reason(G.relative("pred", "expected_answer"), F.col("l_discount") * 10, F.col("l_tax") * 10, 0.3, 0.2,
                                  step_count=F.col("l_tax") * 100, step_target=2)
-    return j.select("question_id", "sample_number", reason.alias("reason"))
+    return g.select("question_id", "sample_number", reason.alias("reason"))
 
 
 # --------------------------------------------------------------------------
@@ -297,9 +300,9 @@ def _ids_sql(t):
 
 D03_SQL = f"""WITH c AS ({CHATML_SQL}),
 t AS (SELECT conv_id, chat_text, {_ids_sql('chat_text')} AS ids FROM c),
-p AS (SELECT conv_id, chat_text, ids[1:64] AS kept, len(ids[1:64]) AS n FROM t),
-m AS (SELECT conv_id, chat_text, kept || list_transform(range(64 - n), lambda x: 0) AS input_ids,
-        list_transform(range(n), lambda x: 1) || list_transform(range(64 - n), lambda x: 0) AS attention_mask, n,
+p AS (SELECT conv_id, chat_text, ids[1:1024] AS kept, len(ids[1:1024]) AS n FROM t),
+m AS (SELECT conv_id, chat_text, kept || list_transform(range(1024 - n), lambda x: 0) AS input_ids,
+        list_transform(range(n), lambda x: 1) || list_transform(range(1024 - n), lambda x: 0) AS attention_mask, n,
         len({_pieces_sql("string_split(chat_text, '<|im_start|>assistant')[1]")}) AS n_prefix
       FROM p),
 k AS (SELECT *, coalesce(list_filter(list_transform(input_ids, lambda x, i: CASE WHEN x = 1 THEN i - 1 END), lambda v: v IS NOT NULL)[3], 0) + 1 AS cut4,
@@ -313,11 +316,11 @@ FROM k"""
 
 @register("d03_tokenise_and_mask", D03_SQL)
 def d03_tokenise_and_mask(spark, sf_dir):
-    """Native tokens, truncate/pad to 64, three label-mask variants
+    """Native tokens, truncate/pad to D.MAX_LENGTH (1,024), three label-mask variants
     (padding masked too)."""
     c = _chat_text(spark, sf_dir)
     ids = D.piece_ids(D.whitespace_pieces("chat_text"))
-    x = c.withColumn("enc", D.pad_truncate(ids, 64)).select(
+    x = c.withColumn("enc", D.pad_truncate(ids)).select(
         "conv_id", "chat_text", "enc.input_ids", "enc.attention_mask")
     return x.select(
         "conv_id", "input_ids", "attention_mask",

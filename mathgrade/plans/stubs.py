@@ -25,7 +25,7 @@ def augmenter_factory():
             for j in range(n):
                 ans = base + j + 1
                 printed = ans if j % 3 else ans + 1
-                cands.append(f"<task>Harder {j}: {p[:40]}</task>\n<solution>Step 1. Add.\n"
+                cands.append(f"<task>Harder {j}: {p}</task>\n<solution>Step 1. Add.\n"
                              f"<answer>{ans}</answer></solution>\n<code>\n```python\nprint({printed})\n```\n</code>")
             out.append(cands)
         return out

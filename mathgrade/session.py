@@ -46,11 +46,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    fall back to a fresh scratch folder, in local mode alone: executors on
+    other machines could not read it."""
     d = checkpoint_dir(spark)
     if d is not None and spark.sparkContext.getCheckpointDir():
         return d
     if d is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="mathgrade-ckpt-", dir=os.environ.get("MATHGRADE_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d

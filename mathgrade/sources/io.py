@@ -5,7 +5,7 @@ columns, a named catalog of problem sets, and CSV/JSON sinks."""
 from __future__ import annotations
 
 import ast
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 import pandas as pd
@@ -35,7 +35,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -46,7 +46,7 @@ def load_many(spark: SparkSession, paths: Mapping[str, str], reader, name: str =
     missing files are reported and skipped."""
     parts = []
     for ds, p in paths.items():
-        if not _exists(spark, p):
+        if not exists(spark, p):
             print(f"skipping missing input {p}")
             continue
         parts.append(reader(spark, p).withColumn(name, F.lit(ds)))
@@ -107,10 +107,5 @@ def write_json(df: DataFrame, path: str, gzip: bool = False, mode: str = "overwr
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key (compared as text) is not yet in the results."""
-    d = done.select(F.col(key).cast("string").alias("_k")).distinct()
+    d = done.select(F.col(key).cast("string").alias("_k"))
     return todo.join(d, F.col(key).cast("string") == F.col("_k"), "left_anti")
-
-
-def columns_by_position(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """S2 helper: rename columns by position."""
-    return df.toDF(*names)

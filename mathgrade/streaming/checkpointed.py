@@ -1,7 +1,7 @@
 """Periodic, resumable result writing.
 
-``write_in_steps`` tags finished rows with a step (every ``every_n`` rows in
-key order) and appends them as partitions of one results table, so a rerun
+``write_in_steps`` tags finished rows with a step (about ``every_n`` rows
+each, by a hash of the key) and appends them as partitions of one results table, so a rerun
 only adds what is missing. ``stream_new_results`` is the streaming form: a
 file-source stream with ``trigger(availableNow=True)`` and a checkpoint
 location picks up exactly the input files not processed yet, and each
@@ -9,26 +9,31 @@ micro-batch is written keyed by id."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranks
-from ..sources.io import resume
+from ..operators.training import hash32
+from ..sources import io as IO
 
 
 def write_in_steps(df: DataFrame, key: str, path: str, every_n: int, run_id: str) -> DataFrame:
-    """Append rows not yet written, partitioned by (run_id, step)."""
+    """Append the rows whose key is not written yet, partitioned by (run_id, step).
+
+    New rows are dealt by a hash of the key into steps of about ``every_n`` rows; steps continue after the run's
+    last one. No sort and no global numbering is needed."""
     spark = df.sparkSession
-    todo = df
-    try:
+    todo, last = df, -1
+    if IO.exists(spark, path):
         done = spark.read.parquet(path)
-        todo = resume(df, done, key)
-    except Exception:  # noqa: BLE001 - first run: nothing written yet
-        pass
-    idx = ranks.global_index(todo, [key], "_i")
-    out = idx.withColumn("step", (F.col("_i") / F.lit(every_n)).cast("bigint")).drop("_i") \
-        .withColumn("run_id", F.lit(run_id))
-    out.write.mode("append").partitionBy("run_id", "step").parquet(path)
+        todo = IO.resume(df, done, key)
+        last = done.filter(F.col("run_id") == run_id).agg(F.coalesce(F.max("step").cast("bigint"), F.lit(-1))).first()[0]
+    steps = math.ceil(todo.count() / every_n)
+    if steps:
+        step = F.pmod(hash32(F.col(key)), F.lit(steps)) + F.lit(last + 1)
+        todo.withColumn("run_id", F.lit(run_id)).withColumn("step", step.cast("bigint")) \
+            .write.mode("append").partitionBy("run_id", "step").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -61,3 +61,11 @@ def test_last_line_and_markers(spark):
     df = spark.createDataFrame([("out: -3.5 then 2",)], "t string")
     assert df.select(A.program_number("t").alias("v")).first().v == -3.5
     assert df.select(A.program_number("t", signed=False).alias("v")).first().v == 3.5  # Q11
+
+
+def test_float_text_is_pythons(spark):
+    values = [0.0, 1.0, 12345678.0, 9999999.0, 1e7, 1.5e7, 123456789.125, 1e15, 1e16, 1.5e22, 0.001, 0.0005, 0.00012, 0.00001, 1.5e-7, 9007199254740993.0]
+    df = spark.createDataFrame([(repr(v).replace("e+", "e"), v) for v in values], "t string, v double")
+    assert [r.s for r in df.select(A.float_text(F.col("v")).alias("s")).collect()] == [repr(v) for v in values]
+    line = spark.createDataFrame([("so 12345678",), ("it is 0.5",), ("total 1,000,000,000",)], "t string")
+    assert [r.v for r in line.select(A.last_line_number("t").alias("v")).collect()] == ["12345678.0", "0.5", "1000000000.0"]

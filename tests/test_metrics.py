@@ -67,3 +67,17 @@ def test_logsoftmax_entropy(spark):
     p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     assert r.lp == pytest.approx(np.log(p[2]))
     assert r.h == pytest.approx(-(p * np.log(p + 1e-12)).sum())
+
+
+def test_targets_outside_the_vocabulary_and_sequences(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], t) for t in (0, 2, 3, -1, -100, None)], "z array<double>, t int")
+    got = [r.v for r in df.select(M.gather_logp("z", "t").alias("v")).collect()]
+    lse = math.log(sum(math.exp(x) for x in (1, 2, 3)))
+    assert got[0] == pytest.approx(1 - lse) and got[1] == pytest.approx(3 - lse) and got[2:] == [None] * 4
+    rows = [([[1.0, 2.0], [0.0, 0.0], [3.0, 1.0], [9.0, 9.0]], [0, 1, 0, 1], 2), ([[1.0, 2.0]], [1], 0), ([], [], 0)]
+    df = spark.createDataFrame(rows, "z array<array<double>>, ids array<int>, p int")
+    a, b, c = [r.s for r in df.select(M.sequence_scores("z", "ids", F.col("p")).alias("s")).collect()]
+    assert a.n_tokens == 2 and a.logp == pytest.approx([math.log(0.5), 1 - math.log(math.exp(3) + math.exp(1))])
+    p = math.exp(3) / (math.exp(3) + math.exp(1))
+    assert a.mean_entropy == pytest.approx((math.log(2) - p * math.log(p) - (1 - p) * math.log(1 - p)) / 2)
+    assert (b.logp, b.mean_entropy, b.n_tokens) == ([], None, 0) and c.n_tokens == 0

@@ -45,3 +45,30 @@ def test_best_per_group_first_wins_ties(spark):
     b = AG.best_per_group(df, ["src"], F.struct("novelty", "difficulty", (-F.col("cand")).alias("c")))
     got = {r.src: r.cand for r in b.collect()}
     assert got[1] == 0
+
+
+def test_exact_quantiles_skewed(spark):
+    df, pdf = _skewed(spark)
+    got = ranks.quantiles(df, "v", [0.0, 0.25, 0.5, 0.95, 1.0], ["k"]).toPandas().set_index("k").sort_index()
+    exp = pdf.groupby("k")["v"].quantile([0.0, 0.25, 0.5, 0.95, 1.0]).unstack().sort_index()
+    assert np.allclose(got[[f"q_{i}" for i in range(5)]].values, exp.values)
+    one = ranks.quantiles(df, "v", [0.3]).first()
+    assert one.n == len(pdf) and abs(one.q_0 - pdf["v"].quantile(0.3)) < 1e-12
+    assert ranks.quantiles(df.filter("false"), "v", [0.5], ["k"]).count() == 0
+
+
+def test_group_sizes_are_salted(spark):
+    df, pdf = _skewed(spark)
+    out = AG.attach_group_size(df, "k", "n")
+    got = out.toPandas().set_index("id").sort_index()
+    assert (got["n"].values == pdf.groupby("k")["id"].transform("count").values).all()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_row_number_default_and_ranks_without_checkpoints(spark):
+    from mathgrade.operators import shape as SH
+    df, pdf = _skewed(spark, 300)
+    got = SH.default_column(df, "source_idx", order=["v", "id"]).toPandas().sort_values(["v", "id"])
+    assert got["source_idx"].tolist() == list(range(300))
+    assert SH.default_column(df, "v", order=["id"]).columns == df.columns

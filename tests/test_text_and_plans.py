@@ -24,7 +24,10 @@ def brute_dedup(text):
 def test_dedup_answer_tags(spark):
     texts = ["pre <solution>a <answer>1</answer> b <answer>2</answer></solution> mid "
              "<solution><answer>3</answer><answer>4</answer> c</solution> end <answer>9</answer>",
-             "no blocks <answer>1</answer>", "<solution>no tags</solution>"]
+             "no blocks <answer>1</answer>", "<solution>no tags</solution>",
+             "<solution>open <answer>1</answer> <solution><answer>2</answer> x</solution> y",
+             "<solution>a </answer> b <answer>1</answer> c <answer>2</answer></solution>",
+             "</solution><solution><answer>1</answer></solution></solution> <answer>2</answer>", "<solution><answer>1", "", "<solution></solution>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.v for r in df.select(TX.dedup_answer_tags("t").alias("v")).collect()]
     assert got == [brute_dedup(t) for t in texts]
@@ -49,6 +52,51 @@ def test_word_and_step_counts(spark):
 def test_native_operators_have_no_python_udf(spark, tmp_path):
     import __spark_entry__ as e
     qs = e.queries()
+    m01 = qs["m01_pass_at_k_by_level"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in m01.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanged and not any("completion" in line for line in exchanged)
     for name in ["m01_pass_at_k_by_level", "a05_hybrid", "t15_text_features", "m21_voting_entropy"]:
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
+
+
+def test_hot_question_is_preaggregated(spark):
+    """A third of all samples on one question: what is shuffled per question is its distinct answers."""
+    from mathgrade.plans import evaluate as ev
+    raw = spark.range(3000).selectExpr("case when id % 3 = 0 then 1 else id end as question_id", "id as sample_number",
+                                       "concat('#### ', id % 7) as completion")
+    refs = spark.range(3000).selectExpr("id as question_id", "1 as level", "cast(id % 7 as double) as expected_answer")
+    counts = ev.answer_counts(raw)
+    assert counts.filter("question_id = 1").count() <= 7
+    pq = {r.question_id: r for r in __import__("mathgrade.operators.metrics", fromlist=["x"]).pass_any(ev.grade_counts(counts, refs), weight="cnt").collect()}
+    assert pq[1].attempts == 1001 and pq[1].correct_count == sum(i % 7 == 1 for i in list(range(0, 3000, 3)) + [1])
+    rows = ev.grade_samples(raw.join(refs, "question_id"))
+    assert sum(r.correct_count for r in pq.values()) == rows.filter("correct").count()
+
+
+def test_array_operators_are_linear(spark):
+    """Twice the length takes about twice the time, not four times."""
+    import time
+
+    from mathgrade.operators import metrics as M
+    from mathgrade.operators import training as D
+
+    def seconds(n):
+        df = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: (x * 7919 % 1000).cast("double") / 100).alias("z"),
+                                    F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: (x % 50).cast("int")).alias("ids")).persist()
+        df.count()
+        out = df.select(M.gather_logp("z", F.lit(3)).alias("a"), M.distribution_entropy("z").alias("b"), M.token_stats("z").alias("c"),
+                        D.mask_third_marker("ids").alias("d"), D.mask_before_marker("ids", 3).alias("e"))
+        best = 1e9
+        for _ in range(3):
+            t = time.perf_counter()
+            out.write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - t)
+        df.unpersist()
+        return best
+    assert seconds(40_000) < 3.2 * seconds(20_000) + 0.2
+
+
+def test_hash_to_boxed_takes_digits_only(spark):
+    df = spark.createDataFrame([("#### 5.",), ("#### 1,200",), ("a #### 12 b",)], "t string")
+    assert [r.v for r in df.select(TX.hash_to_boxed("t").alias("v")).collect()] == ["\\boxed{5}.", "\\boxed{1},200", "a \\boxed{12} b"]
