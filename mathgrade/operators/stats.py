@@ -10,15 +10,17 @@ small vectorised continued fraction in a pandas UDF (H2).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ranks
+from .skew import salted_join
 
 
 def _col(c) -> Column:
@@ -55,32 +57,73 @@ def correlation_table(df: DataFrame, metrics: Sequence[str], target: str, skip_w
 # X2 Spearman via distributed average ranks
 # --------------------------------------------------------------------------
 
-def with_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
-    """Attach the average rank (ties averaged) of each column; NULLs keep a
-    NULL rank. One range-partitioned rank job per column, joined back on the
-    value."""
-    out = df
-    for c in cols:
-        r = ranks.average_ranks(df.filter(F.col(c).isNotNull()), c).select(
-            F.col(c).alias(f"_v_{c}"), F.col("avg_rank").alias(c + suffix))
-        out = out.join(r, out[c] == r[f"_v_{c}"], "left").drop(f"_v_{c}")
-    return out
+def _long_counts(df: DataFrame, metrics: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(metric, x, kept columns) of all non-null values, in one narrow table."""
+    wide = df.select(*keep, *[F.col(m).cast("double").alias(m) for m in metrics])
+    return wide.unpivot(list(keep), list(metrics), "metric", "x").filter(F.col("x").isNotNull())
+
+
+def _binary_rho(agg: DataFrame) -> Column:
+    """Spearman of a 0/1 label from rank moments: (mean rank of the positives
+    - (N + 1) / 2) * sqrt(N1 / N0) / population sd of the ranks."""
+    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
+    n0 = n - n1
+    var_r = F.col("sum_r2") / n - F.pow(F.col("sum_r") / n, 2)
+    rho = F.try_divide((F.try_divide(F.col("sum_r_pos"), n1) - (n + 1) / 2) * F.sqrt(F.try_divide(n1, n0)), F.sqrt(var_r))
+    return F.when((n1 > 0) & (n0 > 0) & (var_r > 0), rho)
+
+
+def _rank_moments(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n, n1 and rank moments per key from distinct scores with ``cnt`` and ``pos``."""
+    rk = ranks.running_sum(scores, [keys[0]], ["score"], "_cum", weight=F.col("cnt"))
+    rk = rk.withColumn("r", F.col("_cum") - (F.col("cnt") - 1) / 2.0)
+    return rk.groupBy(*keys).agg(
+        F.sum("cnt").alias("n"), F.sum("pos").alias("n1"), F.sum(F.col("pos") * F.col("r")).alias("sum_r_pos"),
+        F.sum(F.col("cnt") * F.col("r") * F.col("r")).alias("sum_r2"), F.sum(F.col("cnt") * F.col("r")).alias("sum_r"))
+
+
+def spearman_binary(df: DataFrame, metrics: Sequence[str], label: str) -> DataFrame:
+    """X2 for a 0/1 label: all metrics in one rank job. Rows shrink to counts
+    per (metric, value) first; rho is a closed form of the rank moments, so
+    ranks are never joined back to rows."""
+    x = _long_counts(df.filter(F.col(label).isNotNull()), metrics, [label])
+    scores = x.groupBy("metric", F.col("x").alias("score")).agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col(label).cast("bigint")).alias("pos"))
+    agg = _rank_moments(scores, ["metric"])
+    return agg.select("metric", "n", _binary_rho(agg).alias("spearman"))
 
 
 def spearman_table(df: DataFrame, metrics: Sequence[str], target: str) -> DataFrame:
-    """Spearman rho of each metric with the target (average ranks over the
-    rows where both are present)."""
-    parts = []
-    for m in metrics:
-        d = df.select(F.col(m).cast("double").alias("x"), F.col(target).cast("double").alias("y")) \
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        rk = with_ranks(d, ["x", "y"])
-        parts.append(rk.agg(F.lit(m).alias("metric"), F.count(F.lit(1)).alias("n"),
-                            pearson_expr("x_rank", "y_rank").alias("spearman")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Spearman rho of each metric with any target (average ranks over the
+    rows where both are present), all metrics in one job: counts per (metric,
+    x, y), two rank tables, weighted moments."""
+    x = _long_counts(df.select(*metrics, F.col(target).cast("double").alias("y")).filter("y is not null"), metrics, ["y"])
+    pairs = x.groupBy("metric", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    for c in ("x", "y"):
+        r = ranks.average_ranks(pairs, c, ["metric"], "w").select("metric", c, F.col("avg_rank").alias(f"r{c}"))
+        pairs = salted_join(pairs, r, ["metric", c])
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    m = pairs.groupBy("metric").agg(F.sum("w").alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"), F.sum(w * rx * ry).alias("sxy"),
+                                    F.sum(w * rx * rx).alias("sxx"), F.sum(w * ry * ry).alias("syy"))
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    return m.select("metric", "n", F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("spearman"))
+
+
+def correlation_matrix(df: DataFrame, metrics: Sequence[str], id_col: str) -> DataFrame:
+    """metric_a, metric_b, pearson, spearman for each pair, over rows in
+    which all metrics are present (``id_col`` unique). Ranks of all metrics
+    come from one rank job, joined back by value with salt."""
+    full = df.select(id_col, *metrics).dropna(subset=list(metrics))
+    x = _long_counts(full, metrics, [id_col])
+    r = ranks.average_ranks(x, "x", ["metric"]).select("metric", "x", "avg_rank")
+    ranked = salted_join(x, r, ["metric", "x"], F.col(id_col)).groupBy(id_col).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("x"))).alias(m) for m in metrics],
+        *[F.max(F.when(F.col("metric") == m, F.col("avg_rank"))).alias(f"r_{m}") for m in metrics])
+    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1:]]
+    one = ranked.agg(*[pearson_expr(p + a, p + b).alias(f"{p}{i}") for i, (a, b) in enumerate(pairs) for p in ("", "r_")])
+    rows = F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.col(str(i)).alias("pearson"), F.col(f"r_{i}").alias("spearman"))
+                     for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(rows).alias("s")).select("s.*")
 
 
 # --------------------------------------------------------------------------
@@ -205,20 +248,20 @@ def alpha_sweep(df: DataFrame, logp_sum: str, n_tokens: str, label: str,
                      for i, a in enumerate(alphas)])
     x = trip.select("*", F.explode(grid).alias("_a")).select(
         "_a.alpha_idx", "_a.alpha", "cnt", "pos",
-        (F.col(logp_sum) / F.pow(F.col(n_tokens).cast("double"), F.col("_a.alpha"))).alias("score"))
+        F.try_divide(F.col(logp_sum), F.pow(F.col(n_tokens).cast("double"), F.col("_a.alpha"))).alias("score")).filter("score is not null")
     per_score = x.groupBy("alpha_idx", "alpha", "score").agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"))
-    rk = ranks.running_sum(per_score, ["alpha_idx"], ["score"], "_cum", weight=F.col("cnt"))
-    rk = rk.withColumn("r", F.col("_cum") - (F.col("cnt") - 1) / 2.0)
-    agg = rk.groupBy("alpha_idx", "alpha").agg(
-        F.sum("cnt").alias("n"), F.sum("pos").alias("n1"),
-        F.sum(F.col("pos") * F.col("r")).alias("sum_r_pos"),
-        F.sum(F.col("cnt") * F.col("r") * F.col("r")).alias("sum_r2"),
-        F.sum(F.col("cnt") * F.col("r")).alias("sum_r"))
-    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
-    n0 = n - n1
-    var_r = F.col("sum_r2") / n - F.pow(F.col("sum_r") / n, 2)
-    rho = F.try_divide((F.col("sum_r_pos") / n1 - (n + 1) / 2) * F.sqrt(n1 / n0), F.sqrt(var_r))
-    return agg.select("alpha_idx", "alpha", "n", F.when((n1 > 0) & (n0 > 0) & (var_r > 0), rho).alias("spearman"))
+    agg = _rank_moments(per_score, ["alpha_idx", "alpha"])
+    return agg.select("alpha_idx", "alpha", "n", _binary_rho(agg).alias("spearman"))
+
+
+def correlations_at_alpha(df: DataFrame, logp_sum: str, n_tokens: str, label: str, alpha: float) -> DataFrame:
+    """Pearson and Spearman of logp_sum / n^alpha with a 0/1 label, each with its p-value."""
+    x = df.withColumn("_score", F.try_divide(F.col(logp_sum), F.pow(F.col(n_tokens).cast("double"), F.lit(float(alpha)))))
+    p = correlation_table(x, ["_score"], label).select("metric", "n", "pearson")
+    s = spearman_binary(x, ["_score"], label).select("metric", "spearman")
+    out = p.join(F.broadcast(s), "metric")  # one row each
+    return out.select(F.lit(float(alpha)).alias("alpha"), "n", "pearson", corr_pvalue(F.col("pearson"), F.col("n")).alias("pearson_p"),
+                      "spearman", corr_pvalue(F.col("spearman"), F.col("n")).alias("spearman_p"))
 
 
 def best_alpha(sweep: DataFrame) -> DataFrame:
@@ -264,7 +307,7 @@ def accuracy_coverage(df: DataFrame, score: str, correct: str, n_thresholds: int
     # rows above threshold i are those with bucket j > i; b has at most T + 1 rows
     jb = g.join(F.broadcast(b), F.col("_j") > F.col("idx"), "left").groupBy("idx", "_lo", "_hi", "_n").agg(
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("covered"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"))
-    return jb.select("idx", thr(F.col("idx")).alias("threshold"), (F.col("covered") / F.col("_n")).alias("coverage"),
+    return jb.select("idx", thr(F.col("idx")).alias("threshold"), F.try_divide(F.col("covered").cast("double"), F.col("_n")).alias("coverage"),
                      F.try_divide(F.col("pos").cast("double"), F.col("covered")).alias("accuracy"))
 
 
@@ -334,46 +377,40 @@ def trend(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], value: str, replicates: int = 10000,
-                      seed: int = 42, level: float = 0.95, id_col: str | None = None) -> DataFrame:
+                      seed: int = 42, level: float = 0.95) -> DataFrame:
     """Basic bootstrap CI of the mean per group (2 mean - quantiles).
-    Poisson(1) weights per (row, replicate), seeded by a hash of the row id
-    and seed so reruns and retried tasks draw the same weights. Each
-    partition emits one partial (sum w x, sum w) per group and replicate;
-    a hash aggregate combines them. Approximate by design (H3)."""
-    keys = list(keys)
-    idc = F.xxhash64(F.col(id_col) if id_col else F.monotonically_increasing_id(), F.lit(seed))
-    d = df.select(*keys, F.col(value).cast("double").alias("_x"), idc.alias("_h")).filter(F.col("_x").isNotNull())
-    schema = T.StructType([*[d.schema[k] for k in keys],
-                           T.StructField("rep", T.IntegerType()), T.StructField("swx", T.DoubleType()),
-                           T.StructField("sw", T.DoubleType())])
-    B = int(replicates)
-
-    def part(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            for gk, g in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
-                swx = np.zeros(B)
-                sw = np.zeros(B)
-                xs, hs = g["_x"].to_numpy(), g["_h"].to_numpy()
-                for start in range(0, len(xs), 256):
-                    xc, hc = xs[start:start + 256], hs[start:start + 256]
-                    w = np.stack([np.random.default_rng(np.uint64(h & 0x7FFFFFFFFFFFFFFF)).poisson(1.0, B) for h in hc])
-                    swx += (w * xc[:, None]).sum(axis=0)
-                    sw += w.sum(axis=0)
-                gk = gk if isinstance(gk, tuple) else (gk,)
-                out = {k: [v] * B for k, v in zip(keys, gk)}
-                out.update(rep=np.arange(B, dtype=np.int32), swx=swx, sw=sw)
-                yield pd.DataFrame(out)
-
-    partial = d.mapInPandas(part, schema)
-    reps = partial.groupBy(*keys, "rep").agg((F.sum("swx") / F.sum("sw")).alias("m"))
+
+    Rows shrink to counts per (group, value); a value seen c times draws one
+    Poisson(c) weight per replicate, seeded by a hash of group, value and
+    seed, so reruns and retried tasks draw the same. Each task adds up its
+    values and emits one partial (sum w x, sum w) per group and replicate when
+    its input ends. Replicates without any draw are left out; a group with
+    none at all has a NULL interval. Approximate by design (H3)."""
+    keys, b = list(keys), int(replicates)
+    d = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    counts = d.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    counts = counts.select(group.alias("_g"), "_x", "_c", F.xxhash64(group, "_x", F.lit(seed)).alias("_h"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for g, x, c, h in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                sx, sw = sums.setdefault(g, (np.zeros(b), np.zeros(b)))
+                w = np.random.default_rng(h & 0x7FFFFFFFFFFFFFFF).poisson(c, b)
+                sx += w * x
+                sw += w
+        for g, (sx, sw) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * b), pa.array(range(b), pa.int32()), pa.array(sx), pa.array(sw)], ["_g", "rep", "swx", "sw"])
+
+    partial = counts.mapInArrow(part, "_g string, rep int, swx double, sw double")
+    reps = partial.groupBy("_g", "rep").agg(F.try_divide(F.sum("swx"), F.sum("sw")).alias("m"))
     lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
-    qs = reps.groupBy(*keys).agg(F.percentile("m", F.lit(lo_q)).alias("q_lo"), F.percentile("m", F.lit(hi_q)).alias("q_hi"))
-    means = d.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    j = means.join(qs, keys) if keys else means.crossJoin(qs)
-    return j.select(*keys, "n", "mean", (2 * F.col("mean") - F.col("q_hi")).alias("ci_low"),
-                    (2 * F.col("mean") - F.col("q_lo")).alias("ci_high"))
+    # at most ``replicates`` values per group
+    qs = reps.groupBy("_g").agg(F.percentile("m", F.lit(lo_q)).alias("q_lo"), F.percentile("m", F.lit(hi_q)).alias("q_hi"))
+    means = d.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.count(F.lit(1)).alias("n")).withColumn("_g", group)
+    return means.join(qs, "_g", "left").select(*keys, "n", "mean", (2 * F.col("mean") - F.col("q_hi")).alias("ci_low"),
+                                               (2 * F.col("mean") - F.col("q_lo")).alias("ci_high"))
 
 
 def kde_grid(df: DataFrame, col: str, keys: Sequence[str] = (), grid_points: int = 200,
@@ -395,8 +432,8 @@ def kde_grid(df: DataFrame, col: str, keys: Sequence[str] = (), grid_points: int
     grid = F.sequence(F.lit(0), F.lit(grid_points - 1))
     gx = F.col("_lo") - 3 * F.col("_bw") + F.col("_gi") * (F.col("_hi") - F.col("_lo") + 6 * F.col("_bw")) / F.lit(grid_points - 1)
     e = binned.withColumn("_ctr", centre).withColumn("_gi", F.explode(grid)).withColumn("x", gx)
-    z = (F.col("x") - F.col("_ctr")) / F.col("_bw")
-    dens = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_bw") * F.lit(np.sqrt(2 * np.pi)))
+    z = F.try_divide(F.col("x") - F.col("_ctr"), F.col("_bw"))
+    dens = F.try_divide(F.col("_c") * F.exp(-0.5 * z * z), F.col("_bw") * F.lit(np.sqrt(2 * np.pi)))
     return e.groupBy(*keys, "_gi", "x").agg((F.sum(dens) / F.first("_n")).alias("density")) \
         .withColumnRenamed("_gi", "grid_idx")
 
@@ -410,7 +447,7 @@ def logistic_curve(df: DataFrame, metric: str, label: str, grid_points: int = 10
     d = df.select(F.col(metric).cast("double").alias("x"), F.col(label).cast("double").alias("label")) \
         .filter(F.col("x").isNotNull() & F.col("label").isNotNull())
     va = VectorAssembler(inputCols=["x"], outputCol="features")
-    model = LogisticRegression(regParam=0.0, maxIter=100).fit(va.transform(d))
+    model = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-12).fit(va.transform(d))
     b0, b1 = float(model.intercept), float(model.coefficients[0])
     st = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     g = st.select(F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i"), "lo", "hi")
@@ -419,21 +456,31 @@ def logistic_curve(df: DataFrame, metric: str, label: str, grid_points: int = 10
                     x.alias("x"), (1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * x)))).alias("p"))
 
 
+def pair_scatter(df: DataFrame, x: str, y: str, n: int, seed: int, id_col: str) -> DataFrame:
+    """A seeded sample of ``n`` (x, y) pairs for a scatter plot, over rows that have both."""
+    from .shape import sample_n
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, x, y)
+    return sample_n(d, n, seed, id_col)
+
+
 def local_linear(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), grid_points: int = 50,
                  frac: float = 0.3) -> DataFrame:
     """Local linear trend on a grid with tricube weights and a fixed
-    bandwidth of ``frac`` x range (non-robust lowess). Work is grid x rows,
-    summed per grid point as five weighted moments."""
+    bandwidth of ``frac`` x range (non-robust lowess). Rows shrink to count
+    and sum of y per distinct x first, so the work is grid x distinct values.
+    With a constant x every grid point is that x and gets the mean."""
     keys = list(keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-        .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()) \
+        .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_y"))
     st = d.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     jd = d.join(st, keys) if keys else d.crossJoin(F.broadcast(st))
     h = F.lit(frac) * (F.col("_hi") - F.col("_lo"))
     e = jd.withColumn("_gi", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1)))) \
         .withColumn("gx", F.col("_lo") + F.col("_gi") * (F.col("_hi") - F.col("_lo")) / F.lit(grid_points - 1))
-    u = F.abs(F.col("_x") - F.col("gx")) / h
-    e = e.withColumn("_w", F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))).filter(F.col("_w") > 0)
+    u = F.coalesce(F.try_divide(F.abs(F.col("_x") - F.col("gx")), h), F.lit(0.0))
+    e = e.withColumn("_t", F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))).filter(F.col("_t") > 0) \
+        .withColumn("_w", F.col("_t") * F.col("_n")).withColumn("_y", F.col("_y") / F.col("_n"))
     m = e.groupBy(*keys, "_gi", "gx").agg(
         F.sum("_w").alias("s0"), F.sum(F.col("_w") * F.col("_x")).alias("s1"),
         F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("s2"), F.sum(F.col("_w") * F.col("_y")).alias("t0"),

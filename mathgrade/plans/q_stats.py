@@ -14,25 +14,32 @@ WS = r"[ \t\n\x0B\f\r]+"
 METRICS = ["n_chars", "word_count", "operator_count", "step_count", "logp_sum"]
 
 
+def all_metrics(spark, sf_dir):
+    """All documents with text features and a pseudo log-prob score."""
+    d = dt.table(spark, sf_dir, "documents")
+    d = d.select("doc_id", "lang", "n_chars", TX.word_count("text").cast("bigint").alias("word_count"),
+                 TX.operator_count("text").cast("bigint").alias("operator_count"),
+                 TX.step_count_v2("text").cast("bigint").alias("step_count"))
+    return d.withColumn("logp_sum", -(F.col("n_chars") * 0.01 + F.col("operator_count") + 1))
+
+
 def doc_metrics(spark, sf_dir):
-    """Labelled documents with text features and a pseudo log-prob score."""
-    d = dt.doc_features(spark, sf_dir)
-    wc = F.size(F.filter(F.split("text", WS), lambda x: x != "")).cast("bigint")
-    ops = TX.operator_count("text").cast("bigint")
-    return d.select("doc_id", "lang", "quality", "toxic", "n_chars", wc.alias("word_count"), ops.alias("operator_count"),
-                    TX.step_count_v2("text").cast("bigint").alias("step_count"),
-                    (-(F.col("n_chars") * 0.01 + ops + 1)).alias("logp_sum"))
+    """The labelled ones (for queries that use a label): texts become numbers before the join."""
+    lab = dt.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return all_metrics(spark, sf_dir).join(lab, "doc_id")
 
 
-DOC_SQL = f"""dm AS (
-  SELECT doc_id, lang, quality, toxic, n_chars,
+ALL_SQL = f"""am AS (
+  SELECT doc_id, lang, n_chars,
     CAST(len(list_filter(regexp_split_to_array(text, '{WS}'), lambda x: x <> '')) AS BIGINT) AS word_count,
     CAST(length(text) - length(translate(text, '+-*/', '')) AS BIGINT) AS operator_count,
     CAST(CASE WHEN len(regexp_extract_all(lower(text), '(step\\s+\\d+|first|second|third|fourth|fifth|next|finally|lastly)')) > 0
          THEN len(regexp_extract_all(lower(text), '(step\\s+\\d+|first|second|third|fourth|fifth|next|finally|lastly)'))
          ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS BIGINT) AS step_count,
     -(CAST(n_chars AS DOUBLE) * CAST(0.01 AS DOUBLE) + CAST(length(text) - length(translate(text, '+-*/', '')) AS DOUBLE) + 1.0::DOUBLE) AS logp_sum
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents)"""
+DOC_SQL = f"""{ALL_SQL},
+dm AS (SELECT am.*, quality, toxic FROM am JOIN labels USING (doc_id))"""
 
 
 def _pearson_sql(x, y):
@@ -62,38 +69,56 @@ X02_SQL = f"""WITH {DOC_SQL}
 """ + "\nUNION ALL\n".join(
     f"SELECT '{m}' AS metric, count(*) AS n, round({_pearson_sql('rx', 'ry')}, 6) AS spearman FROM "
     f"(SELECT {_avg_rank_sql(m)} AS rx, {_avg_rank_sql('quality')} AS ry FROM dm)"
-    for m in METRICS[:3])
+    for m in METRICS)
 
 
 @register("x02_spearman_table", X02_SQL)
 def x02_spearman_table(spark, sf_dir):
-    """Spearman rho with average ranks computed by the distributed rank job."""
-    return rounded(X.spearman_table(doc_metrics(spark, sf_dir), METRICS[:3], "quality"))
+    """Spearman rho of each feature with the 0/1 label: one distributed rank job for all features."""
+    return rounded(X.spearman_binary(doc_metrics(spark, sf_dir), METRICS, "quality"))
+
+
+def _t_two_sided_sql(t, dof):
+    """Two-sided p of Student's t by Simpson integration of its density, after x = sqrt(dof) tan(u): the density
+    becomes cos(u)^(dof - 1) up to a constant, integrated from 0 to atan(|t| / sqrt(dof)) and to pi / 2."""
+    def area(upper):
+        w = "CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+        return f"(SELECT sum({w} * pow(greatest(cos({upper} * k / 2000), 0), {dof} - 1)) * {upper} / 6000 FROM range(2001) s(k))"
+    return f"(1 - {area(f'atan(abs({t}) / sqrt({dof}))')} / {area('(pi() / 2)')})"
+
+
+_R_T = "{r} * sqrt((n - 2) / greatest(1 - {r} * {r}, 1e-300))"
+X03_SQL = f"""WITH {DOC_SQL},
+r AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS metric, count(*) AS n, {_pearson_sql(m, 'quality')} AS pearson, "
+    f"(SELECT {_pearson_sql('rx', 'ry')} FROM (SELECT {_avg_rank_sql(m)} AS rx, {_avg_rank_sql('quality')} AS ry FROM dm)) AS spearman FROM dm"
+    for m in METRICS) + f"""),
+t AS (SELECT *, {_R_T.format(r='pearson')} AS tp, {_R_T.format(r='spearman')} AS ts FROM r)
+SELECT metric, n, round(pearson, 6) AS pearson, round({_t_two_sided_sql('tp', '(n - 2)')}, 6) AS pearson_p,
+  round(spearman, 6) AS spearman, round({_t_two_sided_sql('ts', '(n - 2)')}, 6) AS spearman_p FROM t"""
 
 
-@register("x03_correlation_pvalues")
+@register("x03_correlation_pvalues", X03_SQL)
 def x03_correlation_pvalues(spark, sf_dir):
-    """Pearson r with two-sided p-values (t distribution, n - 2 df);
-    p has no SQL form (no t CDF in DuckDB), so this is a rows-only query."""
-    t = X.correlation_table(doc_metrics(spark, sf_dir), METRICS, "quality")
-    return rounded(t.withColumn("pearson_p", X.corr_pvalue(F.col("pearson"), F.col("n"))))
+    """Pearson and Spearman with two-sided p-values (t distribution, n - 2 df)."""
+    d = doc_metrics(spark, sf_dir)
+    t = X.correlation_table(d, METRICS, "quality").drop("nulls").join(X.spearman_binary(d, METRICS, "quality").select("metric", "spearman"), "metric")
+    return rounded(t.select("metric", "n", "pearson", X.corr_pvalue(F.col("pearson"), F.col("n")).alias("pearson_p"),
+                            "spearman", X.corr_pvalue(F.col("spearman"), F.col("n")).alias("spearman_p")))
 
 
-X06_SQL = f"""WITH {DOC_SQL}
+X06_SQL = f"""WITH {ALL_SQL},
+rk AS (SELECT *, {', '.join(f"{_avg_rank_sql(m)} AS r_{m}" for m in METRICS)} FROM am)
 """ + "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round({_pearson_sql(a, b)}, 6) AS pearson FROM dm"
+    f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round({_pearson_sql(a, b)}, 6) AS pearson, "
+    f"round({_pearson_sql('r_' + a, 'r_' + b)}, 6) AS spearman FROM rk"
     for i, a in enumerate(METRICS) for b in METRICS[i + 1:])
 
 
 @register("x06_correlation_matrix", X06_SQL)
 def x06_correlation_matrix(spark, sf_dir):
-    """Pairwise Pearson matrix in long form, one aggregate."""
-    d = doc_metrics(spark, sf_dir)
-    pairs = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1:]]
-    one = d.agg(*[X.pearson_expr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    out = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"),
-                                                  F.col(f"{a}__{b}").alias("pearson")) for a, b in pairs])).alias("s"))
-    return rounded(out.select("s.*"))
+    """Pairwise Pearson and Spearman matrix in long form over all documents."""
+    return rounded(X.correlation_matrix(all_metrics(spark, sf_dir), METRICS, "doc_id"))
 
 
 X07_SQL = f"""WITH {DOC_SQL},
@@ -123,10 +148,28 @@ SELECT round(arg_max(alpha, (abs(spearman), -alpha_idx)), 6) AS alpha,
 
 @register("x07b_best_alpha", X07B_SQL)
 def x07b_best_alpha(spark, sf_dir):
-    """Alpha with the largest |rho|, earliest alpha wins ties."""
+    """Alpha with the largest |rho|, earliest alpha wins ties."""
     return rounded(X.best_alpha(X.alpha_sweep(doc_metrics(spark, sf_dir), "logp_sum", "word_count", "quality")))
 
 
+X08_SQL = f"""WITH b AS ({X07B_SQL.replace('round(arg_max(alpha, (abs(spearman), -alpha_idx)), 6) AS alpha', 'arg_max(alpha, (abs(spearman), -alpha_idx)) AS alpha')}),
+{DOC_SQL},
+s AS (SELECT logp_sum / pow(CAST(word_count AS DOUBLE), (SELECT alpha FROM b)) AS score, quality FROM dm),
+k AS (SELECT score, quality, {_avg_rank_sql('score')} AS rk FROM s),
+r AS (SELECT count(*) AS n, {_pearson_sql('score', 'quality')} AS pearson, {_pearson_sql('rk', 'quality')} AS spearman FROM k),
+t AS (SELECT *, {_R_T.format(r='pearson')} AS tp, {_R_T.format(r='spearman')} AS ts FROM r)
+SELECT (SELECT round(alpha, 6) FROM b) AS alpha, n, round(pearson, 6) AS pearson, round({_t_two_sided_sql('tp', '(n - 2)')}, 6) AS pearson_p,
+  round(spearman, 6) AS spearman, round({_t_two_sided_sql('ts', '(n - 2)')}, 6) AS spearman_p FROM t"""
+
+
+@register("x08_correlations_at_best_alpha", X08_SQL)
+def x08_correlations_at_best_alpha(spark, sf_dir):
+    """Pearson and Spearman with p-values at the best alpha of the sweep."""
+    d = doc_metrics(spark, sf_dir)
+    best = X.best_alpha(X.alpha_sweep(d, "logp_sum", "word_count", "quality")).first()
+    return rounded(X.correlations_at_alpha(d, "logp_sum", "word_count", "quality", best["alpha"]))
+
+
 X09_SQL = f"""WITH {DOC_SQL},
 g AS (SELECT count(*) FILTER (WHERE quality = 1) AS n1, avg(n_chars) FILTER (WHERE quality = 1) AS m1,
   var_samp(n_chars) FILTER (WHERE quality = 1) AS v1, count(*) FILTER (WHERE quality = 0) AS n2,
@@ -143,20 +186,24 @@ def x09_welch_t(spark, sf_dir):
     return rounded(X.welch_test(doc_metrics(spark, sf_dir), "quality", "n_chars").drop("p_value"))
 
 
-@register("x09b_welch_pvalue")
+X09B_SQL = f"""WITH w AS ({X09_SQL.replace('round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t', '(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t').replace('/ (n2 - 1)), 6) AS dof', '/ (n2 - 1))) AS dof').replace('  round(pow(v1', '  (pow(v1')})
+SELECT n1, n2, m1, m2, v1, v2, round(t, 6) AS t, round(dof, 6) AS dof, round({_t_two_sided_sql('t', 'dof')}, 6) AS p_value FROM w"""
+
+
+@register("x09b_welch_pvalue", X09B_SQL)
 def x09b_welch_pvalue(spark, sf_dir):
-    """Welch test with its two-sided p-value (rows-only)."""
+    """Welch test with its two-sided p-value."""
     return rounded(X.welch_test(doc_metrics(spark, sf_dir), "quality", "n_chars"))
 
 
-X10_SQL = f"""WITH {DOC_SQL}
-SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS n_chars_z FROM dm"""
+X10_SQL = f"""WITH {ALL_SQL}
+SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS n_chars_z FROM am"""
 
 
 @register("x10_standardise", X10_SQL)
 def x10_standardise(spark, sf_dir):
     """Z-score with the population standard deviation."""
-    return rounded(X.standardise(doc_metrics(spark, sf_dir), "n_chars").select("doc_id", "n_chars_z"))
+    return rounded(X.standardise(all_metrics(spark, sf_dir), "n_chars").select("doc_id", "n_chars_z"))
 
 
 X11_SQL = f"""WITH {DOC_SQL},
@@ -189,17 +236,17 @@ def x13_histogram(spark, sf_dir):
     return rounded(X.histogram(doc_metrics(spark, sf_dir), "n_chars", "quality", 50))
 
 
-X15_SQL = f"""WITH {DOC_SQL},
-st AS (SELECT min(n_chars) xl, max(n_chars) xh, min(word_count) yl, max(word_count) yh FROM dm)
+X15_SQL = f"""WITH {ALL_SQL},
+st AS (SELECT min(n_chars) xl, max(n_chars) xh, min(word_count) yl, max(word_count) yh FROM am)
 SELECT CAST(CASE WHEN xh > xl THEN least(floor((n_chars - xl) / ((xh - xl) / 20)), 19) ELSE 0 END AS INTEGER) AS x_bin,
   CAST(CASE WHEN yh > yl THEN least(floor((word_count - yl) / ((yh - yl) / 20)), 19) ELSE 0 END AS INTEGER) AS y_bin,
-  count(*) AS count FROM dm, st GROUP BY ALL"""
+  count(*) AS count FROM am, st GROUP BY ALL"""
 
 
 @register("x15_bins_2d", X15_SQL)
 def x15_bins_2d(spark, sf_dir):
     """Joint 20 x 20 binned counts."""
-    return X.bins_2d(doc_metrics(spark, sf_dir), "n_chars", "word_count", 20)
+    return X.bins_2d(all_metrics(spark, sf_dir), "n_chars", "word_count", 20)
 
 
 X16_SQL = f"""WITH {DOC_SQL},
@@ -217,16 +264,16 @@ def x16_equal_width_bins(spark, sf_dir):
                                         F.avg(F.col("quality").cast("double")).alias("mean_quality")))
 
 
-X17_SQL = f"""WITH {DOC_SQL}
+X17_SQL = f"""WITH {ALL_SQL}
 SELECT CASE WHEN word_count > 0 AND word_count <= 10 THEN '(0,10]' WHEN word_count > 10 AND word_count <= 20 THEN '(10,20]'
   WHEN word_count > 20 AND word_count <= 50 THEN '(20,50]' WHEN word_count > 50 AND word_count <= 100 THEN '(50,100]'
-  WHEN word_count > 100 THEN '(100,max]' END AS bucket, count(*) AS n FROM dm GROUP BY 1"""
+  WHEN word_count > 100 THEN '(100,max]' END AS bucket, count(*) AS n FROM am GROUP BY 1"""
 
 
 @register("x17_fixed_edge_buckets", X17_SQL)
 def x17_fixed_edge_buckets(spark, sf_dir):
     """Fixed right-closed token-count buckets."""
-    d = doc_metrics(spark, sf_dir)
+    d = all_metrics(spark, sf_dir)
     b = X.fixed_edges("word_count", [0, 10, 20, 50, 100], ["(0,10]", "(10,20]", "(20,50]", "(50,100]", "(100,max]"])
     return d.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -258,24 +305,67 @@ def x23_group_mean_lines(spark, sf_dir):
 @register("x12_bootstrap_ci")
 def x12_bootstrap_ci(spark, sf_dir):
     """Basic 95 % bootstrap CI of mean n_chars per label (Poisson
-    bootstrap, 1,000 replicates; approximate by design -> rows-only)."""
-    return rounded(X.bootstrap_mean_ci(doc_metrics(spark, sf_dir), ["quality"], "n_chars", replicates=1000,
-                                       id_col="doc_id"))
+    bootstrap, 10,000 replicates; approximate by design -> rows-only)."""
+    return rounded(X.bootstrap_mean_ci(doc_metrics(spark, sf_dir), ["quality"], "n_chars", replicates=10_000))
+
+
+X14_SQL = f"""WITH {DOC_SQL},
+st AS (SELECT quality, min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi, count(*) AS n,
+         stddev_samp(n_chars) * pow(count(*)::DOUBLE, -0.2) AS bw FROM dm GROUP BY quality),
+b AS (SELECT quality, lo, hi, n, bw, lo + (CASE WHEN hi > lo THEN least(floor((n_chars - lo) / ((hi - lo) / 2048)), 2047) ELSE 0 END + 0.5) * ((hi - lo) / 2048) AS ctr
+      FROM dm JOIN st USING (quality)),
+c AS (SELECT quality, lo, hi, n, bw, ctr, count(*) AS c FROM b GROUP BY ALL),
+g AS (SELECT *, lo - 3 * bw + i * (hi - lo + 6 * bw) / 99 AS x FROM c, range(100) t(i))
+SELECT quality, CAST(i AS INTEGER) AS grid_idx, round(x, 6) AS x,
+  round(sum(c * exp(-0.5 * pow((x - ctr) / bw, 2)) / (bw * sqrt(2 * pi()))) / max(n), 6) AS density FROM g GROUP BY quality, i, x"""
 
 
-@register("x14_kde_grid")
+@register("x14_kde_grid", X14_SQL)
 def x14_kde_grid(spark, sf_dir):
     """Binned Gaussian KDE of n_chars per label on a 100-point grid."""
     return rounded(X.kde_grid(doc_metrics(spark, sf_dir), "n_chars", ["quality"], grid_points=100))
 
 
-@register("x20_logistic_curve")
+def _newton_sql(steps=14):
+    """Newton steps of a one-feature logistic fit on the standardised feature, one CTE each."""
+    out = ["x AS (SELECT (n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER () AS z, quality::DOUBLE AS y FROM dm)",
+           "b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(steps):
+        out.append(f"""s{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - p) AS g0, sum((y - p) * z) AS g1,
+  sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01, sum(p * (1 - p) * z * z) AS h11
+  FROM (SELECT z, y, a, b, 1 / (1 + exp(-(a + b * z))) AS p FROM x, b{i}))""")
+        out.append(f"""b{i + 1} AS (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a,
+  b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM s{i})""")
+    return ",\n".join(out), f"b{steps}"
+
+
+_NEWTON, _LAST = _newton_sql()
+X20_SQL = f"""WITH {DOC_SQL},
+{_NEWTON},
+st AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi, avg(n_chars) AS mu, stddev_pop(n_chars) AS sd FROM dm),
+f AS (SELECT a - b * mu / sd AS intercept, b / sd AS slope, lo, hi FROM {_LAST}, st)
+SELECT 'n_chars' AS metric, round(intercept, 4) AS intercept, round(slope, 8) AS slope, round(lo + i * (hi - lo) / 49, 6) AS x,
+  round(1 / (1 + exp(-(intercept + slope * (lo + i * (hi - lo) / 49)))), 4) AS p FROM f, range(50) t(i)"""
+
+
+@register("x20_logistic_curve", X20_SQL)
 def x20_logistic_curve(spark, sf_dir):
-    """Logistic curve of quality on n_chars (iterative fit -> rows-only)."""
-    return rounded(X.logistic_curve(doc_metrics(spark, sf_dir), "n_chars", "quality", 50))
+    """Logistic curve of quality on n_chars."""
+    out = X.logistic_curve(doc_metrics(spark, sf_dir), "n_chars", "quality", 50)
+    return out.select("metric", F.round("intercept", 4).alias("intercept"), F.round("slope", 8).alias("slope"), F.round("x", 6).alias("x"), F.round("p", 4).alias("p"))
+
+
+X21_SQL = f"""WITH {DOC_SQL},
+st AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM dm),
+g AS (SELECT i, lo + i * (hi - lo) / 39 AS gx, 0.3 * (hi - lo) AS h FROM st, range(40) t(i)),
+w AS (SELECT i, gx, n_chars::DOUBLE AS x, quality::DOUBLE AS y, pow(1 - pow(abs(n_chars - gx) / h, 3), 3) AS w FROM dm, g WHERE abs(n_chars - gx) < h),
+m AS (SELECT i, gx, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * y) AS t0, sum(w * x * y) AS t1 FROM w GROUP BY i, gx)
+SELECT CAST(i AS INTEGER) AS grid_idx, round(gx, 6) AS x,
+  round(t0 / s0 + (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) * (gx - s1 / s0), 4) AS y_hat FROM m"""
 
 
-@register("x21_local_linear_trend")
+@register("x21_local_linear_trend", X21_SQL)
 def x21_local_linear_trend(spark, sf_dir):
     """Tricube-weighted local linear trend of quality on n_chars."""
-    return rounded(X.local_linear(doc_metrics(spark, sf_dir), "n_chars", "quality", grid_points=40))
+    out = X.local_linear(doc_metrics(spark, sf_dir), "n_chars", "quality", grid_points=40)
+    return out.select("grid_idx", F.round("x", 6).alias("x"), F.round("y_hat", 4).alias("y_hat"))
