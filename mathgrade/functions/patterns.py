@@ -111,3 +111,9 @@ REASON_FEW_STEPS = "too_few_steps"
 # --- wording of this library: pairwise judge (T11) ---------------------------
 JUDGE_TEMPLATE = ("Compare two answers to one question. Judge correctness first, then clarity.\nQuestion: {question}\n"
                   "Answer A: {answer_a}\nAnswer B: {answer_b}\nEnd with [[A]] or [[B]].")
+
+# --- wording of this library: feedback of the iterative augmentation (U10) ---
+FEEDBACK_MISSING = {"no_code": "The reply has no code block.", "no_task": "The reply has no task block.",
+                    "no_solution": "The reply has no solution block.", "no_final_answer": "The solution has no final answer."}
+FEEDBACK_MISMATCH = "The code does not print the solution's answer."
+FEEDBACK_NOVELTY = "The novelty of this one is {score} of 10. Write a more novel one."

@@ -95,26 +95,33 @@ def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Ca
 
 
 def score_tokens(df: DataFrame, id_col: str, prompt_col: str, answer_col: str,
-                 fn_factory: Callable[[], Callable[[str, str], tuple[list[str], list[float]]]]) -> DataFrame:
+                 fn_factory: Callable[[], Callable[[str, str], tuple[list[str], list[float]]]], keep: Sequence[str] = ()) -> DataFrame:
     """Tokens and per-token log-probs of the answer given the prompt from a
-    caller's scorer; metrics (M16, M19, ...) are then native array functions."""
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("tokens", T.ArrayType(T.StringType())),
+    caller's scorer; metrics (M16, M19, ...) are then native array functions.
+    ``keep`` columns travel along; a failing row has an error."""
+    carried = [id_col, *[c for c in keep if c != id_col]]
+    schema = T.StructType([*[df.schema[c] for c in carried], T.StructField("tokens", T.ArrayType(T.StringType())),
                            T.StructField("log_p", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
-    def part(it):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = fn_factory()
-        for pdf in it:
-            rows = []
-            for i, p, a in zip(pdf[id_col], pdf[prompt_col].fillna(""), pdf[answer_col].fillna("")):
+        for batch in batches:
+            tokens, scores, errors = [], [], []
+            for p, a in zip(batch.column("_prompt").to_pylist(), batch.column("_answer").to_pylist(), strict=True):
                 try:
-                    toks, lps = fn(p, a)
-                    rows.append((i, list(toks), [float(x) for x in lps], None))
-                except Exception as ex:  # noqa: BLE001
-                    rows.append((i, None, None, f"{type(ex).__name__}: {ex}"))
-            yield pd.DataFrame(rows, columns=[id_col, "tokens", "log_p", "error"])
-
-    return df.select(id_col, prompt_col, answer_col).mapInPandas(part, schema)
+                    toks, lps = fn(p or "", a or "")
+                    tokens.append([str(t) for t in toks])
+                    scores.append([float(x) for x in lps])
+                    errors.append(None)
+                except Exception as ex:  # noqa: BLE001 - a row-level failure is data
+                    tokens.append(None)
+                    scores.append(None)
+                    errors.append(f"{type(ex).__name__}: {ex}")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(tokens, pa.list_(pa.string())),
+                                              pa.array(scores, pa.list_(pa.float64())), pa.array(errors, pa.string())], [*carried, "tokens", "log_p", "error"])
+
+    return df.select(*carried, F.col(prompt_col).cast("string").alias("_prompt"), F.col(answer_col).cast("string").alias("_answer")) \
+        .mapInArrow(part, schema)
 
 
 def run_programs(df: DataFrame, code_col: str, runner_factory: Callable[[], Callable[[str, float], str]],

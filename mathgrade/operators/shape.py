@@ -209,6 +209,24 @@ def tag(df: DataFrame, **consts) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in consts.items()})
 
 
+def attach_metadata(rows: DataFrame, candidates: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
+    """Candidate columns (source, level, code, novelty, difficulty) on evaluation rows; rows without a
+    candidate keep NULLs. Columns the rows have already are taken from the candidate."""
+    return rows.drop(*[c for c in columns if c != on]).join(candidates.select(on, *columns), on, "left")
+
+
+def rows_at(df: DataFrame, order: Sequence[str], positions: Column, name: str = "position") -> DataFrame:
+    """Rows by position in ``order`` (unique); ``positions`` is a condition on the position column."""
+    return ranks.global_index(df, order, name).filter(positions)
+
+
+def full_test_set(df: DataFrame, id_col: str, answer: str) -> DataFrame:
+    """Every problem with its position (``original_id``) and its extracted
+    solution (A9), ordered by position."""
+    from ..functions.answers import hash_text
+    return ranks.global_index(df, [id_col], "original_id").withColumn("solution", hash_text(answer)).orderBy("original_id")
+
+
 def intersect_ids(*frames: DataFrame) -> DataFrame:
     """Ids present in every frame (distinct)."""
     return reduce(lambda a, b: a.intersect(b), [f.select(f.columns[0]) for f in frames])

@@ -1,5 +1,6 @@
-"""End-to-end plans built from the operators: evaluate with k attempts
-and the level-by-level augmentation chain (U9)."""
+"""End-to-end plans built from the operators: evaluate with k attempts (U11),
+the level-by-level augmentation chain (U9), the feedback loop (U10, U13) and
+the hard-question pipeline (U12)."""
 
 from __future__ import annotations
 
@@ -8,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import grading as G
+from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import aggregate as AG
 from ..operators import inference as INF
 from ..operators import metrics as M
+from ..operators import shape as SH
+from ..operators import training as TR
 from ..session import ensure_checkpoint_dir
 
 
@@ -69,3 +73,65 @@ def augment_chain(spark: SparkSession, sources: DataFrame, id_col: str, text_col
         cur = best.select("source_idx", F.concat(F.lit("<task>"), F.col("task"), F.lit("</task>")).alias("current"))
     union = (lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(union(xs[1:])))
     return union(best_all), union(all_all)
+
+
+def feedback_loop(df: DataFrame, id_col: str, prompt_col: str, iterations: int, augmenter_factory, runner_factory,
+                  solver_factory, novelty_samples: int = 4) -> DataFrame:
+    """A conversation per source. Each iteration sends the conversation
+    (ChatML), appends the reply and then either what is wrong with it or its
+    novelty score, and keeps every valid sample. Returns id, messages and
+    samples (array of iteration, task, solution, code, final_answer, novelty).
+    Model calls are checkpointed as they are made."""
+    ensure_checkpoint_dir(df.sparkSession)
+    turn = "array<struct<role:string,content:string>>"
+    sample = "array<struct<iteration:int,task:string,solution:string,code:string,final_answer:bigint,novelty:double>>"
+    cur = df.select(id_col, F.array(F.struct(F.lit("user").alias("role"), F.col(prompt_col).alias("content"))).cast(turn).alias("messages"),
+                    F.array().cast(sample).alias("samples"))
+    for i in range(1, iterations + 1):
+        ask = cur.withColumn("_p", TR.chatml("messages"))
+        gen = INF.generate(ask, id_col, "_p", 1, augmenter_factory, keep=["messages", "samples"]).drop("sample_number", "attempts")
+        got = gen.withColumn("b", TX.extract_blocks_greedy(F.coalesce("completion", F.lit("")))).select("*", "b.*").drop("b")
+        got = INF.check_program(got, "code", "solution", runner_factory).checkpoint(eager=True)
+        valid = F.col("reason").isNull() & F.col("is_correct")
+        ok = got.filter(valid).select(id_col, F.col("task").alias("_q"), F.col("final_answer").cast("double").alias("_e"))
+        answers = INF.generate(ok, id_col, "_q", novelty_samples, solver_factory, keep=["_e"])
+        graded = answers.withColumn("correct", G.any_number("completion", "_e"))
+        novelty = M.novelty_by_failure(graded, novelty_samples, keys=(id_col,))
+        got = got.join(novelty, id_col, "left")
+        missing = F.create_map(*[F.lit(x) for kv in P.FEEDBACK_MISSING.items() for x in kv])
+        feedback = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("reason").isNotNull(), F.try_element_at(missing, "reason")) \
+            .when(~F.col("is_correct"), F.lit(P.FEEDBACK_MISMATCH)) \
+            .otherwise(F.replace(F.lit(P.FEEDBACK_NOVELTY), F.lit("{score}"), F.format_number(F.col("novelty") * 10, 1)))
+        more = F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce("completion", F.lit("")).alias("content")),
+                       F.struct(F.lit("user").alias("role"), feedback.alias("content"))).cast(turn)
+        one = F.array(F.struct(F.lit(i).alias("iteration"), "task", "solution", "code", "final_answer", "novelty")).cast(sample)
+        cur = got.select(id_col, F.concat("messages", more).alias("messages"),
+                         F.when(valid, F.concat("samples", one)).otherwise(F.col("samples")).alias("samples")).checkpoint(eager=True)
+    return cur
+
+
+def flatten_samples(loop: DataFrame, id_col: str, runner_factory) -> DataFrame:
+    """One row per kept sample of the feedback loop with a re-checked ``is_correct``."""
+    rows = loop.select(id_col, F.explode("samples").alias("s")).select(id_col, "s.*")
+    return INF.check_program(rows, "code", "solution", runner_factory).drop("run_error")
+
+
+def hard_questions(df: DataFrame, id_col: str, question: str, answer: str, scorer_factory, augmenter_factory, verifier_factory,
+                   augment_prompt: str, verify_prompt: str, min_perplexity: float) -> tuple[DataFrame, DataFrame]:
+    """Questions whose answer is improbable (perplexity above the bar) are
+    made harder (T8), judged (U7), and the accepted ones scored again. Returns
+    (accepted with perplexity, rejected); each step's calls are checkpointed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    scored = INF.score_tokens(df, id_col, question, answer, scorer_factory, keep=[question, answer])
+    hard = scored.withColumn("perplexity", M.perplexity("log_p")).filter(F.col("perplexity") > F.lit(min_perplexity)) \
+        .select(id_col, F.col(question).alias("original_question"), F.col(answer).alias("original_answer"))
+    ask = hard.withColumn("_p", TX.render_prompt(augment_prompt, question="original_question", answer="original_answer"))
+    gen = INF.generate(ask, id_col, "_p", 1, augmenter_factory, keep=["original_question", "original_answer"])
+    qa = TX.harder_question_answer("completion")
+    pairs = gen.select(id_col, "original_question", "original_answer", qa["question"].alias("question"), qa["answer"].alias("answer")) \
+        .checkpoint(eager=True)
+    ask = pairs.withColumn("_p", TX.render_prompt(verify_prompt, question=F.coalesce("question", F.lit("")), answer=F.coalesce("answer", F.lit(""))))
+    judged = INF.judge(ask, id_col, "_p", verifier_factory, keep=pairs.columns).drop("completion", "verdict").checkpoint(eager=True)
+    _, accepted, rejected = SH.verdict_split(judged, F.col("verified") & F.col("question").isNotNull())
+    again = INF.score_tokens(accepted, id_col, "question", "answer", scorer_factory, keep=accepted.columns)
+    return again.withColumn("perplexity", M.perplexity("log_p")).drop("tokens", "log_p", "error"), rejected

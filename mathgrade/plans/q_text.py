@@ -78,14 +78,6 @@ def t02_extract_blocks_lenient(spark, sf_dir):
     return c.select("item_id", TX.extract_blocks_lenient("reply").alias("b")).select("item_id", "b.*")
 
 
-@register("t05_dedup_answer_tags")
-def t05_dedup_answer_tags(spark, sf_dir):
-    """T5: keep only the first answer tag inside each solution block (rows-only;
-    pytest checks the rewrite against a brute-force Python version)."""
-    c = candidates(spark, sf_dir)
-    return c.select("item_id", TX.dedup_answer_tags("reply").alias("reply"))
-
-
 T07_SQL = f"""WITH {S.QUESTIONS}
 SELECT question_id, regexp_replace(answer, '####\\s*(\\d+)', '\\\\boxed{{\\1}}', 'g') AS answer_boxed
 FROM questions"""

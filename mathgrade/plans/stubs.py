@@ -58,3 +58,56 @@ def refusing_solver_factory():
             raise RuntimeError("model refused")
         return [[f"The answer is {len(p)}" for _ in range(n)] for p in prompts]
     return fn
+
+
+def scorer_factory():
+    """Blank-separated tokens with log-probs from their lengths."""
+    def fn(prompt, answer):
+        tokens = answer.split(" ")
+        return tokens, [-((len(t) % 5) + 1) / 4 for t in tokens]
+    return fn
+
+
+def program_factory():
+    """Prints the prompt's last number, or one more than it if it is odd."""
+    def fn(prompts, n):
+        out = []
+        for p in prompts:
+            v = int(p.rsplit(" ", 1)[1])
+            out.append([f"<code>\n```python\nprint({v + v % 2})\n```\n</code>"] * n)
+        return out
+    return fn
+
+
+def repair_factory():
+    """Adds the missing solution to a reply sent as 'Repair: ...'."""
+    def fn(prompts, n):
+        return [[p.removeprefix("Repair: ") + "<solution>#### 1</solution>"] * n for p in prompts]
+    return fn
+
+
+def harder_factory():
+    """Answers 'Q: ...' with a harder question and its answer."""
+    def fn(prompts, n):
+        return [[f"Harder Question: Now twice. {p.removeprefix('Q: ')}\nHarder Answer: {len(p)}"] * n for p in prompts]
+    return fn
+
+
+def verifier_factory():
+    """Accepts prompts whose length is not divisible by 3."""
+    def fn(prompts, n):
+        return [[f"Checked. Verification Result: {bool(len(p) % 3)} [[{'AB'[len(p) % 2]}]]"] * n for p in prompts]
+    return fn
+
+
+def tagged_augmenter_factory():
+    """For a conversation: the first reply lacks a solution, later ones are complete; every second one prints the
+    right number."""
+    def fn(prompts, n):
+        out = []
+        for p in prompts:
+            turn = p.count("<|im_start|>assistant") - 1
+            sol = "" if turn == 0 else f"<solution>Add.\n#### {turn + 3}</solution>"
+            out.append([f"<task>Task {turn}</task>{sol}<code>```python\nprint({turn + 3 + (turn % 2 == 0)})\n```</code>"] * n)
+        return out
+    return fn
