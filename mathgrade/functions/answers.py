@@ -151,7 +151,7 @@ def boxed_int(text) -> Column:
     The fourth pattern has no group; its match can never be an integer (Q6)."""
     t = _col(text)
     outs = [F.when(_group(t, p, 1).rlike(r"^\d+$"), _group(t, p, 1).try_cast("bigint"))
-            for p in P.BOXED_INT_LIST[:3]]
+            for p in P.BOXED_INT_LIST]
     return F.coalesce(*outs)
 
 

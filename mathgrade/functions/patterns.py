@@ -8,7 +8,6 @@ uses them unchanged.
 """
 
 # --- fixed values: number shapes ------------------------------------------
-NUM_SIGNED = r"[+-]?\d+(?:\.\d+)?"
 NUM_ANY = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
 
 # --- fixed values: A1 tag-or-hash (groups 1, 2) ----------------------------
@@ -48,12 +47,11 @@ HYBRID_LIST = [
 ]
 HYBRID_TAIL = r"\b(-?\d+(?:\.\d+)?)\b"
 
-# --- fixed values: A6 boxed integer list, group 1 (the fourth has none) ----
+# --- fixed values: A6 boxed integer list, group 1 (a fourth one has no group and never gives an integer) ----
 BOXED_INT_LIST = [
     r"\\\(\s*\\boxed\{(\d+)\}\s*\\\)",
     r"\[[\s\S]*?\\boxed\{(\d+)\}[\s\S]*?\]",
     r"\\boxed\{(\d+)\}",
-    r"\{\{\d\}\}",
 ]
 
 # --- fixed values: A7 / A9 hash number, A8 hash-or-phrase-or-boxed ---------
@@ -108,6 +106,15 @@ REASON_LOW_NOVELTY = "too_low_novelty"
 REASON_LOW_DIFFICULTY = "too_low_difficulty"
 REASON_FEW_STEPS = "too_few_steps"
 
+# --- fixed values: error categories and their limits (T22, T23) --------------
+ERROR_NONE, ERROR_CALCULATION, ERROR_INCOMPLETE, ERROR_APPROACH, ERROR_OTHER = (
+    "No Answer", "Calculation Error", "Incomplete Answer", "Wrong Approach", "Other Error")
+ERROR2_NONE, ERROR2_INCOMPLETE, ERROR2_CALCULATION, ERROR2_OTHER = "No answer", "Incomplete", "Calc error", "Other"
+LONG_REASONING, SHORT_ANSWER = 200, 150
+
+# --- fixed values: closing sentence of training answers (D1) -----------------
+FINAL_SENTENCE, FINAL_SENTENCE_END = "\n\nThe final answer is: <answer> ", " </answer>"
+
 # --- wording of this library: pairwise judge (T11) ---------------------------
 JUDGE_TEMPLATE = ("Compare two answers to one question. Judge correctness first, then clarity.\nQuestion: {question}\n"
                   "Answer A: {answer_a}\nAnswer B: {answer_b}\nEnd with [[A]] or [[B]].")

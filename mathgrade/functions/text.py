@@ -257,21 +257,21 @@ def error_category_v1(prediction) -> Column:
     """No Answer / Calculation Error / Incomplete Answer / Wrong Approach / Other Error."""
     p = _col(prediction)
     lo = F.lower(p)
-    return (F.when(p.isNull(), F.lit("No Answer"))
-            .when(lo.contains(P.THINK_PHRASE) & (F.length(p) > 200) & _matches(lo, P.FINAL_PHRASE),
-                  F.lit("Calculation Error"))
-            .when(F.length(p) < 150, F.lit("Incomplete Answer"))
-            .when(lo.contains("approach") & lo.contains("instead"), F.lit("Wrong Approach"))
-            .otherwise(F.lit("Other Error")))
+    return (F.when(p.isNull(), F.lit(P.ERROR_NONE))
+            .when(lo.contains(P.THINK_PHRASE) & (F.length(p) > P.LONG_REASONING) & _matches(lo, P.FINAL_PHRASE),
+                  F.lit(P.ERROR_CALCULATION))
+            .when(F.length(p) < P.SHORT_ANSWER, F.lit(P.ERROR_INCOMPLETE))
+            .when(lo.contains("approach") & lo.contains("instead"), F.lit(P.ERROR_APPROACH))
+            .otherwise(F.lit(P.ERROR_OTHER)))
 
 
 def error_category_v2(prediction) -> Column:
     """No answer / Incomplete (< 150 chars) / Calc error / Other."""
     p = _col(prediction)
-    return (F.when(p.isNull(), F.lit("No answer"))
-            .when(F.length(p) < 150, F.lit("Incomplete"))
-            .when(_matches(p, P.ANSWER_IS_WORD), F.lit("Calc error"))
-            .otherwise(F.lit("Other")))
+    return (F.when(p.isNull(), F.lit(P.ERROR2_NONE))
+            .when(F.length(p) < P.SHORT_ANSWER, F.lit(P.ERROR2_INCOMPLETE))
+            .when(_matches(p, P.ANSWER_IS_WORD), F.lit(P.ERROR2_CALCULATION))
+            .otherwise(F.lit(P.ERROR2_OTHER)))
 
 
 def candidate_reason(is_correct, novelty, difficulty=None, min_novelty: float = 0.0,

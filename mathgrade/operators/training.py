@@ -33,7 +33,7 @@ def _col(c) -> Column:
 def chat_example(task, solution, system_prompt: str) -> Column:
     """System / user = task / assistant = solution + final-answer line."""
     final = last_line_number(solution)
-    assistant = F.concat(strip(solution), F.lit("\n\nThe final answer is: <answer> "), final, F.lit(" </answer>"))
+    assistant = F.concat(strip(solution), F.lit(P.FINAL_SENTENCE), final, F.lit(P.FINAL_SENTENCE_END))
     return messages(system_prompt, task, assistant)
 
 

@@ -6,7 +6,7 @@ query's work grows with the input:
 
 * ``samples``   - lineitem rows are sampled completions (question = order,
   sample number = line number); the completion text is rendered from the
-  line's numbers in one of seven answer styles; the reference answer and the
+  line's numbers in seven answer styles of two forms each; the reference answer and the
   difficulty level come from the order.
 * ``token_logits`` - embeddings rows are next-token logit vectors.
 * ``doc_features`` - documents with quality labels as a text/outcome table.
@@ -28,27 +28,56 @@ def _s(c: Column) -> Column:
 
 
 def sample_value(qty: Column) -> Column:
-    """The number a sample writes as its answer (0..9)."""
+    """The digit a sample's answer is made of (0..9)."""
     return F.floor(qty).cast("bigint") % 10
 
 
 def reference_value(totalprice: Column) -> Column:
-    """The reference answer of a question (0..9)."""
+    """The digit a question's reference answer is made of (0..9)."""
     return F.floor(totalprice).cast("bigint") % 10
 
 
-def completion_text(linenumber: Column, value: Column, discount: Column) -> Column:
-    """Render a completion in one of seven answer styles chosen by line number."""
+def shown(question_id: Column, digit: Column) -> Column:
+    """The answer as written: plain, negative, with decimals, with a thousands
+    comma or with a trailing zero, by question."""
+    d, form = _s(digit), question_id % 6
+    return (F.when(form == 1, F.concat(F.lit("-"), d)).when(form == 2, F.concat(d, F.lit(".5"))).when(form == 3, F.concat(F.lit("1,00"), d))
+            .when(form == 4, F.concat(d, F.lit(".0"))).otherwise(d))
+
+
+def number(question_id: Column, digit: Column) -> Column:
+    """The number that ``shown`` writes."""
+    d, form = digit.cast("double"), question_id % 6
+    return F.when(form == 1, -d).when(form == 2, d + 0.5).when(form == 3, d + 1000).otherwise(d)
+
+
+#: Text without numbers that makes some completions long.
+FILLER = ("We look at every part of the problem in turn, write down what is given and what is asked, "
+          "and then combine the parts with care until only one number is left to report. ")
+
+
+def completion_text(question_id: Column, linenumber: Column, digit: Column, discount: Column) -> Column:
+    """Render a completion: seven answer styles by line number, each in two
+    forms (tags with blanks, two candidates, units and percent, annotated
+    calculations, fractions, long reasoning, a change of approach)."""
     d = _s(F.round(discount * 100).cast("bigint"))
-    v = _s(value)
+    v, two = shown(question_id, digit), question_id % 2 == 1
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     return (
-        F.when(linenumber == 1, F.concat(F.lit("We add the parts. <answer>"), v, F.lit("</answer>")))
-        .when(linenumber == 2, F.concat(F.lit("Step 1: "), d, F.lit(" items.\n#### "), v))
-        .when(linenumber == 3, F.concat(F.lit("So the total is found. The final answer is: "), v))
-        .when(linenumber == 4, F.concat(F.lit("Thus \\boxed{"), v, F.lit("}")))
-        .when(linenumber == 5, F.concat(F.lit("\\boxed{\\frac{"), _s(value * 2), F.lit("}{2}}")))
-        .when(linenumber == 6, F.concat(F.lit("The answer is "), v, F.lit(".")))
-        .otherwise(F.concat(F.lit("I could not finish after "), d, F.lit(" steps.")))
+        F.when((linenumber == 1) & ~two, text("We add the parts. <answer>", v, "</answer>"))
+        .when(linenumber == 1, text("First we add, next we check. <answer> ", v, " </answer> Not ", d, " then."))
+        .when((linenumber == 2) & ~two, text("Step 1: ", d, " items.\n#### ", v))
+        .when(linenumber == 2, text("Step 1: <<", d, "*2=", _s(F.round(discount * 200).cast("bigint")), ">> double. Step 2: stop.\n#### ", v, "\nChecked."))
+        .when((linenumber == 3) & ~two, text("So the total is found. The final answer is: ", v))
+        .when(linenumber == 3, text("Let's think step by step. ", FILLER, FILLER, "The final answer is ", v))
+        .when((linenumber == 4) & ~two, text("Thus \\boxed{", v, "}"))
+        .when(linenumber == 4, text("Thus \\boxed {", v, "} or \\(\\boxed{", d, "}\\)"))
+        .when((linenumber == 5) & ~two, text("\\boxed{\\frac{", _s(digit * 2), "}{2}}"))
+        .when(linenumber == 5, text("\\boxed{\\frac{", _s(digit), "}{4}}"))
+        .when((linenumber == 6) & ~two, text("The answer is ", v, "."))
+        .when(linenumber == 6, text("The answer is ", v, " apples, up ", d, "%."))
+        .when((linenumber == 7) & two, text(FILLER, "Another approach: count instead. Answer: ", d, " dollars\nAnswer: ", v))
+        .otherwise(text("I could not finish after ", d, " steps."))
     )
 
 
@@ -56,12 +85,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per question: id, level 1..5, numeric reference answer and a
     worked reference solution ending in '#### n'."""
     o = table(spark, sf_dir, "orders")
-    ref = reference_value(F.col("o_totalprice"))
+    digit = reference_value(F.col("o_totalprice"))
     return o.select(
         F.col("o_orderkey").alias("question_id"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("level"),
-        ref.cast("double").alias("expected_answer"),
-        F.concat(F.lit("Order status "), F.col("o_orderstatus"), F.lit(".\n#### "), _s(ref)).alias("answer"),
+        number(F.col("o_orderkey"), digit).alias("expected_answer"),
+        F.concat(F.lit("Order status "), F.col("o_orderstatus"), F.lit(".\n#### "), shown(F.col("o_orderkey"), digit)).alias("answer"),
     )
 
 
@@ -72,7 +101,7 @@ def raw_samples(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("question_id"),
         F.col("l_linenumber").alias("sample_number"),
-        completion_text(F.col("l_linenumber"), v, F.col("l_discount")).alias("completion"),
+        completion_text(F.col("l_orderkey"), F.col("l_linenumber"), v, F.col("l_discount")).alias("completion"),
         *extra,
     )
 

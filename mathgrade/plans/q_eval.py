@@ -72,7 +72,8 @@ _a_query("a09_hash_text", A.hash_text,
          "nullif(replace(" + S.grp("completion", P.HASH_NUMBER, 1) + ", ',', ''), '')", kind="str")
 _a_query("a10_hash_digits", A.hash_digits, S.grp("completion", P.HASH_DIGITS, 1), kind="str")
 _a_query("a12_hash_rest_int", A.hash_rest_int,
-         f"TRY_CAST({S.strip_sql(S.grp('completion', P.HASH_REST_OF_LINE, 1))} AS BIGINT)", kind="int")
+         f"CASE WHEN regexp_full_match({S.strip_sql(S.grp('completion', P.HASH_REST_OF_LINE, 1))}, '[+-]?\\d+') "
+         f"THEN TRY_CAST({S.strip_sql(S.grp('completion', P.HASH_REST_OF_LINE, 1))} AS BIGINT) END", kind="int")
 _a_query("a14_after_last_hashes", A.after_last_hashes, S.strip_sql("string_split(completion, '####')[-1]"),
          kind="str")
 _a_query("a16_after_last_answer_marker", A.after_last_answer_marker,
@@ -130,7 +131,7 @@ GRADES_SQL = f"""{_pred_sql()}
 SELECT question_id, sample_number,
   {S.relative_sql('pred', 'expected_answer')} AS m05_relative,
   coalesce(abs(pred - expected_answer) < 1e-6, false) AS m06_absolute,
-  coalesce(abs(pred - TRY_CAST(CAST(expected_answer AS BIGINT) AS VARCHAR)::DOUBLE) < 1e-2, false) AS m07_absolute_text,
+  coalesce(abs(pred - TRY_CAST(CAST(expected_answer AS VARCHAR) AS DOUBLE)) < 1e-2, false) AS m07_absolute_text,
   coalesce(pred = expected_answer, false) AS m08_exact,
   coalesce(round(pred, 3) = round(expected_answer, 3), false) AS m09_rounded,
   coalesce(list_bool_or(list_transform(regexp_extract_all(completion, {S.q(P.NUM_ANY)}),
@@ -147,7 +148,7 @@ def m05_grading_rules(spark, sf_dir):
         "question_id", "sample_number",
         G.relative("pred", "expected_answer").alias("m05_relative"),
         G.absolute("pred", "expected_answer").alias("m06_absolute"),
-        G.absolute_text_reference("pred", F.col("expected_answer").cast("bigint").cast("string")).alias("m07_absolute_text"),
+        G.absolute_text_reference("pred", F.col("expected_answer").cast("string")).alias("m07_absolute_text"),
         G.exact("pred", "expected_answer").alias("m08_exact"),
         G.rounded("pred", "expected_answer").alias("m09_rounded"),
         G.any_number("completion", "expected_answer").alias("m10_any_number"),
@@ -221,7 +222,7 @@ def m12_novelty_by_failure(spark, sf_dir):
 
 
 VOTING_SQL = f"""{_pred_sql()},
-a AS (SELECT question_id, CAST(pred AS VARCHAR) AS answer FROM p),
+a AS (SELECT question_id, CAST(pred + 0 AS VARCHAR) AS answer FROM p),
 c AS (SELECT question_id, answer, count(*) AS cnt FROM a GROUP BY ALL),
 t AS (SELECT question_id, sum(cnt) AS total, count(*) AS k FROM c GROUP BY question_id)
 SELECT question_id, t.k AS answer_diversity,

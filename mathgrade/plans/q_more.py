@@ -401,3 +401,65 @@ def u12_hard_questions(spark, sf_dir):
     ok, _ = AU.hard_questions(b, "item_id", "question", "answer", stubs.scorer_factory, stubs.harder_factory, stubs.verifier_factory,
                               "Q: {answer}", "Check: {question} = {answer}", 2.0)
     return rounded(ok.select("item_id", "question", "answer", "perplexity"))
+
+
+T21_SQL = f"""WITH {S.RAW_SAMPLES}
+SELECT question_id, sample_number, CAST(len(regexp_extract_all(completion, {S.q(P.ANNOTATED_CALC)})) AS BIGINT) AS annotated_calcs,
+  {q_text._steps_sql('completion')} AS step_count_v1, {q_text._steps_sql('completion', True)} AS step_count_v2,
+  CASE WHEN sample_number = 7 AND question_id % 3 = 0 THEN 'No Answer'
+       WHEN contains(lower(completion), {S.q(P.THINK_PHRASE)}) AND length(completion) > 200 AND regexp_matches(lower(completion), {S.q(P.FINAL_PHRASE)}) THEN 'Calculation Error'
+       WHEN length(completion) < 150 THEN 'Incomplete Answer'
+       WHEN contains(lower(completion), 'approach') AND contains(lower(completion), 'instead') THEN 'Wrong Approach'
+       ELSE 'Other Error' END AS error_v1,
+  CASE WHEN sample_number = 7 AND question_id % 3 = 0 THEN 'No answer' WHEN length(completion) < 150 THEN 'Incomplete'
+       WHEN regexp_matches(completion, {S.q(P.ANSWER_IS_WORD)}) THEN 'Calc error' ELSE 'Other' END AS error_v2
+FROM raw_samples"""
+
+
+@register("t21_completion_features", T21_SQL)
+def t21_completion_features(spark, sf_dir):
+    """T18, T19, T21-T23 over all completions (some missing)."""
+    r = dt.raw_samples(spark, sf_dir)
+    some = F.when(~((F.col("sample_number") == 7) & (F.col("question_id") % 3 == 0)), F.col("completion"))
+    return r.withColumn("p", some).select(
+        "question_id", "sample_number", TX.annotated_calc_count("completion").cast("bigint").alias("annotated_calcs"),
+        TX.step_count_v1("completion").cast("bigint").alias("step_count_v1"), TX.step_count_v2("completion").cast("bigint").alias("step_count_v2"),
+        TX.error_category_v1("p").alias("error_v1"), TX.error_category_v2("p").alias("error_v2"))
+
+
+M24_SQL = f"""WITH t AS (SELECT vec_id, len(embedding) - CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 0 END AS n, {S.EMB_LOGP} AS lp FROM embeddings WHERE vec_id % 8 < 2)
+SELECT vec_id, CAST(i AS INTEGER) AS position, 'tok' || CAST(i AS VARCHAR) AS token, round(lp[i + 1], 6) AS logprob, round(exp(lp[i + 1]), 6) AS prob,
+  n <> len(lp) AS length_mismatch FROM (SELECT *, unnest(range(n)) AS i FROM t)"""
+
+
+@register("m24_question_tokens", M24_SQL)
+def m24_question_tokens(spark, sf_dir):
+    """Token tables of chosen questions; rows whose arrays differ in length are flagged and stop at the shorter."""
+    e = dt.table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 8 < 2)
+    toks = F.transform("embedding", lambda x, i: F.concat(F.lit("tok"), i.cast("string")))
+    e = e.select("vec_id", F.slice(toks, F.lit(1), F.size("embedding") - F.when(F.col("vec_id") % 4 == 0, 2).otherwise(0)).alias("tokens"),
+                 F.transform("embedding", lambda x: -F.abs(x.cast("double"))).alias("logp"))
+    return rounded(M.token_details(e, ["vec_id"], "tokens", None, "logp"))
+
+
+M18B_SQL = """WITH z AS (SELECT vec_id, list_transform(range(4), lambda k: list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda x: CAST(x AS DOUBLE) * 4)) AS zs,
+    list_transform(range(5), lambda i: (vec_id * 7 + i * 3) % 18) AS ids, vec_id % 3 AS np FROM embeddings),
+p AS (SELECT vec_id, unnest(range(greatest(np, 1), 5)) AS i, zs, ids FROM z),
+t AS (SELECT vec_id, i, zs[i] AS z, ids[i + 1] AS tok FROM p),
+l AS (SELECT *, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) AS lse FROM t)
+SELECT vec_id, CAST(count(*) AS INTEGER) AS n_tokens, round(sum(CASE WHEN tok < 16 THEN z[tok + 1] - lse END), 6) AS logp_sum,
+  round(avg(-list_sum(list_transform(z, lambda x: exp(x - lse) * ln(exp(x - lse) + 1e-12)))), 6) AS mean_entropy FROM l GROUP BY vec_id"""
+
+
+@register("m18b_sequence_scores", M18B_SQL)
+def m18b_sequence_scores(spark, sf_dir):
+    """M18/M19 over a token sequence: targets shifted by one, the prompt
+    masked, targets outside the vocabulary NULL, mean entropy."""
+    e = dt.table(spark, sf_dir, "embeddings")
+    zs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, F.lit(16)), lambda x: x.cast("double") * 4))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((F.col("vec_id") * 7 + i * 3) % 18).cast("int"))
+    s = M.sequence_scores("zs", "ids", (F.col("vec_id") % 3).cast("int"))
+    x = e.select("vec_id", zs.alias("zs"), ids.alias("ids")).select("vec_id", s.alias("s"))
+    total = F.aggregate(F.filter("s.logp", lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
+    return rounded(x.select("vec_id", F.col("s.n_tokens").alias("n_tokens"),
+                            F.when(F.exists("s.logp", lambda v: v.isNotNull()), total).alias("logp_sum"), F.col("s.mean_entropy").alias("mean_entropy")))

@@ -394,24 +394,22 @@ FROM (SELECT * FROM pick UNION ALL SELECT * FROM base)"""
 
 @register("j10_matched_evaluation_set", J10_SQL)
 def j10_matched_evaluation_set(spark, sf_dir):
-    """Ids common to all variant tables and the base set; one seeded
-    variant per id and difficulty; '#### n' solution extracted (A9)."""
+    """Ids common to all variant tables and the base set; one seeded
+    variant per id and difficulty; '#### n' solution extracted (A9). One
+    aggregate per id picks the variants of all difficulties, one join adds the
+    base question."""
     v = _variants(spark, sf_dir)
-    o = dt.table(spark, sf_dir, "orders")
-    ids = [v.filter(F.col("difficulty") == d).select("original_id") for d in ("easy", "medium", "hard")]
-    common = SH.intersect_ids(*ids, o.select(F.col("o_orderkey").alias("original_id")))
-    vv = SH.semi(v, common, "original_id")
-    pick = SH.first_per_group(vv.select("original_id", "difficulty", "question", "answer", "l_linenumber", "l_partkey"),
-                              ["original_id", "difficulty"],
-                              F.struct(F.md5(F.concat_ws("|", F.lit("42"), F.col("l_linenumber").cast("string"),
-                                                         F.col("l_partkey").cast("string"))),
-                                       F.col("l_linenumber"), F.col("l_partkey"), F.col("answer")))
-    base = SH.semi(o, common.select(F.col("original_id").alias("o_orderkey")), "o_orderkey").select(
-        F.col("o_orderkey").alias("original_id"), F.lit("base").alias("difficulty"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" total?")).alias("question"),
+    pick = F.struct(F.md5(F.concat_ws("|", F.lit("42"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))),
+                    "l_linenumber", "l_partkey", "answer", "question")
+    names = ("easy", "medium", "hard")
+    per = v.groupBy("original_id").agg(*[F.min(F.when(F.col("difficulty") == d, pick)).alias(d) for d in names]).dropna(subset=list(names))
+    o = dt.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("original_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" total?")).alias("question"),
         F.concat(F.lit("Add up.\n#### "), F.format_number(F.floor("o_totalprice"), 0)).alias("answer"))
-    allp = SH.union_all([pick.select("original_id", "difficulty", "question", "answer"), base])
-    return allp.withColumn("solution", A.hash_text("answer"))
+    rows = F.array(F.struct(F.lit("base").alias("difficulty"), "question", "answer"),
+                   *[F.struct(F.lit(d).alias("difficulty"), F.col(f"{d}.question").alias("question"), F.col(f"{d}.answer").alias("answer")) for d in names])
+    out = per.join(o, "original_id").select("original_id", F.explode(rows).alias("r")).select("original_id", "r.*")
+    return out.withColumn("solution", A.hash_text("answer"))
 
 
 # --------------------------------------------------------------------------

@@ -4,6 +4,7 @@ oracle queries. Each is a CTE body over the pre-registered driver tables."""
 from __future__ import annotations
 
 from ..functions import patterns as P
+from .driver_tables import FILLER
 
 
 def q(s: str) -> str:
@@ -19,21 +20,44 @@ def dbl(x: str) -> str:
     return f"TRY_CAST({x} AS DOUBLE)"
 
 
-COMPLETION = """CASE l_linenumber
-  WHEN 1 THEN concat('We add the parts. <answer>', CAST(floor(l_quantity)::BIGINT % 10 AS VARCHAR), '</answer>')
-  WHEN 2 THEN concat('Step 1: ', CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), ' items.' || chr(10) || '#### ', CAST(floor(l_quantity)::BIGINT % 10 AS VARCHAR))
-  WHEN 3 THEN concat('So the total is found. The final answer is: ', CAST(floor(l_quantity)::BIGINT % 10 AS VARCHAR))
-  WHEN 4 THEN concat('Thus \\boxed{', CAST(floor(l_quantity)::BIGINT % 10 AS VARCHAR), '}')
-  WHEN 5 THEN concat('\\boxed{\\frac{', CAST((floor(l_quantity)::BIGINT % 10) * 2 AS VARCHAR), '}{2}}')
-  WHEN 6 THEN concat('The answer is ', CAST(floor(l_quantity)::BIGINT % 10 AS VARCHAR), '.')
-  ELSE concat('I could not finish after ', CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), ' steps.')
+def shown_sql(question_id: str, digit: str) -> str:
+    d = f"CAST({digit} AS VARCHAR)"
+    return (f"CASE {question_id} % 6 WHEN 1 THEN '-' || {d} WHEN 2 THEN {d} || '.5' WHEN 3 THEN '1,00' || {d} "
+            f"WHEN 4 THEN {d} || '.0' ELSE {d} END")
+
+
+def number_sql(question_id: str, digit: str) -> str:
+    d = f"CAST({digit} AS DOUBLE)"
+    return f"CASE {question_id} % 6 WHEN 1 THEN -{d} WHEN 2 THEN {d} + 0.5 WHEN 3 THEN {d} + 1000 ELSE {d} END"
+
+
+_DIGIT, _REF = "(floor(l_quantity)::BIGINT % 10)", "(floor(o_totalprice)::BIGINT % 10)"
+_V = f"({shown_sql('l_orderkey', _DIGIT)})"
+_D = "CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR)"
+_FILL = q(FILLER)
+
+COMPLETION = f"""CASE
+  WHEN l_linenumber = 1 AND l_orderkey % 2 = 0 THEN concat('We add the parts. <answer>', {_V}, '</answer>')
+  WHEN l_linenumber = 1 THEN concat('First we add, next we check. <answer> ', {_V}, ' </answer> Not ', {_D}, ' then.')
+  WHEN l_linenumber = 2 AND l_orderkey % 2 = 0 THEN concat('Step 1: ', {_D}, ' items.' || chr(10) || '#### ', {_V})
+  WHEN l_linenumber = 2 THEN concat('Step 1: <<', {_D}, '*2=', CAST(CAST(round(l_discount * 200) AS BIGINT) AS VARCHAR), '>> double. Step 2: stop.' || chr(10) || '#### ', {_V}, chr(10) || 'Checked.')
+  WHEN l_linenumber = 3 AND l_orderkey % 2 = 0 THEN concat('So the total is found. The final answer is: ', {_V})
+  WHEN l_linenumber = 3 THEN concat('Let''s think step by step. ', {_FILL}, {_FILL}, 'The final answer is ', {_V})
+  WHEN l_linenumber = 4 AND l_orderkey % 2 = 0 THEN concat('Thus \\boxed{{', {_V}, '}}')
+  WHEN l_linenumber = 4 THEN concat('Thus \\boxed {{', {_V}, '}} or \\(\\boxed{{', {_D}, '}}\\)')
+  WHEN l_linenumber = 5 AND l_orderkey % 2 = 0 THEN concat('\\boxed{{\\frac{{', CAST({_DIGIT} * 2 AS VARCHAR), '}}{{2}}}}')
+  WHEN l_linenumber = 5 THEN concat('\\boxed{{\\frac{{', CAST({_DIGIT} AS VARCHAR), '}}{{4}}}}')
+  WHEN l_linenumber = 6 AND l_orderkey % 2 = 0 THEN concat('The answer is ', {_V}, '.')
+  WHEN l_linenumber = 6 THEN concat('The answer is ', {_V}, ' apples, up ', {_D}, '%.')
+  WHEN l_linenumber = 7 AND l_orderkey % 2 = 1 THEN concat({_FILL}, 'Another approach: count instead. Answer: ', {_D}, ' dollars' || chr(10) || 'Answer: ', {_V})
+  ELSE concat('I could not finish after ', {_D}, ' steps.')
 END"""
 
-QUESTIONS = """questions AS (
+QUESTIONS = f"""questions AS (
   SELECT o_orderkey AS question_id,
          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS level,
-         CAST(floor(o_totalprice)::BIGINT % 10 AS DOUBLE) AS expected_answer,
-         concat('Order status ', o_orderstatus, '.' || chr(10) || '#### ', CAST(floor(o_totalprice)::BIGINT % 10 AS VARCHAR)) AS answer
+         {number_sql('o_orderkey', _REF)} AS expected_answer,
+         concat('Order status ', o_orderstatus, '.' || chr(10) || '#### ', {shown_sql('o_orderkey', _REF)}) AS answer
   FROM orders)"""
 
 RAW_SAMPLES = f"""raw_samples AS (
@@ -101,7 +125,7 @@ def hybrid_sql(t: str) -> str:
 
 
 def boxed_int_sql(t: str) -> str:
-    return "coalesce(" + ", ".join(f"TRY_CAST({grp(t, p, 1)} AS BIGINT)" for p in P.BOXED_INT_LIST[:3]) + ")"
+    return "coalesce(" + ", ".join(f"TRY_CAST({grp(t, p, 1)} AS BIGINT)" for p in P.BOXED_INT_LIST) + ")"
 
 
 EMB_LOGP = "list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE)))"

@@ -100,3 +100,57 @@ def test_array_operators_are_linear(spark):
 def test_hash_to_boxed_takes_digits_only(spark):
     df = spark.createDataFrame([("#### 5.",), ("#### 1,200",), ("a #### 12 b",)], "t string")
     assert [r.v for r in df.select(TX.hash_to_boxed("t").alias("v")).collect()] == ["\\boxed{5}.", "\\boxed{1},200", "a \\boxed{12} b"]
+
+
+def test_every_answer_branch_occurs(spark):
+    """The rendered completions reach every branch that the extraction, error and step queries have."""
+    import __spark_entry__ as e
+    sf, qs = "/root/testdata/sf0.01", e.queries()
+    from mathgrade.functions import patterns as P
+    from mathgrade.plans import driver_tables as dt
+    raw = dt.raw_samples(spark, sf).withColumn("c", F.replace("completion", F.lit(","), F.lit("")))
+    hits = raw.agg(*[F.count(F.when(F.regexp_extract("c", P.SIX_WAY, i) != "", 1)).alias(f"g{i}") for i in range(1, 8)],
+                   F.count(F.when(F.col("completion").contains("Answer:"), 1)).alias("marker"),
+                   F.count(F.when(F.col("completion").rlike(r"-\d"), 1)).alias("sign"), F.count(F.when(F.col("completion").rlike(r"\d\.\d"), 1)).alias("decimal"),
+                   F.count(F.when(F.col("completion").rlike(r"\d,\d"), 1)).alias("comma"), F.count(F.when(F.col("completion").contains("%"), 1)).alias("percent"),
+                   *[F.count(F.when(F.regexp_extract("completion", p, 1) != "", 1)).alias(f"b{i}") for i, p in enumerate(P.BOXED_INT_LIST) if i != 1]).first().asDict()
+    assert all(hits.values()), hits
+    t = qs["t21_completion_features"](spark, sf)
+    assert {r[0] for r in t.select("error_v1").distinct().collect()} >= {P.ERROR_NONE, P.ERROR_CALCULATION, P.ERROR_INCOMPLETE, P.ERROR_APPROACH}
+    assert {r[0] for r in t.select("error_v2").distinct().collect()} == {P.ERROR2_NONE, P.ERROR2_CALCULATION, P.ERROR2_INCOMPLETE, P.ERROR2_OTHER}
+    assert t.agg(F.sum("annotated_calcs"), F.countDistinct("step_count_v1")).first()[0] > 0
+    assert {r[0] for r in qs["m24_question_tokens"](spark, sf).select("length_mismatch").distinct().collect()} == {True, False}
+    assert {r.mean_novelty == "N/A" for r in qs["g10_dataset_summary"](spark, sf).collect()} == {True, False}
+
+
+def test_odd_groups_do_not_raise(spark):
+    """Constant values, empty tables and tiny groups give NULLs, not errors."""
+    from mathgrade.operators import aggregate as AG
+    from mathgrade.operators import stats as X
+    df = spark.createDataFrame([("a", 5.0, 1), ("a", 5.0, 0), ("b", 1.0, 1)], "g string, x double, y int")
+    empty = df.filter("false")
+    assert all(r.density is None for r in X.kde_grid(df, "x", ["g"], grid_points=5).collect())
+    assert {(r.g, r.y_hat) for r in X.local_linear(df, "x", "y", ["g"], grid_points=3).collect()} == {("a", 0.5), ("b", 1.0)}
+    assert X.accuracy_coverage(empty, "x", "y", 4).count() == 4
+    boot = {r.g: r for r in X.bootstrap_mean_ci(df, ["g"], "x", replicates=50).collect()}
+    assert boot["a"].n == 2 and boot["a"].mean == 5.0 and boot["a"].ci_low == 5.0
+    assert X.bootstrap_mean_ci(empty, ["g"], "x", replicates=10).count() == 0
+    sweep = X.alpha_sweep(df.withColumn("n", F.lit(0)), "x", "n", "y", [0.0, 1.0]).collect()
+    assert [r.alpha for r in sweep] == [0.0] and sweep[0].n == 3
+    shares = AG.crosstab_shares(df, "g", "y", [7]).collect()
+    assert all(r.share_7 is None for r in shares)
+
+
+def test_spearman_forms_agree(spark):
+    import numpy as np
+    import pandas as pd
+
+    from mathgrade.operators import stats as X
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": range(400), "a": rng.integers(0, 30, 400).astype(float), "b": rng.normal(size=400), "y": rng.integers(0, 2, 400)})
+    df = spark.createDataFrame(pdf)
+    exact = {m: pdf[[m, "y"]].rank().corr().iloc[0, 1] for m in ("a", "b")}
+    for out in (X.spearman_binary(df, ["a", "b"], "y"), X.spearman_table(df, ["a", "b"], "y")):
+        assert {r.metric: round(r.spearman, 9) for r in out.collect()} == {m: round(v, 9) for m, v in exact.items()}
+    pair, = X.correlation_matrix(df, ["a", "b"], "id").collect()
+    assert abs(pair.spearman - pdf[["a", "b"]].rank().corr().iloc[0, 1]) < 1e-9 and abs(pair.pearson - pdf[["a", "b"]].corr().iloc[0, 1]) < 1e-9
