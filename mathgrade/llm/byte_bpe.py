@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text handled at once, and entries of the tables of remembered matches and pairs in each task.
-RUN_CHARS = 4 << 20
-REMEMBERED = 600_000
+RUN_CHARS = 2 << 20
+REMEMBERED = 400_000
 _NEVER = float("inf")
 
 
@@ -280,4 +282,4 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         lines = f.read()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(_mapper(lines, pattern or public_tokenizers.PATTERN, with_ids), schema)
+    return rows.mapInArrow(trimmed(_mapper(lines, pattern or public_tokenizers.PATTERN, with_ids)), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 from uuid import uuid4
@@ -95,3 +96,27 @@ def to_binary(rows: np.ndarray) -> pa.Array:
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(mapper: Mapper) -> Mapper:
+    """The mapper, giving freed memory back to the system when a task ends: Python workers live on and serve the
+    tasks of later stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapper(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc has it
+                trim(0)
+    return run
+
+
+def row_and_text(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``; ``texts`` reads the text inside it, so it isn't sent twice."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def texts(batch: pa.RecordBatch) -> pa.Array:
+    """The text of a batch of ``row_and_text``, as strings."""
+    return batch.column("row").field("text").cast(pa.string())

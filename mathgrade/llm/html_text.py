@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Kernel of the Gaussian smoothing: deviation in lines, and reach.
 SIGMA, REACH = 1.0, 2
 #: Share of the standard deviation of the smoothed ratios that a content line needs.
@@ -221,4 +223,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(trimmed(_extract), "page_id long, url string, text string, n_chars long")

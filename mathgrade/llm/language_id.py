@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fraction_bucket, stored
+from .common import fraction_bucket, row_and_text, stored, texts, trimmed
 from .wordbytes import mix64
 
 ORDER = 4
@@ -48,7 +48,7 @@ MARGIN = 1.5
 SHRINK = 30
 #: Characters at most that a score treats as independent evidence.
 EVIDENCE = 20
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 PAD, SPACE = 0, 32
 UNKNOWN = "und"
 
@@ -217,9 +217,11 @@ def fit(languages: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.nd
     return model
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The column cut into runs of at most ``PIECE_CHARS`` characters (a longer text alone)."""
     start, held, run = 0, 0, []
-    for i, t in enumerate(texts):
+    for i, value in enumerate(column):
+        t = value.as_py()
         if run and held + len(t or "") > PIECE_CHARS:
             yield start, run
             start, held, run = i, 0, []
@@ -233,8 +235,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of the highest order by language, as strings."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        texts = batch.column("text").to_pylist()
-        for start, run in _runs(texts):
+        for start, run in _runs(batch.column("text")):
             codes, owner = _codes(run)
             for lang in sorted(set(langs[start:start + len(run)])):
                 mine = np.flatnonzero(langs[start:start + len(run)] == lang)
@@ -262,7 +263,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int =
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text") \
         .join(F.broadcast(ids), "doc_id")
     sample = stored(sample, "language-sample")
-    counts = sample.filter(F.col("pos") <= train_docs).select("lang", "text").mapInArrow(_count, "lang string, gram binary, n long") \
+    counts = sample.filter(F.col("pos") <= train_docs).select("lang", "text").mapInArrow(trimmed(_count), "lang string, gram binary, n long") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     names = counts.column("lang").to_pylist()
     languages = sorted(set(names))
@@ -271,7 +272,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int =
     index = {x: i for i, x in enumerate(languages)}
     grams = np.frombuffer(b"".join(counts.column("gram").to_pylist()), "<u4").reshape(-1, ORDER)
     model = fit(languages, np.array([index[x] for x in names]), grams, counts.column("n").to_numpy())
-    held = sample.filter(F.col("pos") > train_docs).select("lang", "text").mapInArrow(_calibrate(model), "lang string, ce double, n long").toArrow()
+    held = sample.filter(F.col("pos") > train_docs).select("lang", "text").mapInArrow(trimmed(_calibrate(model)), "lang string, ce double, n long").toArrow()
     lang = np.array([index.get(x, -1) for x in held.column("lang").to_pylist()], int)
     ce, n = held.column("ce").to_numpy(), held.column("n").to_numpy()
     model.mean, model.limit = np.zeros(len(languages)), np.full(len(languages), np.inf)
@@ -290,9 +291,9 @@ def _calibrate(model: Model):
         index = {x: i for i, x in enumerate(model.languages)}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for start, texts in _runs(batch.column("text").to_pylist()):
-                total, n = model.entropy(texts)
-                mine = langs[start:start + len(texts)]
+            for start, run_texts in _runs(batch.column("text")):
+                total, n = model.entropy(run_texts)
+                mine = langs[start:start + len(run_texts)]
                 own = np.array([total[i, index[x]] if x in index else 0.0 for i, x in enumerate(mine)])
                 yield pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array(own / np.maximum(n, 1)), pa.array(n, pa.int64())],
                                                  ["lang", "ce", "n"])
@@ -300,14 +301,15 @@ def _calibrate(model: Model):
 
 
 def _score(model: Model, row: str):
-    """Adds the decision beside the column ``row``."""
+    """Adds the decision beside the column ``row``: an id, or a whole row that holds the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for start, texts in _runs(batch.column("text").to_pylist()):
-                best, score, ce, rejected = model.decide(texts)
+            column = batch.column("text") if "text" in batch.schema.names else texts(batch)
+            for start, run_texts in _runs(column):
+                best, score, ce, rejected = model.decide(run_texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(row).slice(start, len(texts)), pa.array(names[best].tolist(), pa.string()),
+                    [batch.column(row).slice(start, len(run_texts)), pa.array(names[best].tolist(), pa.string()),
                      pa.array(score), pa.array(ce), pa.array(rejected)], [row, "lang_pred", "score", "cross_entropy", "rejected"])
     return run
 
@@ -320,13 +322,12 @@ def _schema(first: T.StructField) -> T.StructType:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy and rejected of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(model, "doc_id"), _schema(T.StructField("doc_id", T.LongType())))
+    out = rows.mapInArrow(trimmed(_score(model, "doc_id")), _schema(T.StructField("doc_id", T.LongType())))
     return out.withColumn("held_out", ~learnable(F.col("doc_id")))
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, unchanged."""
-    fields = docs.schema.fields
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[docs[f.name] for f in fields]).alias("row"))
-    out = rows.mapInArrow(_score(model, "row"), _schema(rows.schema["row"])).filter("not rejected")
-    return out.select(*[F.col("row").getField(f.name).alias(f.name) for f in fields])
+    rows = row_and_text(docs)
+    out = rows.mapInArrow(trimmed(_score(model, "row")), _schema(rows.schema["row"])).filter("not rejected")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_matrix, grouped, salted_join, stored, to_binary
+from .common import binary_matrix, grouped, salted_join, stored, to_binary, trimmed
 from .components import connected_components
 from .wordbytes import LOWER_AZ, mix64, pieces, span_hashes, window_hashes, word_spans
 
@@ -201,7 +201,7 @@ def _edges(pairs) -> pa.RecordBatch:
 
 def candidate_edges(sets: DataFrame, leaf: int = LEAF, task_node: int = TASK_NODE) -> DataFrame:
     """Forest edges (u, v) between sets (id long, sig binary) that meet in a node of some tree."""
-    rows = sets.mapInArrow(_roots, "path long, id long")
+    rows = sets.mapInArrow(trimmed(_roots), "path long, id long")
     found: list[DataFrame] = []
     for depth in range(1, MAX_DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -209,7 +209,7 @@ def candidate_edges(sets: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
         met = stored(met.join(sets, "id"), "nodes")
         small = met.filter(F.col("size") <= task_node).select("path", "id", "sig")
         found.append(stored(small.repartition("path").sortWithinPartitions("path", "id")
-                            .mapInArrow(_compare(leaf, depth), "u long, v long").distinct(), "forest"))
+                            .mapInArrow(trimmed(_compare(leaf, depth)), "u long, v long").distinct(), "forest"))
         large = met.filter(F.col("size") > task_node)
         if large.isEmpty():
             break
@@ -218,7 +218,7 @@ def candidate_edges(sets: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
             found.append(salted_join(large.select("path", F.col("id").alias("u")), low, ["path"], F.col("u"), how="inner")
                          .filter("u <> v").select("u", "v").distinct())
             break
-        rows = large.select("path", "id", "sig").mapInArrow(_branch, "path long, id long")
+        rows = large.select("path", "id", "sig").mapInArrow(trimmed(_branch), "path long, id long")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -376,14 +376,14 @@ def _link_large(members: DataFrame, block: int) -> DataFrame:
     m = stored(m.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("n"), "members")
     inner = m.withColumn("family", F.xxhash64("family", "block")).select("family", "id", "shingles")
     inner = stored(inner.repartition("family").sortWithinPartitions("family", "id")
-                   .mapInArrow(_link_families, "id long, component long").distinct(), "inner")
+                   .mapInArrow(trimmed(_link_families), "id long, component long").distinct(), "inner")
     known = m.join(inner.withColumnRenamed("component", "known"), "id")
     facing = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
         .filter("other <> block") \
         .select(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("pair"),
                 (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "known", "shingles")
     links = facing.repartition("pair").sortWithinPartitions("pair", "side", "id") \
-        .mapInArrow(_link_blocks, "u long, v long")
+        .mapInArrow(trimmed(_link_blocks), "u long, v long")
     return connected_components(links.union(inner.select(F.col("id").alias("u"), F.col("component").alias("v"))))
 
 
@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
                     family_shingles: int = FAMILY_SHINGLES, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_key) for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
+    base = stored(docs.mapInArrow(trimmed(_sketch), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
     groups = stored(base.filter("n_shingles > 0").groupBy("set_key")
                     .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "groups")
     reps = groups.filter("id is not null").select("id", "set_key")
@@ -418,16 +418,16 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
     large = weight.filter((F.col("n") > family_sets) | (F.col("w") > family_shingles)).select("family")
     members = _maybe_in(docs, family).join(family.withColumnRenamed("id", "doc_id"), "doc_id") \
         .select("family", F.col("doc_id").alias("id"), "text")
-    members = members.mapInArrow(_sets_of, "family long, id long, shingles binary")
+    members = members.mapInArrow(trimmed(_sets_of), "family long, id long, shingles binary")
     exact: DataFrame
     if large.isEmpty():
         exact = members.repartition("family").sortWithinPartitions("family", "id") \
-            .mapInArrow(_link_families, "id long, component long")
+            .mapInArrow(trimmed(_link_families), "id long, component long")
     else:
         members = stored(members, "members")
         large = stored(large, "large")
         exact = members.join(large, "family", "left_anti").repartition("family").sortWithinPartitions("family", "id") \
-            .mapInArrow(_link_families, "id long, component long") \
+            .mapInArrow(trimmed(_link_families), "id long, component long") \
             .union(_link_large(members.join(large, "family", "left_semi"), block))
     exact = stored(exact.groupBy("id").agg(F.min("component").alias("component")), "exact")
     comp = groups.join(exact, "id", "left") \

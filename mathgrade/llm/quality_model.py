@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fraction_bucket, grouped
+from .common import fraction_bucket, grouped, trimmed
 from .wordbytes import LOWER_AZ, mix64, pieces, span_hashes, window_hashes, word_spans
 
 BITS = 18
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS, shard_docs:
     # at most shards * shard_docs rows
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     sample = sample.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id").select("shard", "quality", F.col("text").cast("string").alias("text"))
-    found = sample.mapInArrow(_train_shards, "bucket long, weight double, shard int").toArrow()
+    found = sample.mapInArrow(trimmed(_train_shards), "bucket long, weight double, shard int").toArrow()
     weights = np.zeros(1 << BITS)
     used = len(set(found.column("shard").to_pylist()))
     if used:
@@ -156,6 +156,6 @@ def _score(weights: np.ndarray):
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(weights), "doc_id long, score double")
+    out = rows.mapInArrow(trimmed(_score(weights)), "doc_id long, score double")
     return out.withColumn("held_out", ~learnable(F.col("doc_id"))) \
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

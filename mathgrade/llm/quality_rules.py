@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import row_and_text, texts, trimmed
 
 from .wordbytes import mix64, pieces, span_hashes, window_hashes, word_spans
 
@@ -159,7 +162,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``fail_bits`` of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(["doc_id long", *(f"{m} long" for m in MEASURES)])
-    return rows.mapInArrow(_measure_batches, schema).withColumn("fail_bits", fail_bits())
+    return rows.mapInArrow(trimmed(_measure_batches), schema).withColumn("fail_bits", fail_bits())
 
 
 def failed(policy: Policy) -> Column:
@@ -191,13 +194,13 @@ def ablation(led: DataFrame, policies: list[Policy] | None = None) -> DataFrame:
 
 def keep(docs: DataFrame, policy: Policy) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, unchanged. The verdict is made beside the row, without a join."""
-    schema = docs.schema
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[docs[f.name] for f in schema.fields]).alias("row"))
-    led = rows.mapInArrow(_measure_batches, _row_schema(rows))
-    led = led.withColumn("fail_bits", fail_bits()).filter(~failed(policy))
-    return led.select(*[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
+    rows = row_and_text(docs)
+    schema = T.StructType([rows.schema["row"], *[T.StructField(m, T.LongType()) for m in MEASURES]])
+    led = rows.mapInArrow(trimmed(_measured_rows), schema).withColumn("fail_bits", fail_bits()).filter(~failed(policy))
+    return led.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def _row_schema(rows: DataFrame):
-    from pyspark.sql import types as T
-    return T.StructType([rows.schema["row"], *[T.StructField(m, T.LongType()) for m in MEASURES]])
+def _measured_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = measure(texts(batch))
+        yield pa.RecordBatch.from_arrays([batch.column("row")] + [pa.array(found[m], pa.int64()) for m in MEASURES], ["row", *MEASURES])

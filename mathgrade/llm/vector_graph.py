@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, trimmed
 
 SHARD_NODES = 2_048
 DEGREE = 32
@@ -205,7 +205,7 @@ def build(table: DataFrame, k: int = K, shard_nodes: int = SHARD_NODES) -> DataF
     dealt = distinct.withColumn("shard", F.col("dim").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("embedding"), count))
     total = max(1, sum(shards.values()))
     dealt = dealt.repartitionByRange(min(total, 100_000), "shard").sortWithinPartitions("shard", F.element_at("ids", 1))
-    return stored(dealt.select("shard", "dim", "embedding", "ids").mapInArrow(_build, _GRAPH_SCHEMA), "vector-graphs")
+    return stored(dealt.select("shard", "dim", "embedding", "ids").mapInArrow(trimmed(_build), _GRAPH_SCHEMA), "vector-graphs")
 
 
 def _search(k: int, width: int):
@@ -258,7 +258,7 @@ def search(queries: DataFrame, graphs: DataFrame, k: int = K, width: int = BEAM_
     tasks = packed.select("dim", "block").join(shards, "dim").withColumn("task", F.xxhash64("shard", "block"))
     work = tasks.join(graphs.drop("dim"), "shard").join(packed, ["dim", "block"])
     work = work.repartition(F.col("task")).select("dim", "start", "vectors", "edges", "ids", "counts", "query_ids", "queries")
-    found = work.mapInArrow(_search(k, width), "query_id long, vec_id long, score double")
+    found = work.mapInArrow(trimmed(_search(k, width)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, scratch, stored
+from .common import salted_join, scratch, stored, trimmed
 
 REVISIT_BYTES = 1000
 #: Records in one archive file, and captures in one merge range.
@@ -213,13 +213,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Captures of all archives below ``path`` with their position in global (URL key, time) order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    runs = stored(files.mapInArrow(_read_runs, _RUN_SCHEMA), "capture-runs")
+    runs = stored(files.mapInArrow(trimmed(_read_runs), _RUN_SCHEMA), "capture-runs")
     ranges = min(MAX_RANGES, 1 + runs.count() // range_rows)
     merged = runs.repartitionByRange(ranges, "url_key", "date", "page_id").withColumn("range", F.spark_partition_id().cast("long"))
     merged = merged.sortWithinPartitions("run", "seq")
     schema = "url_key string, date string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, " \
              "range long, place long"
-    merged = stored(merged.mapInArrow(_merge, schema), "capture-index")
+    merged = stored(merged.mapInArrow(trimmed(_merge), schema), "capture-index")
     # at most MAX_RANGES rows
     sizes = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()
     before, total = [], 0

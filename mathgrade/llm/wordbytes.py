@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
