@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text handled at once, and entries of the tables of remembered matches and pairs in each task.
-RUN_CHARS = 2 << 20
+RUN_CHARS, LONG_MATCHES = 2 << 20, 200_000
 REMEMBERED = 400_000
 _NEVER = float("inf")
 
@@ -217,11 +218,10 @@ def encoder(lines: bytes, pattern: str):
     """A function from a list of texts to their packed ids."""
     import regex
 
-    find = regex.compile(pattern).findall
+    compiled = regex.compile(pattern)
     matches = _loaded(lines)[1]
 
-    def encode_all(texts: list[str]) -> list[bytes]:
-        found = [find(t) for t in texts]
+    def packed(found: list[list[str]]) -> list[bytes]:
         unknown = {m for f in found for m in set(f) if m not in matches}
         if unknown:
             if len(matches) + len(unknown) > REMEMBERED:
@@ -229,6 +229,12 @@ def encoder(lines: bytes, pattern: str):
                 unknown = {m for f in found for m in f}
             matches.learn(unknown)
         return [b"".join(map(matches.__getitem__, f)) for f in found]
+
+    def encode_all(texts: list[str]) -> list[bytes]:
+        if len(texts) == 1 and len(texts[0]) > RUN_CHARS:  # a very long text in parts, match by match
+            parts = batched((m.group() for m in compiled.finditer(texts[0])), LONG_MATCHES)
+            return [b"".join(packed([list(part)])[0] for part in parts)]
+        return packed([compiled.findall(t) for t in texts])
     return encode_all
 
 

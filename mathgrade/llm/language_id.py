@@ -79,7 +79,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code, letter = _TABLES[0]
     pad = "\0" * (ORDER - 1)
     raw = np.frombuffer((pad + pad.join(t.replace("\0", " ") for t in texts)).encode("utf-32-le", "replace"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts], np.int64) + ORDER - 1)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.array([len(t) for t in texts], np.int64) + ORDER - 1)
     is_letter = letter[raw]
     keep = is_letter | (raw == PAD)
     keep[1:] |= is_letter[:-1]
@@ -122,11 +122,19 @@ class Model:
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy sums (one column per language) and characters of each text."""
         codes, owner = _codes(texts)
-        at = np.flatnonzero(codes != PAD)
-        n = np.bincount(owner[at], minlength=len(texts))
+        every = np.flatnonzero(codes != PAD)
+        n = np.bincount(owner[every], minlength=len(texts))
         total = np.zeros((len(texts), len(self.languages)))
-        if not len(at) or not self.languages:
-            return total, n
+        if self.languages:
+            for a in range(0, len(every), PIECE_CHARS):  # a very long text is scored in parts
+                at = every[a:a + PIECE_CHARS]
+                lp = self._logp(codes, at)
+                for k in range(len(self.languages)):
+                    total[:, k] -= np.bincount(owner[at], lp[:, k], minlength=len(texts))
+        return total, n
+
+    def _logp(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of the character at each position, by language."""
         lp = np.zeros((len(at), len(self.languages)), np.float32)
         todo = np.arange(len(at))
         for order in range(ORDER, 0, -1):
@@ -146,9 +154,7 @@ class Model:
                 lp[todo[hit]] += self.weights[order - 1][i[hit]]
             else:
                 lp[todo] += self.base
-        for k in range(len(self.languages)):
-            total[:, k] = -np.bincount(owner[at], lp[:, k], minlength=len(texts))
-        return total, n
+        return lp
 
     def decide(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language index (-1: none), score, cross-entropy per character and rejection of each text."""

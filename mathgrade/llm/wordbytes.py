@@ -99,14 +99,22 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_TABLE[data] * up[:len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each byte span. Spans are in order and don't overlap; they are done in blocks of at most
+    ``PIECE_BYTES`` (a longer span alone), so a very long text needs no more memory than a short one."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE_BYTES, "right")))
+        first = starts[a]
+        block = data[first:ends[b - 1]]
+        up, down = _powers(len(block) + 1)
+        sums = np.empty(len(block) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(BYTE_TABLE[block] * up[:len(block)], out=sums[1:])
+        s, e = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
 _WINDOW = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -70,5 +70,13 @@ def test_remembered_matches_may_be_dropped(monkeypatch):
         assert encode(sample[a:a + 7]) == [np.array(LIBRARY.encode_ordinary(t), "<u4").tobytes() for t in sample[a:a + 7]]
 
 
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "RUN_CHARS", 50)
+    monkeypatch.setattr(byte_bpe, "LONG_MATCHES", 7)
+    encode = byte_bpe.encoder(LINES, P.PATTERN)
+    for t in texts():
+        assert encode([t or ""]) == [np.array(LIBRARY.encode_ordinary(t or ""), "<u4").tobytes()]
+
+
 def test_empty(spark):
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0

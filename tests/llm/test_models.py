@@ -78,6 +78,15 @@ def test_texts_are_scored_alone():
         assert n[i] == m[0] and together[i] == pytest.approx(alone[0])
 
 
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    model = fitted()
+    texts = ["the cat et le rat " * 9, "x", "le chat"]
+    whole = model.entropy(texts)
+    monkeypatch.setattr(li, "PIECE_CHARS", 11)
+    parts = model.entropy(texts)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
 def test_language_of_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
     out = li.predict(docs, li.train(docs)).join(docs, "doc_id").collect()

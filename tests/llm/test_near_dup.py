@@ -100,3 +100,12 @@ def test_word_hashes_follow_words():
         hashes += [h[first[i]:first[i + 1]].tolist() for i in range(len(off) - 1)]
     a, b = hashes[0]
     assert hashes[2] == [b, a] and hashes[1] == hashes[3] == [] and hashes[5] == [b] and hashes[4] not in ([a], [b])
+
+
+def test_span_hashes_do_not_depend_on_the_blocks(monkeypatch):
+    from mathgrade.llm import wordbytes as wb
+    data = np.frombuffer(("some words " * 40 + "averylongword" * 20 + " end").encode(), np.uint8)
+    s, e, _ = word_spans(data, np.array([0, len(data)]))
+    whole = span_hashes(data, s, e)
+    monkeypatch.setattr(wb, "PIECE_BYTES", 16)
+    assert (span_hashes(data, s, e) == whole).all() and len(span_hashes(data, s[:0], e[:0])) == 0
