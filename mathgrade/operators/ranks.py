@@ -41,14 +41,15 @@ def _bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> Column:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
-                weight: Column | None = None, inclusive: bool = True) -> DataFrame:
+                weight: Column | None = None, inclusive: bool = True, edges_from: DataFrame | None = None) -> DataFrame:
     """Running sum of ``weight`` (default 1) within ``keys`` in ascending
     ``order`` (column names). With weight 1 and ``inclusive`` this is
     row_number(); ``order`` should be unique within a group for a
-    deterministic result."""
+    deterministic result. ``edges_from`` names a smaller table of the same
+    keys and order to take the bucket edges from."""
     keys, order = list(keys), list(order)
     w = F.lit(1).cast("bigint") if weight is None else weight
-    r = df.withColumn("_b", _bucket(df, [*keys, *order], _n_buckets(df))).withColumn("_w", w)
+    r = df.withColumn("_b", _bucket(df if edges_from is None else edges_from, [*keys, *order], _n_buckets(df))).withColumn("_w", w)
     totals = r.groupBy(*keys, "_b").agg(F.sum("_w").alias("_tot"))
     before = (Window.partitionBy(*keys) if keys else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).drop("_tot")

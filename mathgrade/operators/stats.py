@@ -73,9 +73,9 @@ def _binary_rho(agg: DataFrame) -> Column:
     return F.when((n1 > 0) & (n0 > 0) & (var_r > 0), rho)
 
 
-def _rank_moments(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _rank_moments(scores: DataFrame, keys: Sequence[str], edges_from: DataFrame | None = None) -> DataFrame:
     """n, n1 and rank moments per key from distinct scores with ``cnt`` and ``pos``."""
-    rk = ranks.running_sum(scores, [keys[0]], ["score"], "_cum", weight=F.col("cnt"))
+    rk = ranks.running_sum(scores, [keys[0]], ["score"], "_cum", weight=F.col("cnt"), edges_from=edges_from)
     rk = rk.withColumn("r", F.col("_cum") - (F.col("cnt") - 1) / 2.0)
     return rk.groupBy(*keys).agg(
         F.sum("cnt").alias("n"), F.sum("pos").alias("n1"), F.sum(F.col("pos") * F.col("r")).alias("sum_r_pos"),
@@ -226,6 +226,10 @@ def welch_test(df: DataFrame, group: str, metric: str, a_value=1, b_value=0) ->
 # X7 length-normalisation sweep (binary label, closed form per alpha)
 # --------------------------------------------------------------------------
 
+#: Rows whose scores at all alphas give the bucket edges of the sweep.
+EDGE_ROWS = 100
+
+
 def alpha_grid(lo: float = -1.0, hi: float = 2.0, n: int = 301) -> list[float]:
     return [lo + i * (hi - lo) / (n - 1) for i in range(n)]
 
@@ -246,11 +250,15 @@ def alpha_sweep(df: DataFrame, logp_sum: str, n_tokens: str, label: str,
                                          F.sum(F.col(label).cast("bigint")).alias("pos"))
     grid = F.array(*[F.struct(F.lit(i).alias("alpha_idx"), F.lit(float(a)).alias("alpha"))
                      for i, a in enumerate(alphas)])
-    x = trip.select("*", F.explode(grid).alias("_a")).select(
-        "_a.alpha_idx", "_a.alpha", "cnt", "pos",
-        F.try_divide(F.col(logp_sum), F.pow(F.col(n_tokens).cast("double"), F.col("_a.alpha"))).alias("score")).filter("score is not null")
+
+    def scored(t: DataFrame) -> DataFrame:
+        return t.select("*", F.explode(grid).alias("_a")).select(
+            "_a.alpha_idx", "_a.alpha", "cnt", "pos",
+            F.try_divide(F.col(logp_sum), F.pow(F.col(n_tokens).cast("double"), F.col("_a.alpha"))).alias("score")).filter("score is not null")
+    x = scored(trip)
+    few = scored(trip.orderBy(F.rand(7)).limit(EDGE_ROWS))  # bucket edges need a few rows per alpha, not all
     per_score = x.groupBy("alpha_idx", "alpha", "score").agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"))
-    agg = _rank_moments(per_score, ["alpha_idx", "alpha"])
+    agg = _rank_moments(per_score, ["alpha_idx", "alpha"], few)
     return agg.select("alpha_idx", "alpha", "n", _binary_rho(agg).alias("spearman"))
 
 

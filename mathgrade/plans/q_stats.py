@@ -8,6 +8,7 @@ from ..functions import text as TX
 from ..operators import aggregate as AG
 from ..operators import stats as X
 from . import driver_tables as dt
+from ..session import materialised
 from .registry import register, rounded
 
 WS = r"[ \t\n\x0B\f\r]+"
@@ -29,6 +30,11 @@ def doc_metrics(spark, sf_dir):
     return all_metrics(spark, sf_dir).join(lab, "doc_id")
 
 
+def stored_metrics(spark, sf_dir):
+    """``doc_metrics`` written once, for queries that pass over it several times: texts are scanned once."""
+    return materialised(doc_metrics(spark, sf_dir), "doc-metrics")
+
+
 ALL_SQL = f"""am AS (
   SELECT doc_id, lang, n_chars,
     CAST(len(list_filter(regexp_split_to_array(text, '{WS}'), lambda x: x <> '')) AS BIGINT) AS word_count,
@@ -75,7 +81,7 @@ X02_SQL = f"""WITH {DOC_SQL}
 @register("x02_spearman_table", X02_SQL)
 def x02_spearman_table(spark, sf_dir):
     """Spearman rho of each feature with the 0/1 label: one distributed rank job for all features."""
-    return rounded(X.spearman_binary(doc_metrics(spark, sf_dir), METRICS, "quality"))
+    return rounded(X.spearman_binary(stored_metrics(spark, sf_dir), METRICS, "quality"))
 
 
 def _t_two_sided_sql(t, dof):
@@ -101,7 +107,7 @@ SELECT metric, n, round(pearson, 6) AS pearson, round({_t_two_sided_sql('tp', '(
 @register("x03_correlation_pvalues", X03_SQL)
 def x03_correlation_pvalues(spark, sf_dir):
     """Pearson and Spearman with two-sided p-values (t distribution, n - 2 df)."""
-    d = doc_metrics(spark, sf_dir)
+    d = stored_metrics(spark, sf_dir)
     t = X.correlation_table(d, METRICS, "quality").drop("nulls").join(X.spearman_binary(d, METRICS, "quality").select("metric", "spearman"), "metric")
     return rounded(t.select("metric", "n", "pearson", X.corr_pvalue(F.col("pearson"), F.col("n")).alias("pearson_p"),
                             "spearman", X.corr_pvalue(F.col("spearman"), F.col("n")).alias("spearman_p")))
@@ -118,7 +124,7 @@ rk AS (SELECT *, {', '.join(f"{_avg_rank_sql(m)} AS r_{m}" for m in METRICS)} FR
 @register("x06_correlation_matrix", X06_SQL)
 def x06_correlation_matrix(spark, sf_dir):
     """Pairwise Pearson and Spearman matrix in long form over all documents."""
-    return rounded(X.correlation_matrix(all_metrics(spark, sf_dir), METRICS, "doc_id"))
+    return rounded(X.correlation_matrix(materialised(all_metrics(spark, sf_dir), "doc-metrics"), METRICS, "doc_id"))
 
 
 X07_SQL = f"""WITH {DOC_SQL},
@@ -134,7 +140,7 @@ FROM r GROUP BY alpha_idx, alpha"""
 def x07_alpha_sweep(spark, sf_dir):
     """Spearman of logp_sum / n^alpha with quality over 301 alphas, closed
     form per alpha from distinct (score, count, positives)."""
-    return rounded(X.alpha_sweep(doc_metrics(spark, sf_dir), "logp_sum", "word_count", "quality"))
+    return rounded(X.alpha_sweep(stored_metrics(spark, sf_dir), "logp_sum", "word_count", "quality"))
 
 
 X07B_SQL = f"""WITH {DOC_SQL},
@@ -149,7 +155,7 @@ SELECT round(arg_max(alpha, (abs(spearman), -alpha_idx)), 6) AS alpha,
 @register("x07b_best_alpha", X07B_SQL)
 def x07b_best_alpha(spark, sf_dir):
     """Alpha with the largest |rho|, earliest alpha wins ties."""
-    return rounded(X.best_alpha(X.alpha_sweep(doc_metrics(spark, sf_dir), "logp_sum", "word_count", "quality")))
+    return rounded(X.best_alpha(X.alpha_sweep(stored_metrics(spark, sf_dir), "logp_sum", "word_count", "quality")))
 
 
 X08_SQL = f"""WITH b AS ({X07B_SQL.replace('round(arg_max(alpha, (abs(spearman), -alpha_idx)), 6) AS alpha', 'arg_max(alpha, (abs(spearman), -alpha_idx)) AS alpha')}),
@@ -165,7 +171,7 @@ SELECT (SELECT round(alpha, 6) FROM b) AS alpha, n, round(pearson, 6) AS pearson
 @register("x08_correlations_at_best_alpha", X08_SQL)
 def x08_correlations_at_best_alpha(spark, sf_dir):
     """Pearson and Spearman with p-values at the best alpha of the sweep."""
-    d = doc_metrics(spark, sf_dir)
+    d = stored_metrics(spark, sf_dir)
     best = X.best_alpha(X.alpha_sweep(d, "logp_sum", "word_count", "quality")).first()
     return rounded(X.correlations_at_alpha(d, "logp_sum", "word_count", "quality", best["alpha"]))
 

@@ -66,3 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/mathgrade-io/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df, name: str):
+    """Write ``df`` once to the shared scratch folder and read it back, for a
+    plan that reads a narrow table several times which is costly to derive."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
