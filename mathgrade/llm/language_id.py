@@ -31,11 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fraction_bucket, row_and_text, stored, texts, trimmed
+from .common import fraction_bucket, lowest, row_and_text, stored, texts, trimmed
 from .wordbytes import mix64
 
 ORDER = 4
@@ -261,9 +261,8 @@ def learnable(doc_id: Column) -> Column:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
     """Models and rejection limits from the bounded sample of labelled documents."""
     ids = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ids.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit("language")).alias("h")) \
-        .withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= train_docs + calibration_docs)
+    ids = ids.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit("language")).alias("h"))
+    ids = lowest(ids, "lang", ["h", "doc_id"], train_docs + calibration_docs, F.col("doc_id"))
     ids = ids.groupBy("doc_id").agg(F.min("pos").alias("pos"))
     # the sample has at most (train_docs + calibration_docs) rows per language
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text") \

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_bucket, grouped, trimmed
+from .common import fraction_bucket, grouped, lowest, trimmed
 from .wordbytes import LOWER_AZ, mix64, pieces, span_hashes, window_hashes, word_spans
 
 BITS = 18
@@ -127,9 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, shards: int = SHARDS, shard_docs:
     """Averaged weights of the shards' models (2**BITS numbers)."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & learnable(F.col("doc_id")))
     h = F.xxhash64(F.col("doc_id"), F.lit("quality"))
-    order = Window.partitionBy("shard").orderBy("h", "doc_id", "quality")
-    marked = marked.select("doc_id", F.col("quality").cast("int").alias("quality"), h.alias("h"), F.pmod(h, F.lit(shards)).cast("int").alias("shard")) \
-        .withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= shard_docs)
+    marked = marked.select("doc_id", F.col("quality").cast("int").alias("quality"), h.alias("h"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"))
+    marked = lowest(marked, "shard", ["h", "doc_id", "quality"], shard_docs, F.col("doc_id"))
     marked = marked.groupBy("doc_id", "shard").agg(F.min("quality").alias("quality"))
     # at most shards * shard_docs rows
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
