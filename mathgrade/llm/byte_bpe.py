@@ -14,7 +14,8 @@ some) never take part, except that a piece which is itself in the rank list is
 that one token, as the tiktoken library has it.
 
 Texts are cut by a pattern first and each match is encoded alone. Encodings of
-matches are remembered within a task, in a table that is emptied when full.
+matches are remembered by each worker, in a table that drops what the texts at
+hand don't use when it is full.
 
 Definitions for odd input. A null text encodes like an empty one: no tokens. A
 long text without a break is one match; work is linear in its length times the
@@ -54,10 +55,19 @@ class Vocabulary:
         self._spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
         lengths: dict[bytes, set[int]] = {}
         for b in ranks:
-            lengths.setdefault(b[-2:], set()).add(len(b))
-        single = {k: v for k, v in lengths.items() if len(k) == 1}
-        #: By the last two bytes of a text, the lengths of the tokens that can end it, longest first.
-        self.ending = {k: tuple(sorted(v | single.get(k[-1:], set()), reverse=True)) for k, v in lengths.items()}
+            if len(b) > 2:
+                lengths.setdefault(b[-3:], set()).add(len(b))
+        #: By the last three bytes of a text, the lengths of the tokens that can end it, longest first.
+        self.ending = {k: (*sorted(v, reverse=True), *self._short(k[1:])) for k, v in lengths.items()}
+        #: All tokens' bytes in one buffer, with start and length by id, for decoding whole arrays.
+        size = max(self.bytes_of, default=0) + 1
+        self._buffer = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        self._length = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
+        self._start = np.cumsum(self._length) - self._length
+
+    def _short(self, pair: bytes) -> tuple[int, ...]:
+        """Lengths of the tokens of at most two bytes that can end a text with these last two bytes."""
+        return (2, 1) if len(pair) == 2 and pair in self.ranks else (1,)
 
     @classmethod
     def parse(cls, lines: bytes) -> Vocabulary:
@@ -129,7 +139,11 @@ class Vocabulary:
         return known
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of all tokens, gathered from one buffer."""
+        ids = np.asarray(ids, np.int64)
+        n = self._length[ids]
+        ends = np.cumsum(n)
+        return self._buffer[np.repeat(self._start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 class PrefixTable:
@@ -144,14 +158,23 @@ class PrefixTable:
     def append(self, more: bytes) -> PrefixTable:
         """Extend the string; the stored prefixes stand."""
         v, last, text = self.vocabulary, self.last, self.text + more
-        ranks, fits, makes, ending = v.ranks, v.fits, v.makes, v.ending
+        ranks, fits, known, ending, short = v.ranks, v.fits, v._pairs, v.ending, v._short
         for end in range(len(self.text) + 1, len(text) + 1):
-            for length in ending.get(text[max(0, end - 2):end], (1,)):
+            for length in ending.get(text[end - 3:end]) or short(text[end - 2:end]) if end > 2 else range(end, 0, -1):
                 begin = end - length
-                token = ranks.get(text[begin:end]) if begin >= 0 else None
+                if begin < 0:
+                    continue
+                token = ranks.get(text[begin:end])
                 if token is None:
                     continue
-                if fits(last[begin - 1], token) if begin else makes(token):
+                if begin:
+                    before = last[begin - 1]
+                    good = known.get(before << 32 | token)
+                    if good is None:
+                        good = fits(before, token)
+                else:
+                    good = v.makes(token)
+                if good:
                     last.append(token)
                     break
             else:
@@ -222,11 +245,13 @@ def encoder(lines: bytes, pattern: str):
     matches = _loaded(lines)[1]
 
     def packed(found: list[list[str]]) -> list[bytes]:
-        unknown = {m for f in found for m in set(f) if m not in matches}
+        every = set().union(*found)
+        unknown = every - matches.keys()
         if unknown:
             if len(matches) + len(unknown) > REMEMBERED:
+                used = {m: matches[m] for m in every - unknown}  # what this run needs stays
                 matches.clear()
-                unknown = {m for f in found for m in f}
+                matches.update(used)
             matches.learn(unknown)
         return [b"".join(map(matches.__getitem__, f)) for f in found]
 
@@ -259,7 +284,7 @@ def _mapper(lines: bytes, pattern: str, with_ids: bool):
             for start, texts in _text_runs(batch.column("text")):
                 packed = encode_all(texts)
                 counts = [len(p) // 4 for p in packed]
-                decoded = [vocabulary.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
+                decoded = [vocabulary.decode(np.frombuffer(p, "<u4")) for p in packed]
                 columns = [batch.column("doc_id").slice(start, len(texts)), pa.array(counts, pa.int64()),
                            pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
                            pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
