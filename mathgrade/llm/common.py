@@ -43,11 +43,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_of: Col
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def lowest(df: DataFrame, group: str, order: list[str], n: int, spread: Column, salts: int = 64) -> DataFrame:
+def lowest(df: DataFrame, group: str, order: list[str], n: int, spread: Column, salts: int = 16) -> DataFrame:
     """The ``n`` first rows of each group in ``order``, with their place ``pos``.
 
     Spark drops all but ``n`` rows per group and task before the shuffle; here ``salts`` tasks per group cut the rest
-    down first, so that no task gets ``n`` rows from every input partition of a large group."""
+    down first, so that the last task of a group gets at most ``n * salts`` rows, however large the group is."""
     first = Window.partitionBy(group, "_salt").orderBy(*order)
     last = Window.partitionBy(group).orderBy(*order)
     few = df.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit("lowest")), F.lit(salts))) \
