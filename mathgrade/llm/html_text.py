@@ -7,10 +7,13 @@ over neighbouring lines with a Gaussian kernel, and lines above a threshold
 (a share of the ratios' standard deviation) form content regions. A region
 keeps the short lines inside it, such as headings.
 
-Containers decide before ratios do: lines inside menus, page headers and
-footers, sidebars, notices, adverts, forms and comment threads (by element,
-role, class or id) are never content, and if a page has an article or main
-element, only lines inside it can be.
+Containers narrow the lines that ratios decide on: lines inside menus, page
+headers and footers, sidebars, notices, adverts, forms and comment threads (by
+element, role, class or id) are never content, and if a page has an article or
+main element, only lines inside it can be. These go through the same ratios,
+smoothing and threshold, on a logarithmic scale, where one very long paragraph
+does not lift the threshold above the short ones; between two content lines of
+an article, lines that aren't mostly links stay.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space in page order. Scripts,
@@ -40,7 +43,7 @@ from .common import trimmed
 SIGMA, REACH = 1.0, 2
 #: Share of the standard deviation of the smoothed ratios that a content line needs.
 THRESHOLD = 0.5
-#: A page of fewer lines than this, or an article, is taken whole.
+#: A page without an article and of fewer lines than this is taken whole, but for links.
 FEW_LINES = 4
 
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
@@ -175,25 +178,25 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 def select(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
     """The content lines of a page, in order."""
-    if any(line[4] and not line[3] for line in lines):
-        return [line[0] for line in lines if line[4] and not line[3]] if _uniform(lines) else _clustered(
-            [line for line in lines if line[4] and not line[3]])
-    return _clustered([line for line in lines if not line[3]])
+    kept = [line for line in lines if not line[3]]
+    inside = [line for line in kept if line[4]]
+    return _clustered(inside, True) if inside else _clustered(kept, False)
 
 
-def _uniform(lines: list[tuple[str, int, int, bool, bool]]) -> bool:
-    """An article without lines of mostly links is content as a whole."""
-    return all(2 * links <= len(text) for text, _, links, outside, inside in lines if inside and not outside)
-
-
-def _clustered(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
+def _clustered(lines: list[tuple[str, int, int, bool, bool]], in_article: bool) -> list[str]:
     if not lines:
         return []
     own = np.array([max(len(text) - links, 0) / max(tags, 1) for text, tags, links, _, _ in lines])
-    if len(lines) < FEW_LINES:
+    if in_article:
+        ratio = smoothed(np.log1p(own))
+    elif len(lines) < FEW_LINES:
         return [line[0] for line, r in zip(lines, own, strict=True) if r > 0]
-    ratio = smoothed(own)
+    else:
+        ratio = smoothed(own)
     content = (ratio >= THRESHOLD * ratio.std()) & (own > 0)
+    if in_article and content.any():
+        first, last = np.flatnonzero(content)[[0, -1]]
+        content[first:last] |= np.array([2 * links <= len(text) for text, _, links, _, _ in lines[first:last]], bool)
     return [line[0] for line, c in zip(lines, content, strict=True) if c]
 
 

@@ -36,6 +36,25 @@ def test_link_lists_without_containers_go():
     assert html_text.main_text(links + body + links) == " ".join([(LONG + LONG).strip()] * 6)
 
 
+def test_ratios_decide_inside_articles():
+    """Runs of lines of little text and many tags at an article's ends go; short lines of text stay, however long others are."""
+    body = f"<h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG * 400}</p><p>No.</p><p>{LONG}</p><table><tr><td>1<td>2</table><p>{LONG}</p><p>End.</p>"
+    want = " ".join(["Head", LONG.strip(), "Short.", (LONG * 400).strip(), "No.", LONG.strip(), "1", "2", LONG.strip(), "End."])
+    assert html_text.main_text(f"<article>{body}</article>") == want
+    icons = f"<div>{'<i></i>' * 20}ok</div>" * 6
+    got = html_text.main_text(f"<article>{icons}{body}{icons}</article>")
+    assert want in got and got.count("ok") < 6
+    assert html_text.main_text(f"<main><p>{LONG}</p><div><a href=x>Link</a></div><p>{LONG}</p></main>") == " ".join([LONG.strip()] * 2)
+
+
+def test_no_line_of_an_article_of_the_pages_is_lost(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        parser = html_text._Lines()
+        parser.feed(r.html)
+        lines = parser.finish()
+        assert html_text.select(lines) == [line[0] for line in lines if line[4] and not line[3]]
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert html_text.main_text("<article><p>" + "word " * 200_000 + "</article>") == ("word " * 200_000).strip()
