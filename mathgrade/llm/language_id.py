@@ -10,11 +10,19 @@ the language of the lowest cross-entropy per character.
 Rejection is calibrated: for each language, labelled texts outside the training
 sample give mean and deviation of the cross-entropy (shrunk to the mean for
 short texts); a text is rejected if it lies above ``mean + SIGMAS * deviation``,
-``mean + MARGIN`` and every calibration text, or if it has no letter.
-
-Training reads a bounded sample: per language, the ``TRAIN_DOCS`` documents of
-the lowest hash for the counts and the next ``CALIBRATION_DOCS`` for the
-calibration, whole texts. Every text of the table is then scored whole.
+``mean + MARGIN`` and every calibration text, or if it has no letter. A limit
+stays below the cost of letters that the language has never seen (half way
+from chance, the logarithm of the number of known characters) unless a
+calibration text lies above that.
+
+Training reads a bounded sample: per language, the documents of the lowest
+hash, ``TRAIN_DOCS`` for the counts and ``CALIBRATION_DOCS`` for the
+calibration, whole texts. They are dealt by share (every third to the
+calibration), so that a language of fewer documents has both. A language with
+too few for that is cross-fitted: all its documents count, and each calibrates
+a model of those of the other folds. If fewer than ``LEAST`` texts calibrate a
+language, its limit takes the widest distance from mean to limit of the other
+languages and isn't below chance. Every text of the table is then scored whole.
 
 Definitions for odd input. Null texts and texts without a letter are ``und``
 with score 0 and rejected. Documents with null lang, text or id are not learnt
@@ -41,6 +49,8 @@ from .wordbytes import mix64
 ORDER = 4
 TRAIN_DOCS = 400
 CALIBRATION_DOCS = 200
+#: Calibration texts that a limit of its own needs, and folds of a language that is dealt fewer than 1.5 times that.
+LEAST, FOLDS = 20, 3
 SIGMAS = 8.0
 #: A limit lies at least this far (nats per character) above the mean: mixed or noisy texts of a language stay.
 MARGIN = 1.5
@@ -118,6 +128,7 @@ class Model:
     base: np.ndarray | None = None
     mean: np.ndarray | None = None
     limit: np.ndarray | None = None
+    chance: float = 0.0
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy sums (one column per language) and characters of each text."""
@@ -220,6 +231,7 @@ def fit(languages: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.nd
         model.weights.append(np.log(weight).astype(np.float32))
         below_h, below_p = union_h, p
     model.base = np.log(new_base).astype(np.float32)
+    model.chance = float(np.log(vocabulary))
     return model
 
 
@@ -238,20 +250,22 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of the highest order by language, as strings."""
+    """n-gram counts of the highest order by language and fold, as strings."""
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
+        keys = np.empty(batch.num_rows, object)
+        keys[:] = list(zip(batch.column("lang").to_pylist(), batch.column("fold").to_pylist(), strict=True))
         for start, run in _runs(batch.column("text")):
             codes, owner = _codes(run)
-            for lang in sorted(set(langs[start:start + len(run)])):
-                mine = np.flatnonzero(langs[start:start + len(run)] == lang)
+            here = keys[start:start + len(run)]
+            for lang, fold in sorted(set(here)):
+                mine = np.array([i for i, k in enumerate(here) if k == (lang, fold)])
                 at = np.flatnonzero((codes != PAD) & np.isin(owner, mine))
                 grams = np.stack([codes[at - (ORDER - 1 - k)] for k in range(ORDER)], 1)
                 found, counts = np.unique(grams, axis=0, return_counts=True)
                 packed = np.ascontiguousarray(found.astype("<u4"))
                 out = pa.array([row.tobytes() for row in packed], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), out, pa.array(counts, pa.int64())],
-                                                 ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([fold] * len(found), pa.int32()), out,
+                                                  pa.array(counts, pa.int64())], ["lang", "fold", "gram", "n"])
 
 
 def learnable(doc_id: Column) -> Column:
@@ -268,40 +282,80 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int =
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text") \
         .join(F.broadcast(ids), "doc_id")
     sample = stored(sample, "language-sample")
-    counts = sample.filter(F.col("pos") <= train_docs).select("lang", "text").mapInArrow(trimmed(_count), "lang string, gram binary, n long") \
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    share = calibration_docs / max(train_docs + calibration_docs, 1)
+    few = [x for x, size in sizes.items() if size * share < 1.5 * LEAST]
+    dealt = F.floor(F.col("pos") * share + 1e-9) > F.floor((F.col("pos") - 1) * share + 1e-9)
+    # fold -1 counts, fold -2 calibrates; a cross-fitted language does both in each fold
+    sample = sample.withColumn("fold", F.when(F.col("lang").isin(few), F.pmod("pos", F.lit(FOLDS))).when(dealt, -2).otherwise(-1).cast("int"))
+    counts = sample.filter("fold <> -2").select("lang", "fold", "text") \
+        .mapInArrow(trimmed(_count), "lang string, fold int, gram binary, n long") \
+        .groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "fold", "gram").toArrow()
     names = counts.column("lang").to_pylist()
     languages = sorted(set(names))
     if not languages:
         return Model([])
     index = {x: i for i, x in enumerate(languages)}
     grams = np.frombuffer(b"".join(counts.column("gram").to_pylist()), "<u4").reshape(-1, ORDER)
-    model = fit(languages, np.array([index[x] for x in names]), grams, counts.column("n").to_numpy())
-    held = sample.filter(F.col("pos") > train_docs).select("lang", "text").mapInArrow(trimmed(_calibrate(model)), "lang string, ce double, n long").toArrow()
-    lang = np.array([index.get(x, -1) for x in held.column("lang").to_pylist()], int)
-    ce, n = held.column("ce").to_numpy(), held.column("n").to_numpy()
-    model.mean, model.limit = np.zeros(len(languages)), np.full(len(languages), np.inf)
-    for k in range(len(languages)):
-        mine = (lang == k) & (n > 0)
-        if mine.sum() < 20:
-            continue  # too few to calibrate on: nothing of this language is rejected
-        model.mean[k] = np.average(ce[mine], weights=n[mine])
-        shrunk = (ce[mine] * n[mine] + SHRINK * model.mean[k]) / (n[mine] + SHRINK)
-        model.limit[k] = max(shrunk.max(), shrunk.mean() + SIGMAS * shrunk.std(), model.mean[k] + MARGIN)
+    lang, fold, n = np.array([index[x] for x in names]), counts.column("fold").to_numpy(), counts.column("n").to_numpy()
+    model = fit(languages, *_merged(lang, grams, n))
+    models = {-2: model}
+    for f in range(FOLDS):
+        rest = (fold >= 0) & (fold != f)
+        if rest.any():
+            there = np.unique(lang[rest])
+            models[f] = fit([languages[k] for k in there], *_merged(np.searchsorted(there, lang[rest]), grams[rest], n[rest]))
+    held = sample.filter("fold <> -1").select("lang", "fold", "text").mapInArrow(trimmed(_calibrate(models)), "lang string, ce double, n long").toArrow()
+    lang = np.array([index[x] for x in held.column("lang").to_pylist()], int)
+    _set_limits(model, lang, held.column("ce").to_numpy(), held.column("n").to_numpy())
     return model
 
 
-def _calibrate(model: Model):
+def _merged(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each language without regard to folds."""
+    rows, at = np.unique(np.column_stack([lang.astype(np.uint32), grams]), axis=0, return_inverse=True)
+    return rows[:, 0].astype(int), rows[:, 1:], np.bincount(at.ravel(), n).astype(np.int64)
+
+
+def _set_limits(model: Model, lang: np.ndarray, ce: np.ndarray, n: np.ndarray) -> None:
+    """Means and limits from the calibration texts' languages, cross-entropies and characters."""
+    size = len(model.languages)
+    own = [(lang == k) & (n > 0) for k in range(size)]
+    enough = [k for k in range(size) if own[k].sum() >= LEAST]
+    pooled = np.isin(lang, enough) & (n > 0)
+    model.mean = np.full(size, np.average(ce[pooled], weights=n[pooled]) if pooled.any() else model.chance)
+    model.limit = np.zeros(size)
+    widest = MARGIN
+    for k in sorted(range(size), key=lambda k: k not in enough):
+        c, m = ce[own[k]], n[own[k]]
+        if len(c):
+            model.mean[k] = np.average(c, weights=m)
+        shrunk = (c * m + SHRINK * model.mean[k]) / (m + SHRINK)
+        if k in enough:
+            limit = max(shrunk.mean() + SIGMAS * shrunk.std(), model.mean[k] + MARGIN)
+            widest = max(widest, limit - model.mean[k])
+        else:
+            limit = max(model.mean[k] + widest, model.chance)
+        model.limit[k] = max(min(limit, (model.chance - model.base[k]) / 2), shrunk.max(initial=0.0))
+
+
+def _calibrate(models: dict[int, Model]):
+    """Cross-entropy of each text by its own language in the model for its fold; none if that model lacks the language."""
+    index = {f: {x: k for k, x in enumerate(m.languages)} for f, m in models.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {x: i for i, x in enumerate(model.languages)}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs, folds = batch.column("lang").to_pylist(), batch.column("fold").to_pylist()
             for start, run_texts in _runs(batch.column("text")):
-                total, n = model.entropy(run_texts)
-                mine = langs[start:start + len(run_texts)]
-                own = np.array([total[i, index[x]] if x in index else 0.0 for i, x in enumerate(mine)])
-                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array(own / np.maximum(n, 1)), pa.array(n, pa.int64())],
-                                                 ["lang", "ce", "n"])
+                for f in sorted(set(folds[start:start + len(run_texts)])):
+                    at = [i for i in range(len(run_texts)) if folds[start + i] == f and langs[start + i] in index.get(f, ())]
+                    if not at:
+                        continue
+                    total, n = models[f].entropy([run_texts[i] for i in at])
+                    mine = [langs[start + i] for i in at]
+                    own = total[np.arange(len(at)), [index[f][x] for x in mine]]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array(own / np.maximum(n, 1)), pa.array(n, pa.int64())],
+                                                     ["lang", "ce", "n"])
     return run
 
 

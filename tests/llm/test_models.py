@@ -124,6 +124,23 @@ def test_noise_is_rejected(spark):
     assert li.keep(noise, model).count() == 0 and li.keep(docs, model).count() == len(rows)
 
 
+def test_noise_is_rejected_in_small_tables(spark):
+    """Default parameters: a table that the counts would use up, a rare language, and one of a few documents."""
+    rng = np.random.default_rng(0)
+    words = {"aa": ["the", "cat", "sat", "on", "mat", "rat", "hat", "and", "then", "that"], "bb": ["le", "chat", "est", "là", "les", "rats", "noir", "jour"],
+             "cc": ["der", "hund", "und", "die", "katze", "nicht", "ein", "wir"], "dd": ["uno", "gato", "y", "perro", "los", "dias", "que"]}
+    rows = []
+    for lang, size in (("aa", 200), ("bb", 60), ("cc", 12), ("dd", 3)):
+        rows += [(len(rows) + i, lang, " ".join(rng.choice(words[lang], 60))) for i in range(size)]
+    odd = [(k, "x", "".join(chr(c) for c in rng.integers(lo, hi, 400))) for k, (lo, hi) in enumerate([(0x4E00, 0x9000), (0x0430, 0x0450), (0xAC00, 0xD000)])]
+    for langs in (["aa", "bb", "cc", "dd"], ["aa"], ["bb"], ["cc"], ["aa", "cc"], ["bb", "dd"]):
+        docs = spark.createDataFrame([r for r in rows if r[1] in langs], "doc_id long, lang string, text string")
+        model = li.train(docs)
+        assert np.isfinite(model.limit).all()
+        assert li.keep(spark.createDataFrame(odd, docs.schema), model).count() == 0, langs
+        assert li.keep(docs, model).count() == docs.count(), langs
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(1)
     examples = []
