@@ -51,7 +51,9 @@ SURE = 52
 #: A family with more sets, or more shingles, than this is linked block by block.
 FAMILY_SETS = 4_000
 FAMILY_SHINGLES = 6_000_000
-BLOCK = 1_000
+#: Sets of a block, and blocks that share ``FAMILY_SHINGLES``. Blocks are dealt by hash: two of them, which meet in one
+#: task, hold two thirds of it on average, so that uneven blocks stay below it too.
+BLOCK, BLOCKS_SHARE = 1_000, 3
 #: Bits of the map of family members, and of one row of it.
 FILTER_BITS, MAP_BITS = 1 << 25, 1 << 15
 NUM, DEN = 75, 100
@@ -365,15 +367,21 @@ def _top(label: dict[int, int], c) -> int:
     return c
 
 
-def _link_large(members: DataFrame, block: int) -> DataFrame:
+def _blocks(members: DataFrame, block: int, family_shingles: int) -> DataFrame:
+    """``members`` with the number of blocks of their family, by sets and by shingles, and their own block."""
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles") / 8).alias("w"))
+    number = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") * BLOCKS_SHARE / family_shingles)).cast("long")
+    m = members.join(sizes.select("family", number.alias("blocks")), "family")
+    return m.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+
+
+def _link_large(members: DataFrame, block: int, family_shingles: int) -> DataFrame:
     """Exact components of families too large for one task.
 
     The family is cut into blocks; each block is linked inside one task first, which leaves few components.
     Then pairs of blocks are compared, only between sets of different components. A block meets each other block
     of its family once, in its own task; output is linear in the family."""
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    m = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
-    m = stored(m.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("n"), "members")
+    m = stored(_blocks(members, block, family_shingles), "members")
     inner = m.withColumn("family", F.xxhash64("family", "block")).select("family", "id", "shingles")
     inner = stored(inner.repartition("family").sortWithinPartitions("family", "id")
                    .mapInArrow(trimmed(_link_families), "id long, component long").distinct(), "inner")
@@ -428,7 +436,7 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
         large = stored(large, "large")
         exact = members.join(large, "family", "left_anti").repartition("family").sortWithinPartitions("family", "id") \
             .mapInArrow(trimmed(_link_families), "id long, component long") \
-            .union(_link_large(members.join(large, "family", "left_semi"), block))
+            .union(_link_large(members.join(large, "family", "left_semi"), block, family_shingles))
     exact = stored(exact.groupBy("id").agg(F.min("component").alias("component")), "exact")
     comp = groups.join(exact, "id", "left") \
         .select("set_key", "copies", F.coalesce("component", "id").alias("component"), "id")

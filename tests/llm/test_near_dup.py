@@ -1,6 +1,7 @@
 """Near-duplicates against brute force, with odd rows and small limits."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,29 @@ def test_equals_brute_force(spark, limits):
     assert found(near_dup.near_duplicates(df, **limits)) == brute(rows)
 
 
+def test_blocks_keep_the_bound_of_shingles(spark):
+    """A family of few long sets is cut by shingles: no block and no pair of blocks passes the bound."""
+    size, bound = 500, 60_000
+    rows = [(f, f * 1000 + i, b"\0" * (8 * size)) for f, n in ((1, 300), (2, 130)) for i in range(n)]
+    members = near_dup._blocks(spark.createDataFrame(rows, "family long, id long, shingles binary"), near_dup.BLOCK, bound).collect()
+    assert len(members) == len(rows)
+    for f in (1, 2):
+        sizes = Counter(r.block for r in members if r.family == f)
+        assert len(sizes) > 1 and size * sum(k for _, k in sizes.most_common(2)) <= bound
+
+
+def test_family_of_long_sets_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in rng.integers(0, 4000, 300)]
+    rows = []
+    for i in range(50):
+        words = base if i % 5 else base[::-1]
+        rows.append((i, " ".join(w if rng.random() > 0.01 else f"x{i}" for w in words)))
+    rows += [(100 + i, t) for i, (_, t) in enumerate(corpus(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(near_dup.near_duplicates(df, family_shingles=2_000)) == brute(rows)
+
+
 def test_one_group_holds_a_third(spark):
     rows = corpus(60) + [(2000 + i, "same words in every copy of this text and more") for i in range(40)]
     assert found(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
