@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language_id, mixing, near_dup, quality_model, quality_rules, tool_calls, vector_graph, warc
+from . import (byte_bpe, html_text, language_id, mixing, near_dup, periodic_runs, quality_model, quality_rules, tool_calls,
+               vector_graph, warc)
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +245,16 @@ def op5_tool_call_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked, ordered, validated and serialised messages of all conversations."""
     linked = tool_calls.link(tool_calls.calls_of(load(spark, sf_dir, "conversations")))
     return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words of all documents, a tenth of which are made periodic first."""
+    docs = periodic_runs.planted(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli,
+                        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
