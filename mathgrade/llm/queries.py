@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, html_text, language_id, mixing, near_dup, periodic_runs, quality_model, quality_rules, tool_calls,
-               vector_graph, warc)
+from . import (byte_bpe, collocations, html_text, language_id, mixing, near_dup, periodic_runs, quality_model, quality_rules,
+               tool_calls, vector_graph, warc)
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,44 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli,
                         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+SQL_COLLOCATIONS = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT row_number() OVER () AS piece_id, lang, piece
+      FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+w AS (SELECT lang, piece_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+      FROM (SELECT lang, piece_id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+x AS (SELECT lang, w, lead(w) OVER q AS w2, lead(w, 2) OVER q AS w3 FROM w WINDOW q AS (PARTITION BY piece_id ORDER BY i)),
+f AS (
+  SELECT lang, 1 AS k, w AS phrase, count(*) AS f FROM x GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM x WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM x WHERE w3 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN (VALUES (1), (2)) v(j) ON j < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+big AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, f FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), f FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN big ON big.lang = low.lang AND big.phrase = low.phrase
+  WHERE big.f IS NULL OR 100 * big.f < 50 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
+@register("op12_collocations", SQL_COLLOCATIONS)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two and three words of each language."""
+    found = collocations.collocations(load(spark, sf_dir, "documents").select("lang", "text"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
