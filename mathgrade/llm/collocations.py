@@ -37,7 +37,7 @@ LEAST, MOST_WORDS, TOP = 10, 3, 2000
 #: A longer phrase replaces a part of it when it makes at least this share of the part's occurrences.
 SHARE_NUM, SHARE_DEN = 50, 100
 #: Bytes of text in a block (a longer text makes a block of its own).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Bits of the map of frequent groups (8 MB).
 FILTER_BITS = 1 << 26
 
