@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, texts, trimmed
-from .wordbytes import BASE, BASE_INV, mix64, pieces
+from .wordbytes import mix64, pieces, sliding, string_hashes
 
 #: A run has at least this many words, and this many periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -40,36 +40,11 @@ RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.in
 RUN_DDL = "struct<start: long, length: long, period: long>"
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, BASE_INV):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def _string_hashes(values: np.ndarray, up: np.ndarray, down: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every string of ``k`` consecutive values."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:len(values)], out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * down[:len(values) - k + 1])
-
-
-def _sliding(values: np.ndarray, w: int, pick) -> np.ndarray:
-    """``pick`` (np.minimum or np.maximum) over every window of ``w`` values, by windows that double in size."""
-    n, size = len(values) - w + 1, 1
-    while size * 2 <= w:
-        values = pick(values[:-size], values[size:])
-        size *= 2
-    return pick(values[:n], values[w - size:w - size + n])
-
-
 def _minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
     """Positions that hold the minimum of some window of ``w`` hashes."""
-    low = _sliding(hashes, w, np.minimum)
+    low = sliding(hashes, w, np.minimum)
     pad = np.zeros(w - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), w, np.maximum) == hashes)
+    return np.flatnonzero(sliding(np.concatenate([pad, low, pad]), w, np.maximum) == hashes)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -130,17 +105,16 @@ def find_runs(x: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int]]:
         for s, e in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
             if _primitive(x, s, e, q):
                 out.append((s, e - s, q))
-    here, at, values, up, down = x, np.arange(len(x)), None, None, None
+    here, at, values = x, np.arange(len(x)), None
     texts_left = np.repeat(lengths, lengths + 1)
     for lo, hi, w in scales(int(lengths.max()) if len(lengths) else 0):
         fits = texts_left >= LEAST_PERIODS * (lo + 1)
         if values is None or not fits.all():  # texts too short for the scale go
             here, at, texts_left = here[fits], at[fits], texts_left[fits]
             values = mix64(here.astype(np.uint64) + np.uint64(1))
-            up, down = (up, down) if up is not None else _powers(len(here) + 1)
         if len(here) < hi + w - 1:
             break
-        hashes = _string_hashes(values, up, down, hi)
+        hashes = string_hashes(values, hi)
         sel = _minimizers(hashes, w)
         order = np.argsort(hashes[sel], kind="stable")
         h, p = hashes[sel][order], sel[order]

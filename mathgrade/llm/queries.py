@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (byte_bpe, collocations, html_text, language_id, mixing, near_dup, periodic_runs, quality_model, quality_rules,
-               tool_calls, vector_graph, warc)
+               suffix_dedup, tool_calls, vector_graph, warc)
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,3 +299,34 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of two and three words of each language."""
     found = collocations.collocations(load(spark, sf_dir, "documents").select("lang", "text"))
     return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+SQL_SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN m ON m.s = w.s WHERE m.low < w.doc_id),
+mark AS (SELECT *, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -99) > 50 AS opens FROM hit),
+run AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM mark),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+gap AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (
+  SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gap JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
+
+@register("op13_suffix_dedup", SQL_SUFFIX_DEDUP)
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 bytes or more that an earlier one holds."""
+    found = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))

@@ -129,3 +129,23 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         h += words[k:k + n] * _WINDOW[k]
     return mix64(h + np.uint64(width))
+
+
+def string_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every string of ``k`` consecutive values (unsigned, 64 bits)."""
+    n = len(values)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * down[:n - k + 1])
+
+
+def sliding(values: np.ndarray, w: int, pick) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) over every window of ``w`` values, by windows that double in size."""
+    n, size = max(0, len(values) - w + 1), 1
+    while size * 2 <= w:
+        values = pick(values[:-size], values[size:])
+        size *= 2
+    return pick(values[:n], values[w - size:w - size + n])
