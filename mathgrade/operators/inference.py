@@ -10,9 +10,12 @@ number), so a task retried after a lost executor rewrites the same keys.
 from __future__ import annotations
 
 import hashlib
+import multiprocessing
 import random
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
@@ -45,18 +48,39 @@ def _retry(call, max_tries: int, backoff_base: float, seed: str, before: int = 0
     return None, err, attempt
 
 
+def in_order(calls: Iterable[Callable[[], object]], in_flight: int) -> Iterator[object]:
+    """Results of ``calls`` in their order, with at most ``in_flight`` of them running.
+
+    A call is taken from the input only when a place is free, so neither waiting inputs nor finished results pile up."""
+    if in_flight <= 1:
+        for call in calls:
+            yield call()
+        return
+    with ThreadPoolExecutor(in_flight) as pool:
+        running: deque = deque()
+        for call in calls:
+            if len(running) == in_flight:
+                yield running.popleft().result()
+            running.append(pool.submit(call))
+        while running:
+            yield running.popleft().result()
+
+
 MISSING_COMPLETION = "missing completion"
 MISSING_PROMPT = "missing prompt"
 
 
 def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Callable[[], GenerateFn],
-             max_tries: int = 3, backoff_base: float = 0.0, batch_size: int = 32, keep: Sequence[str] = ()) -> DataFrame:
+             max_tries: int = 3, backoff_base: float = 0.0, batch_size: int = 32, keep: Sequence[str] = (),
+             in_flight: int = 1) -> DataFrame:
     """Exactly n rows per input row: (id, kept columns, sample_number, completion, error, attempts).
 
     A batch of prompts is one call and the first attempt of its rows; if it fails, each row is tried alone for the
     attempts that are left, so one bad prompt only fails itself and no prompt is sent more than ``max_tries``
     times. Replies that are missing or failed are rows with an error. A null prompt is not sent. ``keep`` columns
-    travel with the row (no join back, so the model is not asked again for them)."""
+    travel with the row (no join back, so the model is not asked again for them). ``in_flight`` calls of a task run at
+    once (threads, for clients that wait on a network); the client must allow that. Retries wait in their own thread.
+    Rows come out in their order."""
     carried = [id_col, *[c for c in keep if c != id_col]]
     schema = T.StructType([*[df.schema[c] for c in carried], T.StructField("sample_number", T.IntegerType()),
                            T.StructField("completion", T.StringType()), T.StructField("error", T.StringType()),
@@ -67,29 +91,31 @@ def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Ca
         got += [None] * (n - len(got))
         return [(j, c, None if c is not None else err or MISSING_COMPLETION, tries) for j, c in enumerate(got)]
 
+    def ask(fn: GenerateFn, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, prompts = batch.column(id_col).to_pylist(), batch.column("_prompt").to_pylist()
+        rows = range(batch.num_rows)
+        sent = [i for i in rows if prompts[i] is not None]
+        seed = hashlib.md5(repr(ids).encode()).hexdigest()
+        outs, err, tries = _retry(lambda: fn([prompts[i] for i in sent], n), 1, 0.0, seed) if sent else ([], None, 0)
+        found = {i: replies(None, MISSING_PROMPT, 0) for i in rows if prompts[i] is None}
+        if outs is not None:
+            outs = list(outs) + [[]] * (len(sent) - len(outs))
+            found |= {i: replies(o, None, tries) for i, o in zip(sent, outs, strict=False)}
+        else:
+            for i in sent:
+                one, e1, t1 = _retry(lambda i=i: fn([prompts[i]], n)[0], max_tries, backoff_base, f"{seed}{ids[i]}", before=1)
+                found[i] = replies(one, e1 or (err if max_tries == 1 else None), t1)
+        out = [(i, *r) for i in rows for r in found[i]]
+        at = pa.array([o[0] for o in out], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(at) for c in carried], pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()),
+             pa.array([o[3] for o in out], pa.string()), pa.array([o[4] for o in out], pa.int32())],
+            [*carried, "sample_number", "completion", "error", "attempts"])
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = fn_factory()
-        for batch in batches:
-            ids, prompts = batch.column(id_col).to_pylist(), batch.column("_prompt").to_pylist()
-            for start in range(0, batch.num_rows, batch_size):
-                rows = list(range(start, min(start + batch_size, batch.num_rows)))
-                sent = [i for i in rows if prompts[i] is not None]
-                seed = hashlib.md5(repr([ids[i] for i in rows]).encode()).hexdigest()
-                outs, err, tries = _retry(lambda sent=sent: fn([prompts[i] for i in sent], n), 1, 0.0, seed) if sent else ([], None, 0)
-                found = {i: replies(None, MISSING_PROMPT, 0) for i in rows if prompts[i] is None}
-                if outs is not None:
-                    outs = list(outs) + [[]] * (len(sent) - len(outs))
-                    found |= {i: replies(o, None, tries) for i, o in zip(sent, outs, strict=False)}
-                else:
-                    for i in sent:
-                        one, e1, t1 = _retry(lambda i=i: fn([prompts[i]], n)[0], max_tries, backoff_base, f"{seed}{ids[i]}", before=1)
-                        found[i] = replies(one, e1 or (err if max_tries == 1 else None), t1)
-                out = [(i, *r) for i in rows for r in found[i]]
-                at = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(at) for c in carried], pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()),
-                     pa.array([o[3] for o in out], pa.string()), pa.array([o[4] for o in out], pa.int32())],
-                    [*carried, "sample_number", "completion", "error", "attempts"])
+        cut = (batch.slice(start, batch_size) for batch in batches for start in range(0, batch.num_rows, batch_size))
+        yield from in_order(((lambda piece=piece: ask(fn, piece)) for piece in cut), in_flight)
 
     return df.select(*carried, F.col(prompt_col).cast("string").alias("_prompt")).mapInArrow(part, schema)
 
@@ -124,26 +150,70 @@ def score_tokens(df: DataFrame, id_col: str, prompt_col: str, answer_col: str,
         .mapInArrow(part, schema)
 
 
+class Watched:
+    """A runner in a process of its own that is killed when a program takes longer than the limit.
+
+    The process is forked from the task, builds its runner once and serves one program after the other; after a kill,
+    or if a program ends the process, the next program gets a new one."""
+
+    def __init__(self, runner_factory: Callable[[], Callable[[str, float], str]], timeout: float):
+        self.factory, self.timeout, self.process = runner_factory, timeout, None
+
+    def _serve(self, pipe) -> None:
+        run = self.factory()
+        while True:
+            try:
+                code = pipe.recv()
+            except EOFError:
+                return
+            try:
+                pipe.send((str(run(code, self.timeout)), None))
+            except Exception as ex:  # noqa: BLE001 - a row-level failure is data
+                pipe.send((None, f"{type(ex).__name__}: {ex}"))
+
+    def __call__(self, code: str) -> tuple[str | None, str | None]:
+        """(output, error)"""
+        if self.process is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, theirs = fork.Pipe()
+            self.process = fork.Process(target=self._serve, args=(theirs,), daemon=True)
+            self.process.start()
+            theirs.close()
+        self.pipe.send(code)
+        try:
+            if self.pipe.poll(self.timeout):
+                return self.pipe.recv()
+            error = f"TimeoutError: no output after {self.timeout:g} s"
+        except (EOFError, OSError):
+            error = "RuntimeError: the program ended its process"
+        self.close()
+        return None, error
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
+
+
 def run_programs(df: DataFrame, code_col: str, runner_factory: Callable[[], Callable[[str, float], str]],
                  timeout: float = 5.0) -> DataFrame:
-    """U5 (execution part): the caller's runner executes each program with a
-    mandatory timeout (Q13) and returns its output; failures -> NULL output.
-    All columns travel with the row; rows without code are not run."""
+    """U5 (execution part): the caller's runner executes each program in a
+    watched process, which is killed after ``timeout`` seconds (Q13), and
+    returns its output; failures -> NULL output and an error. All columns
+    travel with the row; rows without code are not run."""
     schema = T.StructType([*df.schema.fields, T.StructField("program_output", T.StringType()), T.StructField("run_error", T.StringType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = runner_factory()
-        for batch in batches:
-            outs, errs = [], []
-            for code in batch.column(code_col).to_pylist():
-                try:
-                    outs.append(run(code, timeout) if code else None)
-                    errs.append(None)
-                except Exception as ex:  # noqa: BLE001
-                    outs.append(None)
-                    errs.append(f"{type(ex).__name__}: {ex}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(outs, pa.string()), pa.array(errs, pa.string())],
-                                             [*batch.schema.names, "program_output", "run_error"])
+        run = Watched(runner_factory, timeout)
+        try:
+            for batch in batches:
+                done = [run(code) if code else (None, None) for code in batch.column(code_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o for o, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())],
+                                                 [*batch.schema.names, "program_output", "run_error"])
+        finally:
+            run.close()
 
     return df.mapInArrow(part, schema)
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialised
 from . import ranks
 from .skew import salted_join
 
@@ -73,9 +74,9 @@ def _binary_rho(agg: DataFrame) -> Column:
     return F.when((n1 > 0) & (n0 > 0) & (var_r > 0), rho)
 
 
-def _rank_moments(scores: DataFrame, keys: Sequence[str], edges_from: DataFrame | None = None) -> DataFrame:
+def _rank_moments(scores: DataFrame, keys: Sequence[str], edges_from: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """n, n1 and rank moments per key from distinct scores with ``cnt`` and ``pos``."""
-    rk = ranks.running_sum(scores, [keys[0]], ["score"], "_cum", weight=F.col("cnt"), edges_from=edges_from)
+    rk = ranks.running_sum(scores, [keys[0]], ["score"], "_cum", weight=F.col("cnt"), edges_from=edges_from, rows=rows)
     rk = rk.withColumn("r", F.col("_cum") - (F.col("cnt") - 1) / 2.0)
     return rk.groupBy(*keys).agg(
         F.sum("cnt").alias("n"), F.sum("pos").alias("n1"), F.sum(F.col("pos") * F.col("r")).alias("sum_r_pos"),
@@ -248,6 +249,7 @@ def alpha_sweep(df: DataFrame, logp_sum: str, n_tokens: str, label: str,
     trip = df.filter(F.col(logp_sum).isNotNull() & F.col(n_tokens).isNotNull() & F.col(label).isNotNull()) \
         .groupBy(logp_sum, n_tokens).agg(F.count(F.lit(1)).alias("cnt"),
                                          F.sum(F.col(label).cast("bigint")).alias("pos"))
+    trip = materialised(trip, "triples")
     grid = F.array(*[F.struct(F.lit(i).alias("alpha_idx"), F.lit(float(a)).alias("alpha"))
                      for i, a in enumerate(alphas)])
 
@@ -258,7 +260,7 @@ def alpha_sweep(df: DataFrame, logp_sum: str, n_tokens: str, label: str,
     x = scored(trip)
     few = scored(trip.orderBy(F.rand(7)).limit(EDGE_ROWS))  # bucket edges need a few rows per alpha, not all
     per_score = x.groupBy("alpha_idx", "alpha", "score").agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"))
-    agg = _rank_moments(per_score, ["alpha_idx", "alpha"], few)
+    agg = _rank_moments(per_score, ["alpha_idx", "alpha"], few, rows=trip.count() * len(alphas))
     return agg.select("alpha_idx", "alpha", "n", _binary_rho(agg).alias("spearman"))
 
 

@@ -141,10 +141,40 @@ SELECT question_id, CAST(('0x' || substr(md5(CAST(question_id AS VARCHAR)), 1, 8
 
 @register("s10_write_in_steps", S10_SQL)
 def s10_write_in_steps(spark, sf_dir):
-    """Results appended in steps of about 1,000 rows, partitioned by
+    """Results committed in steps of about 1,000 rows, partitioned by
     (run_id, step); a second call resumes and adds nothing."""
     path = scratch_path(spark, "steps")
     q = dt.questions(spark, sf_dir).select("question_id")
     CK.write_in_steps(q, "question_id", path, 1000, "r1")
     out = CK.write_in_steps(q, "question_id", path, 1000, "r1")
     return out.select("question_id", F.col("step").cast("bigint"), F.col("run_id").cast("string"))
+
+
+S10B_SQL = f"""WITH {S.QUESTIONS} SELECT question_id, 'The answer is ' || question_id AS completion, 's' AS run_id FROM questions"""
+
+
+@register("s10b_stream_results", S10B_SQL)
+def s10b_stream_results(spark, sf_dir):
+    """Files that arrive in a folder, worked on in micro-batches with a commit log; the second call finds only
+    the files that came after the first."""
+    path = scratch_path(spark, "arriving")
+    q = dt.questions(spark, sf_dir).select("question_id")
+    odd = F.col("question_id") % 2 == 1
+    def answer(batch):
+        return batch.withColumn("completion", F.concat(F.lit("The answer is "), F.col("question_id").cast("string")))
+    for part in (odd, ~odd):
+        q.filter(part).repartition(3).write.mode("append").parquet(f"{path}/in")
+        out = CK.stream_new_results(spark, f"{path}/in", q.schema, answer, f"{path}/out", "s", files_per_step=2)
+    return out.select("question_id", "completion", "run_id")
+
+
+U02_SQL = f"""WITH {S.QUESTIONS} SELECT question_id, CASE WHEN question_id % 4 < 3 THEN 'The answer is ' || question_id END AS completion,
+  CASE WHEN question_id % 4 = 3 THEN 'ConnectionError: try 3' END AS error, CAST(least(question_id % 4 + 1, 3) AS INTEGER) AS attempts FROM questions"""
+
+
+@register("u02_retry", U02_SQL)
+def u02_retry(spark, sf_dir):
+    """A client that fails up to three times per prompt, eight calls of a task in flight, three tries."""
+    q = dt.questions(spark, sf_dir).select("question_id", F.concat(F.lit("Q "), F.col("question_id").cast("string")).alias("prompt"))
+    out = INF.generate(q, "question_id", "prompt", 1, stubs.flaky_factory, max_tries=3, batch_size=1, in_flight=8)
+    return out.select("question_id", "completion", "error", "attempts")

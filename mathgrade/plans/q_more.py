@@ -427,15 +427,15 @@ def t21_completion_features(spark, sf_dir):
         TX.error_category_v1("p").alias("error_v1"), TX.error_category_v2("p").alias("error_v2"))
 
 
-M24_SQL = f"""WITH t AS (SELECT vec_id, len(embedding) - CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 0 END AS n, {S.EMB_LOGP} AS lp FROM embeddings WHERE vec_id % 8 < 2)
+M24_SQL = f"""WITH t AS (SELECT vec_id, len(embedding) - CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 0 END AS n, {S.EMB_LOGP} AS lp FROM embeddings)
 SELECT vec_id, CAST(i AS INTEGER) AS position, 'tok' || CAST(i AS VARCHAR) AS token, round(lp[i + 1], 6) AS logprob, round(exp(lp[i + 1]), 6) AS prob,
   n <> len(lp) AS length_mismatch FROM (SELECT *, unnest(range(n)) AS i FROM t)"""
 
 
 @register("m24_question_tokens", M24_SQL)
 def m24_question_tokens(spark, sf_dir):
-    """Token tables of chosen questions; rows whose arrays differ in length are flagged and stop at the shorter."""
-    e = dt.table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 8 < 2)
+    """Token tables of all questions; rows whose arrays differ in length are flagged and stop at the shorter."""
+    e = dt.table(spark, sf_dir, "embeddings")
     toks = F.transform("embedding", lambda x, i: F.concat(F.lit("tok"), i.cast("string")))
     e = e.select("vec_id", F.slice(toks, F.lit(1), F.size("embedding") - F.when(F.col("vec_id") % 4 == 0, 2).otherwise(0)).alias("tokens"),
                  F.transform("embedding", lambda x: -F.abs(x.cast("double"))).alias("logp"))

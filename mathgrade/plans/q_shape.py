@@ -190,13 +190,14 @@ def p17_map_labels(spark, sf_dir):
 
 
 P19_SQL = f"""{GRADED_Q}
-SELECT question_id, list(round(pred, 6) ORDER BY sample_number, completion) AS predictions,
+SELECT question_id, list(CASE WHEN round(pred, 6) = 0 THEN 0.0 ELSE round(pred, 6) END ORDER BY sample_number, completion) AS predictions,
   list(correct ORDER BY sample_number, completion) AS correct_predictions
 FROM graded GROUP BY question_id"""
 
 
 def _eval_rows(spark, sf_dir):
-    g = _graded(spark, sf_dir, "completion").withColumn("pred", F.round("pred", 6))
+    pred = F.round("pred", 6)
+    g = _graded(spark, sf_dir, "completion").withColumn("pred", F.when(pred == 0, F.lit(0.0)).otherwise(pred))  # one zero, without a sign
     return SH.collect_samples(g.withColumn("_o", F.struct("sample_number", "completion")), ["question_id"], "_o",
                               ["pred", "correct"]).withColumnsRenamed({"pred": "predictions", "correct": "correct_predictions"})
 

@@ -5,6 +5,7 @@ results are reproducible and expressible in SQL."""
 from __future__ import annotations
 
 import re
+import threading
 
 
 def solver_factory():
@@ -111,3 +112,17 @@ def tagged_augmenter_factory():
             out.append([f"<task>Task {turn}</task>{sol}<code>```python\nprint({turn + 3 + (turn % 2 == 0)})\n```</code>"] * n)
         return out
     return fn
+
+
+def flaky_factory():
+    """Answers 'Q <number>' with the number; a prompt fails as often as its number modulo 4 before it is answered."""
+    lock, sent = threading.Lock(), {}
+
+    def fn(prompts, n):
+        for p in prompts:
+            with lock:
+                sent[p] = sent.get(p, 0) + 1
+            if sent[p] <= int(p.rsplit(" ", 1)[1]) % 4:
+                raise ConnectionError(f"try {sent[p]}")
+        return [[f"The answer is {p.rsplit(' ', 1)[1]}"] * n for p in prompts]
+    return fn

@@ -1,15 +1,22 @@
-"""Periodic, resumable result writing.
+"""Durable, resumable result writing (S10/S11): micro-batches with a commit log.
 
-``write_in_steps`` tags finished rows with a step (about ``every_n`` rows
-each, by a hash of the key) and appends them as partitions of one results table, so a rerun
-only adds what is missing. ``stream_new_results`` is the streaming form: a
-file-source stream with ``trigger(availableNow=True)`` and a checkpoint
-location picks up exactly the input files not processed yet, and each
-micro-batch is written keyed by id."""
+``write_in_steps`` deals new rows into steps of about ``every_n`` rows and stores them as the run's input. Each step is
+worked on alone: its rows are read back, ``work`` (model calls included) is applied, the result replaces the folder
+``run_id=.../step=...``, and a manifest entry commits it. A run that stops keeps the steps committed so far; the next
+call works on the others only. A step that stopped half-way is replayed into the same folder, so each row is in the
+results once. Rows are dealt before they are worked on: ``work`` sees a row once, or again only in a replayed step.
+
+``stream_new_results`` is the streaming form: a file source whose micro-batches are the steps. Spark's checkpoint fixes
+the files of a batch before it runs, ``foreachBatch`` writes it under its batch id and commits it to the same manifest.
+
+``committed`` reads the results of committed steps. The log lies below ``<path>/_log``, which Spark's readers skip.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,30 +24,95 @@ from pyspark.sql import functions as F
 from ..operators.training import hash32
 from ..sources import io as IO
 
+Work = Callable[[DataFrame], DataFrame]
+MANIFEST = "run_id string, step long, rows long, committed_at timestamp"
+
+
+def _log(path: str, run_id: str) -> str:
+    return f"{path.rstrip('/')}/_log/run={run_id}"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per committed step of all runs."""
+    pattern = f"{path.rstrip('/')}/_log/*/manifest/*"
+    if not IO.exists(spark, f"{path.rstrip('/')}/_log/any-manifest"):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(pattern)
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of committed steps, with ``run_id`` and ``step``."""
+    steps = manifest(spark, path).select("run_id", "step")
+    rows = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/run_id=*")
+    rows = rows.withColumn("run_id", F.col("run_id").cast("string")).withColumn("step", F.col("step").cast("long"))
+    return rows.join(F.broadcast(steps), ["run_id", "step"], "left_semi")  # a row per step
+
+
+def _commit(rows: DataFrame, path: str, run_id: str, step: int) -> None:
+    """Write a step under its own name, then its manifest entry."""
+    spark = rows.sparkSession
+    folder = f"{path.rstrip('/')}/run_id={run_id}/step={step}"
+    rows.write.mode("overwrite").parquet(folder)
+    n = spark.read.schema(rows.schema).parquet(folder).count()
+    entry = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(step).cast("long").alias("step"),
+                                  F.lit(n).cast("long").alias("rows"), F.current_timestamp().alias("committed_at"))
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{_log(path, run_id)}/manifest/step={step}")
+    spark.range(1).coalesce(1).write.mode("ignore").parquet(f"{path.rstrip('/')}/_log/any-manifest")
 
-def write_in_steps(df: DataFrame, key: str, path: str, every_n: int, run_id: str) -> DataFrame:
-    """Append the rows whose key is not written yet, partitioned by (run_id, step).
 
-    New rows are dealt by a hash of the key into steps of about ``every_n`` rows; steps continue after the run's
-    last one. No sort and no global numbering is needed."""
-    spark = df.sparkSession
-    todo, last = df, -1
-    if IO.exists(spark, path):
-        done = spark.read.parquet(path)
-        todo = IO.resume(df, done, key)
-        last = done.filter(F.col("run_id") == run_id).agg(F.coalesce(F.max("step").cast("bigint"), F.lit(-1))).first()[0]
-    steps = math.ceil(todo.count() / every_n)
+def _steps(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return manifest(spark, path).filter(F.col("run_id") == run_id).select("step")
+
+
+def write_in_steps(df: DataFrame, key: str, path: str, every_n: int, run_id: str, work: Work | None = None) -> DataFrame:
+    """Work on the rows of ``df`` whose key is in no step yet, step by step; returns ``committed(path)``.
+
+    ``df`` is evaluated once, to store the input; put costly work into ``work``. New rows are dealt by a hash of the
+    key into steps after the run's last one, so no sort and no global numbering is needed."""
+    spark, log = df.sparkSession, _log(path, run_id)
+    staged, last = f"{log}/input", -1
+    todo = df
+    if IO.exists(spark, staged):
+        before = spark.read.parquet(staged)
+        todo = IO.resume(todo, before, key)
+        last = before.agg(F.coalesce(F.max("step").cast("long"), F.lit(-1))).first()[0]
+    if not manifest(spark, path).isEmpty():
+        others = committed(spark, path).filter(F.col("run_id") != run_id)
+        todo = IO.resume(todo, others, key)
+    raw = f"{log}/raw-{uuid4().hex}"
+    todo.write.parquet(raw)
+    new = spark.read.schema(todo.schema).parquet(raw)
+    steps = math.ceil(new.count() / every_n)  # of the stored rows: the input isn't evaluated again
     if steps:
         step = F.pmod(hash32(F.col(key)), F.lit(steps)) + F.lit(last + 1)
-        todo.withColumn("run_id", F.lit(run_id)).withColumn("step", step.cast("bigint")) \
-            .write.mode("append").partitionBy("run_id", "step").parquet(path)
-    return spark.read.parquet(path)
-
-
-def stream_new_results(spark: SparkSession, src_dir: str, schema, transform, out_path: str,
-                       checkpoint: str) -> None:
-    """Process input files not yet seen (availableNow) and append results."""
-    src = spark.readStream.schema(schema).parquet(src_dir)
-    q = (transform(src).writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+        new.withColumn("step", step.cast("long")).repartition("step").write.mode("append").partitionBy("step").parquet(staged)
+    if IO.exists(spark, staged):
+        run_pending(spark, path, run_id, df.schema, work)
+    else:  # no row at all so far: an empty step keeps the columns
+        _commit(work(new) if work else new, path, run_id, -1)
+    return committed(spark, path)
+
+
+def run_pending(spark: SparkSession, path: str, run_id: str, schema, work: Work | None = None) -> None:
+    """Work on the stored steps of a run that are not committed, in order."""
+    staged = f"{_log(path, run_id)}/input"
+    known = spark.read.parquet(staged).select(F.col("step").cast("long").alias("step")).distinct()
+    pending = known.join(_steps(spark, path, run_id), "step", "left_anti").orderBy("step")
+    for row in pending.collect():  # step numbers only
+        rows = spark.read.schema(schema).parquet(f"{staged}/step={row['step']}")
+        _commit(work(rows) if work else rows, path, run_id, row["step"])
+
+
+def stream_new_results(spark: SparkSession, src_dir: str, schema, work: Work, path: str, run_id: str,
+                       files_per_step: int = 100) -> DataFrame:
+    """Work on the files of ``src_dir`` that no step has yet, ``files_per_step`` a step; returns ``committed(path)``."""
+    done = {r["step"] for r in _steps(spark, path, run_id).collect()}
+
+    def step(batch: DataFrame, number: int) -> None:
+        if number not in done:  # a replayed batch that was committed before Spark noted it
+            _commit(work(batch), path, run_id, number)
+
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(src_dir)
+    source.writeStream.foreachBatch(step).option("checkpointLocation", f"{_log(path, run_id)}/checkpoint") \
+        .trigger(availableNow=True).start().awaitTermination()
+    return committed(spark, path)

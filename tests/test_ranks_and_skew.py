@@ -72,3 +72,43 @@ def test_row_number_default_and_ranks_without_checkpoints(spark):
     got = SH.default_column(df, "source_idx", order=["v", "id"]).toPandas().sort_values(["v", "id"])
     assert got["source_idx"].tolist() == list(range(300))
     assert SH.default_column(df, "v", order=["id"]).columns == df.columns
+
+
+def test_bucket_sizes_follow_the_rows(spark):
+    """No bucket far above its target, at one and two levels, at several shuffle settings, with long equal prefixes."""
+    n = 20_000
+    df = spark.range(n, numPartitions=6).select(F.concat(F.lit("x" * 40), F.md5(F.col("id").cast("string"))).alias("s"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for shuffles in ("2", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            for target, fanout in ((1000, 512), (250, 16), (100, 15)):
+                sizes = ranks.bucketed(df, ["s", "id"], rows_per_bucket=target, fanout=fanout).groupBy("_b").count().toPandas()["count"]
+                assert sizes.sum() == n and sizes.max() <= 5 * target, (shuffles, target, sizes.max())
+                got = ranks.running_sum(df, [], ["s", "id"], "rn", rows_per_bucket=target, fanout=fanout).toPandas().sort_values(["s", "id"])
+                assert (got["rn"].to_numpy() == np.arange(1, n + 1)).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_number_of_buckets():
+    assert ranks.n_buckets(0, 200) == 1 and ranks.n_buckets(10_000, 200) == 1
+    assert ranks.n_buckets(10**6, 16) == 16 and ranks.n_buckets(10**9, 16) == 4000
+    assert ranks.n_buckets(10**12, 16) == ranks.FANOUT ** 2  # about four million rows each
+
+
+def test_hot_group_over_two_levels(spark):
+    df, pdf = _skewed(spark)
+    got = ranks.running_sum(df, ["k"], ["v", "id"], "c", weight=F.col("id") + 1, rows_per_bucket=50, fanout=9).toPandas().set_index("id").sort_index()
+    exp = pdf.assign(w=pdf["id"] + 1).sort_values(["k", "v", "id"])
+    exp = exp.assign(c=exp.groupby("k")["w"].cumsum()).set_index("id").sort_index()["c"]
+    assert (got["c"].to_numpy() == exp.to_numpy()).all()
+
+
+def test_nulls_in_keys_and_order(spark):
+    rows = [(None, None, 1), (None, 2.0, 2), ("a", None, 3), ("a", 1.0, 4)] * 40
+    df = spark.createDataFrame([(k, v, i, j) for j, (k, v, i) in enumerate(rows)], "k string, v double, i int, id int")
+    got = ranks.running_sum(df, ["k"], ["v", "id"], "rn", rows_per_bucket=10, fanout=5).toPandas()
+    for _, part in got.groupby("k", dropna=False):
+        ordered = part.sort_values(["v", "id"], na_position="first")
+        assert (ordered["rn"].to_numpy() == np.arange(1, len(part) + 1)).all()
