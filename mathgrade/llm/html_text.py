@@ -2,18 +2,18 @@
 
 The standard library's streaming parser turns a page into lines: one per block,
 with the number of characters of text and of tags, and the characters inside
-links. A line's ratio is its text without links per tag. Ratios are smoothed
-over neighbouring lines with a Gaussian kernel, and lines above a threshold
-(a share of the ratios' standard deviation) form content regions. A region
-keeps the short lines inside it, such as headings.
-
-Containers narrow the lines that ratios decide on: lines inside menus, page
-headers and footers, sidebars, notices, adverts, forms and comment threads (by
-element, role, class or id) are never content, and if a page has an article or
-main element, only lines inside it can be. These go through the same ratios,
-smoothing and threshold, on a logarithmic scale, where one very long paragraph
-does not lift the threshold above the short ones; between two content lines of
-an article, lines that aren't mostly links stay.
+links. A line's ratio is its text without links per tag, on a logarithmic scale (one
+very long paragraph doesn't hide the short ones), times a weight for where the
+line stands: little inside menus, page headers and footers, sidebars, notices,
+adverts, forms and comment threads (by element, role, class or id), little
+beside an article on a page that has one, 1 elsewhere. The ratios of all lines
+of the page are smoothed with a Gaussian kernel. Lines whose smoothed ratio
+reaches a share of the standard deviation cluster into regions; the lines of a
+region that have a ratio of their own are content, and so is what stands
+between two of them, unless it is mostly links or in such a container.
+
+An element of running text that is marked as an advert or the like, or hidden,
+carries no text. Classes and ids count as marks if each of their words does.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space in page order. Scripts,
@@ -43,8 +43,11 @@ from .common import trimmed
 SIGMA, REACH = 1.0, 2
 #: Share of the standard deviation of the smoothed ratios that a content line needs.
 THRESHOLD = 0.5
-#: A page without an article and of fewer lines than this is taken whole, but for links.
-FEW_LINES = 4
+#: Weighted ratio (logarithmic) that a line needs for itself: about a third of a character a tag, or half of the best on
+#: a page that has less.
+OWN = 0.3
+#: Weights of lines in containers without content, and of lines beside an article.
+OUTSIDE_WEIGHT, BESIDE_WEIGHT = 0.02, 0.05
 
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre
@@ -59,6 +62,9 @@ OUTSIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising ban
 cookie cookies consent disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice
 notices pagination pager popup promo promoted promotion related replies reply respond share sharing sidebar signup skip
 social sponsor sponsored subscribe toolbar topbar widget widgets""".split())
+#: Words that say where or how much, not what: "sidebar-left" is a sidebar, "ad-hoc" no advert.
+PLACE_WORDS = frozenset("""left right top bottom upper lower main inner outer container wrapper wrap box list item items area block bar
+section row panel links link text content post posts article articles page site global user blog body primary secondary""".split())
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _ENDS_ITSELF = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
                 "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")),
@@ -76,9 +82,11 @@ def _outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
         if name == "role" and value.strip().lower() in OUTSIDE_ROLES:
             return True
         if name in ("class", "id") and tag not in INSIDE and tag not in ("html", "body"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & (OUTSIDE_WORDS - {"header"} if in_article else OUTSIDE_WORDS):
-                return True
+            marks = OUTSIDE_WORDS - {"header"} if in_article else OUTSIDE_WORDS
+            for token in value.split():
+                words = {w.lower() for w in _PART.findall(token)}
+                if words & marks and words <= marks | PLACE_WORDS:
+                    return True
         if name in ("hidden",) or name == "aria-hidden" and value.lower() == "true":
             return True
     return any(name == "hidden" for name, _ in attrs)
@@ -118,7 +126,9 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         _, silent, outside, inside = self._state()
-        self.open.append((tag, silent or tag in SILENT, outside or _outside(tag, attrs, inside), inside or tag in INSIDE))
+        marked = _outside(tag, attrs, inside)
+        silent = silent or tag in SILENT or marked and tag not in BLOCKS or any(name == "hidden" for name, _ in attrs)
+        self.open.append((tag, silent, outside or marked, inside or tag in INSIDE))
         if tag == "a":
             self.in_link += 1
 
@@ -176,27 +186,28 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return over / weight
 
 
-def select(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
-    """The content lines of a page, in order."""
-    kept = [line for line in lines if not line[3]]
-    inside = [line for line in kept if line[4]]
-    return _clustered(inside, True) if inside else _clustered(kept, False)
+def weights(lines: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+    """What a line's ratio counts, by the containers around it."""
+    article = any(inside and not outside for _, _, _, outside, inside in lines)
+    return np.array([OUTSIDE_WEIGHT if outside else BESIDE_WEIGHT if article and not inside else 1.0 for _, _, _, outside, inside in lines])
 
 
-def _clustered(lines: list[tuple[str, int, int, bool, bool]], in_article: bool) -> list[str]:
+def select(lines: list[tuple[str, int, int, bool, bool]]) -> list[str]:
+    """The content lines of a page, in order."""
     if not lines:
         return []
-    own = np.array([max(len(text) - links, 0) / max(tags, 1) for text, tags, links, _, _ in lines])
-    if in_article:
-        ratio = smoothed(np.log1p(own))
-    elif len(lines) < FEW_LINES:
-        return [line[0] for line, r in zip(lines, own, strict=True) if r > 0]
-    else:
-        ratio = smoothed(own)
-    content = (ratio >= THRESHOLD * ratio.std()) & (own > 0)
-    if in_article and content.any():
-        first, last = np.flatnonzero(content)[[0, -1]]
-        content[first:last] |= np.array([2 * links <= len(text) for text, _, links, _, _ in lines[first:last]], bool)
+    weight = weights(lines)
+    ratio = weight * np.log1p([max(len(text) - links, 0) / max(tags, 1) for text, tags, links, _, _ in lines])
+    smooth = smoothed(ratio)
+    region = smooth >= THRESHOLD * smooth.std()
+    own = min(OWN, ratio[weight == 1.0].max(initial=2 * OWN if (weight < 1.0).all() else 0.0) / 2)
+    content = region & (ratio >= own) & (ratio > 0)
+    fill = np.array([w == 1.0 and 2 * links <= len(text) for w, (text, _, links, _, _) in zip(weight, lines, strict=True)])
+    number = np.cumsum(~region)  # lines of one region share a number
+    place = np.flatnonzero(content)
+    for a, b in zip(place[:-1], place[1:], strict=True):
+        if number[a] == number[b]:
+            content[a + 1:b] = fill[a + 1:b]
     return [line[0] for line, c in zip(lines, content, strict=True) if c]
 
 
