@@ -17,11 +17,17 @@ families: no link leaves a family. Inside a family links are then confirmed
 exactly on full sets, by searches that stop once a set is reached, so a large
 family needs no list of its pairs either.
 
+Shingles are told apart by 64-bit hashes: two different shingles of a pair of
+texts with n of them each are equal with a chance of about n^2 / 2^64 (2e-11
+for 20,000 words).
+
 Definitions for odd input. Null and empty texts have no shingles and link with
-nothing. Rows that share a ``doc_id`` are one node. A null ``doc_id`` takes the
-component of its copies with an id, or null if there is none. Equal sets form
-one node from the start. An empty table gives an empty result. Extra columns
-are ignored.
+nothing. Rows that share a ``doc_id`` are one node. Rows with a null ``doc_id``
+are nodes of their own, one for each text (by a 61-bit hash, above the largest
+id, which must be below 2^61): they link like others, and links through them
+count. Their component is the smallest id they reach, or null if they reach
+none; of such a component one node is kept. Equal sets form one node from the
+start. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -409,15 +415,24 @@ def _maybe_in(docs: DataFrame, family: DataFrame) -> DataFrame:
     return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).select(*docs.columns)
 
 
-def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NODE, family_sets: int = FAMILY_SETS,
-                    family_shingles: int = FAMILY_SHINGLES, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_key) for every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+NULL_IDS = 1 << 61
+
+
+def _nodes(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with a node id ``_node`` for every row, and the largest real id."""
+    doc_id = F.col("doc_id").cast("long")
+    top = docs.agg(F.max(doc_id)).first()[0] or 0
+    own = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(NULL_IDS)) + F.lit(max(top, 0) + 1)
+    return docs.withColumn("_node", F.coalesce(doc_id, own)), max(top, 0)
+
+
+def _components(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NODE, family_sets: int = FAMILY_SETS,
+                family_shingles: int = FAMILY_SHINGLES, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component) for every row of ``docs``, whose ids are not null."""
     base = stored(docs.mapInArrow(trimmed(_sketch), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
     groups = stored(base.filter("n_shingles > 0").groupBy("set_key")
                     .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "groups")
-    reps = groups.filter("id is not null").select("id", "set_key")
-    sets = base.select(F.col("doc_id").alias("id"), "set_key", "n_shingles", "sig").join(reps, ["id", "set_key"], "left_semi")
+    sets = base.select(F.col("doc_id").alias("id"), "set_key", "n_shingles", "sig").join(groups.select("id", "set_key"), ["id", "set_key"], "left_semi")
     sets = stored(sets, "sets")
     edges = candidate_edges(sets.select("id", "sig"), leaf, task_node)
     family = connected_components(edges).withColumnRenamed("component", "family")
@@ -441,14 +456,25 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF, task_node: int = TASK_NOD
     comp = groups.join(exact, "id", "left") \
         .select("set_key", "copies", F.coalesce("component", "id").alias("component"), "id")
     comp = comp.filter("copies > 1 or component <> id").select("set_key", "component")
-    out = salted_join(base.select("doc_id", "n_shingles", "set_key"), comp, ["set_key"], F.coalesce("doc_id", F.lit(0)))
-    cid = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), cid.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = salted_join(base.select("doc_id", "n_shingles", "set_key"), comp, ["set_key"], F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    nodes, top = _nodes(docs)
+    out = _components(nodes.select(F.col("_node").alias("doc_id"), F.col("text").cast("string").alias("text")), **parameters)
+    real = lambda c: F.when(F.col(c) <= top, F.col(c))
+    return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"),
+                      (F.col("component") == F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the documents of a component that are not its first."""
-    marked = near_duplicates(docs, **parameters).filter("kept").select("doc_id").distinct()
-    marked = marked.withColumnRenamed("doc_id", "_kept_id")
-    kept = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked["_kept_id"]), "left_semi")
-    return kept.select(*docs.columns)
+    """``docs`` without the documents of a component that are not its first, and without repeated rows of one node."""
+    nodes, _ = _nodes(docs)
+    out = _components(nodes.select(F.col("_node").alias("doc_id"), F.col("text").cast("string").alias("text")), **parameters)
+    marked = out.filter("component = doc_id").groupBy(F.col("doc_id").alias("_node")).agg(F.count(F.lit(1)).alias("_rows"))
+    marked = stored(marked, "kept")
+    one = nodes.join(marked.filter("_rows = 1").select("_node"), "_node", "left_semi")
+    more = nodes.join(marked.filter("_rows > 1").select("_node"), "_node", "left_semi").dropDuplicates(["_node", "text"])
+    return one.union(more).select(*docs.columns)

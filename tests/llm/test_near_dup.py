@@ -101,6 +101,45 @@ def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def near(words, *changes):
+    out = list(words)
+    for at, w in changes:
+        out[at] = w
+    return " ".join(out)
+
+
+BRIDGE = [f"w{i}" for i in range(60)]
+#: 1 and 2 link only through a row without an id; two rows without ids link with each other alone, one stands alone.
+NULLS = [(1, near(BRIDGE, (5, "a"))), (None, near(BRIDGE)), (2, near(BRIDGE, (50, "b"))), (None, near(BRIDGE)),
+         (None, near(BRIDGE[::-1])), (None, near(BRIDGE[::-1], (30, "c"))), (None, near(BRIDGE[::-1])), (None, "all alone here"), (None, None),
+         (None, None), (7, near(BRIDGE, (20, "x"), (21, "y"), (40, "z")))]
+
+
+@pytest.mark.parametrize("limits", [{}, {"leaf": 2, "task_node": 3, "family_sets": 2, "block": 1}])
+def test_links_through_rows_without_an_id(spark, limits):
+    df = spark.createDataFrame(NULLS, "doc_id long, text string").repartition(3)
+    got = near_dup.near_duplicates(df, **limits).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 1, 7: 7}
+    assert sorted((r.component_id or 0, r.kept) for r in got if r.doc_id is None and r.n_shingles > 5) \
+        == sorted([(1, False), (1, False)] + [(0, k) for k in _kept_of_two(got)])
+    assert found(near_dup.near_duplicates(df.filter("doc_id is not null"))) == brute([r for r in NULLS if r[0]])
+
+
+def _kept_of_two(got):
+    """Of two texts without ids, one of which stands in two rows, one text is kept: in one row or in two."""
+    kept = [r.kept for r in got if r.doc_id is None and r.n_shingles > 5 and r.component_id is None]
+    assert sorted(kept) in ([False, False, True], [False, True, True])
+    return kept
+
+
+def test_keep_one_without_ids(spark):
+    rows = [(*r, i) for i, r in enumerate(NULLS)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 7]
+    texts = [r.text for r in kept if r.doc_id is None]
+    assert len(texts) == 3 and texts.count(None) == 1 and "all alone here" in texts and sum((t or "").startswith("w59") for t in texts) == 1
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "other words stand here alone")]
     kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
