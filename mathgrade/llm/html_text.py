@@ -42,7 +42,7 @@ from .common import trimmed
 #: Kernel of the Gaussian smoothing: deviation in lines, and reach.
 SIGMA, REACH = 1.0, 2
 #: Share of the standard deviation of the smoothed ratios that a content line needs.
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 #: Weighted ratio (logarithmic) that a line needs for itself: about a third of a character a tag, or half of the best on
 #: a page that has less.
 OWN = 0.3

@@ -66,7 +66,7 @@ def plain_select(lines):
         near = [(math.exp(-k * k / 2), ratio[i + k]) for k in range(-2, 3) if 0 <= i + k < len(lines)]
         smooth.append(sum(g * r for g, r in near) / sum(g for g, _ in near))
     mean = sum(smooth) / max(1, len(smooth))
-    bar = 0.5 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / max(1, len(smooth)))
+    bar = 0.25 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / max(1, len(smooth)))
     best = [r for r, (_, _, _, outside, inside) in zip(ratio, lines, strict=True) if not outside and (inside or not article)]
     least = min(0.3, max(best) / 2) if best else 0.3
     out, regions, now = [], [], []
