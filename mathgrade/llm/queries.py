@@ -209,12 +209,11 @@ calls AS (
               WHEN (conv_id + turn - 2) % 17 <> 0 AND turn % 8 >= 2 THEN turn - 2 END AS needs
   FROM c WHERE role = 'assistant'),
 known AS (SELECT a.*, b.turn AS needs_turn FROM calls a LEFT JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.turn),
-ahead AS (SELECT DISTINCT conv_id FROM known WHERE needs_turn >= turn),
 lev AS (
   SELECT conv_id, turn, 0 AS level FROM known WHERE needs_turn IS NULL
   UNION ALL SELECT k.conv_id, k.turn, l.level + 1 FROM known k JOIN lev l ON k.conv_id = l.conv_id AND k.needs_turn = l.turn),
 level AS (
-  SELECT k.conv_id, k.turn, CASE WHEN k.conv_id NOT IN (SELECT conv_id FROM ahead) THEN 0 ELSE coalesce(max(l.level), -1) END AS level
+  SELECT k.conv_id, k.turn, coalesce(max(l.level), -1) AS level
   FROM known k LEFT JOIN lev l ON l.conv_id = k.conv_id AND l.turn = k.turn GROUP BY k.conv_id, k.turn),
 results AS (
   SELECT u.*, k.turn AS call_turn, k.call_id FROM c u JOIN calls k ON u.conv_id = k.conv_id AND u.turn = k.turn + 1 WHERE u.role = 'user')

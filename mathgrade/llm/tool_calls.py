@@ -7,10 +7,12 @@ and ``answers`` (the id a result belongs to) on a result. ``link``
 * hash-joins results to calls by (conversation, identifier). The first call of
   an identifier (by turn, then content) owns it, the first result after it
   answers it;
-* orders calls topologically by their dependencies. Where all dependencies of a
-  conversation point backwards, turn order already is such an order (level 0).
-  Only conversations with a forward dependency are levelled, by rounds of
-  joins that take away the calls whose dependencies are all placed;
+* orders calls topologically by their dependencies: the level of a call is the
+  length of its longest chain of dependencies. Chains of calls with one
+  dependency each are followed by doubling: a round joins every call to the one
+  that its pointer points to and takes over that one's pointer, so a chain of n
+  calls takes about log2(n) rounds. Calls with several dependencies are placed
+  by rounds between them, over chains that are one step long by then;
 * validates arguments against the tool's schema (types, bounds, lengths,
   allowed values, required and unexpected names);
 * serialises each message as canonical JSON: sorted keys, no blanks, minimal
@@ -103,29 +105,58 @@ def canonical(arguments: Column) -> Column:
     return F.coalesce(F.when(F.json_object_keys(arguments).isNotNull(), F.to_json(F.try_parse_json(arguments))), F.lit("null"))
 
 
-def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls of all conversations with a forward dependency; -1 in or behind a cycle.
-
-    ``calls`` has conv_id, call_id, turn; ``edges`` conv_id, call_id, needs: all among known identifiers."""
-    at = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
-    placed = edges.join(calls, _KEY).join(at, ["conv_id", "needs"])
-    forward = placed.filter(F.coalesce(F.col("needs_turn"), F.lit(-1)) >= F.coalesce(F.col("turn"), F.lit(-1))).select("conv_id").distinct()
-    rest = stored(calls.join(forward, "conv_id", "left_semi").select(*_KEY), "calls")
-    needs = stored(edges.join(forward, "conv_id", "left_semi").select(*_KEY, "needs"), "needs")
+def chains(needs: DataFrame, longest: int) -> DataFrame:
+    """(conv_id, call_id, to, steps): where the chain of each call with one dependency ends, and after how many steps.
+
+    ``needs`` has one row (conv_id, call_id, to) per call. A chain that runs into a cycle of such calls has null in ``to``.
+    ``longest`` bounds the number of calls of a conversation."""
+    open_ = stored(needs.withColumn("steps", F.lit(1)), "pointers")
     done: list[DataFrame] = []
-    for level in range(MAX_ROUNDS):
+    for _ in range(max(1, longest).bit_length() + 1):
+        beyond = open_.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more"))
+        for part in done:  # calls that arrived in earlier rounds
+            beyond = beyond.unionByName(part.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more")))
+        met = stored(open_.join(beyond, ["conv_id", "to"], "left"), "pointers")
+        done.append(met.filter("beyond is null").select("conv_id", "call_id", "to", "steps"))
+        open_ = met.filter("beyond is not null").select("conv_id", "call_id", F.col("beyond").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
+        if open_.isEmpty():
+            break
+    lost = open_.select("conv_id", "call_id", F.lit(None).cast("string").alias("to"), "steps")
+    return reduce(DataFrame.unionByName, [*done, lost])
+
+
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of all calls; -1 in or behind a cycle.
+
+    ``calls`` has conv_id, call_id; ``edges`` conv_id, call_id, needs: all among known identifiers."""
+    counted = edges.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("to"))
+    counted = stored(calls.select(*_KEY).join(counted, _KEY, "left"), "needs")
+    longest = counted.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    one = stored(chains(counted.filter("n = 1").select(*_KEY, "to"), longest), "chains")
+    roots = counted.filter("n is null").select(*_KEY, F.lit(0).alias("level"))
+    # Calls with several dependencies: each dependency is the end of a chain, ``steps`` before it.
+    several = counted.filter("n > 1").select(*_KEY)
+    ends = one.select("conv_id", F.col("call_id").alias("needs"), F.col("to").alias("end"), (F.col("steps") + 1).alias("far"), F.lit(True).alias("chained"))
+    wants = edges.join(several, _KEY, "left_semi").join(ends, ["conv_id", "needs"], "left") \
+        .select(*_KEY, F.when(F.col("chained"), F.col("end")).otherwise(F.col("needs")).alias("end"), F.coalesce("far", F.lit(1)).alias("far"))
+    wants, rest, placed = stored(wants, "wants"), stored(several, "several"), stored(roots, "placed")
+    for _ in range(MAX_ROUNDS):
         if rest.isEmpty():
             break
-        ready = stored(rest.join(needs, _KEY, "left_anti"), "ready")
+        at = placed.select("conv_id", F.col("call_id").alias("end"), "level")
+        known = wants.join(rest, _KEY, "left_semi").join(at, ["conv_id", "end"], "left")
+        ready = known.groupBy(*_KEY).agg(F.max(F.col("level") + F.col("far")).alias("level"), F.min(F.col("level").isNotNull()).alias("all")) \
+            .filter("all").select(*_KEY, "level")
+        ready = stored(ready, "ready")
         if ready.isEmpty():
-            done.append(rest.withColumn("level", F.lit(-1)))
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        rest = stored(rest.join(ready, _KEY, "left_anti"), "calls")
-        needs = stored(needs.join(ready.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti"), "needs")
+        placed = placed.unionByName(ready)
+        rest = stored(rest.join(ready, _KEY, "left_anti"), "several")
     else:
-        raise RuntimeError(f"more than {MAX_ROUNDS} levels")
-    return reduce(DataFrame.union, done) if done else rest.withColumn("level", F.lit(0))
+        raise RuntimeError(f"more than {MAX_ROUNDS} rounds of calls with several dependencies")
+    at = placed.select("conv_id", F.col("call_id").alias("to"), "level")
+    along = one.join(at, ["conv_id", "to"], "left").select(*_KEY, F.coalesce(F.col("level") + F.col("steps"), F.lit(-1)).alias("level"))
+    return stored(placed.unionByName(rest.withColumn("level", F.lit(-1))).unionByName(along), "levels")
 
 
 def link(messages: DataFrame, schemas: dict[str, dict[str, dict]] | None = None) -> DataFrame:
@@ -158,7 +189,7 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, dict]] | None = None)
     wants = stored(wants.join(there, ["conv_id", "needs"], "left"), "dependencies")
     unknown = wants.filter("there is null").groupBy(*_KEY) \
         .agg(F.transform(F.array_sort(F.collect_set("needs")), lambda n: F.concat(F.lit("depends_on: unknown "), n)).alias("unknown"))
-    level = levels(owners.select(*_KEY, "turn"), wants.filter("there").select(*_KEY, "needs"))
+    level = levels(owners.select(*_KEY), wants.filter("there").select(*_KEY, "needs"))
 
     placed = calls.join(answered, _KEY, "left").join(unknown, _KEY, "left").join(level, _KEY, "left")
     status = F.when(F.col("use") > 1, "duplicate_call").when(F.col("level") < 0, "cycle") \

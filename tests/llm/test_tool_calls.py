@@ -1,8 +1,10 @@
 """Linking, ordering, validation and serialisation of tool calls."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mathgrade.llm import tool_calls as tc
 
@@ -38,10 +40,50 @@ def test_topological_levels(spark):
     got = {(r.conv_id, r.turn): r for r in link(spark, rows)}
     assert [got[1, i].level for i in range(5)] == [2, 0, 1, 0, 3]
     assert [(got[2, i].level, got[2, i].status) for i in range(4)] == [(-1, "cycle"), (-1, "cycle"), (0, "no_result"), (-1, "cycle")]
-    assert [got[3, i].level for i in range(3)] == [0, 0, 0]
+    assert [got[3, i].level for i in range(3)] == [0, 1, 2]
     assert got[1, 4].errors == ["depends_on: unknown c9"]
 
 
+def plain_levels(needs):
+    """Longest chain of dependencies of each call; -1 in or behind a cycle."""
+    level = {}
+    while True:
+        ready = [c for c in needs if c not in level and all(n in level for n in needs[c])]
+        if not ready:
+            return {c: level.get(c, -1) for c in needs}
+        level |= {c: max((level[n] + 1 for n in needs[c]), default=0) for c in ready}
+
+
+def test_levels_of_random_dependencies(spark):
+    rng = random.Random(8)
+    needs = {}
+    for conv in range(12):
+        n = rng.randint(1, 25)
+        for i in range(n):
+            few = rng.choice([0, 1, 1, 1, 1, 2, 3])
+            reach = range(n) if conv % 3 == 0 else range(i)  # every third conversation may hold cycles
+            needs[conv, i] = rng.sample(list(reach), min(few, len(reach)))
+    want = {}
+    for conv in range(12):
+        want |= {(conv, c): v for c, v in plain_levels({i: n for (k, i), n in needs.items() if k == conv}).items()}
+    assert -1 in want.values() and max(want.values()) > 6
+    calls = spark.createDataFrame([(str(k), str(i)) for k, i in needs], "conv_id string, call_id string")
+    edges = spark.createDataFrame([(str(k), str(i), str(n)) for (k, i), ns in needs.items() for n in ns], "conv_id string, call_id string, needs string")
+    got = {(int(r.conv_id), int(r.call_id)): r.level for r in tc.levels(calls, edges).collect()}
+    assert got == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n = 1000
+    rounds = []
+    keep = tc.stored
+    monkeypatch.setattr(tc, "stored", lambda df, name: (rounds.append(name), keep(df, name))[1])
+    calls = spark.range(n).select(F.lit("c").alias("conv_id"), F.col("id").cast("string").alias("call_id"))
+    edges = spark.range(1, n).select(F.lit("c").alias("conv_id"), F.col("id").cast("string").alias("call_id"), (F.col("id") - 1).cast("string").alias("needs"))
+    got = {int(r.call_id): r.level for r in tc.levels(calls, edges).collect()}
+    assert got == {i: i for i in range(n)} and rounds.count("pointers") <= 13
+
+
 @pytest.mark.parametrize(("name", "arguments", "errors"), [
     ("search", '{"query":"q","limit":5}', []),
     ("search", '{"limit":5.0,"query":"q"}', []),
