@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import shape as SH
 from ..operators import training as TR
 from ..session import ensure_checkpoint_dir
+from ..streaming import checkpointed as CK
 
 
 def evaluate(df: DataFrame, id_col: str, prompt_col: str, expected_col: str, k: int, solver_factory,
@@ -34,9 +35,22 @@ def evaluate(df: DataFrame, id_col: str, prompt_col: str, expected_col: str, k:
     return M.pass_any(g, keys=(id_col,), carry=tuple(carry))
 
 
+#: Rows of a durable step of model calls.
+STEP_ROWS = 10_000
+
+
+def _called(df: DataFrame, key: str, work: CK.Work, path: str | None, stage: str, every_n: int) -> DataFrame:
+    """``work`` (model calls) on ``df``, each made once: checkpointed, or with ``path`` in committed steps of a table of
+    the stage, so that a new driver goes on where the last one stopped."""
+    if path is None:
+        return work(df).checkpoint(eager=True)
+    return CK.write_in_steps(df, key, f"{path.rstrip('/')}/{stage}", every_n, "calls", work).drop("run_id", "step")
+
+
 def augment_chain(spark: SparkSession, sources: DataFrame, id_col: str, text_col: str, levels: int,
                   samples: int, augmenter_factory, runner_factory, solver_factory,
-                  novelty_samples: int = 8, min_novelty: float = 0.0) -> tuple[DataFrame, DataFrame]:
+                  novelty_samples: int = 8, min_novelty: float = 0.0, path: str | None = None,
+                  every_n: int = STEP_ROWS) -> tuple[DataFrame, DataFrame]:
     """For each level, every surviving source gets ``samples`` candidates
     from its current best text; tags deduplicated (T5), blocks parsed (T1),
     the program checked (U5), novelty by failure of a solver (M12, run only
@@ -44,20 +58,30 @@ def augment_chain(spark: SparkSession, sources: DataFrame, id_col: str, text_col
     source (G18) feeds the next level. A source with no accepted candidate
     stops. Model calls are checkpointed to the shared checkpoint folder right
     away, so each is made once per level, what was checked is what is kept, and
-    a lost executor never replays calls of earlier levels. Returns (best per source and level, all candidates)."""
+    a lost executor never replays calls of earlier levels. With ``path``, the
+    candidates (by source) and the solver's answers (by candidate) of a level
+    are durable tables written in steps of ``every_n`` rows: called again after
+    its driver was lost, the chain finds by anti-joins what is there and sends
+    only the other prompts. Returns (best per source and level, all candidates)."""
     ensure_checkpoint_dir(spark)
     cur = sources.select(F.col(id_col).alias("source_idx"), F.col(text_col).alias("current"))
     best_all, all_all = [], []
     for level in range(1, levels + 1):
-        gen = INF.generate(cur, "source_idx", "current", samples, augmenter_factory).checkpoint(eager=True)
-        c = gen.withColumn("cand_no", F.col("sample_number")).withColumn("level", F.lit(level))
-        blocks = TX.extract_blocks(TX.dedup_answer_tags(F.col("completion")))
-        c = c.withColumn("b", blocks).select("source_idx", "level", "cand_no", "completion", "b.*")
-        c = c.withColumn("cand_id", F.concat_ws(":", F.col("source_idx").cast("string"), F.lit(str(level)),
-                                                F.col("cand_no").cast("string")))
-        checked = INF.check_program(c, "code", "solution", runner_factory).checkpoint(eager=True)
+        def candidates(rows: DataFrame, level: int = level) -> DataFrame:
+            gen = INF.generate(rows, "source_idx", "current", samples, augmenter_factory)
+            c = gen.withColumn("cand_no", F.col("sample_number")).withColumn("level", F.lit(level))
+            blocks = TX.extract_blocks(TX.dedup_answer_tags(F.col("completion")))
+            c = c.withColumn("b", blocks).select("source_idx", "level", "cand_no", "completion", "b.*")
+            c = c.withColumn("cand_id", F.concat_ws(":", F.col("source_idx").cast("string"), F.lit(str(level)),
+                                                    F.col("cand_no").cast("string")))
+            return INF.check_program(c, "code", "solution", runner_factory)
+
+        def solutions(rows: DataFrame) -> DataFrame:
+            return INF.generate(rows, "cand_id", "prompt", novelty_samples, solver_factory, keep=["expected"])
+
+        checked = _called(cur, "source_idx", candidates, path, f"level-{level}-candidates", every_n)
         ok = checked.filter("is_correct").select("cand_id", F.col("task").alias("prompt"), A.tag_or_hash("solution").alias("expected"))
-        answers = INF.generate(ok, "cand_id", "prompt", novelty_samples, solver_factory, keep=["expected"])
+        answers = _called(ok, "cand_id", solutions, path, f"level-{level}-answers", every_n)
         graded = answers.withColumn("correct", G.any_number("completion", "expected"))
         nov = M.novelty_by_failure(graded, novelty_samples, keys=("cand_id",))
         scored = checked.join(nov, "cand_id", "left")
@@ -76,25 +100,31 @@ def augment_chain(spark: SparkSession, sources: DataFrame, id_col: str, text_col
 
 
 def feedback_loop(df: DataFrame, id_col: str, prompt_col: str, iterations: int, augmenter_factory, runner_factory,
-                  solver_factory, novelty_samples: int = 4) -> DataFrame:
+                  solver_factory, novelty_samples: int = 4, path: str | None = None, every_n: int = STEP_ROWS) -> DataFrame:
     """A conversation per source. Each iteration sends the conversation
     (ChatML), appends the reply and then either what is wrong with it or its
     novelty score, and keeps every valid sample. Returns id, messages and
     samples (array of iteration, task, solution, code, final_answer, novelty).
-    Model calls are checkpointed as they are made."""
+    Model calls are checkpointed as they are made, or with ``path`` durable as in ``augment_chain``."""
     ensure_checkpoint_dir(df.sparkSession)
     turn = "array<struct<role:string,content:string>>"
     sample = "array<struct<iteration:int,task:string,solution:string,code:string,final_answer:bigint,novelty:double>>"
     cur = df.select(id_col, F.array(F.struct(F.lit("user").alias("role"), F.col(prompt_col).alias("content"))).cast(turn).alias("messages"),
                     F.array().cast(sample).alias("samples"))
     for i in range(1, iterations + 1):
-        ask = cur.withColumn("_p", TR.chatml("messages"))
-        gen = INF.generate(ask, id_col, "_p", 1, augmenter_factory, keep=["messages", "samples"]).drop("sample_number", "attempts")
-        got = gen.withColumn("b", TX.extract_blocks_greedy(F.coalesce("completion", F.lit("")))).select("*", "b.*").drop("b")
-        got = INF.check_program(got, "code", "solution", runner_factory).checkpoint(eager=True)
+        def replies(rows: DataFrame) -> DataFrame:
+            ask = rows.withColumn("_p", TR.chatml("messages"))
+            gen = INF.generate(ask, id_col, "_p", 1, augmenter_factory, keep=["messages", "samples"]).drop("sample_number", "attempts")
+            got = gen.withColumn("b", TX.extract_blocks_greedy(F.coalesce("completion", F.lit("")))).select("*", "b.*").drop("b")
+            return INF.check_program(got, "code", "solution", runner_factory)
+
+        def solutions(rows: DataFrame) -> DataFrame:
+            return INF.generate(rows, id_col, "_q", novelty_samples, solver_factory, keep=["_e"])
+
+        got = _called(cur, id_col, replies, path, f"iteration-{i}-replies", every_n)
         valid = F.col("reason").isNull() & F.col("is_correct")
         ok = got.filter(valid).select(id_col, F.col("task").alias("_q"), F.col("final_answer").cast("double").alias("_e"))
-        answers = INF.generate(ok, id_col, "_q", novelty_samples, solver_factory, keep=["_e"])
+        answers = _called(ok, id_col, solutions, path, f"iteration-{i}-answers", every_n)
         graded = answers.withColumn("correct", G.any_number("completion", "_e"))
         novelty = M.novelty_by_failure(graded, novelty_samples, keys=(id_col,))
         got = got.join(novelty, id_col, "left")

@@ -86,15 +86,29 @@ def u08_rerank(spark, sf_dir):
                     F.struct(F.round(F.col("best.reward"), 6).alias("reward"), F.col("best.text").alias("text")).alias("best"))
 
 
-@register("u09_augment_chain")
+_U09_LEVEL = """SELECT item_id, j, regexp_replace('Harder ' || j || ': ' || p, '^\\s+|\\s+$', '', 'g') AS task, length(p) % 50 + j + 1 AS ans
+  FROM {source}, (VALUES (1), (2)) v(j)"""
+_U09_BEST = """SELECT item_id, j, task, novelty FROM (
+    SELECT *, 1 - len(list_filter([0, 1, 2, 3], lambda s: (length(task) + s) % 10 = ans)) / 4.0::DOUBLE AS novelty FROM {source})
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY novelty DESC, j) = 1"""
+U09_SQL = f"""WITH p1 AS (SELECT item_id, text AS p FROM benchmark), c1 AS ({_U09_LEVEL.format(source="p1")}), b1 AS ({_U09_BEST.format(source="c1")}),
+p2 AS (SELECT item_id, '<task>' || task || '</task>' AS p FROM b1),
+c2 AS (SELECT item_id, j, regexp_replace(replace(task, '</task>', ''), '\\s+$', '') AS task, ans FROM ({_U09_LEVEL.format(source="p2")})),
+b2 AS ({_U09_BEST.format(source="c2")})
+SELECT item_id AS source_idx, level, CAST(j AS INTEGER) AS cand_no, novelty, 'accepted' AS reason
+FROM (SELECT 1 AS level, * FROM b1 UNION ALL SELECT 2, * FROM b2)"""
+
+
+@register("u09_augment_chain", U09_SQL)
 def u09_augment_chain(spark, sf_dir):
     """Two levels of augmentation over every benchmark item with
-    stub augmenter / runner / solver; best candidate per source and level
-    (rows-only: the chain is iterative)."""
+    stub augmenter / runner / solver, as durable tables; best candidate per
+    source and level."""
     b = dt.table(spark, sf_dir, "benchmark").select("item_id", "text")
     best, _all = AU.augment_chain(spark, b, "item_id", "text", levels=2, samples=4,
                                   augmenter_factory=stubs.augmenter_factory, runner_factory=stubs.print_runner_factory,
-                                  solver_factory=stubs.solver_factory, novelty_samples=4)
+                                  solver_factory=stubs.solver_factory, novelty_samples=4,
+                                  path=scratch_path(spark, "chain"))
     return best.select("source_idx", "level", "cand_no", "novelty", "reason")
 
 

@@ -177,3 +177,82 @@ def test_programs_that_hang_or_die(spark):
     assert time.time() - begin < 30
     assert [got[i][0] for i in range(8)] == ["A", None, "B", None, None, "C", None, "D"]
     assert got[1][1].startswith("TimeoutError") and got[4][1].startswith("RuntimeError") and got[6][1] == "ValueError: no" and got[3][1] is None
+
+
+def _noted(folder, factory):
+    """The stub, noting each prompt it is sent."""
+    def build():
+        import uuid
+        inner = factory()
+
+        def fn(prompts, n):
+            for p in prompts:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(p)
+            return inner(prompts, n)
+        return fn
+    return build
+
+
+def _prompts_sent(folder):
+    return sorted(p.read_text() for p in folder.iterdir())
+
+
+def test_augmentation_goes_on_after_its_driver_is_lost(spark, tmp_path, monkeypatch):
+    """Stopped in the solver's second step of level 2 and called again: no prompt is sent twice, and the result is that
+    of an undisturbed run."""
+    from mathgrade.plans import augment as AU
+    from mathgrade.plans import stubs
+    src = spark.createDataFrame([(i, f"text {'x' * i}") for i in range(12)], "item_id long, text string")
+    commit, results = CK._commit, {}
+    for name, stop_at in (("whole", None), ("stopped", 11)):
+        ask, solve = tmp_path / f"{name}-ask", tmp_path / f"{name}-solve"
+        ask.mkdir()
+        solve.mkdir()
+        run = lambda: AU.augment_chain(
+            spark, src, "item_id", "text", levels=2, samples=3, augmenter_factory=_noted(ask, stubs.augmenter_factory),  # noqa: B023
+            runner_factory=stubs.print_runner_factory, solver_factory=_noted(solve, stubs.solver_factory),  # noqa: B023
+            novelty_samples=2, path=str(tmp_path / name), every_n=5)  # noqa: B023
+        if stop_at is not None:
+            seen = []
+
+            def lost(*args):
+                seen.append(1)
+                if len(seen) > stop_at:  # noqa: B023
+                    raise RuntimeError("driver lost")
+                return commit(*args)
+            monkeypatch.setattr(CK, "_commit", lost)
+            with pytest.raises(RuntimeError, match="driver lost"):
+                run()
+            monkeypatch.setattr(CK, "_commit", commit)
+            before = len(_prompts_sent(ask)), len(_prompts_sent(solve))
+            assert before[0] > 12 and 0 < before[1]
+        best, every = run()
+        results[name] = sorted(map(tuple, best.collect())), every.count(), _prompts_sent(ask), _prompts_sent(solve)
+    assert results["whole"] == results["stopped"]
+    assert len(results["whole"][2]) == 24 and len(set(results["whole"][2])) == 24
+
+
+def test_feedback_loop_goes_on(spark, tmp_path, monkeypatch):
+    from mathgrade.plans import augment as AU
+    from mathgrade.plans import stubs
+    src = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "item_id long, text string")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    run = lambda: AU.feedback_loop(src, "item_id", "text", 3, _noted(asked, stubs.tagged_augmenter_factory), stubs.print_runner_factory,
+                                   stubs.solver_factory, path=str(tmp_path / "loop"))
+    commit, seen = CK._commit, []
+
+    def lost(*args):
+        seen.append(1)
+        if len(seen) > 3:
+            raise RuntimeError("driver lost")
+        return commit(*args)
+    monkeypatch.setattr(CK, "_commit", lost)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        run()
+    monkeypatch.setattr(CK, "_commit", commit)
+    rows = run().collect()
+    assert len(rows) == 4 and all(len(r.messages) == 7 for r in rows)
+    sent = _prompts_sent(asked)
+    assert len(sent) == 12 == len(set(sent))
