@@ -10,6 +10,7 @@ small vectorised continued fraction in a pandas UDF (H2).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -353,6 +354,38 @@ def bins_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
         .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
 
 
+def hexagons(df: DataFrame, x: str, y: str, nx: int = 20, ny: int | None = None) -> DataFrame:
+    """X15 as drawn: counts on a grid of hexagons, nx of them across and ny
+    (nx / sqrt 3) up between the extremes of x and y: (lattice, x_bin, y_bin,
+    x_centre, y_centre, count).
+
+    The centres are two interleaved lattices of rectangles, one at whole and
+    one at half steps; a point is rounded to the nearest centre of each and
+    belongs to the nearer one, in steps in which the hexagons are regular."""
+    ny = max(1, int(nx / math.sqrt(3))) if ny is None else ny
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    st = d.agg(F.min(x).alias("_xl"), F.max(x).alias("_xh"), F.min(y).alias("_yl"), F.max(y).alias("_yh"))
+    d = d.crossJoin(F.broadcast(st))  # one row
+
+    def steps(c: str, lo: str, hi: str, n: int) -> Column:
+        span = (F.col(hi) - F.col(lo)) / F.lit(float(n))
+        return F.when(span > 0, (F.col(c) - F.col(lo)) / span).otherwise(F.lit(0.0))
+
+    d = d.select("_xl", "_xh", "_yl", "_yh", steps(x, "_xl", "_xh", nx).alias("_u"), steps(y, "_yl", "_yh", ny).alias("_v"))
+    u, v = F.col("_u"), F.col("_v")
+    whole = (F.floor(u + 0.5), F.floor(v + 0.5))
+    half = (F.floor(u), F.floor(v))
+    far_whole = F.pow(u - whole[0], 2) + 3 * F.pow(v - whole[1], 2)
+    far_half = F.pow(u - half[0] - 0.5, 2) + 3 * F.pow(v - half[1] - 0.5, 2)
+    near = far_whole < far_half
+    d = d.select("_xl", "_xh", "_yl", "_yh", F.when(near, 0).otherwise(1).alias("lattice"),
+                 F.when(near, whole[0]).otherwise(half[0]).cast("int").alias("x_bin"), F.when(near, whole[1]).otherwise(half[1]).cast("int").alias("y_bin"))
+    out = d.groupBy("lattice", "x_bin", "y_bin", "_xl", "_xh", "_yl", "_yh").agg(F.count(F.lit(1)).alias("count"))
+    centre = lambda b, lo, hi, n: F.col(lo) + (F.col(b) + F.col("lattice") * 0.5) * (F.col(hi) - F.col(lo)) / F.lit(float(n))
+    return out.select("lattice", "x_bin", "y_bin", centre("x_bin", "_xl", "_xh", nx).alias("x_centre"),
+                      centre("y_bin", "_yl", "_yh", ny).alias("y_centre"), "count")
+
+
 def equal_width_right_closed(df: DataFrame, col: str, bins: int = 10, name: str = "bin") -> DataFrame:
     """Pandas-cut style: edges linspace(min, max, bins+1), intervals
     right-closed, lowest edge widened by 0.1% of the range."""
@@ -386,35 +419,66 @@ def trend(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
 # X12 Poisson bootstrap, X14 binned KDE, X20 logistic, X21 local linear
 # --------------------------------------------------------------------------
 
+#: A prime below 2^31, modulus of the counter-based draws; units of a count drawn one by one; places per replicate.
+DRAW_PRIME, DRAW_UNITS = 2_147_483_647, 16
+#: Largest Poisson(1) weight that is told apart (a larger one has a chance of 1e-12).
+DRAW_MOST = 14
+
+
+def poisson_edges() -> list[int]:
+    """Draws below DRAW_PRIME at which a Poisson(1) variable passes 1, 2, ..."""
+    below, term, out = 0.0, math.exp(-1), []
+    for k in range(1, DRAW_MOST + 1):
+        below += term
+        out.append(math.ceil(below * DRAW_PRIME))
+        term /= k
+    return out
+
+
+def _draw(at: Column, words: Sequence[Column]) -> Column:
+    """A draw from 0 to DRAW_PRIME - 1 for place ``at``: a polynomial in the place with three random coefficients."""
+    h = words[0] % DRAW_PRIME
+    for w in words[1:]:
+        h = (h * (at % DRAW_PRIME) + w) % DRAW_PRIME
+    return h
+
+
 def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], value: str, replicates: int = 10000,
                       seed: int = 42, level: float = 0.95) -> DataFrame:
     """Basic bootstrap CI of the mean per group (2 mean - quantiles).
 
-    Rows shrink to counts per (group, value); a value seen c times draws one
-    Poisson(c) weight per replicate, seeded by a hash of group, value and
-    seed, so reruns and retried tasks draw the same. Each task adds up its
-    values and emits one partial (sum w x, sum w) per group and replicate when
-    its input ends. Replicates without any draw are left out; a group with
-    none at all has a NULL interval. Approximate by design (H3)."""
+    Rows shrink to counts per (group, value). In each replicate a value seen c
+    times weighs Poisson(c): a sum of c Poisson(1) draws up to ``DRAW_UNITS``,
+    a rounded normal draw beyond. Draws are counter-based: three words of the
+    md5 of (seed, group, value) are the coefficients of a polynomial whose
+    value at the replicate's place is the draw, so they depend neither on
+    partitions nor on retries, independent between values and three-wise
+    independent between replicates. Everything is column expressions; partial
+    sums per (group, replicate) are added up before the shuffle. Replicates
+    without any draw are left out; a group with none at all has a NULL
+    interval. Approximate by design (H3)."""
     keys, b = list(keys), int(replicates)
     d = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     counts = d.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    counts = counts.select(group.alias("_g"), "_x", "_c", F.xxhash64(group, "_x", F.lit(seed)).alias("_h"))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for g, x, c, h in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                sx, sw = sums.setdefault(g, (np.zeros(b), np.zeros(b)))
-                w = np.random.default_rng(h & 0x7FFFFFFFFFFFFFFF).poisson(c, b)
-                sx += w * x
-                sw += w
-        for g, (sx, sw) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g] * b), pa.array(range(b), pa.int32()), pa.array(sx), pa.array(sw)], ["_g", "rep", "swx", "sw"])
-
-    partial = counts.mapInArrow(part, "_g string, rep int, swx double, sw double")
-    reps = partial.groupBy("_g", "rep").agg(F.try_divide(F.sum("swx"), F.sum("sw")).alias("m"))
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    text = F.concat_ws("|", F.lit(str(seed)), group, F.round(F.col("_x") * 1_000_000).cast("decimal(38,0)").cast("string"))
+    words = [F.conv(F.substring("_m", 1 + 8 * i, 8), 16, 10).cast("long").alias(f"_w{i}") for i in range(3)]
+    seeded = counts.select(group.alias("_g"), "_x", "_c", F.md5(text.cast("binary")).alias("_m")).select("_g", "_x", "_c", *words)
+    at = F.col("rep").cast("long") * DRAW_UNITS + 1
+    w = [F.col(f"_w{i}") for i in range(3)]
+
+    def unit(i: Column) -> Column:
+        u = _draw(at + i, w)
+        return sum((F.when(u >= e, 1).otherwise(0) for e in poisson_edges()[1:]), F.when(u >= poisson_edges()[0], 1).otherwise(0))
+
+    few = F.aggregate(F.sequence(F.lit(0), F.least(F.col("_c"), F.lit(DRAW_UNITS)).cast("int") - 1), F.lit(0), lambda n, i: n + unit(i))
+    u1, u2 = ((_draw(at + i, w) + 0.5) / DRAW_PRIME for i in (0, 1))
+    normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
+    many = F.greatest(F.lit(0.0), F.floor(F.col("_c") + F.sqrt(F.col("_c").cast("double")) * normal + 0.5).cast("double"))
+    weight = F.when(F.col("_c") <= DRAW_UNITS, few.cast("double")).otherwise(many)
+    drawn = seeded.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select("_g", "rep", "_x", weight.alias("_w"))
+    sums = drawn.groupBy("_g", "rep").agg(F.sum(F.col("_w") * F.col("_x")).alias("swx"), F.sum("_w").alias("sw"))
+    reps = sums.select("_g", "rep", F.try_divide("swx", "sw").alias("m"))
     lo_q, hi_q = (1 - level) / 2, 1 - (1 - level) / 2
     # at most ``replicates`` values per group
     qs = reps.groupBy("_g").agg(F.percentile("m", F.lit(lo_q)).alias("q_lo"), F.percentile("m", F.lit(hi_q)).alias("q_hi"))

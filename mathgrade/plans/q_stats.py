@@ -255,6 +255,23 @@ def x15_bins_2d(spark, sf_dir):
     return X.bins_2d(all_metrics(spark, sf_dir), "n_chars", "word_count", 20)
 
 
+X15B_SQL = f"""WITH {ALL_SQL},
+st AS (SELECT min(n_chars) xl, max(n_chars) xh, min(word_count) yl, max(word_count) yh FROM am),
+p AS (SELECT xl, xh, yl, yh, CASE WHEN xh > xl THEN (n_chars - xl) / ((xh - xl) / 20.0::DOUBLE) ELSE 0 END AS u,
+        CASE WHEN yh > yl THEN (word_count - yl) / ((yh - yl) / 11.0::DOUBLE) ELSE 0 END AS v FROM am, st),
+n AS (SELECT *, pow(u - floor(u + 0.5), 2) + 3 * pow(v - floor(v + 0.5), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS near FROM p),
+b AS (SELECT xl, xh, yl, yh, CASE WHEN near THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN near THEN floor(u + 0.5) ELSE floor(u) END AS INTEGER) AS x_bin,
+        CAST(CASE WHEN near THEN floor(v + 0.5) ELSE floor(v) END AS INTEGER) AS y_bin FROM n)
+SELECT lattice, x_bin, y_bin, round(xl + (x_bin + lattice * 0.5::DOUBLE) * (xh - xl) / 20.0::DOUBLE, 6) AS x_centre,
+  round(yl + (y_bin + lattice * 0.5::DOUBLE) * (yh - yl) / 11.0::DOUBLE, 6) AS y_centre, count(*) AS count FROM b GROUP BY ALL"""
+
+
+@register("x15b_hexagons", X15B_SQL)
+def x15b_hexagons(spark, sf_dir):
+    """Joint counts on a grid of hexagons, 20 across."""
+    return rounded(X.hexagons(all_metrics(spark, sf_dir), "n_chars", "word_count", 20))
+
+
 X16_SQL = f"""WITH {DOC_SQL},
 st AS (SELECT min(n_chars) lo, max(n_chars) hi FROM dm),
 b AS (SELECT CAST(CASE WHEN hi > lo THEN greatest(least(ceil((n_chars - lo) / ((hi - lo) / 10)) - 1, 9), 0) ELSE 0 END AS INTEGER) AS bin,
@@ -308,11 +325,30 @@ def x23_group_mean_lines(spark, sf_dir):
     return rounded(AG.mean_by(doc_metrics(spark, sf_dir), ["quality"], ["n_chars", "word_count"]))
 
 
-@register("x12_bootstrap_ci")
+_X12_DRAW = f"((w0 % {X.DRAW_PRIME} * place + w1) % {X.DRAW_PRIME} * place + w2) % {X.DRAW_PRIME}"
+X12_SQL = f"""WITH {DOC_SQL},
+c AS (SELECT quality, n_chars::DOUBLE AS x, count(*) AS c FROM dm WHERE n_chars IS NOT NULL GROUP BY ALL),
+m AS (SELECT quality, x, c, md5('42|' || CASE WHEN quality IS NULL THEN '{{}}' ELSE '{{"quality":' || quality || '}}' END || '|' || (round(x * 1000000)::HUGEINT)) AS h FROM c),
+k AS (SELECT quality, x, c, ('0x' || substr(h, 1, 8))::BIGINT AS w0, ('0x' || substr(h, 9, 8))::BIGINT AS w1, ('0x' || substr(h, 17, 8))::BIGINT AS w2 FROM m),
+u AS (SELECT quality, x, c, rep, i, w0, w1, w2, (rep * {X.DRAW_UNITS} + 1 + i) % {X.DRAW_PRIME} AS place
+      FROM k, range(2000) r(rep), range({X.DRAW_UNITS}) t(i) WHERE i < c OR (c > {X.DRAW_UNITS} AND i < 2)),
+d AS (SELECT quality, x, c, rep, i, {_X12_DRAW} AS draw FROM u),
+w AS (SELECT quality, x, rep, CASE WHEN c <= {X.DRAW_UNITS} THEN sum({" + ".join(f"(draw >= {e})::INT" for e in X.poisson_edges())})::DOUBLE
+        ELSE greatest(0, floor(c + sqrt(c) * sqrt(-2 * ln(max(CASE WHEN i = 0 THEN (draw + 0.5) / {X.DRAW_PRIME} END)))
+                                 * cos(2 * pi() * max(CASE WHEN i = 1 THEN (draw + 0.5) / {X.DRAW_PRIME} END)) + 0.5)) END AS w
+      FROM d GROUP BY quality, x, c, rep),
+s AS (SELECT quality, rep, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL),
+q AS (SELECT quality, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM s GROUP BY ALL),
+g AS (SELECT quality, count(n_chars) AS n, avg(n_chars) AS mean FROM dm GROUP BY ALL)
+SELECT g.quality, n, round(mean, 6) AS mean, round(2 * mean - hi, 6) AS ci_low, round(2 * mean - lo, 6) AS ci_high
+FROM g LEFT JOIN q ON q.quality IS NOT DISTINCT FROM g.quality"""
+
+
+@register("x12_bootstrap_ci", X12_SQL)
 def x12_bootstrap_ci(spark, sf_dir):
     """Basic 95 % bootstrap CI of mean n_chars per label (Poisson
-    bootstrap, 10,000 replicates; approximate by design -> rows-only)."""
-    return rounded(X.bootstrap_mean_ci(doc_metrics(spark, sf_dir), ["quality"], "n_chars", replicates=10_000))
+    bootstrap, 2,000 replicates by counter-based draws)."""
+    return rounded(X.bootstrap_mean_ci(doc_metrics(spark, sf_dir), ["quality"], "n_chars", replicates=2_000))
 
 
 X14_SQL = f"""WITH {DOC_SQL},
