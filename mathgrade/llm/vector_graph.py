@@ -167,14 +167,15 @@ def usable(vector: Column) -> Column:
 
 
 def nodes(table: DataFrame, k: int) -> DataFrame:
-    """One row per distinct vector with its smallest ``k + 1`` ids. Rows beyond them are dropped before the shuffle
-    already, task by task, so a vector that a third of all rows hold stays small."""
+    """One row per distinct vector with its smallest ``k + 1`` ids. Rows that repeat an id and a vector are merged first,
+    in the map tasks already, and ids beyond the smallest are dropped before the next shuffle, task by task, so a vector
+    that a third of all rows hold stays small."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) \
         .filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.withColumn("embedding", F.transform("embedding", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v)))
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("pos", F.dense_rank().over(first)).filter(F.col("pos") <= k + 1)
-    return few.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    few = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("pos", F.row_number().over(first)).filter(F.col("pos") <= k + 1)
+    return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

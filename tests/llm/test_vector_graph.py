@@ -66,5 +66,16 @@ def test_odd_vectors_and_a_hot_one(spark):
     assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
 
 
+def test_a_third_of_the_rows_repeat_one_id_and_vector(spark):
+    """They are one candidate, and no list of the nodes grows with them."""
+    x = vectors(400, 4, 5).tolist()
+    rows = [(i, x[i]) for i in range(400)] + [(7, x[7])] * 150 + [(1000 + i, x[9]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    ids = vg.nodes(df, 10).collect()
+    assert len(ids) == 400 and max(len(r.ids) for r in ids) == 11 and [r.ids for r in ids if 7 in r.ids] == [[7]]
+    got, want = found(vg.nearest(df)), brute([(i, [float(np.float32(c)) for c in v]) for i, v in rows], 10, 100)
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
 def test_empty(spark):
     assert vg.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
