@@ -564,3 +564,59 @@ def local_linear(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), grid_p
     icpt = F.try_divide(F.col("t0") - slope * F.col("s1"), F.col("s0"))
     fit = F.coalesce(icpt + slope * F.col("gx"), F.try_divide(F.col("t0"), F.col("s0")))
     return m.select(*keys, F.col("_gi").alias("grid_idx"), F.col("gx").alias("x"), fit.alias("y_hat"))
+
+
+def _local_fits(pairs: DataFrame, grid: Sequence[float], spans: Sequence[float]) -> list[float | None]:
+    """Weighted local linear fits at the grid points, from rows (_x, _y, _n, _r)."""
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g"), F.lit(h).alias("h")) for i, (g, h) in enumerate(zip(grid, spans, strict=True))])
+    e = pairs.withColumn("_p", F.explode(points)).select("_x", "_y", "_n", "_r", "_p.*")
+    d = F.abs(F.col("_x") - F.col("g"))
+    e = e.filter((d < F.col("h")) | (d == 0)).withColumn("_w", F.when(d == 0, 1.0).otherwise(F.pow(1 - F.pow(d / F.col("h"), 3), 3)) * F.col("_r") * F.col("_n"))
+    u = F.col("_x") - F.col("g")
+    m = e.groupBy("i").agg(F.sum("_w").alias("s0"), F.sum(F.col("_w") * u).alias("s1"), F.sum(F.col("_w") * u * u).alias("s2"),
+                           F.sum(F.col("_w") * F.col("_y")).alias("t0"), F.sum(F.col("_w") * u * F.col("_y")).alias("t1"))
+    det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+    fit = F.coalesce(F.try_divide(F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1"), F.when(det > 0, det)), F.try_divide(F.col("t0"), F.col("s0")))
+    found = {r["i"]: r["fit"] for r in m.select("i", fit.alias("fit")).collect()}  # a row per grid point
+    return [found.get(i) for i in range(len(grid))]
+
+
+def lowess(df: DataFrame, x: str, y: str, frac: float = 2 / 3, rounds: int = 3, grid_points: int = 40) -> DataFrame:
+    """X21 as drawn: robust local trend, (grid_idx, x, y_hat) on an even grid.
+
+    The window of a grid point reaches to its k-th nearest row, k = ``frac`` of
+    the rows: distances are ranked over all tasks, none is held in one buffer.
+    Rows inside weigh by the tricube of their distance. ``rounds`` times, the
+    residuals (from the fit interpolated between grid points) give bisquare
+    weights that end at six times their median, and the fit is repeated. Rows
+    shrink to counts per (x, y) first; only a row per grid point comes to the
+    driver. No rows give no points; a constant x gives one. A window whose rows
+    all lie at its border has no fit (null)."""
+    spark = df.sparkSession
+    pairs = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
+    pairs = materialised(pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    lo, hi, n, largest = pairs.agg(F.min("_x"), F.max("_x"), F.sum("_n"), F.max(F.abs("_y"))).first()
+    schema = "grid_idx int, x double, y_hat double"
+    if n is None:
+        return spark.createDataFrame([], schema)
+    grid = [lo] if lo == hi else [lo + i * (hi - lo) / (grid_points - 1) for i in range(grid_points)]
+    near = max(2, math.floor(frac * n + 1e-10))
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(grid)])
+    far = pairs.withColumn("_p", F.explode(points)).groupBy(F.col("_p.i").alias("i"), F.abs(F.col("_x") - F.col("_p.g")).alias("d")).agg(F.sum("_n").alias("c"))
+    cum = ranks.running_sum(materialised(far, "distances"), ["i"], ["d"], "_cum", weight=F.col("c"))
+    spans = {r["i"]: r["h"] for r in cum.filter(F.col("_cum") >= min(near, n)).groupBy("i").agg(F.min("d").alias("h")).collect()}
+    spans = [spans[i] for i in range(len(grid))]
+    fits = _local_fits(pairs.withColumn("_r", F.lit(1.0)), grid, spans)
+    for _ in range(rounds if len(grid) > 1 else 0):
+        step = (hi - lo) / (len(grid) - 1)
+        at = F.least(F.floor((F.col("_x") - lo) / step), F.lit(len(grid) - 2)).cast("int")
+        values, left = F.array(*[F.lit(f).cast("double") for f in fits]), F.array(*[F.lit(g) for g in grid])
+        fitted = F.get(values, at) + (F.col("_x") - F.get(left, at)) / step * (F.get(values, at + 1) - F.get(values, at))
+        res = pairs.withColumn("_e", F.abs(F.col("_y") - fitted)).filter("_e is not null")
+        cum = ranks.running_sum(materialised(res.groupBy("_e").agg(F.sum("_n").alias("c")), "residuals"), [], ["_e"], "_cum", weight=F.col("c"))
+        middle = cum.agg(F.min(F.when(F.col("_cum") > (n - 1) // 2, F.col("_e"))).alias("a"), F.min(F.when(F.col("_cum") > n // 2, F.col("_e"))).alias("b")).first()
+        if middle["a"] is None or middle["a"] + middle["b"] <= 1e-12 * largest:
+            break  # half of the rows lie on the fit: nothing to weigh by
+        reach = 3 * (middle["a"] + middle["b"])  # six medians
+        fits = _local_fits(res.withColumn("_r", F.when(F.col("_e") < reach, F.pow(1 - F.pow(F.col("_e") / reach, 2), 2)).otherwise(0.0)).filter("_r > 0"), grid, spans)
+    return spark.createDataFrame([(i, float(g), f) for i, (g, f) in enumerate(zip(grid, fits, strict=True))], schema)

@@ -411,3 +411,28 @@ def x21_local_linear_trend(spark, sf_dir):
     """Tricube-weighted local linear trend of quality on n_chars."""
     out = X.local_linear(doc_metrics(spark, sf_dir), "n_chars", "quality", grid_points=40)
     return out.select("grid_idx", F.round("x", 6).alias("x"), F.round("y_hat", 4).alias("y_hat"))
+
+
+def _lowess_sql(points: int, frac: str, rounds: int) -> str:
+    last = points - 1
+    fit = lambda k, r: f"""m{k} AS (SELECT i, gx, sum(w) AS s0, sum(w * (x - gx)) AS s1, sum(w * (x - gx) * (x - gx)) AS s2, sum(w * y) AS t0, sum(w * (x - gx) * y) AS t1
+  FROM (SELECT i, gx, x, y, {r} * CASE WHEN x = gx THEN 1 ELSE pow(1 - pow(abs(x - gx) / h, 3), 3) END AS w FROM r{k}, h WHERE abs(x - gx) < h OR x = gx) GROUP BY ALL),
+f{k} AS (SELECT list((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ORDER BY i) AS f FROM m{k})"""
+    parts = [f"""d AS (SELECT n_chars::DOUBLE AS x, word_count::DOUBLE AS y FROM dm WHERE n_chars IS NOT NULL AND word_count IS NOT NULL),
+st AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM d),
+g AS (SELECT i, lo + i * (hi - lo) / {last} AS gx, n FROM st, range({points}) t(i)),
+h AS (SELECT i, gx, list(abs(x - gx) ORDER BY abs(x - gx))[CAST(floor({frac} * any_value(n) + 1e-10) AS BIGINT)] AS h FROM d, g GROUP BY i, gx),
+r0 AS (SELECT x, y, 1.0::DOUBLE AS r FROM d)""", fit(0, "r")]
+    for k in range(1, rounds + 1):
+        parts.append(f"""e{k} AS (SELECT x, y, abs(y - (f[j + 1] + (x - (lo + j * (hi - lo) / {last})) / ((hi - lo) / {last}) * (f[j + 2] - f[j + 1]))) AS e
+  FROM (SELECT x, y, f, lo, hi, CAST(least(floor((x - lo) / ((hi - lo) / {last})), {points - 2}) AS BIGINT) AS j FROM d, f{k - 1}, st)),
+r{k} AS (SELECT x, y, CASE WHEN e < s THEN pow(1 - pow(e / s, 2), 2) ELSE 0 END AS r FROM e{k}, (SELECT 6 * median(e) AS s FROM e{k}))""")
+        parts.append(fit(k, "r"))
+    return f"WITH {DOC_SQL}, " + ", ".join(parts) + f" SELECT CAST(i AS INTEGER) AS grid_idx, round(gx, 6) AS x, round(f[i + 1], 4) AS y_hat FROM g, f{rounds}"
+
+
+@register("x21b_lowess", _lowess_sql(40, "(2.0::DOUBLE / 3)", 3))
+def x21b_lowess(spark, sf_dir):
+    """Robust lowess of word_count on n_chars, two thirds of the rows a window, three rounds."""
+    out = X.lowess(doc_metrics(spark, sf_dir), "n_chars", "word_count")
+    return out.select("grid_idx", F.round("x", 6).alias("x"), F.round("y_hat", 4).alias("y_hat"))

@@ -56,3 +56,44 @@ def test_hexagons(spark):
     same = df.filter("x is not null and y is not null").withColumn("x", F.lit(1.0)).withColumn("y", F.lit(2.0))
     assert [(r.lattice, r.x_bin, r.y_bin, r["count"]) for r in X.hexagons(same, "x", "y", 5).collect()] == [(0, 0, 0, 700)]
     assert X.hexagons(df.limit(0), "x", "y").count() == 0
+
+
+def plain_lowess(x, y, frac, rounds, points):
+    n, lo, hi = len(x), x.min(), x.max()
+    grid = np.linspace(lo, hi, points)
+    k = int(frac * n + 1e-10)
+    span = np.array([np.sort(np.abs(x - g))[k - 1] for g in grid])
+    r = np.ones(n)
+    for turn in range(rounds + 1):
+        fit = []
+        for g, h in zip(grid, span):
+            w = np.where(np.abs(x - g) < h, (1 - (np.abs(x - g) / h) ** 3) ** 3, 0) * r
+            b, a = np.polyfit(x - g, y, 1, w=np.sqrt(w))
+            fit.append(a)
+        res = np.abs(y - np.interp(x, grid, fit))
+        s = 6 * np.median(res)
+        r = np.where(res < s, (1 - (res / s) ** 2) ** 2, 0)
+    return grid, np.array(fit)
+
+
+def test_lowess_equals_the_plain_form_and_resists_outliers(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(0, 10, 300), 2)
+    y = 2 * x + rng.normal(0, 0.5, 300)
+    wild = y.copy()
+    wild[rng.choice(300, 20, replace=False)] += 60
+    for data in (y, wild):
+        got = X.lowess(spark.createDataFrame(list(zip(x.tolist(), data.tolist())), "x double, y double"), "x", "y", 0.5, 3, 21).collect()
+        grid, fit = plain_lowess(x, data, 0.5, 3, 21)
+        assert np.allclose([r.x for r in got], grid) and np.allclose([r.y_hat for r in got], fit, atol=1e-6)
+        assert np.abs(fit - 2 * grid).max() < 0.6  # twenty wild rows don't move it
+    once = X.lowess(spark.createDataFrame(list(zip(x.tolist(), wild.tolist())), "x double, y double"), "x", "y", 0.5, 0, 21).collect()
+    assert max(abs(r.y_hat - 2 * r.x) for r in once) > 2  # without the rounds they do
+
+
+def test_lowess_odd_input(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (None, 1.0), (2.0, None)], "x double, y double")
+    assert [(r.x, r.y_hat) for r in X.lowess(df, "x", "y").collect()] == [(1.0, 3.0)]
+    assert X.lowess(df.limit(0), "x", "y").count() == 0
+    two = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0)], "x double, y double")
+    assert [r.y_hat for r in X.lowess(two, "x", "y", 1.0, 3, 3).collect()] == [1.0, None, 3.0]
