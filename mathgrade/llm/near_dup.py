@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .common import binary_matrix, grouped, salted_join, stored, to_binary, trimmed
 from .components import connected_components
 from .wordbytes import LOWER_AZ, mix64, pieces, span_hashes, window_hashes, word_spans
@@ -470,11 +471,16 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the documents of a component that are not its first, and without repeated rows of one node."""
+    """``docs`` without the documents of a component that are not its first, and without repeated rows of one node.
+
+    Only documents that a bit map of fixed size marks as gone or repeated are shuffled, the others stay as they are."""
     nodes, _ = _nodes(docs)
     out = _components(nodes.select(F.col("_node").alias("doc_id"), F.col("text").cast("string").alias("text")), **parameters)
-    marked = out.filter("component = doc_id").groupBy(F.col("doc_id").alias("_node")).agg(F.count(F.lit(1)).alias("_rows"))
-    marked = stored(marked, "kept")
-    one = nodes.join(marked.filter("_rows = 1").select("_node"), "_node", "left_semi")
-    more = nodes.join(marked.filter("_rows > 1").select("_node"), "_node", "left_semi").dropDuplicates(["_node", "text"])
-    return one.union(more).select(*docs.columns)
+    touched = out.groupBy(F.col("doc_id").alias("_node")).agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("rows")) \
+        .filter("component <> _node or rows > 1").select("_node", (F.col("component") == F.col("_node")).alias("_stays"))
+    touched = stored(touched, "touched")
+    place = F.pmod(F.xxhash64("_node"), F.lit(FILTER_BITS))
+    marked = bitmaps.marked(nodes, bitmaps.bit_rows(touched.select(place.alias("p")), "p"), place, "_maybe")
+    some = salted_join(marked.filter("_maybe"), touched, ["_node"], F.col("text")).filter(F.coalesce("_stays", F.lit(True))) \
+        .dropDuplicates(["_node", "text"])
+    return marked.filter("not _maybe").select(*docs.columns).union(some.select(*docs.columns))
