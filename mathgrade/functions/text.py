@@ -196,9 +196,13 @@ def training_text(question, answer) -> Column:
     return F.concat_ws("\n", strip(q), strip(a), F.concat(F.lit("Answer: "), after_last_hashes(a)))
 
 
+#: What ``str.split()`` takes as blank, as a Java character class (without brackets).
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def word_count(text) -> Column:
-    """len(text.split())."""
-    return F.size(F.filter(F.split(_col(text), r"\s+"), lambda x: x != ""))
+    """len(text.split()), Unicode blanks included."""
+    return F.regexp_count(_col(text), F.lit(f"[^{BLANKS}]+"))
 
 
 def operator_count(text) -> Column:

@@ -11,7 +11,7 @@ from . import driver_tables as dt
 from ..session import materialised
 from .registry import register, rounded
 
-WS = r"[ \t\n\x0B\f\r]+"
+WS = r"[ \t\n\x0B\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 METRICS = ["n_chars", "word_count", "operator_count", "step_count", "logp_sum"]
 
 

@@ -154,3 +154,15 @@ def test_spearman_forms_agree(spark):
         assert {r.metric: round(r.spearman, 9) for r in out.collect()} == {m: round(v, 9) for m, v in exact.items()}
     pair, = X.correlation_matrix(df, ["a", "b"], "id").collect()
     assert abs(pair.spearman - pdf[["a", "b"]].rank().corr().iloc[0, 1]) < 1e-9 and abs(pair.pearson - pdf[["a", "b"]].corr().iloc[0, 1]) < 1e-9
+
+
+def test_word_count_is_that_of_split(spark):
+    """Every blank of str.split(), and characters that look like one."""
+    import random
+    from mathgrade.functions import text as TX
+    rng = random.Random(1)
+    odd = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\ufeff", "\u180e", "a", "é", "x"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["", " ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", TX.word_count("t").alias("n")).collect()}
+    assert got == {i: None if t is None else len(t.split()) for i, t in enumerate(texts)}
