@@ -66,10 +66,20 @@ def in_order(calls: Iterable[Callable[[], object]], in_flight: int) -> Iterator[
             yield running.popleft().result()
 
 
+#: Replies of short calls are put together to batches of about so many rows or characters.
+OUT_ROWS, OUT_CHARS = 4096, 1 << 22
 MISSING_COMPLETION = "missing completion"
 MISSING_PROMPT = "missing prompt"
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all tasks by their key, for calls that cost more than reading the row: a scan gives a small file
+    with many short prompts to one task."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, key)
+
+
 def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Callable[[], GenerateFn],
              max_tries: int = 3, backoff_base: float = 0.0, batch_size: int = 32, keep: Sequence[str] = (),
              in_flight: int = 1) -> DataFrame:
@@ -91,9 +101,8 @@ def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Ca
         got += [None] * (n - len(got))
         return [(j, c, None if c is not None else err or MISSING_COMPLETION, tries) for j, c in enumerate(got)]
 
-    def ask(fn: GenerateFn, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, prompts = batch.column(id_col).to_pylist(), batch.column("_prompt").to_pylist()
-        rows = range(batch.num_rows)
+    def ask(fn: GenerateFn, ids: list, prompts: list, start: int) -> list[tuple]:
+        rows = range(len(ids))
         sent = [i for i in rows if prompts[i] is not None]
         seed = hashlib.md5(repr(ids).encode()).hexdigest()
         outs, err, tries = _retry(lambda: fn([prompts[i] for i in sent], n), 1, 0.0, seed) if sent else ([], None, 0)
@@ -105,17 +114,33 @@ def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Ca
             for i in sent:
                 one, e1, t1 = _retry(lambda i=i: fn([prompts[i]], n)[0], max_tries, backoff_base, f"{seed}{ids[i]}", before=1)
                 found[i] = replies(one, e1 or (err if max_tries == 1 else None), t1)
-        out = [(i, *r) for i in rows for r in found[i]]
-        at = pa.array([o[0] for o in out], pa.int64())
+        return [(start + i, *r) for i in rows for r in found[i]]
+
+    def calls(fn: GenerateFn, batches: Iterator[pa.RecordBatch]) -> Iterator[Callable[[], tuple]]:
+        for batch in batches:
+            ids, prompts = batch.column(id_col).to_pylist(), batch.column("_prompt").to_pylist()
+            for start in range(0, batch.num_rows, batch_size):
+                piece = slice(start, start + batch_size)
+                yield lambda batch=batch, a=ids[piece], b=prompts[piece], start=start: (batch, ask(fn, a, b, start))
+
+    def written(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        at, *values = zip(*out, strict=True)
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(c).take(at) for c in carried], pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()),
-             pa.array([o[3] for o in out], pa.string()), pa.array([o[4] for o in out], pa.int32())],
+            [*[batch.column(c).take(pa.array(at, pa.int64())) for c in carried], *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]],
             [*carried, "sample_number", "completion", "error", "attempts"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = fn_factory()
-        cut = (batch.slice(start, batch_size) for batch in batches for start in range(0, batch.num_rows, batch_size))
-        yield from in_order(((lambda piece=piece: ask(fn, piece)) for piece in cut), in_flight)
+        held, out, chars = None, [], 0
+        for batch, rows in in_order(calls(fn_factory(), batches), in_flight):
+            if out and (batch is not held or len(out) >= OUT_ROWS or chars >= OUT_CHARS):
+                yield written(held, out)
+                out, chars = [], 0
+            held = batch
+            out += rows
+            chars += sum(len(r[2] or "") for r in rows)
+        if out:
+            yield written(held, out)
 
     return df.select(*carried, F.col(prompt_col).cast("string").alias("_prompt")).mapInArrow(part, schema)
 

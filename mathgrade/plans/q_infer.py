@@ -41,7 +41,7 @@ FROM x GROUP BY question_id"""
 def u11_evaluate_k_attempts(spark, sf_dir):
     """k = 3 completions per question from a caller-supplied
     solver (deterministic stub), six-way extraction, grading, pass counts."""
-    p = _prompts(spark, sf_dir)
+    p = INF.dealt(_prompts(spark, sf_dir), "question_id")
     return rounded(AU.evaluate(p, "question_id", "prompt", "expected_answer", 3, stubs.solver_factory))
 
 
@@ -190,5 +190,5 @@ U02_SQL = f"""WITH {S.QUESTIONS} SELECT question_id, CASE WHEN question_id % 4 <
 def u02_retry(spark, sf_dir):
     """A client that fails up to three times per prompt, eight calls of a task in flight, three tries."""
     q = dt.questions(spark, sf_dir).select("question_id", F.concat(F.lit("Q "), F.col("question_id").cast("string")).alias("prompt"))
-    out = INF.generate(q, "question_id", "prompt", 1, stubs.flaky_factory, max_tries=3, batch_size=1, in_flight=8)
+    out = INF.generate(INF.dealt(q, "question_id"), "question_id", "prompt", 1, stubs.flaky_factory, max_tries=3, batch_size=1, in_flight=8)
     return out.select("question_id", "completion", "error", "attempts")
