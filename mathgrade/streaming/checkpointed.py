@@ -1,9 +1,10 @@
 """Durable, resumable result writing (S10/S11): micro-batches with a commit log.
 
-``write_in_steps`` deals new rows into steps of about ``every_n`` rows and stores them as the run's input. Each step is
-worked on alone: its rows are read back, ``work`` (model calls included) is applied, the result replaces the folder
-``run_id=.../step=...``, and a manifest entry commits it. A run that stops keeps the steps committed so far; the next
-call works on the others only. A step that stopped half-way is replayed into the same folder, so each row is in the
+``write_in_steps`` deals new rows into steps of about ``every_n`` rows and stores them as the run's input, in at most
+``MOST_WAVES`` waves of consecutive steps. With ``work`` (model calls included), each step is worked on alone: its rows
+are read back, ``work`` is applied, the result replaces the folder ``run_id=.../step=...``, and a manifest entry commits
+it. Without, one job writes the folders of a wave and one entry commits its steps, so the number of jobs doesn't grow
+with the table. A run that stops keeps the steps committed so far; the next call works on the others only. A step that stopped half-way is replayed into the same folder, so each row is in the
 results once. Rows are dealt before they are worked on: ``work`` sees a row once, or again only in a replayed step.
 
 ``stream_new_results`` is the streaming form: a file source whose micro-batches are the steps. Spark's checkpoint fixes
@@ -20,11 +21,14 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.training import hash32
 from ..sources import io as IO
 
 Work = Callable[[DataFrame], DataFrame]
+#: Waves of steps that one call stores; up to so many steps, each is a wave of its own.
+MOST_WAVES = 8
 MANIFEST = "run_id string, step long, rows long, committed_at timestamp"
 
 
@@ -48,16 +52,32 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(steps), ["run_id", "step"], "left_semi")  # a row per step
 
 
+def _entry(steps: DataFrame, path: str, run_id: str, first: int) -> None:
+    """One manifest entry for ``steps`` (step, rows), under the number of the first of them."""
+    spark = steps.sparkSession
+    entry = steps.select(F.lit(run_id).alias("run_id"), F.col("step").cast("long").alias("step"),
+                         F.col("rows").cast("long").alias("rows"), F.current_timestamp().alias("committed_at"))
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{_log(path, run_id)}/manifest/step={first}")
+    spark.range(1).coalesce(1).write.mode("ignore").parquet(f"{path.rstrip('/')}/_log/any-manifest")
+
+
 def _commit(rows: DataFrame, path: str, run_id: str, step: int) -> None:
     """Write a step under its own name, then its manifest entry."""
     spark = rows.sparkSession
     folder = f"{path.rstrip('/')}/run_id={run_id}/step={step}"
     rows.write.mode("overwrite").parquet(folder)
     n = spark.read.schema(rows.schema).parquet(folder).count()
-    entry = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(step).cast("long").alias("step"),
-                                  F.lit(n).cast("long").alias("rows"), F.current_timestamp().alias("committed_at"))
-    entry.coalesce(1).write.mode("overwrite").parquet(f"{_log(path, run_id)}/manifest/step={step}")
-    spark.range(1).coalesce(1).write.mode("ignore").parquet(f"{path.rstrip('/')}/_log/any-manifest")
+    _entry(spark.range(1).select(F.lit(step).alias("step"), F.lit(n).alias("rows")), path, run_id, step)
+
+
+def _commit_wave(rows: DataFrame, path: str, run_id: str, steps: list[int]) -> None:
+    """Write the folders of several steps (column ``step``) in one job, then one manifest entry for all."""
+    spark, run = rows.sparkSession, f"{path.rstrip('/')}/run_id={run_id}"
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(min(tasks, len(steps)), "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("step").parquet(run)
+    written = spark.read.schema(rows.schema).option("basePath", run).parquet(*[f"{run}/step={s}" for s in steps])
+    _entry(written.groupBy("step").agg(F.count(F.lit(1)).alias("rows")), path, run_id, steps[0])
 
 
 def _steps(spark: SparkSession, path: str, run_id: str) -> DataFrame:
@@ -76,7 +96,7 @@ def write_in_steps(df: DataFrame, key: str, path: str, every_n: int, run_id: str
         before = spark.read.parquet(staged)
         todo = IO.resume(todo, before, key)
         last = before.agg(F.coalesce(F.max("step").cast("long"), F.lit(-1))).first()[0]
-    if not manifest(spark, path).isEmpty():
+    if not manifest(spark, path).filter(F.col("run_id") != run_id).isEmpty():
         others = committed(spark, path).filter(F.col("run_id") != run_id)
         todo = IO.resume(todo, others, key)
     raw = f"{log}/raw-{uuid4().hex}"
@@ -84,8 +104,11 @@ def write_in_steps(df: DataFrame, key: str, path: str, every_n: int, run_id: str
     new = spark.read.schema(todo.schema).parquet(raw)
     steps = math.ceil(new.count() / every_n)  # of the stored rows: the input isn't evaluated again
     if steps:
-        step = F.pmod(hash32(F.col(key)), F.lit(steps)) + F.lit(last + 1)
-        new.withColumn("step", step.cast("long")).repartition("step").write.mode("append").partitionBy("step").parquet(staged)
+        step, per_wave = F.pmod(hash32(F.col(key)), F.lit(steps)), math.ceil(steps / MOST_WAVES)
+        wave = F.floor(F.col("step") / per_wave) * per_wave + F.lit(last + 1)  # the number of its first step
+        dealt = new.withColumn("step", step.cast("long")).withColumn("_wave", wave.cast("long"))
+        dealt = dealt.withColumn("step", F.col("step") + F.lit(last + 1))
+        dealt.repartition("_wave").write.mode("append").partitionBy("_wave").parquet(staged)
     if IO.exists(spark, staged):
         run_pending(spark, path, run_id, df.schema, work)
     else:  # no row at all so far: an empty step keeps the columns
@@ -96,11 +119,17 @@ def write_in_steps(df: DataFrame, key: str, path: str, every_n: int, run_id: str
 def run_pending(spark: SparkSession, path: str, run_id: str, schema, work: Work | None = None) -> None:
     """Work on the stored steps of a run that are not committed, in order."""
     staged = f"{_log(path, run_id)}/input"
-    known = spark.read.parquet(staged).select(F.col("step").cast("long").alias("step")).distinct()
-    pending = known.join(_steps(spark, path, run_id), "step", "left_anti").orderBy("step")
+    known = spark.read.parquet(staged).select(F.col("_wave").cast("long").alias("wave"), "step").distinct()
+    pending = known.join(_steps(spark, path, run_id), "step", "left_anti")
+    pending = pending.groupBy("wave").agg(F.sort_array(F.collect_list("step")).alias("steps")).orderBy("wave")
     for row in pending.collect():  # step numbers only
-        rows = spark.read.schema(schema).parquet(f"{staged}/step={row['step']}")
-        _commit(work(rows) if work else rows, path, run_id, row["step"])
+        rows = spark.read.schema(T.StructType([*schema, T.StructField("step", T.LongType())])).parquet(f"{staged}/_wave={row['wave']}")
+        if work is None and len(row["steps"]) > 1:
+            _commit_wave(rows.filter(F.col("step").isin(row["steps"])), path, run_id, row["steps"])
+            continue
+        for step in row["steps"]:
+            one = rows.filter(F.col("step") == step).drop("step")
+            _commit(work(one) if work else one, path, run_id, step)
 
 
 def stream_new_results(spark: SparkSession, src_dir: str, schema, work: Work, path: str, run_id: str,
