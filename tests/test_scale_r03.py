@@ -4,7 +4,9 @@ import shutil
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from mathgrade.functions import text as TX
 from mathgrade.operators import inference as INF
+from mathgrade.operators import stats as X
 from mathgrade.plans import q_infer, stubs
 from mathgrade.streaming import checkpointed as CK
 
@@ -58,3 +60,29 @@ def test_a_wave_without_entry_is_replaced(spark, tmp_path):
     assert lost < 1000
     spark.range(5000, 5003).write.mode("append").parquet(f"{path}/run_id=r/step={entry.name.removeprefix('step=')}")
     assert sorted(r.id for r in CK.write_in_steps(spark.range(1000), "id", path, 10, "r").collect()) == list(range(1000))
+
+
+def test_word_count_without_a_class_expression(spark):
+    blanks = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    texts = ["", " ", "a", " a", "a ", "a  b\tc", "x", "x x ", "a​b \U0001F600　c", *[f"{c}p{c}{c}q{c}" for c in blanks], "".join(blanks), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.i: r.n for r in df.select("i", TX.word_count("t").alias("n")).collect()}
+    assert got == {i: None if t is None else len(t.split()) for i, t in enumerate(texts)}
+    plan = df.select(TX.word_count("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan.lower()
+
+
+def _costly(seen):
+    @F.udf("long")
+    def cost(i):
+        seen.add(1)
+        return i % 7
+    return cost
+
+
+def test_costly_columns_of_bins_are_computed_once(spark):
+    for bins in (X.bins_2d, X.hexagons):
+        seen = spark.sparkContext.accumulator(0)
+        df = spark.range(100).select(F.col("id").alias("x"), _costly(seen)("id").alias("y"))
+        assert sum(r["count"] for r in bins(df, "x", "y", 5).collect()) == 100
+        assert seen.value == 100  # twice and more before
