@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from ..functions import answers as A
 from ..functions import grading as G
 from ..functions import text as TX
-from ..session import ensure_checkpoint_dir
+from ..session import all_tasks, ensure_checkpoint_dir
 from . import aggregate as AG
 
 # A model function takes a list of prompts and n, and returns n completions per prompt.
@@ -75,9 +75,7 @@ MISSING_PROMPT = "missing prompt"
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt over all tasks by their key, for calls that cost more than reading the row: a scan gives a small file
     with many short prompts to one task."""
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, key)
+    return df.repartition(all_tasks(df.sparkSession), key)
 
 
 def generate(df: DataFrame, id_col: str, prompt_col: str, n: int, fn_factory: Callable[[], GenerateFn],

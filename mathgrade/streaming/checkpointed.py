@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.training import hash32
+from ..session import all_tasks
 from ..sources import io as IO
 
 Work = Callable[[DataFrame], DataFrame]
@@ -73,8 +74,7 @@ def _commit(rows: DataFrame, path: str, run_id: str, step: int) -> None:
 def _commit_wave(rows: DataFrame, path: str, run_id: str, steps: list[int]) -> None:
     """Write the folders of several steps (column ``step``) in one job, then one manifest entry for all."""
     spark, run = rows.sparkSession, f"{path.rstrip('/')}/run_id={run_id}"
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartition(min(tasks, len(steps)), "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+    rows.repartition(min(all_tasks(spark), len(steps)), "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("step").parquet(run)
     written = spark.read.schema(rows.schema).option("basePath", run).parquet(*[f"{run}/step={s}" for s in steps])
     _entry(written.groupBy("step").agg(F.count(F.lit(1)).alias("rows")), path, run_id, steps[0])

@@ -2,13 +2,18 @@
 import math
 import shutil
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mathgrade.functions import text as TX
+from mathgrade.operators import aggregate as AG
 from mathgrade.operators import inference as INF
+from mathgrade.operators import metrics as M
 from mathgrade.operators import stats as X
-from mathgrade.plans import q_infer, stubs
+from mathgrade.plans import evaluate as ev
+from mathgrade.plans import q_infer, q_stats, stubs
 from mathgrade.streaming import checkpointed as CK
 
 
@@ -113,3 +118,52 @@ def test_bootstrap_tasks_pass_on_sums_not_draws(spark):
             was = sums.get((g, rep), (0, 0))
             sums[g, rep] = (was[0] + n * x, was[1] + n)
     assert {(r["_g"], r["rep"]): (r["swx"], r["sw"]) for r in out.to_pylist()} == sums
+
+
+def test_sweep_over_many_ranges_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, y = rng.integers(0, 60, 400), rng.integers(0, 2, 400)
+    s = -rng.integers(1, 40, 400).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"s": s, "n": n, "y": y}))
+    alphas = [-1.0, 0.0, 2.0]  # powers without rounding differences, which break ties
+    one = sorted(map(tuple, X.alpha_sweep(df, "s", "n", "y", alphas).collect()))
+    monkeypatch.setattr(X, "SWEEP_ROWS", 40)
+    many = sorted(map(tuple, X.alpha_sweep(df, "s", "n", "y", alphas).collect()))
+    for (k, a, rows, rho), again in zip(one, many, strict=True):
+        with np.errstate(divide="ignore"):
+            d = np.power(n.astype(float), a)
+        ok = d != 0
+        score = pd.Series(s[ok] / d[ok])
+        want = score.rank().corr(pd.Series(y[ok].astype(float)))
+        assert (k, a, rows) == again[:3] == (alphas.index(a), a, ok.sum())
+        assert abs(rho - want) < 1e-9 and abs(again[3] - want) < 1e-9
+
+
+def test_sweep_needs_no_feature_that_it_does_not_use(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\nfirst", "en", "s", 9), (2, "c", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert q_stats.stored_metrics(spark, str(tmp_path), *q_stats.SWEPT).columns == ["logp_sum", "word_count", "quality"]
+
+
+def test_accuracy_and_median_pass_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(100).select((F.col("id") % 4 == 0).alias("ok"), _costly(seen)("id").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, 6), (True, None)], "ok boolean, v long"))
+    r = AG.accuracy_and_median(df, "ok", "v").first()
+    assert seen.value == 100  # several times before
+    assert abs(r.accuracy - 26 / 101) < 1e-12 and r.median_v == 3.0
+    empty = AG.accuracy_and_median(df.limit(0), "ok", "v").first()
+    assert empty.accuracy is None and empty.median_v is None
+
+
+def test_counts_are_joined_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ev, "TASK_ROWS", 50)
+    samples = spark.range(1000).select((F.col("id") % 300).alias("question_id"), F.col("id").alias("sample_number"),
+                                       F.concat(F.lit("The answer is "), F.col("id") % 3, F.lit(".")).alias("completion"))
+    questions = spark.range(300).select(F.col("id").alias("question_id"), F.lit(1.0).alias("expected_answer"))
+    tasks = ev.join_tasks(samples)
+    assert tasks == 20
+    graded = ev.grade_counts(ev.answer_counts(samples), questions, tasks=tasks)
+    out = M.correct_fraction_and_diversity(graded, "pred", weight="cnt").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in out}) > 10 and len(out) == 300
