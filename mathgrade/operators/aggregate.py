@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from . import ranks
 from .skew import salted_join
 
@@ -107,9 +108,12 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def accuracy_and_median(df: DataFrame, correct: str, metric: str) -> DataFrame:
-    """Overall accuracy and exact median of a metric."""
-    median = ranks.quantiles(df, metric, [0.5]).select(F.col("q_0").alias(f"median_{metric}"))
-    one = df.agg(F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    """Overall accuracy and exact median of a metric, both from stored counts: ``df`` is evaluated once."""
+    counts = materialised(df.groupBy(F.col(correct).cast("double").alias("_ok"), F.col(metric).cast("double").alias("_x"))
+                          .agg(F.count(F.lit(1)).alias("_n")), "counts")
+    median = ranks.quantiles(counts, "_x", [0.5], count="_n").select(F.col("q_0").alias(f"median_{metric}"))
+    known = F.when(F.col("_ok").isNotNull(), F.col("_n"))
+    one = counts.agg(F.try_divide(F.sum(F.col("_ok") * F.col("_n")), F.sum(known)).alias("accuracy"))
     return one.join(F.broadcast(median), how="left")  # one row each
 
 

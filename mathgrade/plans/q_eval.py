@@ -32,7 +32,8 @@ def m01_pass_at_k_by_level(spark, sf_dir):
 
 def _counts(spark, sf_dir):
     """Graded answer counts: one row per (question, extracted answer)."""
-    return ev.grade_counts(ev.answer_counts(dt.raw_samples(spark, sf_dir)), dt.references(spark, sf_dir))
+    raw = dt.raw_samples(spark, sf_dir)
+    return ev.grade_counts(ev.answer_counts(raw), dt.references(spark, sf_dir), tasks=ev.join_tasks(raw))
 
 
 # --------------------------------------------------------------------------
