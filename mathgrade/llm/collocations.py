@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import lowest, salted_join, stored, trimmed
+from .common import lowest, rows_per_batch, salted_join, stored, trimmed
 from .wordbytes import LOWER_AZ, SEPARATOR, mix64, pieces, span_hashes, word_spans
 
 #: Fewest occurrences of a phrase, most words of it, and rows of the result per language.
@@ -38,6 +38,8 @@ LEAST, MOST_WORDS, TOP = 10, 3, 2000
 SHARE_NUM, SHARE_DEN = 50, 100
 #: Bytes of text in a block (a longer text makes a block of its own).
 BLOCK_BYTES = 1 << 20
+#: Blocks of an Arrow batch.
+BLOCKS_PER_BATCH = 2
 #: Bits of the map of frequent groups (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -166,7 +168,8 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     relation = stored(held.mapInArrow(trimmed(_tokens), RELATION), "occurrences-1")
     sizes = relation.groupBy("lang").agg(F.sum(F.size("item")).cast("long").alias("n"))
-    found = [frequent(relation.mapInArrow(trimmed(_counted(None)), "lang string, phrase string, f long"), least, 1)]
+    with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
+        found = [frequent(relation.mapInArrow(trimmed(_counted(None)), "lang string, phrase string, f long"), least, 1)]
 
     def bits(groups: DataFrame) -> np.ndarray:
         return bitmaps.collected(groups.mapInArrow(trimmed(_group_places(filter_bits)), "place long"), "place", filter_bits)
@@ -175,10 +178,12 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
     for words in range(2, most_words + 1):
         shared = sc.broadcast(maps)
         longer = relation.mapInArrow(trimmed(_counted(shared)), "lang string, phrase string, f long")
-        found.append(frequent(longer, least, words))
+        with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
+            found.append(frequent(longer, least, words))
         if words < most_words:
             maps = [maps[0], bits(found[-1])]
-            relation = stored(relation.mapInArrow(trimmed(_longer(sc.broadcast(maps))), RELATION), f"occurrences-{words}")
+            with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
+                relation = stored(relation.mapInArrow(trimmed(_longer(sc.broadcast(maps))), RELATION), f"occurrences-{words}")
             maps = [maps[1]]
     out = found[0]
     for f in found[1:]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
@@ -119,6 +120,19 @@ def trimmed(mapper: Mapper) -> Mapper:
     return run
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For jobs run inside: at most ``rows`` rows of an Arrow batch, where a row is megabytes. The JVM and the Python
+    worker each hold a whole batch, beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_and_text(docs: DataFrame) -> DataFrame:
     """All columns as one struct ``row``; ``texts`` reads the text inside it, so it isn't sent twice."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

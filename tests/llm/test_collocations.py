@@ -86,3 +86,23 @@ def test_exact_beyond_64_bits(spark):
 def test_query_on_the_tables(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").collect()]
     assert got(queries.QUERIES["op12_collocations"](spark, sf)) == plain(docs, 10, 3, 2000)
+
+
+def test_relations_are_read_in_small_batches(spark, monkeypatch):
+    """A batch holds few blocks (all of a task's before), and the session's setting is as it was."""
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.accumulator(0)
+    before, rows = spark.conf.get(key), collocations._rows
+
+    def watched(batches):
+        def each():
+            for b in batches:
+                if b.num_rows > 2:
+                    most.add(1)
+                yield b
+        return rows(each())
+
+    monkeypatch.setattr(collocations, "_rows", watched)
+    docs = spark.createDataFrame([(f"l{i}", "red fox runs. " * 15) for i in range(40)], "lang string, text string").coalesce(1)
+    out = collocations.collocations(docs).collect()  # a block per language
+    assert sorted((r.lang, r.phrase, r.a) for r in out) == sorted((f"l{i}", "red fox runs", 15) for i in range(40))
+    assert most.value == 0 and spark.conf.get(key) == before
