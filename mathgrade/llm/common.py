@@ -36,11 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_of: Column, salts: int = 8,
-                how: str = "left") -> DataFrame:
+                how: str = "left", many: str | None = None) -> DataFrame:
     """Equi-join of ``left`` with ``right`` (unique on ``keys``) in which a key
-    that holds a large share of ``left`` is spread over ``salts`` tasks."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    that holds a large share of ``left`` is spread over ``salts`` tasks, to each of which the row of ``right`` goes.
+    With ``many``, a boolean of both sides that follows from the keys, only the keys that have it."""
+    salt, every = F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"), F.array(*[F.lit(i) for i in range(salts)])
+    if many is not None:
+        salt, every = F.when(F.col(many), salt).otherwise(F.lit(0)), F.when(F.col(many), every).otherwise(F.array(F.lit(0)))
+    a = left.withColumn("_salt", salt)
+    b = right.withColumn("_salt", F.explode(every))
+    if many is not None:
+        a, b = a.drop(many), b.drop(many)
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -5,9 +5,11 @@ smaller id. Only suffixes that can have such a partner are sorted, and only to t
 
 1. Equal texts count once, as the one with the smallest id; its copies are removed whole.
 2. Every window of ``LENGTH`` bytes names an anchor: the smallest hash of its strings of ``ANCHOR`` bytes. Equal windows
-   have equal anchors, and neighbours mostly share theirs, so a text has an anchor for about 20 bytes. Anchors are
-   counted over the texts. A bit map of fixed size holds the ones of two texts or more; a full map only lets more pass.
-3. The windows of a marked anchor are sent, as one stretch of text, to the task of that anchor. There the suffixes that
+   have equal anchors, and neighbours mostly share theirs, so a text has an anchor for about 20 bytes. Short strings also
+   repeat by chance, the more the larger the table; so what is counted over the texts is the anchor with the ``REACH`` bytes
+   before it, or after it, of which every window holds one. Counts travel as sorted places, two bytes or so each. A
+   Bloom filter of fixed size holds the contexts of two texts or more; a full one only lets more pass.
+3. The windows of a marked context are sent, as one stretch of text, to the task of their anchor. There the suffixes that
    start at these windows are sorted deep-shallow: a multikey quicksort by characters of 8 bytes to the depth ``SHALLOW``,
    then blind (path-compressed) tries for the groups still equal there, which look at branching positions only. The tries
    of all groups of a task grow together, a level at a time. Suffixes equal to the depth ``LENGTH`` stand together; the
@@ -28,71 +30,182 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import salted_join, stored, trimmed
+from .common import grouped, salted_join, stored, trimmed
 from .wordbytes import BYTE_TABLE, pieces, sliding, string_hashes
 
 LENGTH, ANCHOR, SHALLOW = 50, 16, 24
+#: Bytes of an anchor's context on one side.
+REACH = (LENGTH - ANCHOR) // 2
 #: Texts of an anchor, or stretches of it, that one task takes.
 HOT = 20_000
-#: Bits of the maps of anchors (32 MB) and of texts.
-ANCHOR_BITS, TEXT_BITS = 1 << 28, 1 << 25
+#: Bits of the filter of contexts (64 MB), of the map of hot anchors and of the map of texts.
+CONTEXT_BITS, HOT_BITS, TEXT_BITS = 1 << 29, 1 << 22, 1 << 25
+#: Bits of a place that a context or an anchor is counted by; the first ``PART`` of them name the part of the filter.
+PLACE, PART = 36, 12
+#: Factors of a place's bits in its part of the filter.
+PROBES = 1, 0x9E3779B1, 0x85EBCA6B
+#: Places that a task sorts at a time.
+HELD = 1 << 21
 #: Windows that are hashed at a time, and windows of one stretch.
 SEGMENT, STRETCH = 1 << 19, 64
+#: Bits of a position in a segment.
+POSITION = 20
+#: Copies of a text beyond which its rows are spread over tasks.
+MANY = 1000
 #: Stands for a null id.
 LAST = (1 << 63) - 1
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, number of windows, anchor, text) of the stretches of a piece of texts."""
+def anchors(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first window, number of windows, anchor, context, text) of the runs of windows with one place of their anchor and
+    one side of its context, in a piece of texts. Of equal strings in a window the first is the anchor."""
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
     for a in range(0, len(data) - LENGTH + 1, SEGMENT):
-        part = data[a:a + SEGMENT + LENGTH - 1]
-        low = sliding(string_hashes(BYTE_TABLE[part], ANCHOR), LENGTH - ANCHOR + 1, np.minimum)
+        part = BYTE_TABLE[data[a:a + SEGMENT + LENGTH - 1]]
+        low = string_hashes(part, ANCHOR) >> np.uint64(POSITION) << np.uint64(POSITION)
+        low = sliding(low | np.arange(len(low), dtype=np.uint64), LENGTH - ANCHOR + 1, np.minimum)
         at = np.arange(a, a + len(low))
         whole = at + LENGTH <= off[owner[at] + 1]
         at, low = at[whole], low[whole]
         if not len(at):
             continue
-        own = owner[at]
-        new = np.concatenate([[True], (low[1:] != low[:-1]) | (own[1:] != own[:-1])])
+        own, place = owner[at], (low & np.uint64((1 << POSITION) - 1)).astype(np.int64)
+        before = at - a + REACH <= place
+        new = np.concatenate([[True], (place[1:] != place[:-1]) | (before[1:] != before[:-1]) | (own[1:] != own[:-1])])
         first = np.flatnonzero(new)
-        new |= (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % STRETCH == 0
-        first = np.flatnonzero(new)
-        yield at[first], np.diff(np.append(first, len(at))), low[first], own[first]
+        place, before = place[first], before[first]
+        context = string_hashes(part, ANCHOR + REACH)[place - REACH * before] ^ before.astype(np.uint64) << np.uint64(63)
+        yield at[first], np.diff(np.append(first, len(at))), low[first] >> np.uint64(POSITION), context, own[first]
+
+
+def _context_place(context: np.ndarray) -> np.ndarray:
+    return context >> np.uint64(64 - PLACE)
+
+
+def _anchor_place(anchor: np.ndarray) -> np.ndarray:
+    return anchor >> np.uint64(64 - POSITION - PLACE)
+
 
+def _once(own: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The places of each text, once."""
+    return np.unique(own.astype(np.uint64) << np.uint64(PLACE) | place) & np.uint64((1 << PLACE) - 1)
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each anchor of each text, once per segment of it."""
+
+def _sent(kind: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, part, places): the sorted places of each part as differences, their low bytes first."""
+    place = np.sort(np.concatenate(held))
+    part = (place >> np.uint64(PLACE - PART)).astype(np.int32)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    step = np.diff(place, prepend=np.uint64(0))
+    step[begin] = place[begin] & np.uint64((1 << PLACE - PART) - 1)
+    planes = np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    ends = [*begin[1:].tolist(), len(place)]
+    rows = [planes[a:b].T.tobytes() for a, b in zip(begin.tolist(), ends, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), kind, np.int32)), pa.array(part[begin]), pa.array(rows, pa.binary())],
+                                     ["kind", "part", "places"])
+
+
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of anchors (kind 0) and contexts (kind 1) of each text, once per segment of it."""
+    held: list[list[np.ndarray]] = [[], []]
     for batch in batches:
         for _, _, data, off in pieces(batch.column("text")):
-            for _, _, low, own in anchors(data, off):
-                order = np.lexsort((low, own))
-                low, own = low[order], own[order]
-                once = np.concatenate([[True], (low[1:] != low[:-1]) | (own[1:] != own[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(low[once].view(np.int64))], ["anchor"])
+            for _, _, low, context, own in anchors(data, off):
+                for kind, place in enumerate((_anchor_place(low), _context_place(context))):
+                    held[kind].append(_once(own, place))
+                    if sum(map(len, held[kind])) >= HELD:
+                        yield from _sent(kind, held[kind])
+                        held[kind] = []
+    for kind, places in enumerate(held):
+        if places:
+            yield from _sent(kind, places)
+
+
+def _probes(place: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the bits of a context in its part of the filter."""
+    rest, size = (1 << PLACE - PART) - 1, CONTEXT_BITS >> PART
+    for factor in PROBES:
+        yield ((place & np.uint64(rest)) * np.uint64(factor) & np.uint64(rest)) // np.uint64((rest + 1) // size)
+
+
+def _repeated(hot: int):
+    """Rows (kind, part, bits) from rows sorted by kind and part: a part of the filter, or the places of hot anchors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keyed = (pa.RecordBatch.from_arrays([pc.add(pc.multiply(b.column("kind"), 1 << PART), b.column("part")), b.column("places")], ["key", "places"])
+                 for b in batches)
+        for rows in grouped(keyed, "key"):
+            steps = [np.frombuffer(x, np.uint8).reshape(3, -1).astype(np.uint64) for x in rows.column("places").to_pylist()]
+            place = np.concatenate([np.cumsum(x[0] | x[1] << np.uint64(8) | x[2] << np.uint64(16)) for x in steps])
+            place, n = np.unique(place, return_counts=True)
+            kind, part = divmod(rows.column("key")[0].as_py(), 1 << PART)
+            place = place[n > (1 if kind else hot)]
+            if not len(place):
+                continue
+            if kind:
+                bits = np.zeros(CONTEXT_BITS >> PART, bool)
+                for at in _probes(place):
+                    bits[at] = True
+                found = np.packbits(bits, bitorder="little")
+            else:
+                found = place | np.uint64(part << PLACE - PART)
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([found.tobytes()], pa.binary())],
+                                             ["kind", "part", "bits"])
+    return run
 
 
-def _places(anchor: np.ndarray, n_bits: int) -> np.ndarray:
-    return anchor & np.uint64(n_bits - 1)
+def _hot_place(place: np.ndarray) -> np.ndarray:
+    return place % np.uint64(HOT_BITS)
+
+
+def repeated(texts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of contexts that two texts share, and the map of anchors of more than ``hot`` texts."""
+    sent = texts.select("text").mapInArrow(trimmed(_place_rows), "kind int, part int, places binary")
+    found = sent.repartition("kind", "part").sortWithinPartitions("kind", "part") \
+        .mapInArrow(trimmed(_repeated(hot)), "kind int, part int, bits binary")
+    contexts, very = np.zeros(CONTEXT_BITS >> 3, np.uint8), np.zeros(HOT_BITS >> 3, np.uint8)
+    size = CONTEXT_BITS >> PART + 3
+    for row in stored(found, "contexts").toLocalIterator():
+        if row["kind"]:
+            contexts[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        else:
+            place = _hot_place(np.frombuffer(row["bits"], np.uint64))
+            np.bitwise_or.at(very, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+    return contexts, very
+
+
+def _shared(contexts: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Which contexts are in the filter."""
+    place = _context_place(context)
+    base = (place >> np.uint64(PLACE - PART)) * np.uint64(CONTEXT_BITS >> PART)
+    mine = np.ones(len(context), bool)
+    for at in _probes(place):
+        mine[mine] = bitmaps.has(contexts, (base + at)[mine])
+    return mine
 
 
 def _stretches(maps, hot: bool):
-    """The stretches of text whose anchors are in the map of repeated anchors, those of hot anchors or the others."""
+    """The stretches of text whose contexts are in the filter of repeated ones, those of hot anchors or the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, very = maps.value
+        contexts, very = maps.value
         for batch in batches:
             for i, _, data, off in pieces(batch.column("text")):
-                for at, n, low, own in anchors(data, off):
-                    place = _places(low, 8 * len(repeated))
-                    mine = bitmaps.has(repeated, place)
-                    mine &= bitmaps.has(very, place) == hot
-                    at, n, low, own = at[mine], n[mine] + LENGTH - 1, low[mine], own[mine]
+                for at, n, low, context, own in anchors(data, off):
+                    mine = _shared(contexts, context)
+                    mine &= bitmaps.has(very, _hot_place(_anchor_place(low))) == hot
+                    at, n, low, own = at[mine], n[mine], low[mine], own[mine]
                     if not len(at):
                         continue
+                    new = np.concatenate([[True], (low[1:] != low[:-1]) | (own[1:] != own[:-1]) | (at[1:] != (at + n)[:-1])])
+                    first = np.flatnonzero(new)
+                    share = (at - np.repeat(at[first], np.diff(np.append(first, len(at))))) // STRETCH
+                    new[1:] |= share[1:] != share[:-1]
+                    first = np.flatnonzero(new)
+                    at, n, low, own = at[first], np.add.reduceat(n, first) + LENGTH - 1, low[first], own[first]
                     ends = np.cumsum(n)
                     chars = data[np.repeat(at - (ends - n), n) + np.arange(ends[-1])]
                     offsets = np.concatenate([[0], ends]).astype(np.int32)
@@ -237,6 +350,26 @@ def _hot_spans(rows: DataFrame, hot: int) -> DataFrame:
         .select("key", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"))
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans (key, found) of each text in order, those that meet made one."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = batch.column("found")
+        n = found.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        base = row << 40  # keeps the rows apart; a text has fewer than 2^31 bytes
+        start, end = (x.to_numpy() + base for x in found.flatten().flatten())
+        o = np.argsort(start, kind="stable")
+        start, end = start[o], np.maximum.accumulate(end[o])
+        first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+        base = row[first] << 40
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(n)))]).astype(np.int32)
+        one = pa.StructArray.from_arrays([pa.array(start[first] - base), pa.array(end[np.append(first[1:], len(end)) - 1] - base)], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), one).cast(kind)], ["key", "found"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their removed spans."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -276,11 +409,7 @@ def distinct_texts(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def removed_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, start, end) of the removed bytes of distinct texts (low, key, text); they may overlap."""
-    counts = texts.select("text").mapInArrow(trimmed(_anchor_rows), "anchor long").groupBy("anchor").count().filter("count > 1")
-    counts = stored(counts, "anchors")
-    place = F.col("anchor").bitwiseAND(F.lit(ANCHOR_BITS - 1)).alias("place")
-    very = counts.filter(F.col("count") > hot)
-    maps = [bitmaps.collected(x.select(place), "place", ANCHOR_BITS) for x in (counts, very)]
+    maps = repeated(texts, hot)
     has_hot = bool(maps[1].any())
     shared = texts.sparkSession.sparkContext.broadcast(maps)
     schema = "anchor long, stretch binary, low long, key binary, at long"
@@ -299,11 +428,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"))
     sizes = stored(docs.groupBy("key").agg(F.min("order").alias("low"), F.count(F.lit(1)).alias("n")), "texts")
     spans = removed_spans(distinct_texts(docs, sizes), hot).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    spans = stored(spans, "spans")
+    spans = stored(spans.mapInArrow(trimmed(_merged), "key binary, found array<struct<start: long, end: long>>"), "spans")
     info = sizes.join(spans, "key", "left").filter("n > 1 or found is not null").select("key", "low", "found")
     info = stored(info, "touched")
     rows = bitmaps.marked(docs, bitmaps.bit_rows(info.select(_text_place("key").alias("p")), "p"), _text_place("key"), "_maybe")
-    met = salted_join(rows.filter("_maybe"), info, ["key"], F.col("order"))
+    many = bitmaps.bit_rows(sizes.filter(F.col("n") > MANY).select(_text_place("key").alias("p")), "p")
+    maybe, info = (bitmaps.marked(x, many, _text_place("key"), "_many") for x in (rows.filter("_maybe"), info))
+    met = salted_join(maybe, info, ["key"], F.col("order"), many="_many")
     cut = met.select("doc_id", "n_bytes", "text", "found", F.coalesce(F.col("order") > F.col("low"), F.lit(False)).alias("whole")) \
         .mapInArrow(trimmed(_cut), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     none = F.array().cast("array<struct<start: long, end: long>>")

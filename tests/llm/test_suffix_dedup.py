@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mathgrade.llm import queries, suffix_dedup
+from mathgrade.llm.common import salted_join
 from mathgrade.llm.suffix_dedup import LENGTH, equal_suffixes
 
 
@@ -107,3 +109,49 @@ def test_query_on_the_tables(spark, sf):
     got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op13_suffix_dedup"](spark, sf).collect()}
     for (i, _), (n, spans, kept) in zip(docs, plain(docs), strict=True):
         assert got[i] == (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_strings_that_repeat_by_chance_are_not_sent(spark, monkeypatch):
+    """A repeated string of ``ANCHOR`` bytes or some more isn't a repeated window: its stretches stay where they are."""
+    rng, cover, sent = random.Random(11), suffix_dedup._cover, spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        def each():
+            for b in batches:
+                sent.add(b.num_rows)
+                yield b
+        return cover(each())
+
+    monkeypatch.setattr(suffix_dedup, "_cover", watched)
+    letters = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    common = [letters(26) for _ in range(8)]
+    rows = [(i, "".join(letters(60) + c for c in common) + letters(60)) for i in range(40)]
+    assert not any(x[2] for x in check(spark, rows)) and sent.value == 0
+    check(spark, rows + [(100, rows[3][1][200:300])])
+    assert 0 < sent.value < 40
+
+
+def test_spans_are_merged_before_they_meet_the_texts(spark, monkeypatch):
+    rng, cut, most = random.Random(12), suffix_dedup._cut, spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        def each():
+            for b in batches:
+                most.add(sum(len(x or ()) for x in b.column("found").to_pylist()))
+                yield b
+        return cut(each())
+
+    monkeypatch.setattr(suffix_dedup, "_cut", watched)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    got = check(spark, [(1, "head " + long), (2, "x" + long[:1400] + "--" + long[1400:] + "y")])
+    assert [len(x[2]) for x in got] == [0, 2] and most.value == 2  # one per stretch before
+
+
+def test_only_keys_of_many_rows_are_spread(spark):
+    """A join that keeps the unmatched copies of the right side's rows shows how many there are."""
+    left = spark.createDataFrame([(k, i, k == 1) for k in (1, 2) for i in range(50)], "k int, i int, m boolean")
+    right = spark.createDataFrame([(1, "a", True), (2, "b", False), (3, "c", False)], "k int, v string, m boolean")
+    assert sorted(tuple(r) for r in salted_join(left, right, ["k"], F.col("i"), many="m").collect()) == \
+        sorted((k, i, "ab"[k - 1]) for k in (1, 2) for i in range(50))
+    few = salted_join(left.filter("i = 0"), right, ["k"], F.col("i"), how="right", many="m").groupBy("k").count().collect()
+    assert sorted(tuple(r) for r in few) == [(1, 8), (2, 1), (3, 1)]
