@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import lowest, rows_per_batch, salted_join, stored, trimmed
+from .common import lowest, rows_per_batch, salted_join, stored, trimmed, wide_rows
 from .wordbytes import LOWER_AZ, SEPARATOR, mix64, pieces, span_hashes, word_spans
 
 #: Fewest occurrences of a phrase, most words of it, and rows of the result per language.
@@ -38,8 +38,10 @@ LEAST, MOST_WORDS, TOP = 10, 3, 2000
 SHARE_NUM, SHARE_DEN = 50, 100
 #: Bytes of text in a block (a longer text makes a block of its own).
 BLOCK_BYTES = 1 << 20
-#: Blocks of an Arrow batch.
-BLOCKS_PER_BATCH = 2
+#: Texts (and about so many bytes of them), and blocks, of an Arrow batch.
+TEXTS_PER_BATCH, BYTES_PER_BATCH, BLOCKS_PER_BATCH = 2000, 8 << 20, 2
+#: Bytes of a row group of a stored relation.
+GROUP_BYTES = 4 << 20
 #: Bits of the map of frequent groups (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -166,7 +168,8 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
     sc = docs.sparkSession.sparkContext
     held = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    relation = stored(held.mapInArrow(trimmed(_tokens), RELATION), "occurrences-1")
+    with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH, BYTES_PER_BATCH):
+        relation = stored(held.mapInArrow(trimmed(_tokens), RELATION), "occurrences-1", **wide_rows(GROUP_BYTES))
     sizes = relation.groupBy("lang").agg(F.sum(F.size("item")).cast("long").alias("n"))
     with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
         found = [frequent(relation.mapInArrow(trimmed(_counted(None)), "lang string, phrase string, f long"), least, 1)]
@@ -183,7 +186,8 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
         if words < most_words:
             maps = [maps[0], bits(found[-1])]
             with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
-                relation = stored(relation.mapInArrow(trimmed(_longer(sc.broadcast(maps))), RELATION), f"occurrences-{words}")
+                relation = stored(relation.mapInArrow(trimmed(_longer(sc.broadcast(maps))), RELATION), f"occurrences-{words}",
+                                  **wide_rows(GROUP_BYTES))
             maps = [maps[1]]
     out = found[0]
     for f in found[1:]:

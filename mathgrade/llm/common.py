@@ -27,11 +27,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage
     and is shared by several readers. Survives the loss of executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -126,17 +126,27 @@ def trimmed(mapper: Mapper) -> Mapper:
     return run
 
 
+def wide_rows(group_bytes: int) -> dict[str, int]:
+    """Options of ``stored`` for rows of megabytes. Parquet's writer else looks at the size of pages and row groups every 100
+    rows only: a column of a whole file is a page, for which the compressors of writer and readers hold buffers outside the
+    heap, and a row group, which a reader holds at once."""
+    return {"parquet.page.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.block.size": group_bytes}
+
+
 @contextmanager
-def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """For jobs run inside: at most ``rows`` rows of an Arrow batch, where a row is megabytes. The JVM and the Python
-    worker each hold a whole batch, beside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def rows_per_batch(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """For jobs run inside: at most ``rows`` rows (and about ``size`` bytes) of an Arrow batch, where a row is large. The
+    JVM and the Python worker each hold a whole batch, beside the heap."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    new = {key: str(value) for key, value in new.items() if value is not None}
+    before = {key: spark.conf.get(key) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def row_and_text(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from mathgrade.llm import bitmaps, collocations, queries
 
@@ -106,3 +107,42 @@ def test_relations_are_read_in_small_batches(spark, monkeypatch):
     out = collocations.collocations(docs).collect()  # a block per language
     assert sorted((r.lang, r.phrase, r.a) for r in out) == sorted((f"l{i}", "red fox runs", 15) for i in range(40))
     assert most.value == 0 and spark.conf.get(key) == before
+
+
+def test_texts_are_read_in_bounded_batches(spark, monkeypatch):
+    """Many short texts, and a few long ones: a batch was all of a task's up to 10,000 before."""
+    tokens, longest, largest = collocations._tokens, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in keys]
+
+    def watched(batches):
+        def each():
+            for b in batches:
+                longest.add(b.num_rows > 2000)
+                largest.add(b.nbytes > 12 << 20)
+                yield b
+        return tokens(each())
+
+    monkeypatch.setattr(collocations, "_tokens", watched)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("'en' AS lang", "if(id < 4960, 'red fox.', repeat('red fox. ', 100000)) AS text")
+    assert [(r.phrase, r.a) for r in collocations.collocations(docs).collect()] == [("red fox", 4960 + 40 * 100_000)]
+    assert longest.value == 0 and largest.value == 0 and [spark.conf.get(k) for k in keys] == before
+
+
+def test_relations_are_stored_in_small_row_groups(spark, monkeypatch):
+    """The blocks of a file came as one row group of one page a column before, up to 100 blocks."""
+    monkeypatch.setattr(collocations, "GROUP_BYTES", 1 << 12, raising=False)
+    kept, groups = collocations.stored, {}
+
+    def watched(df, name, **options):
+        out = kept(df, name, **options)
+        files = [f.removeprefix("file:") for f in out.inputFiles()]
+        groups[name] = [(m.num_rows, m.num_row_groups) for m in (pq.ParquetFile(re.sub("^//", "", f)).metadata for f in files)]
+        return out
+
+    monkeypatch.setattr(collocations, "stored", watched)
+    docs = spark.createDataFrame([(f"l{i}", "red fox runs. " * 300) for i in range(40)], "lang string, text string").coalesce(1)
+    out = collocations.collocations(docs).collect()
+    assert sorted((r.lang, r.phrase, r.a) for r in out) == sorted((f"l{i}", "red fox runs", 300) for i in range(40))
+    for name in ("occurrences-1", "occurrences-2"):
+        assert sum(n for n, _ in groups[name]) == 40 and all(g > 1 for n, g in groups[name] if n > 20)
