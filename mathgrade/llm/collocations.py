@@ -2,7 +2,8 @@
 
 An occurrence relation of length k holds, per language, where each phrase of k words stands. It is kept in blocks of
 whole texts, a row each: ``step`` (distance of each occurrence from the one before; words of a piece are 1 apart, pieces
-2), ``item`` and ``phrases`` (what ``item`` counts into). Rows of a block are in order of position, and a block holds
+2), ``item`` and ``phrases`` (what ``item`` counts into), packed as one binary: as arrays they cost the JVM several copies
+of megabytes. Rows of a block are in order of position, and a block holds
 whole pieces, so the merge-join "same piece, adjacent position" needs no shuffle: an occurrence joins the next one in
 order if it is 1 further.
 
@@ -45,7 +46,9 @@ GROUP_BYTES = 4 << 20
 #: Bits of the map of frequent groups (8 MB).
 FILTER_BITS = 1 << 26
 
-RELATION = "lang string, step array<int>, item array<int>, phrases array<string>"
+#: ``n`` counts the occurrences of a block.
+RELATION = "lang string, n long, block binary"
+_PACKED = pa.schema([("step", pa.list_(pa.int32())), ("item", pa.list_(pa.int32())), ("phrases", pa.list_(pa.string()))])
 _BYTES = LOWER_AZ.copy()
 _BYTES[list(b".,;:!?\x0b\x0c\r")] = 10  # every end of a piece as \n
 _BYTES[9] = 32
@@ -54,9 +57,12 @@ _BYTES[9] = 32
 def _block(lang: str, at: np.ndarray, item: np.ndarray, phrases: pa.Array) -> pa.RecordBatch:
     step = np.diff(at, prepend=0).astype(np.int32)
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(pa.list_(kind))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang], pa.string()), one(pa.array(step), pa.int32()), one(pa.array(item.astype(np.int32)), pa.int32()),
-         one(phrases, pa.string())], ["lang", "step", "item", "phrases"])
+    packed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(
+            [one(pa.array(step), pa.int32()), one(pa.array(item.astype(np.int32)), pa.int32()), one(phrases, pa.string())], schema=_PACKED))
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([len(at)], pa.int64()),
+                                       pa.array([packed.getvalue().to_pybytes()], pa.binary())], ["lang", "n", "block"])
 
 
 def _words_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
@@ -109,7 +115,8 @@ def _group_places(n_bits: int):
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.Array]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            step, item, phrases = (batch.column(c)[i].values for c in ("step", "item", "phrases"))
+            block = pa.ipc.open_stream(batch.column("block")[i].as_buffer()).read_next_batch()
+            step, item, phrases = (block.column(c)[0].values for c in _PACKED.names)
             yield batch.column("lang")[i].as_py(), np.cumsum(step.to_numpy(), dtype=np.int64), item.to_numpy(), phrases
 
 
@@ -170,7 +177,7 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH, BYTES_PER_BATCH):
         relation = stored(held.mapInArrow(trimmed(_tokens), RELATION), "occurrences-1", **wide_rows(GROUP_BYTES))
-    sizes = relation.groupBy("lang").agg(F.sum(F.size("item")).cast("long").alias("n"))
+    sizes = relation.groupBy("lang").agg(F.sum("n").alias("n"))
     with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
         found = [frequent(relation.mapInArrow(trimmed(_counted(None)), "lang string, phrase string, f long"), least, 1)]
 
