@@ -41,7 +41,8 @@ SHARE_NUM, SHARE_DEN = 50, 100
 BLOCK_BYTES = 1 << 20
 #: Texts (and about so many bytes of them), and blocks, of an Arrow batch.
 TEXTS_PER_BATCH, BYTES_PER_BATCH, BLOCKS_PER_BATCH = 2000, 8 << 20, 2
-#: Bytes of a row group of a stored relation.
+#: Bytes of a row group of a stored relation, and of a task that counts its phrases. A task's counts of longer phrases grow nearly
+#: as its text, to many times its bytes.
 GROUP_BYTES = 4 << 20
 #: Bits of the map of frequent groups (8 MB).
 FILTER_BITS = 1 << 26
@@ -178,7 +179,7 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
     with rows_per_batch(docs.sparkSession, TEXTS_PER_BATCH, BYTES_PER_BATCH):
         relation = stored(held.mapInArrow(trimmed(_tokens), RELATION), "occurrences-1", **wide_rows(GROUP_BYTES))
     sizes = relation.groupBy("lang").agg(F.sum("n").alias("n"))
-    with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
+    with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH, split=GROUP_BYTES):
         found = [frequent(relation.mapInArrow(trimmed(_counted(None)), "lang string, phrase string, f long"), least, 1)]
 
     def bits(groups: DataFrame) -> np.ndarray:
@@ -188,7 +189,7 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
     for words in range(2, most_words + 1):
         shared = sc.broadcast(maps)
         longer = relation.mapInArrow(trimmed(_counted(shared)), "lang string, phrase string, f long")
-        with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH):
+        with rows_per_batch(docs.sparkSession, BLOCKS_PER_BATCH, split=GROUP_BYTES):
             found.append(frequent(longer, least, words))
         if words < most_words:
             maps = [maps[0], bits(found[-1])]

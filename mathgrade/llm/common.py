@@ -134,10 +134,11 @@ def wide_rows(group_bytes: int) -> dict[str, int]:
 
 
 @contextmanager
-def rows_per_batch(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+def rows_per_batch(spark: SparkSession, rows: int, size: int | None = None, split: int | None = None) -> Iterator[None]:
     """For jobs run inside: at most ``rows`` rows (and about ``size`` bytes) of an Arrow batch, where a row is large. The
-    JVM and the Python worker each hold a whole batch, beside the heap."""
-    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    JVM and the Python worker each hold a whole batch, beside the heap. Files are read ``split`` bytes a task."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size,
+           "spark.sql.files.maxPartitionBytes": split}
     new = {key: str(value) for key, value in new.items() if value is not None}
     before = {key: spark.conf.get(key) for key in new}
     for key, value in new.items():
